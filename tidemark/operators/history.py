@@ -56,6 +56,8 @@ def distinct_history(
     when = as_time(child, child_time)
     at = as_time(target, target_time)
     clean = child.dropna(subset=list(child_keys)).withColumn("__when", when).where(F.col("__when").isNotNull())
+    if splits is None:
+        splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
     parts: list[DataFrame] = []
     for name, column in items.items():
         parts.append(
@@ -71,8 +73,7 @@ def distinct_history(
             .withColumn("__prev", F.col("__t"))
         )
         groups = [*child_keys, "__item"]
-        n = choose_splits(seen.select(*groups), groups) if splits is None else splits
-        stays = prefix_scan(seen, groups, "__t", maxes=["__prev"], splits=n, before_current=True)
+        stays = prefix_scan(seen, groups, "__t", maxes=["__prev"], splits=splits, before_current=True)
         for w in windows_days:
             def leaves(t: Column) -> Column:
                 end = t + days_interval(w)
@@ -145,8 +146,9 @@ def category_state(
     else:
         units = rows.where(F.col(item).isNotNull()).groupBy(*groups, item).agg(F.min("__t").alias("__t"))
     steps = units.groupBy(*groups, "__t").agg(F.count("*").alias("__k")).withColumn("__m", F.col("__k"))
-    n = choose_splits(steps.select(*groups), groups) if splits is None else splits
-    steps = prefix_scan(steps, groups, "__t", adds=["__m"], splits=n)
+    if splits is None:
+        splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
+    steps = prefix_scan(steps, groups, "__t", adds=["__m"], splits=splits)
     gained = xlogx(F.col("__m")) - xlogx(F.col("__m") - F.col("__k"))
     events = steps.select(*child_keys, "__t", F.col("__k").alias("k"), F.col("__m").alias("m"), gained.alias("g")).unionByName(
         rows.select(*child_keys, "__t", F.struct(F.col("__t").alias("t"), *tiebreak, F.col("__c").alias("__cat")).alias("l")),
@@ -175,8 +177,8 @@ def reach_counts(
     key: str,
     at: Column,
     name: str,
+    splits: int,
     hot_pairs: int = 250_000,
-    splits: int | None = None,
 ) -> DataFrame:
     """Distinct members reached through shared groups by each target row's instant.
 
@@ -270,6 +272,8 @@ def co_occurrence(
     dated = rows.groupBy("__group").agg(F.min("__f").alias("__f"), F.count_distinct("__key").alias("__size"))
     own = rows.select("__key", "__group").distinct().join(dated, "__group")
     at = as_time(target, target_time)
+    if splits is None:
+        splits = choose_splits((target, [key], "k"), (links, [member], "k"), (links, [group], "g"))
     partners = reach_counts(
         target, own.select("__key", "__group", "__f"),
         own.select("__group", F.col("__key").alias("__member"), F.col("__f").alias("__g")),

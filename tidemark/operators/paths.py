@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, days_between, number
 from tidemark.operators.history import first_seen, reach_counts
+from tidemark.operators.scan import choose_splits
 from tidemark.operators.temporal import AT, as_of_state, centre_of, effective, spread, window_start
 
 # Instants before and after any data, for rows whose own time is unknown.
@@ -54,6 +55,8 @@ def link_counts(
     """
     at = _instant(target, target_time, FAR_AHEAD)
     when = _instant(links, link_time, LONG_AGO)
+    if splits is None:
+        splits = choose_splits((target, keys, "k"), (links, link_keys, "k"))
     parts = [
         first_seen(links, link_keys, F.col(c), when).select(*link_keys, "__t", _one().alias(f"d_{i}"))
         for i, c in enumerate([second_key, *attributes])
@@ -104,6 +107,8 @@ def two_hop_features(
     joined rows are read as a running state, so the work does not depend on targets per key. Missing
     results are 0; std is the sample one and 0 below two values.
     """
+    if splits is None:
+        splits = choose_splits((target, [key], "k"), (bridge, [bridge_key], "k"))
     joined = bridge.select(
         F.col(bridge_key).alias("__k"), F.col(second_key).alias("__s"),
         _instant(bridge, bridge_time, LONG_AGO).alias("__t"),
@@ -192,6 +197,8 @@ def pivot_history(
     pivot is scanned once. Distinct values go through first-reach times. No limit on pivots per row.
     Outputs pivot_nunique, count, mean, sample std (0 below two values), max, nunique, days since last.
     """
+    if splits is None:
+        splits = choose_splits((target, [key], "k"), (base, [base_key], "k"), (second, [second_key], "p"))
     points = _points(target, key, target_time)
     links = first_seen(
         base.withColumnRenamed(base_key, "__key"), ["__key"], F.col(pivot), effective(as_time(base, base_time), cutoff)
@@ -257,6 +264,8 @@ def incoming_link_counts(
     splits: int | None = None,
 ) -> DataFrame:
     """References to the items a key owned by the cutoff: count, distinct sources, recent count."""
+    if splits is None:
+        splits = choose_splits((target, [key], "k"), (own, [own_key], "k"), (incoming, [incoming_item], "p"))
     points = _points(target, key, target_time)
     links = first_seen(
         own.withColumnRenamed(own_key, "__key"), ["__key"], F.col(own_item), effective(as_time(own, own_time), cutoff)

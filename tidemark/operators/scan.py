@@ -9,6 +9,7 @@ maxima or minima, so both levels combine exactly.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,12 +27,14 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df)
 
 
-def choose_splits(rows: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> int:
+def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK) -> int:
     """1 if every group fits one task, else the number of slices that keeps a slice within it.
 
-    One combined count; the driver receives a single row.
+    A side is (base table, key columns, key domain); sides of one domain add up per key. Pass base
+    tables, not derived ones: one column-pruned, map-side combined count, a single row to the driver.
     """
-    counts = rows.groupBy(*keys).count() if keys else rows.groupBy().count()
+    tagged = [d.select(F.lit(domain).alias("d"), F.xxhash64(*keys).alias("h")) for d, keys, domain in sides]
+    counts = reduce(lambda a, b: a.unionAll(b), tagged).groupBy("d", "h").count()
     largest, total = counts.agg(F.max("count"), F.sum("count")).first()
     if not largest or largest <= rows_per_task:
         return 1
@@ -120,7 +123,7 @@ def numbered(
     """Row number within ``keys`` by a total ``order`` (all ascending), sliced for large groups."""
     ready = df.withColumn("__ord", F.struct(*order)).withColumn(name, F.lit(1).cast("bigint"))
     if splits is None:
-        splits = choose_splits(df.select(*keys), keys)
+        splits = choose_splits((df, keys, "k"))
     return prefix_scan(ready, keys, "__ord", adds=[name], splits=splits).drop("__ord")
 
 

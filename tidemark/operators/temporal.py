@@ -62,7 +62,7 @@ def as_of_state(
     do rows with no visible child. Output: row_key, the cutoff ``__at`` and the states, one row per
     target row.
 
-    ``splits=None`` counts rows per key first: with no oversized key the whole operator is one
+    ``splits=None`` counts rows per key of both inputs first: with no oversized key the whole operator is one
     exchange on the key; otherwise the time axis is sliced and probes are answered once per distinct
     (key, instant).
     """
@@ -106,7 +106,7 @@ def as_of_state(
         known = known.select(*rows, *hidden, F.lit("").alias(PROBE), AT)
 
     if splits is None:
-        splits = choose_splits(events.select(*hidden).unionAll(known.select(*hidden)), hidden)
+        splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
 
     if splits <= 1:
         marked = events.withColumn("__side", F.lit(0)).unionByName(
