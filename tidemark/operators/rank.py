@@ -148,6 +148,7 @@ COST_RULES = [
     ("suffix", "__is_missing", 0.05), ("part", "days_since_last", 0.50), ("part", "std", 0.35), ("part", "mean", 0.30),
     ("part", "max", 0.30), ("part", "count", 0.20), ("prefix", "f_amb__", 0.20),
 ]
+STATISTIC_SUFFIX = "__(majconf|entropy|conflict_count|support_count)(__is_missing)?$"
 BLOCKS = "block string, reliability double, path_length double"
 BLOCK_WEIGHTS = [("aggregation", 1.0, 1.0), ("temporal_aggregation", 1.0, 1.0), ("ambiguity", 0.7, 1.0), ("target_original", 0.8, 0.0)]
 
@@ -168,7 +169,7 @@ def heuristic_scores(profile: DataFrame, aggregate_prefix: str, edges: DataFrame
     weights = F.broadcast(spark.createDataFrame(BLOCK_WEIGHTS, BLOCKS))
     rows = profile.withColumn("block", block).join(weights, "block")
     if edges is not None:
-        rows = rows.join(edges, F.regexp_replace(name, "__is_missing$", "").startswith(F.col("feature_stem")), "left").drop("feature_stem")
+        rows = rows.withColumn("feature_stem", F.regexp_replace(name, STATISTIC_SUFFIX, "")).join(edges, "feature_stem", "left").drop("feature_stem")
     else:
         rows = rows.withColumn("edge_weight", F.lit(None).cast("double")).withColumn("lhs_uniqueness", F.lit(None).cast("double"))
     amb = F.col("block") == "ambiguity"
