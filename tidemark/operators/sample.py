@@ -48,7 +48,7 @@ def stratified_sample(df: DataFrame, n: int, label: str, row_key: Sequence[str],
     """Per class ``max(1, round(n * share))`` rows, then trimmed to ``n``."""
     total = df.where(F.col(label).isNotNull()).agg(F.count("*").alias("n")).scalar()
     sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__c"))
-    quota = F.least(F.greatest(F.lit(1), F.round(F.lit(float(n)) * F.col("__c") / F.col("__total"))).cast("bigint"), F.col("__c"))
+    quota = F.least(F.greatest(F.lit(1), F.rint(F.lit(float(n)) * F.col("__c") / F.col("__total"))).cast("bigint"), F.col("__c"))
     quotas = sizes.withColumn("__total", total).select(label, quota.alias("quota"))
     return hash_sample(hash_quota(df.where(F.col(label).isNotNull()), row_key, seed, [label], quotas), n, row_key, seed)
 
