@@ -84,7 +84,8 @@ def require_seeds(paired: DataFrame, task: Sequence[str], seeds: Sequence[int])
     """Tasks whose seed set is not exactly ``seeds`` (should be empty)."""
     got = paired.groupBy(*task).agg(F.sort_array(F.collect_set(F.col("seed").cast("bigint"))).alias("seeds"))
     want = F.array(*[F.lit(s).cast("bigint") for s in sorted(seeds)])
-    return got.where(F.col("seeds") != want)
+    wrong = got.where(F.col("seeds") != want)
+    return wrong.withColumn("seeds", F.array_join(F.transform("seeds", lambda s: s.cast("string")), ","))
 
 
 def gate_report(paired: DataFrame, decisions: DataFrame, task: Sequence[str], metric: str, base: str, candidate: str, maximise: bool = True) -> DataFrame:
