@@ -59,41 +59,50 @@ def distinct_history(
     if splits is None:
         splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
     parts: list[DataFrame] = []
-    for name, column in items.items():
-        parts.append(
-            first_seen(clean, child_keys, F.col(column), F.col("__when")).select(
-                *child_keys, effective(F.col("__t"), cutoff).alias("__e"), _one().alias(f"{name}_distinct")
-            )
-        )
+
+    # distinct (key, item, instant), NULL items included: they still move the last instant
+    main = F.col(items[window_item]) if window_item is not None else F.lit(None).cast("string")
+    seen = clean.select(*child_keys, main.alias("__item"), F.col("__when").alias("__t")).distinct()
+    parts.append(seen.select(*child_keys, effective(F.col("__t"), cutoff).alias("__e"), F.col("__t").alias("__last")))
     if window_item is not None:
-        seen = (
-            clean.select(*child_keys, F.col(items[window_item]).alias("__item"), F.col("__when").alias("__t"))
-            .where(F.col("__item").isNotNull())
-            .distinct()
-            .withColumn("__prev", F.col("__t"))
-        )
         groups = [*child_keys, "__item"]
-        stays = prefix_scan(seen, groups, "__t", maxes=["__prev"], splits=splits, before_current=True)
-        for w in windows_days:
-            def leaves(t: Column) -> Column:
-                end = t + days_interval(w)
-                return end + tick() if lower == "inclusive" else end
+        stays = prefix_scan(
+            seen.where(F.col("__item").isNotNull()).withColumn("__prev", F.col("__t")), groups, "__t",
+            maxes=["__prev"], splits=splits, before_current=True,
+        )
+
+        def leaves(t: Column, w: int) -> Column:
+            end = t + days_interval(w)
+            return end + tick() if lower == "inclusive" else end
 
-            begin = F.greatest(effective(F.col("__t"), cutoff), leaves(F.col("__prev")))
-            end = leaves(F.col("__t"))
-            shift = F.explode(
-                F.array(
-                    F.struct(begin.alias("e"), _one().alias("x")),
-                    F.struct(end.alias("e"), _one(-1).alias("x")),
-                )
-            ).alias("s")
-            name = f"{window_item}_distinct_{w}d"
-            parts.append(
-                stays.where(begin < end).select(*child_keys, shift).select(
-                    *child_keys, F.col("s.e").alias("__e"), F.col("s.x").alias(name)
-                )
+        # one row per change: which counter, from when, up or down
+        enter = effective(F.col("__t"), cutoff)
+        steps = [F.struct(F.lit(-1).alias("w"), F.when(F.col("__prev").isNull(), enter).alias("e"), _one().alias("x"))]
+        for w in windows_days:
+            begin, end = F.greatest(enter, leaves(F.col("__prev"), w)), leaves(F.col("__t"), w)
+            steps.append(F.struct(F.lit(w).alias("w"), F.when(begin < end, begin).alias("e"), _one().alias("x")))
+            steps.append(F.struct(F.lit(w).alias("w"), F.when(begin < end, end).alias("e"), _one(-1).alias("x")))
+        moved = stays.select(*child_keys, F.explode(F.filter(F.array(*steps), lambda s: s["e"].isNotNull())).alias("s"))
+        parts.append(
+            moved.select(
+                *child_keys, F.col("s.e").alias("__e"),
+                F.when(F.col("s.w") == -1, F.col("s.x")).alias(f"{window_item}_distinct"),
+                *[F.when(F.col("s.w") == w, F.col("s.x")).alias(f"{window_item}_distinct_{w}d") for w in windows_days],
             )
-    parts.append(clean.select(*child_keys, effective(F.col("__when"), cutoff).alias("__e"), F.col("__when").alias("__last")))
+        )
+    others = {n: c for n, c in items.items() if n != window_item}
+    if others:
+        long = clean.select(
+            *child_keys, F.col("__when").alias("__t"),
+            F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).cast("string").alias("v")) for n, c in others.items()])).alias("s"),
+        ).where(F.col("s.v").isNotNull())
+        first = long.groupBy(*child_keys, "s.n", "s.v").agg(F.min("__t").alias("__t"))
+        parts.append(
+            first.select(
+                *child_keys, effective(F.col("__t"), cutoff).alias("__e"),
+                *[F.when(F.col("n") == n, _one()).alias(f"{n}_distinct") for n in others],
+            )
+        )
     counted = [f"{name}_distinct" for name in items]
     if window_item is not None:
         counted += [f"{window_item}_distinct_{w}d" for w in windows_days]
@@ -179,6 +188,7 @@ def reach_counts(
     name: str,
     splits: int,
     hot_pairs: int = 250_000,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct members reached through shared groups by each target row's instant.
 
@@ -189,15 +199,15 @@ def reach_counts(
     ``hot_pairs`` combinations is never paired: a target row reads the size of the union of its own hot
     groups (counted once per distinct set of hot groups, by instant), and members it also reaches
     through small groups are subtracted from the moment both ways exist. Exact for any mix.
+    ``sizes(__group, __pairs)`` may be passed when links and members are already unique.
     """
-    links = links.groupBy("__key", "__group").agg(F.min("__f").alias("__f"))
-    members = members.groupBy("__group", "__member").agg(F.min("__g").alias("__g"))
-    sizes = (
-        links.groupBy("__group").agg(F.count("*").alias("__a"))
-        .join(members.groupBy("__group").agg(F.count("*").alias("__b")), "__group")
-        .where(F.col("__a") * F.col("__b") > hot_pairs)
-        .select("__group")
-    )
+    if sizes is None:
+        links = links.groupBy("__key", "__group").agg(F.min("__f").alias("__f"))
+        members = members.groupBy("__group", "__member").agg(F.min("__g").alias("__g"))
+        sizes = links.groupBy("__group").agg(F.count("*").alias("__a")).join(
+            members.groupBy("__group").agg(F.count("*").alias("__b")), "__group"
+        ).select("__group", (F.col("__a") * F.col("__b")).alias("__pairs"))
+    sizes = sizes.where(F.col("__pairs") > hot_pairs).select("__group")
     has_hot = len(sizes.limit(1).collect()) > 0
     cold_links = links.join(sizes, "__group", "left_anti") if has_hot else links
     pairs = (
@@ -269,8 +279,9 @@ def co_occurrence(
     """
     when = effective(as_time(links, time), cutoff)
     rows = links.select(F.col(member).alias("__key"), F.col(group).alias("__group"), when.alias("__f")).dropna()
-    dated = rows.groupBy("__group").agg(F.min("__f").alias("__f"), F.count_distinct("__key").alias("__size"))
-    own = rows.select("__key", "__group").distinct().join(dated, "__group")
+    single = rows.groupBy("__key", "__group").agg(F.min("__f").alias("__own_f"))
+    dated = single.groupBy("__group").agg(F.min("__own_f").alias("__f"), F.count("*").alias("__size"))
+    own = single.select("__key", "__group").join(dated, "__group")
     at = as_time(target, target_time)
     if splits is None:
         splits = choose_splits((target, [key], "k"), (links, [member], "k"), (links, [group], "g"))
@@ -278,6 +289,7 @@ def co_occurrence(
         target, own.select("__key", "__group", "__f"),
         own.select("__group", F.col("__key").alias("__member"), F.col("__f").alias("__g")),
         row_key=row_key, key=key, at=at, name="partners", hot_pairs=hot_pairs, splits=splits,
+        sizes=dated.select("__group", (F.col("__size") * F.col("__size")).alias("__pairs")),
     )
     sizes = as_of_state(
         target, own, row_key=row_key, keys=[key], at=at, child_keys=["__key"], child_at=F.col("__f"),

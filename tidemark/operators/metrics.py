@@ -30,17 +30,22 @@ def ranking_aggregates(ge_pos: Column, ge_neg: Column) -> dict[str, Column]:
     return {"roc_auc": F.when((p > 0) & (n > 0), auc), "average_precision": F.when(p > 0, ap)}
 
 
-def with_counts_above(counts: DataFrame, by: Sequence[str], splits: int = 64) -> DataFrame:
-    """Add counts at or above each score; the score order is cut into slices, so groups may be huge."""
+def with_counts_above(counts: DataFrame, by: Sequence[str], splits: int = 64, raw: DataFrame | None = None) -> DataFrame:
+    """Add counts at or above each score; the score order is cut into slices, so groups may be huge.
+
+    ``raw`` holds the scores ``__s`` before counting and is only used to place the slice boundaries.
+    """
     ready = counts.select("*", (-F.col("__s")).alias("__o"), F.col("pos").alias("ge_pos"), F.col("neg").alias("ge_neg"))
-    return prefix_scan(ready, list(by), "__o", adds=["ge_pos", "ge_neg"], splits=splits).drop("__o")
+    marks = raw.select(*by, (-F.col("__s")).alias("__o")) if raw is not None else None
+    return prefix_scan(ready, list(by), "__o", adds=["ge_pos", "ge_neg"], splits=splits, marks_from=marks).drop("__o")
 
 
 def binary_metrics(
     df: DataFrame, y: str, score: str, by: Sequence[str] = (), *, threshold: float = 0.5, eps: float = EPS, splits: int = 64
 ) -> DataFrame:
     """Rows, accuracy, ROC-AUC, average precision and clipped log-loss per group, in one pass over scores."""
-    above = with_counts_above(score_counts(df, y, score, by), by, splits)
+    raw = df.where(F.col(score).isNotNull()).select(*by, F.col(score).cast("double").alias("__s"))
+    above = with_counts_above(score_counts(df, y, score, by), by, splits, raw)
     p = F.least(F.greatest(F.col("__s"), F.lit(eps)), F.lit(1 - eps))
     pos, neg = F.col("pos"), F.col("neg")
     n = F.sum(pos + neg)

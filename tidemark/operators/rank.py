@@ -78,7 +78,7 @@ def supervised_scores(df: DataFrame, features: Sequence[str], label: str, *, bin
     counts = long.groupBy("feature", "__s").agg(
         F.count_if(F.col("__y") == 1).alias("pos"), F.count_if(F.col("__y") != 1).alias("neg")
     )
-    above = with_counts_above(counts, ["feature"], splits)
+    above = with_counts_above(counts, ["feature"], splits, long.select("feature", "__s"))
     size = rows.agg(F.count("*").alias("n")).scalar()
     here = F.col("pos") + F.col("neg")
     above = above.withColumn("__n", size)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import gaussian, hash_hex, hash_int, key_text
 from tidemark.operators.scan import numbered
 
-SMALL_SAMPLE = 100_000
+SMALL_SAMPLE = 1_000  # a top-k this small merges cheaply even from very many tasks
 
 
 def hash_quota(df: DataFrame, row_key: Sequence[str], seed: int, by: Sequence[str], quotas: DataFrame) -> DataFrame:

@@ -41,17 +41,21 @@ def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: i
     return int(min(MOST_SPLITS, max(2, -(-total // rows_per_task))))
 
 
-def with_slice(rows: DataFrame, order: str, spread_by: Sequence[str], splits: int) -> DataFrame:
+def with_slice(rows: DataFrame, order: str, spread_by: Sequence[str], splits: int, marks_from: DataFrame | None = None) -> DataFrame:
     """Add a slice number that is monotone in ``order`` and holds about 1/splits of all rows.
 
     Boundaries are ``splits - 1`` order values of rows drawn by hash, so they work for any orderable
-    type. They only decide where a group is cut, never a result. Lookup is two-step, root(splits) each.
+    type. They only decide where a group is cut, never a result. ``marks_from`` is a cheaper table to
+    draw them from (columns ``spread_by`` and ``order``). Lookup is two-step, root(splits) each.
     """
     step = max(2, int(splits**0.5))
+    drawn = (rows if marks_from is None else marks_from).select(
+        F.col(order).alias("v"), F.xxhash64(*spread_by).alias("h")
+    ).where(F.col("v").isNotNull())
+    if splits > 1024:  # only measured on tables of splits * ROWS_PER_TASK rows: thin out before the top-k
+        drawn = drawn.where(F.pmod("h", F.lit(ROWS_PER_TASK // 50)) == 0)
     marks = (
-        rows.select(F.col(order).alias("v"), F.xxhash64(*spread_by).alias("h"))
-        .where(F.col("v").isNotNull())
-        .orderBy("h", "v")
+        drawn.orderBy("h", "v")
         .limit(splits - 1)
         .agg(F.sort_array(F.collect_list("v")).alias("fine"))
         .select(
@@ -77,6 +81,7 @@ def prefix_scan(
     *,
     splits: int = 1,
     before_current: bool = False,
+    marks_from: DataFrame | None = None,
 ) -> DataFrame:
     """Replace each state column by its running value in ``order`` within ``keys`` (keys not null).
 
@@ -93,7 +98,7 @@ def prefix_scan(
         w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, last)
         return rows.select(*plain, *[pick[c](c).over(w).alias(c) for c in states])
 
-    cut = with_slice(rows, order, [*keys, order], splits)
+    cut = with_slice(rows, order, [*keys, order], splits, marks_from)
     w_in = W.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(W.unboundedPreceding, last)
     inner = cut.select(*plain, SLICE, *[pick[c](c).over(w_in).alias(c) for c in states])
     w_up = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)

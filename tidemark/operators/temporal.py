@@ -122,7 +122,8 @@ def as_of_state(
         )
         merged = instants.groupBy(*hidden, AT).agg(*[pick[c](c).alias(c) for c in states])
         running = prefix_scan(
-            merged, hidden, AT, adds=list(adds), maxes=list(maxes), mins=list(mins), splits=splits
+            merged, hidden, AT, adds=list(adds), maxes=list(maxes), mins=list(mins), splits=splits,
+            marks_from=events.select(*hidden, AT),
         )
         answered = known.join(running, [*hidden, AT], "left")
 
