@@ -159,21 +159,21 @@ def category_state(
         splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
     steps = prefix_scan(steps, groups, "__t", adds=["__m"], splits=splits)
     gained = xlogx(F.col("__m")) - xlogx(F.col("__m") - F.col("__k"))
-    events = steps.select(*child_keys, "__t", F.col("__k").alias("k"), F.col("__m").alias("m"), gained.alias("g")).unionByName(
-        rows.select(*child_keys, "__t", F.struct(F.col("__t").alias("t"), *tiebreak, F.col("__c").alias("__cat")).alias("l")),
+    events = steps.select(*child_keys, "__t", F.col("__k").alias("__n"), F.col("__m").alias("__top"), gained.alias("__g")).unionByName(
+        rows.select(*child_keys, "__t", F.struct(F.col("__t").alias("t"), *tiebreak, F.col("__c").alias("__cat")).alias("__l")),
         allowMissingColumns=True,
     )
     state = as_of_state(
         target, events, row_key=row_key, keys=keys, at=as_time(target, target_time), child_keys=child_keys,
-        child_at=effective(F.col("__t"), cutoff), adds={"k": F.col("k"), "g": F.col("g")},
-        maxes={"m": F.col("m"), "l": F.col("l")}, splits=splits,
+        child_at=effective(F.col("__t"), cutoff), adds={"__n": F.col("__n"), "__g": F.col("__g")},
+        maxes={"__top": F.col("__top"), "__l": F.col("__l")}, splits=splits,
     )
-    total = F.col("k")
+    total = F.col("__n")
     return state.select(
         *row_key,
-        F.coalesce(F.col("m") / total, F.lit(0.0)).alias(f"{prefix}_majority_confidence"),
-        F.coalesce(F.greatest(F.ln(total) - F.col("g") / total, F.lit(0.0)), F.lit(0.0)).alias(f"{prefix}_entropy"),
-        F.col("l.__cat").alias(f"{prefix}_latest"),
+        F.coalesce(F.col("__top") / total, F.lit(0.0)).alias(f"{prefix}_majority_confidence"),
+        F.coalesce(F.greatest(F.ln(total) - F.col("__g") / total, F.lit(0.0)), F.lit(0.0)).alias(f"{prefix}_entropy"),
+        F.col("__l.__cat").alias(f"{prefix}_latest"),
     )
 
 

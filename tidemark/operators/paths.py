@@ -58,27 +58,27 @@ def link_counts(
     if splits is None:
         splits = choose_splits((target, keys, "k"), (links, link_keys, "k"))
     parts = [
-        first_seen(links, link_keys, F.col(c), when).select(*link_keys, "__t", _one().alias(f"d_{i}"))
+        first_seen(links, link_keys, F.col(c), when).select(*link_keys, "__t", _one().alias(f"__d_{i}"))
         for i, c in enumerate([second_key, *attributes])
     ]
     if link_time is not None:
         dated = links.where(F.col(link_time).isNotNull())
-        parts.append(dated.select(*link_keys, when.alias("__t"), when.alias("last")))
+        parts.append(dated.select(*link_keys, when.alias("__t"), when.alias("__last")))
     state = as_of_state(
         target, _union(parts), row_key=row_key, keys=keys, at=at, child_keys=link_keys, child_at=F.col("__t"),
-        adds={f"d_{i}": F.col(f"d_{i}") for i in range(1 + len(attributes))},
-        maxes={"last": F.col("last")} if link_time is not None else {}, splits=splits,
+        adds={f"__d_{i}": F.col(f"__d_{i}") for i in range(1 + len(attributes))},
+        maxes={"__last": F.col("__last")} if link_time is not None else {}, splits=splits,
     )
-    out = [F.coalesce(F.col("d_0"), F.lit(0).cast("bigint")).alias(f"{prefix}_count")]
+    out = [F.coalesce(F.col("__d_0"), F.lit(0).cast("bigint")).alias(f"{prefix}_count")]
     if link_time is not None and target_time is not None:
         known = F.col(AT) < F.lit(FAR_AHEAD).cast("timestamp_ntz")
-        days = F.when(known, days_between(F.col("last"), F.col(AT)))
+        days = F.when(known, days_between(F.col("__last"), F.col(AT)))
         out += [
             F.greatest(F.coalesce(days, F.lit(0.0)), F.lit(0.0)).alias(f"{prefix}_days_since_last"),
             days.isNull().cast("int").alias(f"{prefix}_days_since_last__is_missing"),
         ]
     out += [
-        F.coalesce(F.col(f"d_{i + 1}"), F.lit(0).cast("bigint")).alias(f"{prefix}_{c.lower()}_nunique")
+        F.coalesce(F.col(f"__d_{i + 1}"), F.lit(0).cast("bigint")).alias(f"{prefix}_{c.lower()}_nunique")
         for i, c in enumerate(attributes)
     ]
     return state.select(*row_key, *out)

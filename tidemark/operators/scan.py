@@ -65,10 +65,10 @@ def with_slice(rows: DataFrame, order: str, spread_by: Sequence[str], splits: in
             ).alias("m")
         )
     )
-    block = F.size(F.filter(F.col("__m.coarse"), lambda p: p <= F.col(order)))
-    inside = F.size(F.filter(F.slice(F.col("__m.fine"), (block - 1) * step + 1, step), lambda p: p <= F.col(order)))
+    block = F.size(F.filter(F.col("__slice_marks.coarse"), lambda p: p <= F.col(order)))
+    inside = F.size(F.filter(F.slice(F.col("__slice_marks.fine"), (block - 1) * step + 1, step), lambda p: p <= F.col(order)))
     place = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
-    return rows.withColumn("__m", marks.scalar()).withColumn(SLICE, place).drop("__m")
+    return rows.withColumn("__slice_marks", marks.scalar()).withColumn(SLICE, place).drop("__slice_marks")
 
 
 def prefix_scan(

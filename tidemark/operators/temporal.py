@@ -71,6 +71,8 @@ def as_of_state(
     probes = dict(probes or {})
     states = [*adds, *maxes, *mins]
     exprs = {**adds, **maxes, **mins}
+    if set(states) & set(row_key):
+        raise ValueError(f"row key columns {sorted(set(states) & set(row_key))} clash with state names")
     pick = {**{c: F.sum for c in adds}, **{c: F.max for c in maxes}, **{c: F.min for c in mins}}
     hidden = [f"__k{i}" for i in range(len(keys))]
     rows = [f"__r{i}" for i in range(len(row_key))]
