@@ -138,13 +138,13 @@ def test_co_occurrence_with_hot_groups_equals_brute_force(spark, hot):
 
 
 @pytest.mark.parametrize("splits", [1, 4])
-@pytest.mark.parametrize("hot", [10**9, 10])
-def test_pivot_history_hot_and_sliced(spark, skewed, splits, hot):
+@pytest.mark.parametrize(("hot", "points"), [(10**9, 10**9), (10, 10**9), (10**9, 5), (10, 5)])
+def test_pivot_history_hot_and_sliced(spark, skewed, splits, hot, points):
     small = skewed.where("row < 600")
     target = small.where("row % 5 = 0").select("row", "k", "t")
     out = paths.pivot_history(
         target, small, small, row_key=["row"], key="k", target_time="t", base_key="k", base_time="t", pivot="p",
-        second_key="p", second_time="t", value="v", hot_pairs=hot, splits=splits,
+        second_key="p", second_time="t", value="v", hot_pairs=hot, hot_points=points, splits=splits,
     )
     got = {r["row"]: r for r in out.collect()}
     data = [r.asDict() for r in small.collect()]
@@ -162,6 +162,24 @@ def test_pivot_history_hot_and_sliced(spark, skewed, splits, hot):
             assert g["pivot_mean"] == pytest.approx(sum(vals) / len(vals))
 
 
+@pytest.mark.parametrize(("hot", "points", "splits"), [(10**9, 10**9, 1), (10, 5, 1), (10, 5, 4)])
+def test_incoming_links_equal_brute_force(spark, skewed, hot, points, splits):
+    small = skewed.where("row < 600")
+    target = small.where("row % 5 = 0").select("row", "k", "t")
+    out = paths.incoming_link_counts(
+        target, small, small, row_key=["row"], key="k", target_time="t", own_key="k", own_item="p", own_time="t", incoming_item="p",
+        incoming_source="c", incoming_time="t", window_days=9, hot_pairs=hot, hot_points=points, splits=splits,
+    )
+    got = {r["row"]: r for r in out.collect()}
+    data = [r.asDict() for r in small.collect()]
+    for r in target.collect():
+        seen = [x for x in data if r["t"] and r["k"] is not None and x["k"] == r["k"] and x["t"] and x["t"] < r["t"]]
+        refs = [x for x in data if x["p"] in {y["p"] for y in seen} and x["t"] and x["t"] < r["t"]]
+        assert got[r["row"]]["incoming_count"] == len(refs)
+        assert got[r["row"]]["incoming_sources"] == len({x["c"] for x in refs})
+        assert got[r["row"]]["incoming_count_9d"] == len([x for x in refs if x["t"] >= r["t"] - dt.timedelta(days=9)])
+
+
 def test_future_rows_never_change_a_feature(spark, skewed):
     """Mutation: rewriting everything after a row's cutoff leaves the row's features alone."""
     cut = at(30)

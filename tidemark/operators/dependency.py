@@ -101,25 +101,17 @@ def pair_count(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
-def pair_statistics(
-    df: DataFrame,
-    columns: Sequence[str],
-    *,
-    pairs: Sequence[tuple[str, str]] | None = None,
-    exclude: Sequence[str] = (),
-) -> DataFrame:
-    """Dependency statistics of every ordered pair of ``columns`` over rows where both are present.
+def _pair_table(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]], weights: dict[str, Column]) -> DataFrame:
+    """Sums per ordered column pair, from one expansion of the rows.
 
-    One job for all pairs: value pairs are counted once per unordered pair, rolled up per left value and
-    then per pair. The entropy of the right column is the left-side sum of the reversed pair, and
-    H(right | left) = (sum n_x ln n_x - sum n_xa ln n_xa) / n.
+    Value pairs are counted once per unordered pair, rolled up per left value and then per pair.
+    ``weights`` are per-row replicate weights summed beside the plain count.
     """
-    columns = [c for c in columns if c not in set(exclude)]
-    require_columns(df, columns)
-    cells = _both_ways(_cells(df, columns), columns)
+    cells = _both_ways(_cells(df, columns, [F.sum(e).alias(w) for w, e in weights.items()]), columns)
     per_value = cells.groupBy(*PAIR, "x").agg(
         F.sum("n").alias("n_x"), F.max("n").alias("top"), F.count("*").alias("n_a"),
         F.sum(xlogx(F.col("n"))).alias("xl"), F.sum(pair_count(F.col("n"))).alias("same"),
+        *[F.sum(w).alias(w) for w in weights], *[F.max(w).alias(f"top_{w}") for w in weights],
     )
     rolled = per_value.groupBy(*PAIR).agg(
         F.sum("n_x").alias("n"), F.sum("top").alias("kept"),
@@ -127,21 +119,40 @@ def pair_statistics(
         F.sum(pair_count(F.col("n_x"))).alias("lhs_pairs"), F.sum("same").alias("same_pairs"),
         F.sum(xlogx(F.col("n_x"))).alias("x_log"), F.sum("xl").alias("xa_log"),
         F.count("*").alias("n_lhs"), F.sum(F.when(F.col("n_x") >= 2, F.col("n_x")).otherwise(0)).alias("repeated"),
+        *[F.sum(w).alias(f"n_{w}") for w in weights], *[F.sum(f"top_{w}").alias(f"kept_{w}") for w in weights],
+        *[F.sum(F.when(F.col(w) >= 2, F.col(w)).otherwise(0)).alias(f"rep_{w}") for w in weights],
+        *[F.sum(F.when(F.col(w) >= 1, 1).otherwise(0)).alias(f"uni_{w}") for w in weights],
     )
-    width = len(columns) * (len(columns) - 1)
-    other = rolled.select(
-        F.col("lhs").alias("rhs"), F.col("rhs").alias("lhs"), F.col("x_log").alias("a_log"), F.col("n_lhs").alias("n_rhs")
-    )
-    wanted = df.sparkSession.createDataFrame(
-        list(pairs) if pairs is not None else [(a, b) for a in columns for b in columns if a != b], "lhs string, rhs string"
+    # the two directions of a pair sit side by side: the other row's left side is this row's right side
+    w = W.partitionBy(F.least("lhs", "rhs"), F.greatest("lhs", "rhs")).orderBy("lhs")
+    turned = rolled.select(
+        "*",
+        F.coalesce(F.lag("x_log").over(w), F.lead("x_log").over(w)).alias("a_log"),
+        F.coalesce(F.lag("n_lhs").over(w), F.lead("n_lhs").over(w)).alias("n_rhs"),
     )
+    wanted = df.sparkSession.createDataFrame(list(pairs), "lhs string, rhs string")
     total = df.agg(F.count("*").alias("n_total")).scalar()
-    joined = (
-        bounded(wanted, width)
-        .join(rolled, PAIR, "left")
-        .join(bounded(other, width), PAIR, "left")
-        .withColumn("n_total", total)
-    )
+    return bounded(wanted, len(pairs)).join(turned, PAIR, "left").withColumn("n_total", total)
+
+
+def pair_statistics(
+    df: DataFrame,
+    columns: Sequence[str],
+    *,
+    pairs: Sequence[tuple[str, str]] | None = None,
+    exclude: Sequence[str] = (),
+    weights: dict[str, Column] | None = None,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Dependency statistics of every ordered pair of ``columns`` over rows where both are present.
+
+    The entropy of the right column is the left-side sum of the reversed pair, and
+    H(right | left) = (sum n_x ln n_x - sum n_xa ln n_xa) / n. ``keep`` passes weighted sums through.
+    """
+    columns = [c for c in columns if c not in set(exclude)]
+    require_columns(df, columns)
+    chosen = list(pairs) if pairs is not None else [(a, b) for a in columns for b in columns if a != b]
+    joined = _pair_table(df, columns, chosen, weights or {})
     n = F.col("n")
     h_a = F.greatest(F.ln(n) - F.col("a_log") / n, F.lit(0.0))
     h_a_x = F.greatest((F.col("x_log") - F.col("xa_log")) / n, F.lit(0.0))
@@ -162,6 +173,7 @@ def pair_statistics(
         F.coalesce("n_lhs", F.lit(0)).alias("n_lhs_values"),
         F.coalesce("n_rhs", F.lit(0)).alias("n_rhs_values"),
         F.coalesce(F.abs(F.col("kept") / n - 1) <= 1e-12, F.lit(False)).alias("exact_fd"),
+        *keep,
     )
     return stats.withColumn(
         "heuristic_score",
@@ -190,18 +202,7 @@ def calibration_statistics(
         return sum((F.when(h >= int(s * 4294967296), 1).otherwise(0) for s in steps), F.lit(0))
 
     base = df.withColumn("__id", F.concat_ws("~", *[F.col(k).cast("string") for k in row_key]))
-    extra = [F.sum(weight(b)).alias(f"w{b}") for b in range(replicates)]
-    cells = _both_ways(_cells(base, columns, extra), columns)
     names = [f"w{b}" for b in range(replicates)]
-    per_value = cells.groupBy(*PAIR, "x").agg(
-        *[F.sum(w).alias(w) for w in names], *[F.max(w).alias(f"top_{w}") for w in names]
-    )
-    rolled = per_value.groupBy(*PAIR).agg(
-        *[F.sum(w).alias(f"n_{w}") for w in names],
-        *[F.sum(f"top_{w}").alias(f"kept_{w}") for w in names],
-        *[F.sum(F.when(F.col(w) >= 2, F.col(w)).otherwise(0)).alias(f"rep_{w}") for w in names],
-        *[F.sum(F.when(F.col(w) >= 1, 1).otherwise(0)).alias(f"uni_{w}") for w in names],
-    )
 
     def stable(w: str) -> Column:
         n = F.col(f"n_{w}")
@@ -209,8 +210,7 @@ def calibration_statistics(
         return F.when((n > 0) & ok, 1).otherwise(0)
 
     share = sum((stable(w) for w in names), F.lit(0)) / F.lit(float(max(replicates, 1)))
-    plain = pair_statistics(df, columns)
-    joined = plain.join(bounded(rolled.select(*PAIR, share.alias("share")), len(columns) ** 2), PAIR, "left")
+    joined = pair_statistics(base, columns, weights={w: weight(b) for b, w in enumerate(names)}, keep=[share.alias("share")])
     few = F.col("n_valid") <= 1
 
     def safe(e: Column, default: float) -> Column:

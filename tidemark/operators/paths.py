@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import as_time, days_between, number
+from tidemark.functions.columns import as_time, days_between, days_interval, number, tick
 from tidemark.operators.history import first_seen, reach_counts
 from tidemark.operators.scan import choose_splits
-from tidemark.operators.temporal import AT, as_of_state, centre_of, effective, spread, window_start
+from tidemark.operators.temporal import AT, as_of_state, centre_of, effective, spread
 
 # Instants before and after any data, for rows whose own time is unknown.
 LONG_AGO = "0001-01-02 00:00:00"
@@ -172,6 +172,55 @@ def _answer(target: DataFrame, row_key: Sequence[str], key: str, target_time: st
     return asked.join(answers, ["__key", "__when"], "left")
 
 
+def _through_links(
+    points: DataFrame,
+    links: DataFrame,
+    events: DataFrame,
+    adds: Sequence[str],
+    maxes: Sequence[str],
+    splits: int,
+    hot_points: int,
+) -> DataFrame:
+    """Combined state of all groups a point's key has joined by then.
+
+    ``points(__key, __when)`` are distinct, ``links(__key, __group, __f)`` unique, and ``events(__group,
+    __at, states)`` are one row per group and instant. A link is answered either by looking the group's
+    running state up at each point of the key, or, when the key has more than ``hot_points`` points and
+    more points than the group has events, by handing the group's events to the key from the link time
+    on. Either way the cost of a link is the smaller of the two counts, so neither a hot key nor a hot
+    group multiplies out.
+    """
+    states = [*adds, *maxes]
+    combine = {**{c: F.sum for c in adds}, **{c: F.max for c in maxes}}
+    asked = points.groupBy("__key").agg(F.count("*").alias("__np"))
+    busiest = asked.agg(F.max("__np")).first()[0] or 0
+    looked = links
+    if busiest > hot_points:
+        sizes = events.groupBy("__group").agg(F.count("*").alias("__ne"))
+        routed = links.join(asked.where(F.col("__np") > hot_points), "__key", "left").join(sizes, "__group")
+        hand_over = F.coalesce(F.col("__np") > F.col("__ne"), F.lit(False))
+        looked = routed.where(~hand_over).select("__key", "__group", "__f")
+        handed = (
+            routed.where(hand_over).select("__key", "__group", "__f")
+            .join(events, "__group")
+            .groupBy("__key", F.greatest("__at", "__f").alias("__at"))
+            .agg(*[combine[c](c).alias(c) for c in states])
+        )
+    paired = points.join(looked, "__key").where(F.col("__f") <= F.col("__when")).select("__key", "__when", "__group")
+    found = as_of_state(
+        paired, events, row_key=["__key", "__when", "__group"], keys=["__group"], at=F.col("__when"), child_keys=["__group"],
+        child_at=F.col("__at"), adds={c: F.col(c) for c in adds}, maxes={c: F.col(c) for c in maxes}, splits=splits,
+    ).select("__key", "__when", *states)
+    if busiest > hot_points:
+        found = found.unionByName(
+            as_of_state(
+                points, handed, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"],
+                child_at=F.col("__at"), adds={c: F.col(c) for c in adds}, maxes={c: F.col(c) for c in maxes}, splits=splits,
+            ).select("__key", "__when", *states)
+        )
+    return found.groupBy("__key", "__when").agg(*[combine[c](c).alias(c) for c in states])
+
+
 def pivot_history(
     target: DataFrame,
     base: DataFrame,
@@ -189,44 +238,44 @@ def pivot_history(
     prefix: str = "pivot",
     cutoff: str = "strict",
     hot_pairs: int = 250_000,
+    hot_points: int = 1_000,
     splits: int | None = None,
 ) -> DataFrame:
     """Target -> pivots of its visible base rows -> all visible rows of those pivots.
 
-    Every distinct (key, cutoff, pivot) reads the pivot's running state instead of its rows, so a popular
-    pivot is scanned once. Distinct values go through first-reach times. No limit on pivots per row.
-    Outputs pivot_nunique, count, mean, sample std (0 below two values), max, nunique, days since last.
+    Every (key, cutoff, pivot) reads the pivot's running state instead of its rows, so a popular pivot is
+    scanned once. Distinct values go through first-reach times. No limit on pivots per row. Outputs
+    pivot_nunique, count, mean, sample std (0 below two values), max, nunique, days since last.
     """
     if splits is None:
         splits = choose_splits((target, [key], "k"), (base, [base_key], "k"), (second, [second_key], "p"))
     points = _points(target, key, target_time)
     links = first_seen(
         base.withColumnRenamed(base_key, "__key"), ["__key"], F.col(pivot), effective(as_time(base, base_time), cutoff)
-    ).select("__key", F.col("__item").alias("__pivot"), F.col("__t").alias("__f"))
-    paired = points.join(links, "__key").where(F.col("__f") <= F.col("__when")).select("__key", "__when", "__pivot")
+    ).select("__key", F.col("__item").alias("__group"), F.col("__t").alias("__f"))
     v = number(value)
     rows = second.where(F.col(second_time).isNotNull()).select(
-        F.col(second_key).alias("__pivot"), as_time(second, second_time).alias("__t"), v.alias("__v")
-    ).where(F.col("__pivot").isNotNull())
+        F.col(second_key).alias("__group"), as_time(second, second_time).alias("__t"), v.alias("__v")
+    ).where(F.col("__group").isNotNull())
     rows = rows.withColumn("__d", F.col("__v") - centre_of(second, v))
-    state = as_of_state(
-        paired, rows, row_key=["__key", "__when", "__pivot"], keys=["__pivot"], at=F.col("__when"),
-        child_keys=["__pivot"], child_at=effective(F.col("__t"), cutoff),
-        adds={"n": F.col("__v").isNotNull().cast("bigint"), "s": F.col("__v"), "d": F.col("__d"), "q": F.col("__d") * F.col("__d")},
-        maxes={"mx": F.col("__v"), "last": F.col("__t")}, splits=splits,
-    )
-    per_point = state.groupBy("__key", "__when").agg(
-        F.count("*").alias("pivots"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("d").alias("d"),
-        F.sum("q").alias("q"), F.max("mx").alias("mx"), F.max("last").alias("last"),
+    events = rows.groupBy("__group", effective(F.col("__t"), cutoff).alias("__at")).agg(
+        F.count("__v").alias("n"), F.sum("__v").alias("s"), F.sum("__d").alias("d"),
+        F.sum(F.col("__d") * F.col("__d")).alias("q"), F.max("__v").alias("mx"), F.max("__t").alias("last"),
     )
+    per_point = _through_links(points, links, events, ["n", "s", "d", "q"], ["mx", "last"], splits, hot_points)
+    pivots = as_of_state(
+        points, links, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"],
+        child_at=F.col("__f"), adds={"pivots": _one()}, splits=splits,
+    ).select("__key", "__when", "pivots")
     valued = rows.where(F.col("__v").isNotNull()).select(
-        F.col("__pivot").alias("__group"), F.col("__v").alias("__member"), effective(F.col("__t"), cutoff).alias("__g")
+        "__group", F.col("__v").alias("__member"), effective(F.col("__t"), cutoff).alias("__g")
     )
     distinct = reach_counts(
-        points, links.withColumnRenamed("__pivot", "__group"), valued, row_key=["__key", "__when"], key="__key",
+        points, links, valued, row_key=["__key", "__when"], key="__key",
         at=F.col("__when"), name="values", hot_pairs=hot_pairs, splits=splits,
     )
-    out = _answer(target, row_key, key, target_time, per_point.join(distinct, ["__key", "__when"]))
+    answers = pivots.join(per_point, ["__key", "__when"], "left").join(distinct, ["__key", "__when"])
+    out = _answer(target, row_key, key, target_time, answers)
     n = F.coalesce(F.col("n"), F.lit(0).cast("bigint"))
     zero = F.lit(0).cast("bigint")
     seen = F.col("last").isNotNull()
@@ -261,34 +310,42 @@ def incoming_link_counts(
     cutoff: str = "strict",
     lower: str = "inclusive",
     hot_pairs: int = 250_000,
+    hot_points: int = 1_000,
     splits: int | None = None,
 ) -> DataFrame:
-    """References to the items a key owned by the cutoff: count, distinct sources, recent count."""
+    """References to the items a key owned by the cutoff: count, distinct sources, recent count.
+
+    A reference enters the recent count when it becomes visible and leaves once the window has passed it.
+    """
     if splits is None:
         splits = choose_splits((target, [key], "k"), (own, [own_key], "k"), (incoming, [incoming_item], "p"))
     points = _points(target, key, target_time)
     links = first_seen(
         own.withColumnRenamed(own_key, "__key"), ["__key"], F.col(own_item), effective(as_time(own, own_time), cutoff)
     ).select("__key", F.col("__item").alias("__group"), F.col("__t").alias("__f"))
-    paired = points.join(links, "__key").where(F.col("__f") <= F.col("__when")).select("__key", "__when", "__group")
+    time = as_time(incoming, incoming_time)
     refs = incoming.select(
-        F.col(incoming_item).alias("__group"), F.col(incoming_source).alias("__member"),
-        effective(as_time(incoming, incoming_time), cutoff).alias("__g"),
+        F.col(incoming_item).alias("__group"), F.col(incoming_source).alias("__member"), time.alias("__t"),
+        effective(time, cutoff).alias("__g"),
     ).where(F.col("__group").isNotNull() & F.col("__g").isNotNull())
-    state = as_of_state(
-        paired, refs, row_key=["__key", "__when", "__group"], keys=["__group"], at=F.col("__when"),
-        child_keys=["__group"], child_at=F.col("__g"), adds={"n": _one()},
-        probes={"w": window_start(F.col("__when"), window_days, cutoff, lower)}, splits=splits,
+    leave = F.col("__t") + days_interval(window_days)
+    leave = leave + tick() if lower == "inclusive" else leave
+    steps = F.explode(
+        F.array(
+            F.struct(F.col("__g").alias("at"), _one().alias("n"), _one().alias("r")),
+            F.struct(leave.alias("at"), F.lit(0).cast("bigint").alias("n"), (-_one()).alias("r")),
+        )
     )
-    zero = F.lit(0).cast("bigint")
-    per_point = state.groupBy("__key", "__when").agg(
-        F.sum("n").alias("n"), F.sum(F.coalesce("n", zero) - F.coalesce("w__n", zero)).alias("recent")
+    events = refs.select("__group", steps.alias("e")).groupBy("__group", F.col("e.at").alias("__at")).agg(
+        F.sum("e.n").alias("n"), F.sum("e.r").alias("recent")
     )
+    per_point = _through_links(points, links, events, ["n", "recent"], [], splits, hot_points)
     sources = reach_counts(
-        points, links, refs.where(F.col("__member").isNotNull()), row_key=["__key", "__when"], key="__key",
-        at=F.col("__when"), name="sources", hot_pairs=hot_pairs, splits=splits,
+        points, links, refs.where(F.col("__member").isNotNull()).select("__group", "__member", "__g"),
+        row_key=["__key", "__when"], key="__key", at=F.col("__when"), name="sources", hot_pairs=hot_pairs, splits=splits,
     )
-    out = _answer(target, row_key, key, target_time, per_point.join(sources, ["__key", "__when"]))
+    out = _answer(target, row_key, key, target_time, sources.join(per_point, ["__key", "__when"], "left"))
+    zero = F.lit(0).cast("bigint")
     return out.select(
         *row_key,
         F.coalesce("n", zero).alias(f"{prefix}_count"),
