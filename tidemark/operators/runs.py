@@ -51,6 +51,12 @@ def typed_runs(df: DataFrame) -> DataFrame:
     return out.withColumn("status", status)
 
 
+def only_tasks(runs: DataFrame, wanted: DataFrame, task: Sequence[str], attributes: DataFrame | None = None) -> DataFrame:
+    """Runs of the wanted (dataset, task) pairs, with task attributes attached if given."""
+    kept = runs.join(wanted.select(*task).distinct(), list(task), "left_semi")
+    return kept if attributes is None else kept.join(attributes, list(task), "left")
+
+
 def failure_log(runs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return runs.where(F.col("status") != "ok").select(*columns)
 

@@ -104,6 +104,13 @@ def run_failures(spark, sf):
     return runs.failure_log(run_union_typed(spark, sf), [*TASK, "variant", "seed", "status", "failure_reason"])
 
 
+@query("run_only_tasks", f"""WITH {RUNS_SQL} SELECT dataset, task, variant, seed, roc_auc, 'harm' AS taxonomy FROM runs WHERE task = 'toxic'""")
+def run_only_tasks(spark, sf):
+    wanted = spark.createDataFrame([("docs", "toxic"), ("docs", "absent")], "dataset string, task string")
+    kinds = spark.createDataFrame([("docs", "toxic", "harm"), ("docs", "quality", "use")], "dataset string, task string, taxonomy string")
+    return runs.only_tasks(run_table(spark, sf).select(*TASK, "variant", "seed", "roc_auc"), wanted, TASK, kinds)
+
+
 RAW = {"target_only": "Target_Only", "dfs": "regen_dfs_alone", "compiled": "x", "compiled_plus": ""}
 
 
