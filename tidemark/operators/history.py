@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, days_interval, tick, xlogx
-from tidemark.operators.scan import choose_splits, prefix_scan
-from tidemark.operators.temporal import AT, as_of_state, effective
+from tidemark.operators.scan import choose_splits, prefix_scan, with_neighbours
+from tidemark.operators.temporal import AT, as_of_state, effective, window_start
 
 
 
@@ -50,8 +50,8 @@ def distinct_history(
     """Distinct counts of several columns over the visible past, one of them also per look-back window.
 
     ``items`` maps output prefix to child column; ``window_item`` is the prefix that gets windows.
-    An item is inside a window from each occurrence until the window slides past it; overlapping stays
-    merge by starting a stay only where the previous one ends, which needs just the previous occurrence.
+    Items inside a window = stays begun by the cutoff minus stays over by then, and a stay is over once its
+    last occurrence is older than the window: one flag pair per occurrence and one extra probe per window.
     """
     when = as_time(child, child_time)
     at = as_time(target, target_time)
@@ -60,36 +60,32 @@ def distinct_history(
         splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
     parts: list[DataFrame] = []
 
-    # distinct (key, item, instant), NULL items included: they still move the last instant
-    main = F.col(items[window_item]) if window_item is not None else F.lit(None).cast("string")
-    seen = clean.select(*child_keys, main.alias("__item"), F.col("__when").alias("__t")).distinct()
-    parts.append(seen.select(*child_keys, effective(F.col("__t"), cutoff).alias("__e"), F.col("__t").alias("__last")))
-    if window_item is not None:
-        groups = [*child_keys, "__item"]
-        stays = prefix_scan(
-            seen.where(F.col("__item").isNotNull()).withColumn("__prev", F.col("__t")), groups, "__t",
-            maxes=["__prev"], splits=splits, before_current=True,
-        )
-
-        def leaves(t: Column, w: int) -> Column:
-            end = t + days_interval(w)
-            return end + tick() if lower == "inclusive" else end
+    enter = effective(F.col("__t"), cutoff)
+    main = clean.select(
+        *child_keys, (F.col(items[window_item]) if window_item is not None else F.lit(None).cast("string")).alias("__item"),
+        F.col("__when").alias("__t"),
+    )
+    probes = {}
+    if window_item is None:
+        parts.append(main.select(*child_keys, enter.alias("__e"), F.col("__t").alias("__last")))
+    else:
+        # a stay is a run of occurrences each visible before the window has left the one before
+        def apart(first: Column, then: Column, w: int) -> Column:
+            leaves = first + days_interval(w)
+            leaves = leaves + tick() if lower == "inclusive" else leaves
+            return F.coalesce(leaves <= effective(then, cutoff), F.lit(True)) & F.col("__item").isNotNull()
 
-        # one row per change: which counter, from when, up or down
-        enter = effective(F.col("__t"), cutoff)
-        steps = [F.struct(F.lit(-1).alias("w"), F.when(F.col("__prev").isNull(), enter).alias("e"), _one().alias("x"))]
-        for w in windows_days:
-            begin, end = F.greatest(enter, leaves(F.col("__prev"), w)), leaves(F.col("__t"), w)
-            steps.append(F.struct(F.lit(w).alias("w"), F.when(begin < end, begin).alias("e"), _one().alias("x")))
-            steps.append(F.struct(F.lit(w).alias("w"), F.when(begin < end, end).alias("e"), _one(-1).alias("x")))
-        moved = stays.select(*child_keys, F.explode(F.filter(F.array(*steps), lambda s: s["e"].isNotNull())).alias("s"))
+        near = with_neighbours(main, [*child_keys, "__item"], "__t", splits)
+        t, prev, following = F.col("__t"), F.col("__prev"), F.col("__next")
         parts.append(
-            moved.select(
-                *child_keys, F.col("s.e").alias("__e"),
-                F.when(F.col("s.w") == -1, F.col("s.x")).alias(f"{window_item}_distinct"),
-                *[F.when(F.col("s.w") == w, F.col("s.x")).alias(f"{window_item}_distinct_{w}d") for w in windows_days],
+            near.select(
+                *child_keys, enter.alias("__e"), t.alias("__last"),
+                (prev.isNull() & F.col("__item").isNotNull()).cast("bigint").alias(f"{window_item}_distinct"),
+                *[apart(prev, t, w).cast("bigint").alias(f"__begun_{w}") for w in windows_days],
+                *[apart(t, following, w).cast("bigint").alias(f"__over_{w}") for w in windows_days],
             )
         )
+        probes = {f"w{w}": window_start(at, w, cutoff, lower) for w in windows_days}
     others = {n: c for n, c in items.items() if n != window_item}
     if others:
         long = clean.select(
@@ -104,19 +100,24 @@ def distinct_history(
             )
         )
     counted = [f"{name}_distinct" for name in items]
-    if window_item is not None:
-        counted += [f"{window_item}_distinct_{w}d" for w in windows_days]
+    stays = [f"__{part}_{w}" for part in ("begun", "over") for w in windows_days] if window_item is not None else []
     events = parts[0]
     for p in parts[1:]:
         events = events.unionByName(p, allowMissingColumns=True)
     state = as_of_state(
         target, events, row_key=row_key, keys=keys, at=at, child_keys=child_keys, child_at=F.col("__e"),
-        adds={c: F.col(c) for c in counted}, maxes={"last": F.col("__last")}, splits=splits,
+        adds={c: F.col(c) for c in [*counted, *stays]}, maxes={"__last": F.col("__last")}, probes=probes, splits=splits,
     )
+    zero = _one(0)
+    inside = {
+        w: F.coalesce(F.col(f"__begun_{w}"), zero) - F.coalesce(F.col(f"w{w}____over_{w}"), zero)
+        for w in (windows_days if window_item is not None else ())
+    }
     return state.select(
         *row_key,
-        *[F.coalesce(F.col(c), _one(0)).alias(c) for c in counted],
-        F.datediff(F.col(AT), F.col("last")).cast("bigint").alias("days_since_last"),
+        *[F.coalesce(F.col(c), zero).alias(c) for c in counted],
+        *[e.alias(f"{window_item}_distinct_{w}d") for w, e in inside.items()],
+        F.datediff(F.col(AT), F.col("__last")).cast("bigint").alias("days_since_last"),
     )
 
 

@@ -81,12 +81,13 @@ def prefix_scan(
     *,
     splits: int = 1,
     before_current: bool = False,
+    reverse: bool = False,
     marks_from: DataFrame | None = None,
 ) -> DataFrame:
     """Replace each state column by its running value in ``order`` within ``keys`` (keys not null).
 
     Rows should be unique per (keys, order); callers aggregate first, which also combines map-side.
-    ``before_current`` leaves the row itself out.
+    ``before_current`` leaves the row itself out; ``reverse`` runs from the far end of the order.
     """
     keys = list(keys)
     states = [*adds, *maxes, *mins]
@@ -94,14 +95,16 @@ def prefix_scan(
     pick = {**{c: F.sum for c in adds}, **{c: F.max for c in maxes}, **{c: F.min for c in mins}}
     plain = [c for c in rows.columns if c not in pick]
 
+    turn = F.desc if reverse else F.asc
+
     if splits <= 1:
-        w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+        w = W.partitionBy(*keys).orderBy(turn(order)).rowsBetween(W.unboundedPreceding, last)
         return rows.select(*plain, *[pick[c](c).over(w).alias(c) for c in states])
 
     cut = with_slice(rows, order, [*keys, order], splits, marks_from)
-    w_in = W.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+    w_in = W.partitionBy(*keys, SLICE).orderBy(turn(order)).rowsBetween(W.unboundedPreceding, last)
     inner = cut.select(*plain, SLICE, *[pick[c](c).over(w_in).alias(c) for c in states])
-    w_up = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    w_up = W.partitionBy(*keys).orderBy(turn(SLICE)).rowsBetween(W.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, SLICE).agg(*[pick[c](c).alias(c) for c in states])
     carry = totals.select(*keys, SLICE, *[pick[c](c).over(w_up).alias(f"__carry_{c}") for c in states])
 
@@ -117,6 +120,16 @@ def prefix_scan(
     return joined.select(*plain, *[merged(c) for c in states])
 
 
+def with_neighbours(rows: DataFrame, keys: Sequence[str], order: str, splits: int) -> DataFrame:
+    """Add ``__prev`` and ``__next``, the neighbouring order values within ``keys``."""
+    if splits <= 1:
+        w = W.partitionBy(*keys).orderBy(order)
+        return rows.select("*", F.lag(order).over(w).alias("__prev"), F.lead(order).over(w).alias("__next"))
+    both = rows.distinct().select("*", F.col(order).alias("__prev"), F.col(order).alias("__next"))
+    both = prefix_scan(both, keys, order, maxes=["__prev"], splits=splits, before_current=True, marks_from=rows)
+    return prefix_scan(both, keys, order, mins=["__next"], splits=splits, before_current=True, reverse=True, marks_from=rows)
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
