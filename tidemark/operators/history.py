@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, days_interval, tick, xlogx
-from tidemark.operators.scan import choose_splits, prefix_scan, with_neighbours
+from tidemark.operators.scan import choose_splits, measure_groups, prefix_scan, with_neighbours
 from tidemark.operators.temporal import AT, as_of_state, effective, window_start
 
 
@@ -190,6 +190,9 @@ def reach_counts(
     splits: int,
     hot_pairs: int = 250_000,
     sizes: DataFrame | None = None,
+    few_rows: int = 4,
+    most_pairs: int | None = None,
+    most_asked: int | None = None,
 ) -> DataFrame:
     """Distinct members reached through shared groups by each target row's instant.
 
@@ -201,6 +204,12 @@ def reach_counts(
     groups (counted once per distinct set of hot groups, by instant), and members it also reaches
     through small groups are subtracted from the moment both ways exist. Exact for any mix.
     ``sizes(__group, __pairs)`` may be passed when links and members are already unique.
+
+    ``most_pairs`` and ``most_asked`` are known upper bounds of combinations per group and rows per key;
+    without them both are measured.
+
+    Keys asked at most ``few_rows`` times count their first times by a join and a hash aggregate, without
+    ordering them; keys asked more often share one ordered pass.
     """
     if sizes is None:
         links = links.groupBy("__key", "__group").agg(F.min("__f").alias("__f"))
@@ -209,7 +218,7 @@ def reach_counts(
             members.groupBy("__group").agg(F.count("*").alias("__b")), "__group"
         ).select("__group", (F.col("__a") * F.col("__b")).alias("__pairs"))
     sizes = sizes.where(F.col("__pairs") > hot_pairs).select("__group")
-    has_hot = len(sizes.limit(1).collect()) > 0
+    has_hot = (most_pairs is None or most_pairs > hot_pairs) and len(sizes.limit(1).collect()) > 0
     cold_links = links.join(sizes, "__group", "left_anti") if has_hot else links
     pairs = (
         cold_links.join(members, "__group")
@@ -230,10 +239,22 @@ def reach_counts(
             both.select("__key", F.greatest("__h", "__via_hot").alias("__e"), _one(-1).alias("x"))
         )
     asked = target.select(*row_key, F.col(key).alias("__rk"), at.alias("__ask"))
-    cold = as_of_state(
-        asked, events, row_key=row_key, keys=["__rk"], at=F.col("__ask"), child_keys=["__key"],
-        child_at=F.col("__e"), adds={"x": F.col("x")}, splits=splits,
-    ).select(*row_key, F.coalesce(F.col("x"), _one(0)).alias(name))
+    if most_asked is None:
+        most_asked = asked.groupBy("__rk").count().agg(F.max("count")).first()[0] or 0
+    if most_asked <= few_rows:
+        counted = (
+            asked.where(F.col("__rk").isNotNull())
+            .join(events.withColumnRenamed("__key", "__rk"), "__rk")
+            .where(F.col("__e") <= F.col("__ask"))
+            .groupBy(*row_key)
+            .agg(F.sum("x").alias("__x"))
+        )
+        cold = asked.join(counted, list(row_key), "left").select(*row_key, F.coalesce("__x", _one(0)).alias(name))
+    else:
+        cold = as_of_state(
+            asked, events, row_key=row_key, keys=["__rk"], at=F.col("__ask"), child_keys=["__key"],
+            child_at=F.col("__e"), adds={"x": F.col("x")}, splits=splits,
+        ).select(*row_key, F.coalesce(F.col("x"), _one(0)).alias(name))
     if not has_hot:
         return cold
 
@@ -284,13 +305,15 @@ def co_occurrence(
     dated = single.groupBy("__group").agg(F.min("__own_f").alias("__f"), F.count("*").alias("__size"))
     own = single.select("__key", "__group").join(dated, "__group")
     at = as_time(target, target_time)
+    bounds = {}
     if splits is None:
-        splits = choose_splits((target, [key], "k"), (links, [member], "k"), (links, [group], "g"))
+        splits, top = measure_groups((target, [key], "k"), (target, [key], "t"), (links, [member], "k"), (links, [group], "g"))
+        bounds = {"most_pairs": top["g"] ** 2, "most_asked": top["t"]}
     partners = reach_counts(
         target, own.select("__key", "__group", "__f"),
         own.select("__group", F.col("__key").alias("__member"), F.col("__f").alias("__g")),
         row_key=row_key, key=key, at=at, name="partners", hot_pairs=hot_pairs, splits=splits,
-        sizes=dated.select("__group", (F.col("__size") * F.col("__size")).alias("__pairs")),
+        sizes=dated.select("__group", (F.col("__size") * F.col("__size")).alias("__pairs")), **bounds,
     )
     sizes = as_of_state(
         target, own, row_key=row_key, keys=[key], at=at, child_keys=["__key"], child_at=F.col("__f"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, days_between, days_interval, number, tick
 from tidemark.operators.history import first_seen, reach_counts
-from tidemark.operators.scan import choose_splits
+from tidemark.operators.scan import choose_splits, measure_groups
 from tidemark.operators.temporal import AT, as_of_state, centre_of, effective, spread
 
 # Instants before and after any data, for rows whose own time is unknown.
@@ -180,6 +180,7 @@ def _through_links(
     maxes: Sequence[str],
     splits: int,
     hot_points: int,
+    most_asked: int | None = None,
 ) -> DataFrame:
     """Combined state of all groups a point's key has joined by then.
 
@@ -193,7 +194,9 @@ def _through_links(
     states = [*adds, *maxes]
     combine = {**{c: F.sum for c in adds}, **{c: F.max for c in maxes}}
     asked = points.groupBy("__key").agg(F.count("*").alias("__np"))
-    busiest = asked.agg(F.max("__np")).first()[0] or 0
+    busiest = most_asked
+    if busiest is None or busiest > hot_points:
+        busiest = asked.agg(F.max("__np")).first()[0] or 0
     looked = links
     if busiest > hot_points:
         sizes = events.groupBy("__group").agg(F.count("*").alias("__ne"))
@@ -247,8 +250,13 @@ def pivot_history(
     scanned once. Distinct values go through first-reach times. No limit on pivots per row. Outputs
     pivot_nunique, count, mean, sample std (0 below two values), max, nunique, days since last.
     """
+    most_asked, bounds = None, {}
     if splits is None:
-        splits = choose_splits((target, [key], "k"), (base, [base_key], "k"), (second, [second_key], "p"))
+        splits, top = measure_groups(
+            (target, [key], "k"), (target, [key], "t"), (base, [base_key], "k"), (base, [pivot], "b"), (second, [second_key], "s")
+        )
+        most_asked = top["t"]
+        bounds = {"most_pairs": top["b"] * top["s"], "most_asked": most_asked}
     points = _points(target, key, target_time)
     links = first_seen(
         base.withColumnRenamed(base_key, "__key"), ["__key"], F.col(pivot), effective(as_time(base, base_time), cutoff)
@@ -262,7 +270,7 @@ def pivot_history(
         F.count("__v").alias("n"), F.sum("__v").alias("s"), F.sum("__d").alias("d"),
         F.sum(F.col("__d") * F.col("__d")).alias("q"), F.max("__v").alias("mx"), F.max("__t").alias("last"),
     )
-    per_point = _through_links(points, links, events, ["n", "s", "d", "q"], ["mx", "last"], splits, hot_points)
+    per_point = _through_links(points, links, events, ["n", "s", "d", "q"], ["mx", "last"], splits, hot_points, most_asked)
     pivots = as_of_state(
         points, links, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"],
         child_at=F.col("__f"), adds={"pivots": _one()}, splits=splits,
@@ -272,7 +280,7 @@ def pivot_history(
     )
     distinct = reach_counts(
         points, links, valued, row_key=["__key", "__when"], key="__key",
-        at=F.col("__when"), name="values", hot_pairs=hot_pairs, splits=splits,
+        at=F.col("__when"), name="values", hot_pairs=hot_pairs, splits=splits, **bounds,
     )
     answers = pivots.join(per_point, ["__key", "__when"], "left").join(distinct, ["__key", "__when"])
     out = _answer(target, row_key, key, target_time, answers)
@@ -317,8 +325,13 @@ def incoming_link_counts(
 
     A reference enters the recent count when it becomes visible and leaves once the window has passed it.
     """
+    most_asked, bounds = None, {}
     if splits is None:
-        splits = choose_splits((target, [key], "k"), (own, [own_key], "k"), (incoming, [incoming_item], "p"))
+        splits, top = measure_groups(
+            (target, [key], "k"), (target, [key], "t"), (own, [own_key], "k"), (own, [own_item], "b"), (incoming, [incoming_item], "s")
+        )
+        most_asked = top["t"]
+        bounds = {"most_pairs": top["b"] * top["s"], "most_asked": most_asked}
     points = _points(target, key, target_time)
     links = first_seen(
         own.withColumnRenamed(own_key, "__key"), ["__key"], F.col(own_item), effective(as_time(own, own_time), cutoff)
@@ -339,10 +352,10 @@ def incoming_link_counts(
     events = refs.select("__group", steps.alias("e")).groupBy("__group", F.col("e.at").alias("__at")).agg(
         F.sum("e.n").alias("n"), F.sum("e.r").alias("recent")
     )
-    per_point = _through_links(points, links, events, ["n", "recent"], [], splits, hot_points)
+    per_point = _through_links(points, links, events, ["n", "recent"], [], splits, hot_points, most_asked)
     sources = reach_counts(
         points, links, refs.where(F.col("__member").isNotNull()).select("__group", "__member", "__g"),
-        row_key=["__key", "__when"], key="__key", at=F.col("__when"), name="sources", hot_pairs=hot_pairs, splits=splits,
+        row_key=["__key", "__when"], key="__key", at=F.col("__when"), name="sources", hot_pairs=hot_pairs, splits=splits, **bounds,
     )
     out = _answer(target, row_key, key, target_time, sources.join(per_point, ["__key", "__when"], "left"))
     zero = F.lit(0).cast("bigint")

@@ -27,18 +27,31 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df)
 
 
-def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK) -> int:
-    """1 if every group fits one task, else the number of slices that keeps a slice within it.
+def measure_groups(
+    *sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK
+) -> tuple[int, dict[str, int]]:
+    """(splits, largest group per key domain): 1 split if every group fits one task, else the number of
+    slices that keeps a slice within it.
 
     A side is (base table, key columns, key domain); sides of one domain add up per key. Pass base
-    tables, not derived ones: one column-pruned, map-side combined count, a single row to the driver.
+    tables, not derived ones: each table is read once, column-pruned, and counts combine map-side; one row
+    per domain reaches the driver.
     """
-    tagged = [d.select(F.lit(domain).alias("d"), F.xxhash64(*keys).alias("h")) for d, keys, domain in sides]
+    tables: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for df, keys, domain in sides:
+        tables.setdefault(id(df), (df, []))[1].append(F.struct(F.lit(domain).alias("d"), F.xxhash64(*keys).alias("h")))
+    tagged = [df.select(F.explode(F.array(*tags)).alias("s")).select("s.d", "s.h") for df, tags in tables.values()]
     counts = reduce(lambda a, b: a.unionAll(b), tagged).groupBy("d", "h").count()
-    largest, total = counts.agg(F.max("count"), F.sum("count")).first()
-    if not largest or largest <= rows_per_task:
-        return 1
-    return int(min(MOST_SPLITS, max(2, -(-total // rows_per_task))))
+    found = counts.groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("total")).collect()
+    largest = {domain: 0 for _, _, domain in sides} | {r["d"]: r["largest"] for r in found}
+    over = [r["total"] for r in found if r["largest"] > rows_per_task]
+    if not over:
+        return 1, largest
+    return int(min(MOST_SPLITS, max(2, -(-max(over) // rows_per_task)))), largest
+
+
+def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK) -> int:
+    return measure_groups(*sides, rows_per_task=rows_per_task)[0]
 
 
 def with_slice(rows: DataFrame, order: str, spread_by: Sequence[str], splits: int, marks_from: DataFrame | None = None) -> DataFrame:
