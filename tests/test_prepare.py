@@ -158,3 +158,13 @@ def test_constant_features_score_minus_one(spark):
     s = {r["feature"]: r for r in rank.supervised_scores(d, ["c", "v"], "y").collect()}
     assert s["c"]["score_auc"] == s["c"]["score_ap"] == s["c"]["score_mi"] == -1.0
     assert s["v"]["roc_auc"] == pytest.approx(15 / 25)
+
+
+def test_edge_quality_of_one_list(spark):
+    e = spark.createDataFrame(
+        [("a", "b", 3.0, 1, "ordinary"), ("id", "b", 2.0, 0, "surrogate"), ("c", "d", 1.0, 1, "ordinary"), ("d", "k", 0.5, 0, "constant")],
+        "lhs string, rhs string, s double, truth int, kind string",
+    )
+    q = rank.edge_quality(e, "s", "truth", "kind", [2]).first()
+    assert q["roc_auc"] == pytest.approx(0.75) and q["average_precision"] == pytest.approx((1 + 2 / 3) / 2)
+    assert (q["tp_at_2"], q["precision_at_2"], q["recall_at_2"], q["surrogate_rate_at_2"], q["constant_rate_at_2"]) == (1, 0.5, 0.5, 0.5, 0.0)

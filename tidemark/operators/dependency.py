@@ -45,12 +45,11 @@ def train_visible_rows(
 def fit_manifest(entity: DataFrame, train: DataFrame, fit: DataFrame, *, entity_key: str, target_key: str, entity_time: str | None = None) -> DataFrame:
     """One row: source rows, train entities, fit rows, fit entities, last fit time."""
     last = F.max(as_time(fit, entity_time)) if entity_time else F.lit(None).cast("timestamp_ntz")
-    a = entity.agg(F.count("*").alias("source_rows"))
-    b = train.agg(F.count_distinct(target_key).alias("train_entities"))
-    c = fit.agg(F.count("*").alias("fit_rows"), F.count_distinct(entity_key).alias("fit_entities"), last.alias("fit_max_time"))
-    one = F.lit(1)
-    return (
-        a.withColumn("i", one).join(b.withColumn("i", one), "i").join(c.withColumn("i", one), "i").drop("i")
+    out = fit.agg(
+        F.count("*").alias("fit_rows"), F.count_distinct(entity_key).alias("fit_entities"), last.alias("fit_max_time")
+    )
+    return out.withColumn("source_rows", entity.agg(F.count("*").alias("n")).scalar()).withColumn(
+        "train_entities", train.agg(F.count_distinct(target_key).alias("n")).scalar()
     )
 
 

@@ -225,7 +225,9 @@ def edge_quality(edges: DataFrame, score: str, truth: str, kind: str, ks: Sequen
             (F.count_if(top & (F.col(kind) == "constant")) / size).alias(f"constant_rate_at_{k}"),
         ]
     at_k = placed.groupBy(*by).agg(*aggs)
-    return area.join(at_k, list(by)) if by else area.withColumn("i", F.lit(1)).join(at_k.withColumn("i", F.lit(1)), "i").drop("i")
+    if by:
+        return area.join(at_k, list(by))
+    return at_k.withColumn("__a", area.select(F.struct("*").alias("a")).scalar()).select("__a.*", *at_k.columns)
 
 
 def program_recall(ranking: DataFrame, truth: DataFrame, ks: Sequence[int], by: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import first_row
@@ -110,8 +111,8 @@ def summarise_runs(runs: DataFrame, by: Sequence[str], metrics: Sequence[str], d
 def outcome_counts(decisions: DataFrame, by: Sequence[str], outcome: str) -> DataFrame:
     """Count per group and outcome, and its share of the group."""
     counts = decisions.groupBy(*by, outcome).agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    return counts.join(totals, list(by)).select(*by, outcome, "n", (F.col("n") / F.col("total")).alias("fraction"))
+    total = F.sum("n").over(W.partitionBy(*by))  # one row per group and outcome by now
+    return counts.select(*by, outcome, "n", (F.col("n") / total).alias("fraction"))
 
 
 def completeness(
