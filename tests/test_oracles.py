@@ -4,18 +4,19 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare
+from tidemark.plans import catalog
 
 LEARNED = {"decoder_scores", "dependency_calibrator", "program_ranker"}
 NO_ORACLE = LEARNED | {"table_fingerprint"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, name) == ""
 
 
 def test_every_query_has_an_oracle_unless_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_ORACLE
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == NO_ORACLE
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
