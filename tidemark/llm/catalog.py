@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, language, near, store, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +33,48 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
-ORACLES = {"op1_decontaminate": OP1_SQL}
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 20"""
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    samples = language.dictionaries(docs.where(~F.coalesce(held_out, F.lit(False))))
+    return language.identify(docs, samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(_table(spark, sf_dir, "pages"), store.new_folder(spark, "warc"))
+    return warc.read(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
+_BASE32 = "list_aggregate(list_transform(range(0, 8), k -> list_aggregate(list_transform(range(0, 4), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(html), 5 * k + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INTEGER + 1, 1)), 'string_agg', '')), 'string_agg', '')"
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to, true AS valid FROM f"""
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate, "op3_topk": op3_topk, "op4_language": op4_language, "op5_warc": op5_warc,
+    "op7_near_duplicates": op7_near_duplicates,
+}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL}

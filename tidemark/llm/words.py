@@ -31,11 +31,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int, rows: int = 60_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each (one row at least), so that scratch memory stays bounded."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        end = max(at + 1, min(at + rows, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
         yield at, end
         at = end
 
