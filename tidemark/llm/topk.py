@@ -42,13 +42,13 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     n = scores.shape[1]
     low, high = int(scores[scores > _NONE].min(initial=0)), int(scores.max(initial=0))
     if max(abs(low), abs(high)) >= (1 << 62) // max(n, 1):  # too large for the joint key below
-        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return np.argsort(np.where(scores > _NONE, -scores, -(_NONE + 1)), axis=1, kind="stable")[:, :k]
     joint = np.where(scores > _NONE, scores * n - np.arange(n), _NONE)
     if n > k:
         some = np.argpartition(joint, n - k, axis=1)[:, n - k :]
     else:
         some = np.broadcast_to(np.arange(n), scores.shape)
-    order = np.argsort(-np.take_along_axis(joint, some, 1), axis=1, kind="stable")
+    order = np.argsort(np.take_along_axis(joint, some, 1), axis=1)[:, ::-1]
     return np.take_along_axis(some, order, 1)
 
 
@@ -58,8 +58,8 @@ def _cell(k: int):
     def run(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
             return schema.empty_table()
-        v = v.sort_by("vec_id")
-        ids, vectors = v["vec_id"].to_numpy(), _matrix(v["v"])
+        v = v.sort_by("cand_id")
+        ids, vectors = v["cand_id"].to_numpy(), _matrix(v["cand"])
         query_ids, queries = q["vec_id"].to_numpy(), _matrix(q["v"])
         largest = float(np.abs(vectors.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * max(1, vectors.shape[1])
         kind = np.float64 if largest < 2**53 else np.int64  # doubles are exact up to there
@@ -104,8 +104,9 @@ def nearest(df: DataFrame, k: int = 20, *, id_column: str = "vec_id", vector: st
     spread = lambda d, name, parts: d.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     q = spread(queries.withColumn("block", deal(blocks)), "shard", shards)
     v = spread(rows.withColumn("shard", deal(shards)), "block", blocks)
-    cells = ["size", "shard", "block"]
-    lists = q.groupBy(*cells).cogroup(v.groupBy(*cells)).applyInArrow(_cell(k), "query_id bigint, q_hash bigint, node bigint, score array<bigint>, vec_id array<bigint>")
+    # both sides come from the same rows: new names keep the columns of the two apart
+    v = v.select(F.col("size").alias("s"), F.col("shard").alias("sh"), F.col("block").alias("bl"), F.col("vec_id").alias("cand_id"), F.col("v").alias("cand"))
+    lists = q.groupBy("size", "shard", "block").cogroup(v.groupBy("s", "sh", "bl")).applyInArrow(_cell(k), "query_id bigint, q_hash bigint, node bigint, score array<bigint>, vec_id array<bigint>")
     top = lists.select("query_id", "q_hash", "node", F.transform(F.arrays_zip("score", "vec_id"), lambda x: F.struct((-x.score).alias("less"), x.vec_id.alias("vec_id"))).alias("top"))
     while shards > 1:
         shards = ceil(shards / FAN_IN)

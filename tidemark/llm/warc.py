@@ -67,7 +67,7 @@ def _writer(folder: str):
             for page, url, html, refers, revisit in zip(*(batch[c].to_pylist() for c in ("page", "url", "html", "refers", "revisit")), strict=True):
                 if out is None:
                     path, count, number = f"{folder}/{attempt}-{number:04d}.warc.gz", 0, number + 1
-                    out = where.open_output_stream(f"{root}/{path.rpartition('/')[2]}")
+                    out = where.open_output_stream(f"{root}/{path.rpartition('/')[2]}", compression=None)
                 out.write(record(page, url, html.encode(), refers, revisit))
                 count += 1
                 if out.tell() >= ARCHIVE_BYTES:
