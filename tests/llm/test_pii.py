@@ -1,0 +1,72 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import catalog, pii
+
+SF = "/root/testdata/sf0.01"
+KINDS = [r"[^\s\"]+@[\w.]+[a-zA-Z]", r"(?<!\d)\d{16}(?!\d)", r"\d+\.\d+\.\d+\.\d+", r"(?i)(?<!\w)[0-9a-f]{40}(?!\w)", r"\+1 \(\d{3}\) \d{3}-\d{4}"]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def one(spark, *texts, key="k"):
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, map int")
+    return [r.text for r in pii.anonymised(df, key).orderBy("map").collect()]
+
+
+def test_whole_table(spark):
+    old = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    new = {r.doc_id: r for r in catalog.op10_surrogates(spark, SF).collect()}
+    assert set(old) == set(new)
+    for kind in KINDS:
+        mapping = {}
+        for k, t in old.items():
+            a, b = re.findall(kind, t), re.findall(kind, new[k].text)
+            assert len(a) == len(b), (k, kind)
+            for x, y in zip(a, b, strict=True):
+                assert x != y and mapping.setdefault(x.lower(), y.lower()) == y.lower()  # coreference over all documents
+        assert len(set(mapping.values())) == len(mapping)  # distinctness
+        assert not set(mapping) & set(mapping.values())
+    for k, t in old.items():
+        if not any(re.search(p, t) for p in KINDS):
+            assert new[k].text == t and new[k].n_entities == 0
+
+
+def test_formats(spark):
+    texts = ["Mr. John Smith met Mr Smith and MRS ANNA SMITH.", "Call 415-555-2671 or +44 20 7946 0958 or (415) 555-2671", "GB82 WEST 1234 5698 7654 32", "4111 1111 1111 1111", "4111111111111112",
+             "10.0.0.7 8.8.8.8 1.2.3", "sk-abcdefABCDEF1234567890xyz", "Иван@пример.рф", "Господин Иванов", "A@b.co a@B.CO aA@b.co"]
+    john, phones, iban, good, bad, ips, secret, cyrillic, gospodin, mails = one(spark, *texts)
+    found = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr (\w+) and MRS (\w+) (\w+)\.", john)
+    assert found[2] == found[3] and found[5] == found[2].upper() and found[2] != "Smith" and found[4].isupper()
+    assert re.search(r"(an|ert|iel|or)$", found[1]) and re.search(r"(A|INA|ELA|IA)$", found[4])
+    assert re.fullmatch(r"Call \d{3}-\d{3}-\d{4} or \+44 \d\d \d{4} \d{4} or \(\d{3}\) \d{3}-\d{4}", phones)
+    moved = iban.replace(" ", "")
+    assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", iban) and int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1
+    assert luhn(good.replace(" ", "")) and not luhn(bad) and good[0] == bad[0] == "4"
+    assert re.fullmatch(r"10\.\d+\.\d+\.\d+ \d+\.\d+\.\d+\.\d+ 1\.2\.3", ips)
+    assert re.fullmatch(r"sk-[a-z]{6}[A-Z]{6}\d{10}[a-z]{3}", secret)
+    assert re.fullmatch(r"[А-Яа-я]+@[а-я]+\.рф", cyrillic) and cyrillic[0].isupper() and re.fullmatch(r"Господин [А-Я][а-я]+", gospodin)
+    a, b, c = mails.split(" ")
+    assert a.lower() == b.lower() != c.lower()
+
+
+def test_key_and_collisions(spark):
+    texts = [f"{c}@b.co" for c in "abcdefghijklmnopqrst"] + ["x.1@b.co"]
+    first = one(spark, *texts)
+    assert len(set(first)) == len(texts) and not set(first) & set(texts)
+    assert one(spark, *texts) == first != one(spark, *texts, key="other")
+
+
+def test_odd_rows(spark):
+    rows = [("", 1, "q"), (None, None, None), ("clean text, 12.5 and 2024-01-02", 3, "q"), ("a.b@c.de " * 3_000, 4, "q"), ("a.b@c.de", 5, "q"), ("a.b@c.de", 5, "q"), ("w" * 200_000, 6, "q")]
+    df = spark.createDataFrame(rows, "text string, set_id long, found string").withColumn("n_entities", F.lit("old")).withColumn("row", F.lit(1))
+    got = pii.anonymised(df, "k")
+    assert got.columns == ["text", "set_id", "found", "row", "n_entities"]
+    out = {r.set_id: r for r in got.collect()}
+    assert got.count() == len(rows) and out[None].text is None
+    assert out[1].text == "" and out[3].text == rows[2][0] and out[6].text == rows[6][0] and out[4].n_entities == 3000
+    assert out[4].text == (out[5].text + " ") * 3_000 != rows[3][0]
+    assert pii.anonymised(df.limit(0), "k").count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, near, store, topk, warc
+from tidemark.llm import decontaminate, idfile, language, lengths, near, packing, pii, store, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,33 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_dige
   CASE WHEN page_id <> least THEN least END AS refers_to, true AS valid FROM f"""
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = idfile.write(_table(spark, sf_dir, "documents"), store.new_folder(spark, "ids"))
+    return idfile.read(manifest).withColumnRenamed("key", "doc_id")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.lengths(_table(spark, sf_dir, "documents")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+SURROGATE_KEY = "op10"  # a deployment passes its own secret
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymised(_table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op3_topk": op3_topk, "op4_language": op4_language, "op5_warc": op5_warc,
-    "op7_near_duplicates": op7_near_duplicates,
+    "op6_token_ids": op6_token_ids, "op7_near_duplicates": op7_near_duplicates, "op8_token_counts": op8_token_counts, "op9_packing": op9_packing,
+    "op10_surrogates": op10_surrogates,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL}
