@@ -8,8 +8,8 @@ the table that is broadcast; a collision changes a weight alike in every documen
 Improved consistent weighted sampling gives each document BANDS * ROWS samples; documents that agree in a band
 share a bucket. A bucket is never paired with itself: its most popular member (of whose buckets most documents
 are) is compared with every other member by weighted Jaccard similarity of the whole texts. Links make
-components; buckets that still hold several components are compared from other members, round by round, until
-a round finds no further link. Texts with the same words are one node throughout.
+components; in buckets that still hold several, one member of each of the HUBS smallest is compared with all
+members of the others, round by round, until a round finds no further link. Texts with the same words are one node throughout.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import graph, store
@@ -30,6 +30,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 IDF_SHARE = 0.25
+HUBS = 8
 VOCABULARY_BITS = 18
 SCRATCH_BYTES = 1 << 20
 
@@ -119,18 +120,21 @@ def _sketcher(shared):
             raw, offsets = W.text_bytes(batch["text"])
             prints: list[bytes | None] = []
             bands: list[np.ndarray | None] = [None] * batch.num_rows
+            mass = np.zeros(batch.num_rows)
             for lo, hi in W.pieces(offsets, SCRATCH_BYTES):
                 found = W.split(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True):
                     prints.append(xxhash.xxh3_128_digest(found.hash[a:b].tobytes()) if b > a else None)
-                rows, samples = _samples(*shingles(found, idf), gamma, log_gamma)
+                row, shingle, weight = shingles(found, idf)
+                mass[lo:hi] = np.bincount(row, weight, hi - lo)
+                rows, samples = _samples(row, shingle, weight, gamma, log_gamma)
                 banded = samples.reshape(len(rows), BANDS, ROWS)
                 h = np.zeros((len(rows), BANDS), np.uint64)
                 for k in range(ROWS):
                     h = W.mixed(h ^ banded[:, :, k]) + np.uint64(k + 1)
                 for i, x in zip(rows.tolist(), h.view(np.int64), strict=True):
                     bands[lo + i] = x
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["text_hash"], pa.array(prints, pa.binary()), pa.array(mass), pa.array(bands, pa.list_(pa.int64()))], names=["key", "text_hash", "print", "mass", "bands"])
 
     return run
 
@@ -167,7 +171,26 @@ def _verifier(shared, least: float):
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     deflate = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["key"], pa.array([deflate.compress(t.encode()) for t in batch["text"].to_pylist()], pa.binary())], names=["key", "packed"])
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["text_hash"], pa.array([deflate.compress(t.encode()) for t in batch["text"].to_pylist()], pa.binary())], names=["key", "text_hash", "packed"])
+
+
+def _pairs(placed: DataFrame, turn: int, least: float) -> DataFrame:
+    """Members of each bucket beside members that stand for another component in it: (a, b), each pair once.
+
+    At first the bucket's most popular member stands for all; later one member for each of its HUBS smallest
+    components. Pairs whose total weights alone keep them below ``least`` are left out.
+    """
+    best = F.max_by(F.struct("print", "mass"), F.struct("popular", "print"))
+    parts = placed.groupBy("band", "h", "label").agg(F.count("*").alias("n"), best.alias("best"), F.max("popular").alias("popular"))
+    mixed = parts.groupBy("band", "h").agg(F.count("*").alias("parts"), F.max_by(F.struct("label", "best"), F.struct("popular", "label")).alias("hub")).where("parts > 1")
+    if turn == 0:
+        hubs = mixed.select("band", "h", "hub.label", "hub.best")
+    else:
+        order = Window.partitionBy("band", "h").orderBy("n", F.xxhash64("label", F.lit(turn)), "label")
+        hubs = parts.join(mixed, ["band", "h"], "left_semi").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= HUBS).select("band", "h", "label", "best")
+    hubs = hubs.select("band", "h", F.col("label").alias("hub_label"), "best.*").withColumnsRenamed({"print": "hub", "mass": "hub_mass"})
+    near = placed.join(hubs, ["band", "h"]).where(F.col("label") != F.col("hub_label")).where(F.least("mass", "hub_mass") >= F.greatest("mass", "hub_mass") * (least - 1e-6))
+    return near.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -179,48 +202,44 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
     are not compared further. kept: the key is the class's smallest; where keys repeat, all such rows are kept.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     gamma = _gamma_quantiles()
     shared = spark.sparkContext.broadcast((idf_table(texts), gamma.astype(np.float32), np.log(gamma).astype(np.float32)))
     kind = texts.schema["key"].dataType.simpleString()
-    sketched = store.kept(texts.mapInArrow(_sketcher(shared), f"key {kind}, print binary, bands array<bigint>"), "sketches")
-    nodes = store.kept(sketched.where("print is not null").groupBy("print").agg(F.min("key").alias("key"), F.max("bands").alias("bands")), "nodes")
-    members = nodes.where("key is not null").select("print", "key", F.posexplode("bands").alias("band", "h"))
+    sketched = store.kept(texts.mapInArrow(_sketcher(shared), f"key {kind}, text_hash bigint, print binary, mass double, bands array<bigint>"), "sketches")
+    nodes = sketched.where("print is not null").groupBy("print").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "text_hash"))).alias("own"), F.max("mass").alias("mass"), F.max("bands").alias("bands"))
+    nodes = store.kept(nodes.select("print", "own.key", "own.text_hash", "mass", "bands"), "nodes")
+    members = nodes.where("key is not null").select("print", "mass", F.posexplode("bands").alias("band", "h"))
     sizes = members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
-    shared_buckets = members.join(sizes, ["band", "h"])
-    popular = shared_buckets.groupBy("print").agg(F.sum("n").alias("popular"))
-    buckets = store.kept(shared_buckets.join(popular, "print").select("band", "h", "print", "key", "popular"), "buckets")
+    met = store.kept(members.join(sizes, ["band", "h"]), "met")
+    popular = met.groupBy("print").agg(F.sum("n").alias("popular"))
+    buckets = store.kept(met.join(popular, "print").select("band", "h", "print", "mass", "popular"), "buckets")
+    packed = texts.where("text is not null").mapInArrow(_packed, f"key {kind}, text_hash bigint, packed binary")
+    wanted = nodes.join(popular, "print", "left_semi").select("print", "key", "text_hash")
+    packed = store.kept(wanted.join(packed, ["key", "text_hash"]).groupBy("print").agg(F.max("packed").alias("packed")), "texts")
 
-    packed = texts.where("text is not null").mapInArrow(_packed, f"key {kind}, packed binary")
     labels = nodes.select(F.col("print").alias("node"), F.col("print").alias("label"))
-    links = tested = None
-    turn = 0
+    tested, turn = None, 0
     while True:
-        turn += 1
-        placed = buckets.join(labels, buckets["print"] == labels["node"]).select("band", "h", "print", "key", "popular", "label")
-        parts = placed.groupBy("band", "h", "label").agg(F.count("*").alias("n"), F.max_by(F.struct("print", "key"), F.struct("popular", "print")).alias("best"), F.max("popular").alias("popular"))
-        # first from the most popular member, later from the smallest part
-        first = F.struct(F.col("popular"), F.col("label")) if turn == 1 else F.struct((-F.col("n")).alias("n"), F.xxhash64("label", F.lit(turn)).alias("draw"))
-        hubs = parts.groupBy("band", "h").agg(F.max_by(F.struct("label", "best"), first).alias("hub"), F.count("*").alias("parts")).where("parts > 1")
-        pairs = placed.join(hubs, ["band", "h"]).where("label <> hub.label").select(
-            F.least("print", "hub.best.print").alias("a"), F.greatest("print", "hub.best.print").alias("b"),
-            F.when(F.col("print") < F.col("hub.best.print"), F.struct(F.col("key").alias("a"), F.col("hub.best.key").alias("b"))).otherwise(F.struct(F.col("hub.best.key").alias("a"), F.col("key").alias("b"))).alias("keys"),
-        ).groupBy("a", "b").agg(F.min("keys").alias("keys"))
+        placed = buckets.join(labels, buckets["print"] == labels["node"]).select("band", "h", "print", "mass", "popular", "label")
+        pairs = _pairs(placed, turn, least)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store.kept(pairs.select("a", "b", F.col("keys.a").alias("key_a"), F.col("keys.b").alias("key_b")), "pairs")
+        pairs = store.kept(pairs, "pairs")
         if pairs.isEmpty():
             break
-        both = pairs.join(packed.select(F.col("key").alias("key_a"), F.col("packed").alias("text_a")), "key_a")
-        both = both.join(packed.select(F.col("key").alias("key_b"), F.col("packed").alias("text_b")), "key_b")
-        found = store.kept(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shared, least), "a binary, b binary").distinct(), "found")
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        both = pairs.join(packed.select(F.col("print").alias("a"), F.col("packed").alias("text_a")), "a")
+        both = both.join(packed.select(F.col("print").alias("b"), F.col("packed").alias("text_b")), "b")
+        found = store.kept(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shared, least), "a binary, b binary"), "found")
         if found.isEmpty():
             break
-        links = found if links is None else links.union(found)
-        linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        joined = graph.components(linked, links)
-        labels = nodes.join(joined, nodes["print"] == joined["node"], "left").select(F.col("print").alias("node"), F.coalesce("label", "print").alias("label"))
+        tested = pairs if tested is None else tested.union(pairs)
+        old = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+        other = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+        links = store.kept(found.join(old, "a").join(other, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
+        joined = graph.components(links.select(F.col("a").alias("node")).union(links.select("b")), links).select(F.col("node").alias("was"), F.col("label").alias("becomes"))
+        labels = store.kept(labels.join(joined, labels["label"] == joined["was"], "left").select("node", F.coalesce("becomes", "label").alias("label")), "labels")
+        turn += 1
 
     smallest = labels.join(nodes.select("print", "key"), F.col("node") == F.col("print")).select("node", "label", "key")
     named = smallest.join(smallest.groupBy("label").agg(F.min("key").alias("class_id")), "label").select("node", "class_id")
