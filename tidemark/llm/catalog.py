@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, idfile, language, lengths, near, packing, pii, store, topk, warc
+from tidemark.llm import decontaminate, idfile, language, lengths, near, packing, pii, repeats, store, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -94,7 +98,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_decontaminate": op1_decontaminate, "op3_topk": op3_topk, "op4_language": op4_language, "op5_warc": op5_warc,
+    "op1_decontaminate": op1_decontaminate, "op2_repeats": op2_repeats, "op3_topk": op3_topk, "op4_language": op4_language, "op5_warc": op5_warc,
     "op6_token_ids": op6_token_ids, "op7_near_duplicates": op7_near_duplicates, "op8_token_counts": op8_token_counts, "op9_packing": op9_packing,
     "op10_surrogates": op10_surrogates,
 }
