@@ -345,4 +345,4 @@ def read(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
     schema = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return placed.repartition("path").mapInArrow(run, schema)
+    return placed.repartition(max(1, manifest.count())).mapInArrow(run, schema)  # a task per file

@@ -212,4 +212,4 @@ def read(manifest: DataFrame, *, path: str = "path", with_payload: bool = True)
                     yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in rows], schema=SCHEMA)
 
     spec = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, valid boolean, payload binary"
-    return manifest.select(F.col(path).alias("path")).repartition(F.col("path")).mapInArrow(run, spec)
+    return manifest.select(F.col(path).alias("path")).repartition(max(1, manifest.count())).mapInArrow(run, spec)  # a task per file
