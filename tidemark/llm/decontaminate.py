@@ -89,11 +89,11 @@ def _item_windows(window: int):
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
     """One row per document row: key, n_words, n_hit, spans, items, n_items, items_sha256, contaminated.
 
     spans are [first word, end word) runs that lie in occurrences; items are the ids, as strings in string
-    order, of items with an occurring window. A null or empty text has no words. Rows are kept one for one,
+    order, of items with an occurring window; the columns ``keep`` pass through. A null or empty text has no words. Rows are kept one for one,
     repeated keys and null keys included. An item without an id marks words but is not listed. Other columns
     of either table are ignored, whatever their names. With an empty benchmark nothing is hit.
     """
@@ -105,7 +105,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, key: s
     )
     size = rows.agg(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
+    kept = keep or []
+    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("pad")).alias("row")
+    out = docs.select(F.col(key).alias("key"), carried, F.col(text).alias("text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
     for k in range(blocks):
         held: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
         for n, w, item in rows.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).toLocalIterator():
@@ -114,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, key: s
         out = out.mapInArrow(_search(shared), out.schema)
     sorted_items = F.array_sort("items")
     return out.select(
-        F.col("key").alias(key), "n_words",
+        F.col("key").alias(key), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept) if c != key], "n_words",
         F.expr("aggregate(spans, 0L, (covered, x) -> x - covered)").alias("n_hit"),  # ends less starts
         "spans", sorted_items.alias("items"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", sorted_items), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
@@ -145,8 +147,8 @@ def _search(shared):
                     spans.append(edge.tolist())
                     counts[lo + row] = b - a
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], batch["text"], pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(counts)],
-                names=["key", "text", "spans", "items", "n_words"],
+                [batch["key"], batch["row"], batch["text"], pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(counts)],
+                names=["key", "row", "text", "spans", "items", "n_words"],
             )
 
     return run
