@@ -96,3 +96,15 @@ def test_fingerprint_ignores_order(spark):
     one, two = (dep.fingerprint(x, ["id", "v"]).first() for x in (d, d.orderBy(F.desc("id")).repartition(7)))
     assert one == two
     assert dep.fingerprint(d.withColumn("v", F.col("v") + (F.col("id") == 5).cast("int")), ["id", "v"]).first() != one
+
+
+def test_ambiguity_reads_the_version_known_at_the_time(spark):
+    day = lambda n: f"2024-{n:02d}-01 00:00:00"
+    entity = spark.createDataFrame([(1, day(1), "a", "x"), (1, day(6), "b", "x"), (2, day(3), "a", "y")], "e int, t string, lhs string, rhs string")
+    target = spark.createDataFrame([(0, 1, day(2)), (1, 1, day(7)), (2, 2, day(2)), (3, None, day(7)), (4, 1, None)], "row int, who int, cut string")
+    entity, target = entity.withColumn("t", F.col("t").cast("timestamp_ntz")), target.withColumn("cut", F.col("cut").cast("timestamp_ntz"))
+    how = {"row_key": ["row"], "target_key": "who", "entity_key": "e", "entity_order": ["lhs"]}
+    out = dep.ambiguity_features(target, entity, entity, [("lhs", "rhs")], entity_time="t", target_time="cut", **how)
+    assert rows(out.select("row", "f_amb__lhs_to_rhs__support_count")) == [(0, 2), (1, 1), (2, None), (3, None), (4, None)]
+    with pytest.raises(ValueError, match="both"):
+        dep.ambiguity_features(target, entity, entity, [("lhs", "rhs")], entity_time="t", **how)

@@ -7,7 +7,7 @@ from tests.oracle import compare
 from tidemark.plans import catalog
 
 LEARNED = {"decoder_scores", "dependency_calibrator", "program_ranker"}
-NO_ORACLE = LEARNED | {"table_fingerprint"}
+NO_ORACLE = LEARNED
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

@@ -115,23 +115,26 @@ def test_category_state_equals_brute_force(spark, skewed, splits):
         assert got[key]["category_latest"] == last
 
 
+@pytest.mark.parametrize("own_times", [False, True])
 @pytest.mark.parametrize("hot", [10**9, 20, 0])
-def test_co_occurrence_with_hot_groups_equals_brute_force(spark, hot):
+def test_co_occurrence_with_hot_groups_equals_brute_force(spark, hot, own_times):
     links = spark.range(400).select(
+        "id",
         (F.col("id") * 7 % 29).cast("int").alias("m"),
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") * 5 % 23).cast("int").alias("g"),
-    ).withColumn("t", F.lit(DAY0).cast("timestamp_ntz") + F.make_dt_interval((F.col("g") * 5 % 19).cast("int")))
+    ).withColumn("t", F.lit(DAY0).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") * 5 % 19 if own_times else F.col("g") * 5 % 19).cast("int")))
     target = spark.range(60).select(
         F.col("id").alias("row"), (F.col("id") % 31).cast("int").alias("k"),
         (F.lit(DAY0).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") * 3 % 25).cast("int"))).alias("t"),
     )
     out = history.co_occurrence(target, links, row_key=["row"], key="k", target_time="t", member="m", group="g", time="t", hot_pairs=hot)
     got = {r["row"]: r for r in out.collect()}
-    data = [r.asDict() for r in links.distinct().collect()]
+    data = [r.asDict() for r in links.drop("id").distinct().collect()]
     for r in target.collect():
+        seen = [x for x in data if x["t"] < r["t"]]  # a partner that joins later is not known yet
         mine = {x["g"] for x in data if x["m"] == r["k"] and x["t"] < r["t"]}
-        sizes = {g: len({x["m"] for x in data if x["g"] == g}) for g in mine}
-        assert got[r["row"]]["partners"] == len({x["m"] for x in data if x["g"] in mine})
+        sizes = {g: len({x["m"] for x in seen if x["g"] == g}) for g in mine}
+        assert got[r["row"]]["partners"] == len({x["m"] for x in seen if x["g"] in mine})
         want = sum(n * n for n in sizes.values()) / sum(sizes.values()) if mine else 0.0
         assert got[r["row"]]["mean_group_size"] == pytest.approx(want)
         assert got[r["row"]]["max_group_size"] == max(sizes.values(), default=0)

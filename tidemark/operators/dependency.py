@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, hash_int, require_columns, sigmoid, symbol, xlogx
 from tidemark.operators.scan import bounded, first_row
+from tidemark.operators.temporal import as_of_state, effective
 
 PAIR = ["lhs", "rhs"]
 
@@ -294,26 +295,49 @@ def ambiguity_features(
     target_key: str,
     entity_key: str,
     entity_order: Sequence[str],
+    entity_time: str | None = None,
+    target_time: str | None = None,
+    cutoff: str = "inclusive",
 ) -> DataFrame:
-    """Four ambiguity values and four flags per edge for every target row; no edge gives bare row keys."""
+    """Four ambiguity values and four flags per edge for every target row; no edge gives bare row keys.
+
+    With ``entity_time`` the entity has dated versions and each target row reads the latest one it may see
+    at its ``target_time`` (equal times: the largest left values); otherwise the entity's first row.
+    """
+    if (entity_time is None) != (target_time is None):
+        raise ValueError("entity_time and target_time must either both be given or neither")
     out = target.select(*row_key, F.col(target_key).alias("__key"))
     if not edges:
         return out.drop("__key")
     left = sorted({a for a, _ in edges})
+    if entity_time is not None:
+        version = F.struct(as_time(entity, entity_time).alias("t"), *[symbol(entity, a).alias(f"__l_{a}") for a in left])
+        seen = as_of_state(
+            target, entity, row_key=row_key, keys=[target_key], at=as_time(target, target_time), child_keys=[entity_key],
+            child_at=effective(as_time(entity, entity_time), cutoff), maxes={"__seen": version},
+        ).select(*row_key, *[F.col(f"__seen.__l_{a}").alias(f"__l_{a}") for a in left])
+        seen, names = _with_maps(seen, fit, edges)
+        return seen.select(*row_key, *names)
     order = [c for c in entity_order if c != entity_key]
     facts = entity.select(entity_key, *dict.fromkeys([*left, *order])).where(F.col(entity_key).isNotNull())
     one = first_row(facts, [entity_key], order or left)
     one = one.select(F.col(entity_key).alias("__key"), *[symbol(entity, c).alias(f"__l_{c}") for c in left])
-    names: list[Column] = []
     # the map meets the entity table first: one row per entity, not per target row
+    one, names = _with_maps(one, fit, edges)
+    return out.join(one, "__key", "left").select(*row_key, *names)
+
+
+def _with_maps(rows: DataFrame, fit: DataFrame, edges: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[Column]]:
+    """Rows with left values ``__l_<column>`` beside each edge's ambiguity values, and the feature columns."""
+    names: list[Column] = []
     for a, b in edges:
         edge = f"f_amb__{a.lower()}_to_{b.lower()}"
         parts = ["majconf", "entropy", "conflict_count", "support_count"]
         m = ambiguity_map(fit, a, b).select(F.col("lhs_value").alias(f"__l_{a}"), *[F.col(p).alias(f"{edge}__{p}") for p in parts])
-        one = one.join(m, f"__l_{a}", "left")
+        rows = rows.join(m, f"__l_{a}", "left")
         names += [F.col(f"{edge}__{p}") for p in parts]
         names += [F.col(f"{edge}__{p}").isNull().cast("int").alias(f"{edge}__{p}__is_missing") for p in parts]
-    return out.join(one, "__key", "left").select(*row_key, *names)
+    return rows, names
 
 
 def majority_imputation(df: DataFrame, lhs: str, rhs: str) -> DataFrame:
@@ -402,9 +426,10 @@ def dependency_edges(
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint of the chosen columns: row count, xor and sum of row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in columns])
-    return df.agg(
-        F.count("*").alias("row_count"), F.bit_xor(h).alias("hash_xor"),
-        F.sum((h % F.lit(1_000_003)).cast("bigint")).alias("hash_sum"),
-    )
+    """Order-free fingerprint of the chosen columns: row count, xor and sum of 60 bits of each row's MD5.
+
+    A row is its values as text with a unit separator between them; NULL is the symbol for the empty set.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u2205")) for c in columns])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return df.agg(F.count("*").alias("row_count"), F.bit_xor(h).alias("hash_xor"), F.sum(h % F.lit(1_000_003)).alias("hash_sum"))

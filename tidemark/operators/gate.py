@@ -29,16 +29,16 @@ def pair_runs(runs: DataFrame, task: Sequence[str], base: str, candidate: str, m
     """One row per task and seed with ``base_<m>`` and ``candidate_<m>``; an unpaired seed is an error."""
     picked = runs.where(F.col("variant").isin(base, candidate))
     is_base, is_cand = F.col("variant") == base, F.col("variant") == candidate
-    out = picked.groupBy(*task, "seed").agg(
-        F.count_if(is_base).alias("__b"), F.count_if(is_cand).alias("__c"),
-        *[F.max(F.when(is_base, F.col(m))).alias(f"base_{m}") for m in metrics],
-        *[F.max(F.when(is_cand, F.col(m))).alias(f"candidate_{m}") for m in metrics],
-    )
-    fine = (F.col("__b") == 1) & (F.col("__c") == 1)
-    seed = F.when(fine, F.col("seed")).otherwise(
-        F.raise_error(F.concat(F.lit("seed without exactly one baseline and one candidate run: "), F.col("seed").cast("string"))).cast("bigint")
+    fine = (F.count_if(is_base) == 1) & (F.count_if(is_cand) == 1)
+    told = F.concat(F.lit("seed without exactly one baseline and one candidate run: "), F.coalesce(F.col("seed").cast("string"), F.lit("NULL")))
+
+    def only(side: Column, m: str) -> Column:
+        # the check sits in every score, so no reader of a score can prune it
+        return F.when(fine, F.max(F.when(side, F.col(m)))).otherwise(F.raise_error(told).cast(runs.schema[m].dataType))
+
+    return picked.groupBy(*task, "seed").agg(
+        *[only(is_base, m).alias(f"base_{m}") for m in metrics], *[only(is_cand, m).alias(f"candidate_{m}") for m in metrics],
     )
-    return out.withColumn("seed", seed).drop("__b", "__c")
 
 
 def gain(base: Column, candidate: Column, maximise: Column | bool) -> Column:

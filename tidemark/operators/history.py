@@ -297,30 +297,35 @@ def co_occurrence(
 ) -> DataFrame:
     """Partners met in shared groups, and mean/max group size weighted by the partners seen.
 
-    A group happens once, at its earliest link time; the member itself counts among its partners.
+    A partner counts once it and the key have both joined a group, each at its own first link time to it;
+    the member itself counts among its partners. A group's size is that of its members by the cutoff.
     """
     when = effective(as_time(links, time), cutoff)
     rows = links.select(F.col(member).alias("__key"), F.col(group).alias("__group"), when.alias("__f")).dropna()
     single = rows.groupBy("__key", "__group").agg(F.min("__f").alias("__own_f"))
-    dated = single.groupBy("__group").agg(F.min("__own_f").alias("__f"), F.count("*").alias("__size"))
-    own = single.select("__key", "__group").join(dated, "__group")
+    counted = single.groupBy("__group").agg(F.count("*").alias("__size"))
     at = as_time(target, target_time)
     bounds = {}
     if splits is None:
         splits, top = measure_groups((target, [key], "k"), (target, [key], "t"), (links, [member], "k"), (links, [group], "g"))
         bounds = {"most_pairs": top["g"] ** 2, "most_asked": top["t"]}
     partners = reach_counts(
-        target, own.select("__key", "__group", "__f"),
-        own.select("__group", F.col("__key").alias("__member"), F.col("__f").alias("__g")),
+        target, single.select("__key", "__group", F.col("__own_f").alias("__f")),
+        single.select("__group", F.col("__key").alias("__member"), F.col("__own_f").alias("__g")),
         row_key=row_key, key=key, at=at, name="partners", hot_pairs=hot_pairs, splits=splits,
-        sizes=dated.select("__group", (F.col("__size") * F.col("__size")).alias("__pairs")), **bounds,
+        sizes=counted.select("__group", (F.col("__size") * F.col("__size")).alias("__pairs")), **bounds,
     )
-    sizes = as_of_state(
-        target, own, row_key=row_key, keys=[key], at=at, child_keys=["__key"], child_at=F.col("__f"),
-        adds={"s1": F.col("__size"), "s2": F.col("__size") * F.col("__size")}, maxes={"mx": F.col("__size")}, splits=splits,
+    # a group's size at each cutoff of a member: one lookup per (distinct cutoff, group joined before it)
+    asked = target.select(*row_key, F.col(key).alias("__key"), at.alias("__ask"))
+    seen = asked.select("__key", "__ask").dropna().distinct().join(single, "__key").where(F.col("__own_f") <= F.col("__ask"))
+    seen = seen.select("__key", "__group", "__ask")
+    sized = as_of_state(
+        seen, single, row_key=["__key", "__group", "__ask"], keys=["__group"], at=F.col("__ask"), child_keys=["__group"],
+        child_at=F.col("__own_f"), adds={"__n": _one()}, splits=splits,
     )
+    sizes = sized.groupBy("__key", "__ask").agg(F.sum("__n").alias("s1"), F.sum(F.col("__n") * F.col("__n")).alias("s2"), F.max("__n").alias("mx"))
     return partners.join(
-        sizes.select(
+        asked.join(sizes, ["__key", "__ask"], "left").select(
             *row_key,
             F.coalesce(F.col("s2") / F.col("s1"), F.lit(0.0)).alias("mean_group_size"),
             F.coalesce(F.col("mx"), _one(0)).alias("max_group_size"),

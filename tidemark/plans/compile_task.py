@@ -92,7 +92,8 @@ def compile_matrices(
     for split, matrix in baseline.items():
         block = dependency.ambiguity_features(
             targets[split], tables[spec.entity_table], fit, edges, row_key=spec.row_key, target_key=spec.target_key,
-            entity_key=spec.entity_key, entity_order=[a for a, _ in edges],
+            entity_key=spec.entity_key, entity_order=[a for a, _ in edges], entity_time=spec.entity_time,
+            target_time=spec.target_time if spec.entity_time else None, cutoff=spec.cutoff,
         )
         candidate[split] = assemble.assemble_blocks(matrix, [block], spec.row_key)
     return baseline, candidate, edges

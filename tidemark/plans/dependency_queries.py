@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import dependency as dep
@@ -48,7 +50,7 @@ STAT_SELECT = (
     "SELECT lhs, rhs, n_total, n_valid, n_lhs_values, n_rhs_values, exact_fd, "
     + ", ".join(f"round({c}, 6) AS {c}" for c in STAT_COLS)
 )
-PART_COLS = ["p_brand", "p_type", "p_size", "p_name"]
+PART_COLS = ["p_brand", "p_type", "p_size", "p_name", "p_partkey", "p_retailprice"]
 GEO_COLS = ["c_custkey", "c_mktsegment", "n_name", "r_name", "n_regionkey"]
 TEXT_GEO = ["c_mktsegment", "n_name", "r_name"]
 
@@ -59,7 +61,9 @@ QUERIES["fd_pair_stats_geo"] = lambda spark, sf: rounded(dep.pair_statistics(cus
 GEO_STATS = f"WITH {CUSTOMER_GEO_SQL}, {pair_sql('customer_geo', 'SELECT count(*) FROM customer_geo', GEO_COLS)}"
 ORACLES["fd_pair_stats_geo"] = f"{GEO_STATS} {STAT_SELECT} FROM scored"
 
-LINE_COLS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax", "l_quantity"]
+LINE_COLS = [
+    "l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax", "l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
+]
 QUERIES["fd_pair_stats_lineitem"] = lambda spark, sf: rounded(dep.pair_statistics(load(spark, sf, "lineitem"), LINE_COLS))
 ORACLES["fd_pair_stats_lineitem"] = (
     f"WITH {pair_sql('lineitem', 'SELECT count(*) FROM lineitem', LINE_COLS)} {STAT_SELECT} FROM scored"
@@ -207,8 +211,9 @@ SELECT q.lhs, q.rhs, round(lhs_uniqueness, 6) AS lhs_uniqueness, round(confidenc
 FROM q JOIN k ON k.lhs = q.lhs AND k.rhs = q.rhs WHERE rank <= 8"""
 
 PROFILE_TABLES = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
 }
 
 
@@ -216,7 +221,7 @@ def key_profile(spark, sf):
     parts = [
         dep.key_profile(load(spark, sf, t), cols).withColumn("table_name", F.lit(t)) for t, cols in PROFILE_TABLES.items()
     ]
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 QUERIES["key_profile"] = key_profile
@@ -300,6 +305,35 @@ UNION ALL SELECT 'orders.o_custkey', 'customer_geo.c_custkey', 'fk_ind', round(1
 UNION ALL SELECT 'customer_geo.c_custkey', 'orders.o_custkey', 'inverse_fk', round(1.0, 6), NULL"""
 )
 
+PRINTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 QUERIES["table_fingerprint"] = lambda spark, sf: dep.fingerprint(
-    load(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    load(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")), PRINTED
 )
+ORACLES["table_fingerprint"] = f"""
+WITH h AS (SELECT ('0x' || substr(md5(concat_ws(chr(31), {', '.join(f"coalesce({'o_totalprice::DECIMAL(18,2)' if c == 'o_totalprice' else c}::VARCHAR, chr(8709))" for c in PRINTED)})), 1, 15))::BIGINT h FROM orders)
+SELECT count(*) AS row_count, bit_xor(h) AS hash_xor, sum(h % 1000003)::BIGINT AS hash_sum FROM h"""
+
+
+def ambiguity_features_dated(spark, sf):
+    """Events as dated versions of their user: each event reads the version its user had before it."""
+    e = load(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", F.hour("ts").cast("string").alias("hour"))
+    target = e.select("event_id", F.col("user_id").alias("who"), F.col("ts").alias("asked"))
+    return rounded(
+        dep.ambiguity_features(
+            target, e, e, [("hour", "event_type")], row_key=["event_id"], target_key="who", entity_key="user_id", entity_order=["hour"],
+            entity_time="ts", target_time="asked", cutoff="strict",
+        )
+    )
+
+
+QUERIES["ambiguity_features_dated"] = ambiguity_features_dated
+ORACLES["ambiguity_features_dated"] = """
+WITH v AS (SELECT event_id, user_id, ts, event_type, hour(ts)::VARCHAR h FROM events),
+cells AS (SELECT h, event_type, count(*) n FROM v GROUP BY ALL),
+amb AS (SELECT h, max(n)::DOUBLE / sum(n) mc, greatest(ln(sum(n)) - sum(n * ln(n)) / sum(n), 0) en, count(*) cc, sum(n)::BIGINT sc FROM cells GROUP BY h),
+seen AS (SELECT event_id, lag(h) OVER (PARTITION BY user_id ORDER BY ts) h FROM v)
+SELECT event_id, round(mc, 6) AS f_amb__hour_to_event_type__majconf, round(en, 6) AS f_amb__hour_to_event_type__entropy,
+  cc AS f_amb__hour_to_event_type__conflict_count, sc AS f_amb__hour_to_event_type__support_count,
+  (mc IS NULL)::INT AS f_amb__hour_to_event_type__majconf__is_missing, (mc IS NULL)::INT AS f_amb__hour_to_event_type__entropy__is_missing,
+  (mc IS NULL)::INT AS f_amb__hour_to_event_type__conflict_count__is_missing, (mc IS NULL)::INT AS f_amb__hour_to_event_type__support_count__is_missing
+FROM seen LEFT JOIN amb USING (h)"""

@@ -110,14 +110,14 @@ def metrics_multiclass(spark, sf):
 
 
 @query("metrics_probability", """
-WITH e AS (SELECT vec_id, label, [exp(embedding[i + 1]::DOUBLE) FOR i IN range(8)] x FROM embeddings),
+WITH e AS (SELECT vec_id, label, [exp(embedding[i + 1]::DOUBLE) FOR i IN range(10)] x FROM embeddings),
 p AS (SELECT label, [v / list_sum(x) FOR v IN x] p FROM e)
 SELECT count(*) AS n_rows, round(avg(-ln(greatest(p[label + 1], 1e-15))), 6) AS log_loss,
-  round(avg(1.0 / (1 + len([q FOR q IN p IF q > p[label + 1]]))), 6) AS mrr FROM p WHERE label < 8""")
+  round(avg(1.0 / (1 + len([q FOR q IN p IF q > p[label + 1]]))), 6) AS mrr FROM p""")
 def metrics_probability(spark, sf):
-    """Softmax over the first eight coordinates as class probabilities."""
-    e = load(spark, sf, "embeddings").where("label < 8").select(
-        "label", F.transform(F.slice("embedding", 1, 8), lambda x: F.exp(x.cast("double"))).alias("x")
+    """Softmax over the first ten coordinates as probabilities of the ten classes."""
+    e = load(spark, sf, "embeddings").select(
+        "label", F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double"))).alias("x")
     )
     total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
     e = e.withColumn("t", total).select("label", F.transform("x", lambda v: v / F.col("t")).alias("p"))

@@ -33,16 +33,30 @@ def train_val(spark, sf):
     return o.where(SPLIT_1998), o.where(f"not ({SPLIT_1998})")
 
 
+BUNDLE = {
+    "region": "r_regionkey,r_name",
+    "nation": "n_nationkey,n_name,n_regionkey",
+    "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment",
+    "supplier": "s_suppkey,s_name,s_nationkey,s_acctbal",
+    "part": "p_partkey,p_name,p_brand,p_type,p_size,p_retailprice",
+    "orders": "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority",
+    "lineitem": "l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate",
+    "events": "event_id,ts,user_id,event_type,value,props",
+    "documents": "doc_id,text,lang,source,n_chars",
+    "embeddings": "vec_id,embedding,label",
+    "pages": "page_id,url,html",
+    "benchmark": "item_id,text",
+    "labels": "doc_id,quality,toxic",
+    "conversations": "conv_id,turn,role,text",
+}
+
+
 @query("bundle_profile", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n_rows, {n} AS n_columns, '{cols}' AS column_names FROM {t}"
-    for t, n, cols in [
-        ("orders", 6, "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority"),
-        ("events", 6, "event_id,ts,user_id,event_type,value,props"),
-        ("labels", 3, "doc_id,quality,toxic"),
-    ]
+    for t, cols in BUNDLE.items() for n in [cols.count(",") + 1]
 ))
 def bundle_profile(spark, sf):
-    return tables.bundle_profile({t: load(spark, sf, t) for t in ("orders", "events", "labels")})
+    return tables.bundle_profile({t: load(spark, sf, t) for t in BUNDLE})
 
 
 @query("history_view", """

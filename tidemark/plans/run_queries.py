@@ -1,7 +1,7 @@
 """Run tables and gates built from metrics on the driver tables, with DuckDB oracles.
 
-Runs are real: two label tasks, four score variants, four seeds (each keeps 80% of the documents by
-hash), scored with the library's metrics.
+Runs are real: two label tasks, four score variants, four seeds (each mixes a tenth of its own hash noise into
+the scores), all labelled documents, scored with the library's metrics.
 """
 
 from __future__ import annotations
@@ -39,15 +39,12 @@ def run_rows(spark, sf):
     dfs = 1 / (1 + F.exp(-(F.col("digit_share") * 20.0 - 1.0)))
     comp = F.col("n_words").cast("double") / (F.col("n_words") + 200)
     scores = {"target_only": F.lit(0.5), "dfs": dfs, "compiled": comp, "compiled_plus": 0.5 * dfs + 0.5 * comp}
-    variants = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), e.alias("s")) for v, e in scores.items()]))
+    mixed = lambda v, e: e if v == "target_only" else 0.9 * e + 0.1 * F.col("noise")
+    variants = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), mixed(v, e).alias("s")) for v, e in scores.items()]))
     tasks = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("y")) for t in ("quality", "toxic")]))
-    kept = F.explode(
-        F.filter(
-            F.array(*[F.lit(s) for s in SEEDS]),
-            lambda s: F.conv(F.substring(F.md5(F.concat_ws("~", F.col("doc_id").cast("string"), s.cast("string"))), 1, 8), 16, 10).cast("bigint") % 100 < 80,
-        )
-    )
-    out = d.select("*", kept.alias("seed"))
+    out = d.select("*", F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("~", F.col("doc_id").cast("string"), F.col("seed").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    out = out.withColumn("noise", ((h % 1000).cast("double") + 0.5) / 1000)
     out = out.select("*", variants.alias("v")).select("*", tasks.alias("t"))
     return out.select(F.lit("docs").alias("dataset"), "t.task", "v.variant", "seed", "t.y", "v.s")
 
@@ -62,12 +59,12 @@ def run_table(spark, sf):
 
 
 RUNS_SQL = f"""{DOC_SQL},
-sd AS (SELECT doc.*, quality, toxic, seed FROM doc JOIN labels USING (doc_id), (VALUES (41), (42), (43), (44)) t(seed)
-  WHERE ('0x' || substr(md5(doc_id::VARCHAR || '~' || seed::VARCHAR), 1, 8))::BIGINT % 100 < 80),
+sd AS (SELECT doc.*, quality, toxic, seed, ((('0x' || substr(md5(doc_id::VARCHAR || '~' || seed::VARCHAR), 1, 8))::BIGINT % 1000)::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE u
+  FROM doc JOIN labels USING (doc_id), (VALUES (41), (42), (43), (44)) t(seed)),
 sv AS (SELECT *, 1 / (1 + exp(-(digit_share * 20.0 - 1.0))) d, n_words::DOUBLE / (n_words + 200) c FROM sd),
 sr AS (
-  SELECT seed, quality, toxic, 'target_only' AS variant, 0.5::DOUBLE s, 1 w FROM sv UNION ALL SELECT seed, quality, toxic, 'dfs', d, 3 FROM sv
-  UNION ALL SELECT seed, quality, toxic, 'compiled', c, 5 FROM sv UNION ALL SELECT seed, quality, toxic, 'compiled_plus', 0.5 * d + 0.5 * c, 8 FROM sv),
+  SELECT seed, quality, toxic, 'target_only' AS variant, 0.5::DOUBLE s, 1 w FROM sv UNION ALL SELECT seed, quality, toxic, 'dfs', 0.9::DOUBLE * d + 0.1::DOUBLE * u, 3 FROM sv
+  UNION ALL SELECT seed, quality, toxic, 'compiled', 0.9::DOUBLE * c + 0.1::DOUBLE * u, 5 FROM sv UNION ALL SELECT seed, quality, toxic, 'compiled_plus', 0.9::DOUBLE * (0.5 * d + 0.5 * c) + 0.1::DOUBLE * u, 8 FROM sv),
 sl AS (SELECT 'quality' AS task, variant, seed, w, quality y, s FROM sr UNION ALL SELECT 'toxic', variant, seed, w, toxic, s FROM sr),
 sc AS (SELECT task, variant, seed, w, s, count(*) FILTER (y = 1) p, count(*) FILTER (y = 0) n FROM sl GROUP BY ALL),
 sw AS (SELECT *, sum(p) OVER (k ORDER BY s DESC)::DOUBLE gp, sum(n) OVER (k ORDER BY s DESC)::DOUBLE gn, sum(p) OVER k::DOUBLE tp, sum(n) OVER k::DOUBLE tn

@@ -253,6 +253,23 @@ def _cooccurrence(spark, sf, hot_pairs):
     )
 
 
+def _shipped_together(spark, sf, hot_pairs):
+    """Parts of one order, each from its own shipping time."""
+    cut = F.expr("timestamp_ntz'1998-06-01 00:00:00' + make_dt_interval(cast(p_partkey % 900 as int))")
+    target = load(spark, sf, "part").select("p_partkey", cut.alias("cut"))
+    return rounded(
+        history.co_occurrence(
+            target, load(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_shipdate"), row_key=["p_partkey"], key="p_partkey",
+            target_time="cut", member="l_partkey", group="l_orderkey", time="l_shipdate", hot_pairs=hot_pairs,
+        )
+    )
+
+
+SHIPPED = COOC.replace("SELECT DISTINCT l_partkey p, l_orderkey g, o_orderdate d FROM lineitem JOIN orders ON l_orderkey = o_orderkey", "SELECT l_partkey p, l_orderkey g, min(l_shipdate) d FROM lineitem GROUP BY 1, 2")
+QUERIES["part_shipped_together"] = lambda spark, sf: _shipped_together(spark, sf, 250_000)
+ORACLES["part_shipped_together"] = SHIPPED
+QUERIES["part_shipped_together_hot_groups"] = lambda spark, sf: _shipped_together(spark, sf, 12)
+ORACLES["part_shipped_together_hot_groups"] = SHIPPED
 QUERIES["part_cooccurrence"] = lambda spark, sf: _cooccurrence(spark, sf, 250_000)
 ORACLES["part_cooccurrence"] = COOC
 QUERIES["part_cooccurrence_hot_groups"] = lambda spark, sf: _cooccurrence(spark, sf, 30)

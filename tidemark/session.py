@@ -32,9 +32,11 @@ def local_session(cpus: int = 8, app: str = "tidemark", memory: str = "12g") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is set."""
+    """The cluster's shared checkpoint folder; a scratch folder only in a local session, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", shared)
     spark.sparkContext.setCheckpointDir(shared)
