@@ -8,8 +8,8 @@ the table that is broadcast; a collision changes a weight alike in every documen
 Improved consistent weighted sampling gives each document BANDS * ROWS samples; documents that agree in a band
 share a bucket. A bucket is never paired with itself: its most popular member (of whose buckets most documents
 are) is compared with every other member by weighted Jaccard similarity of the whole texts. Links make
-components; in buckets that still hold several, one member of each of the HUBS smallest is compared with all
-members of the others, round by round, until a round finds no further link. Texts with the same words are one node throughout.
+components; then the most popular member of the next component in the bucket is compared with the others, for
+TURNS turns. Texts with the same words are one node throughout.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 IDF_SHARE = 0.25
-HUBS = 8
+TURNS = 4
 VOCABULARY_BITS = 18
 SCRATCH_BYTES = 1 << 20
 
@@ -175,19 +175,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(placed: DataFrame, turn: int, least: float) -> DataFrame:
-    """Members of each bucket beside members that stand for another component in it: (a, b), each pair once.
+    """Members of each bucket beside its hub of this turn: (a, b), each pair once.
 
-    At first the bucket's most popular member stands for all; later one member for each of its HUBS smallest
-    components. Pairs whose total weights alone keep them below ``least`` are left out.
+    Components present in a bucket take turns by their most popular member, which is the hub; it meets all
+    members of the other components. Pairs whose total weights alone keep them below ``least`` are left out.
     """
     best = F.max_by(F.struct("print", "mass"), F.struct("popular", "print"))
-    parts = placed.groupBy("band", "h", "label").agg(F.count("*").alias("n"), best.alias("best"), F.max("popular").alias("popular"))
-    mixed = parts.groupBy("band", "h").agg(F.count("*").alias("parts"), F.max_by(F.struct("label", "best"), F.struct("popular", "label")).alias("hub")).where("parts > 1")
-    if turn == 0:
-        hubs = mixed.select("band", "h", "hub.label", "hub.best")
-    else:
-        order = Window.partitionBy("band", "h").orderBy("n", F.xxhash64("label", F.lit(turn)), "label")
-        hubs = parts.join(mixed, ["band", "h"], "left_semi").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= HUBS).select("band", "h", "label", "best")
+    parts = placed.groupBy("band", "h", "label").agg(best.alias("best"), F.max("popular").alias("popular"))
+    order = Window.partitionBy("band", "h").orderBy(F.desc("popular"), "label")
+    hubs = parts.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= turn + 1).where(F.col("turn") == turn + 1)
     hubs = hubs.select("band", "h", F.col("label").alias("hub_label"), "best.*").withColumnsRenamed({"print": "hub", "mass": "hub_mass"})
     near = placed.join(hubs, ["band", "h"]).where(F.col("label") != F.col("hub_label")).where(F.least("mass", "hub_mass") >= F.greatest("mass", "hub_mass") * (least - 1e-6))
     return near.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
@@ -219,27 +215,26 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
     packed = store.kept(wanted.join(packed, ["key", "text_hash"]).groupBy("print").agg(F.max("packed").alias("packed")), "texts")
 
     labels = nodes.select(F.col("print").alias("node"), F.col("print").alias("label"))
-    tested, turn = None, 0
-    while True:
+    tested = None
+    for turn in range(TURNS):
         placed = buckets.join(labels, buckets["print"] == labels["node"]).select("band", "h", "print", "mass", "popular", "label")
         pairs = _pairs(placed, turn, least)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store.kept(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         both = pairs.join(packed.select(F.col("print").alias("a"), F.col("packed").alias("text_a")), "a")
         both = both.join(packed.select(F.col("print").alias("b"), F.col("packed").alias("text_b")), "b")
         found = store.kept(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shared, least), "a binary, b binary"), "found")
-        if found.isEmpty():
-            break
         tested = pairs if tested is None else tested.union(pairs)
+        if found.isEmpty():
+            continue
         old = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
         other = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
         links = store.kept(found.join(old, "a").join(other, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
         joined = graph.components(links.select(F.col("a").alias("node")).union(links.select("b")), links).select(F.col("node").alias("was"), F.col("label").alias("becomes"))
         labels = store.kept(labels.join(joined, labels["label"] == joined["was"], "left").select("node", F.coalesce("becomes", "label").alias("label")), "labels")
-        turn += 1
 
     smallest = labels.join(nodes.select("print", "key"), F.col("node") == F.col("print")).select("node", "label", "key")
     named = smallest.join(smallest.groupBy("label").agg(F.min("key").alias("class_id")), "label").select("node", "class_id")
