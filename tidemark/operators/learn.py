@@ -51,16 +51,20 @@ CALIBRATOR_FEATURES = [
 ]
 
 
-def calibrate_dependencies(stats: DataFrame, label: str, features: Sequence[str] = tuple(CALIBRATOR_FEATURES)) -> DataFrame:
-    """Probability that a dependency is meaningful: balanced, standardised logistic regression."""
+def calibrate_dependencies(
+    stats: DataFrame, label: str, features: Sequence[str] = tuple(CALIBRATOR_FEATURES), score: DataFrame | None = None
+) -> DataFrame:
+    """Probability that a dependency is meaningful: balanced, standardised logistic regression.
+
+    Fitted on ``stats``; the rows of ``score`` come back (those of ``stats`` itself if it is absent).
+    """
     share = stats.agg(F.avg(F.col(label).cast("double"))).first()[0]
     if not share or share == 1.0:
         raise ValueError("calibration needs both classes")
     weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share))
-    ready = stats.select(
-        "*", F.col(label).cast("double").alias("__y"), weight.alias("__w"),
-        *[F.coalesce(number(c), F.lit(0.0)).alias(f"__f_{i}") for i, c in enumerate(features)],
-    )
+    named = [F.coalesce(number(c), F.lit(0.0)).alias(f"__f_{i}") for i, c in enumerate(features)]
+    ready = stats.select("*", F.col(label).cast("double").alias("__y"), weight.alias("__w"), *named)
+    score = stats if score is None else score
     pipe = Pipeline(
         stages=[
             VectorAssembler(inputCols=[f"__f_{i}" for i in range(len(features))], outputCol="__raw"),
@@ -68,12 +72,13 @@ def calibrate_dependencies(stats: DataFrame, label: str, features: Sequence[str]
             LogisticRegression(labelCol="__y", featuresCol="__x", weightCol="__w", maxIter=100, regParam=0.01, standardization=False),
         ]
     )
-    out = pipe.fit(ready).transform(ready)
-    return out.select(*stats.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+    out = pipe.fit(ready).transform(score.select("*", *named))
+    return out.select(*score.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
 
 def calibration_heuristic(stats: DataFrame) -> DataFrame:
     """Fixed-weight score of the same statistics; a near-constant right side is penalised."""
+    # fixed values: the weights
     c = lambda n, d=0.0: F.coalesce(F.col(n), F.lit(d))
     return stats.withColumn(
         "heuristic",

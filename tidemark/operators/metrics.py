@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import canonical_class
-from tidemark.operators.scan import exact_medians, prefix_scan
+from tidemark.operators.scan import BY_SIZE, exact_medians, prefix_scan
 
 EPS = 1e-15
 
@@ -30,7 +30,7 @@ def ranking_aggregates(ge_pos: Column, ge_neg: Column) -> dict[str, Column]:
     return {"roc_auc": F.when((p > 0) & (n > 0), auc), "average_precision": F.when(p > 0, ap)}
 
 
-def with_counts_above(counts: DataFrame, by: Sequence[str], splits: int = 64, raw: DataFrame | None = None) -> DataFrame:
+def with_counts_above(counts: DataFrame, by: Sequence[str], splits: int = BY_SIZE, raw: DataFrame | None = None) -> DataFrame:
     """Add counts at or above each score; the score order is cut into slices, so groups may be huge.
 
     ``raw`` holds the scores ``__s`` before counting and is only used to place the slice boundaries.
@@ -41,7 +41,7 @@ def with_counts_above(counts: DataFrame, by: Sequence[str], splits: int = 64, ra
 
 
 def binary_metrics(
-    df: DataFrame, y: str, score: str, by: Sequence[str] = (), *, threshold: float = 0.5, eps: float = EPS, splits: int = 64
+    df: DataFrame, y: str, score: str, by: Sequence[str] = (), *, threshold: float = 0.5, eps: float = EPS, splits: int = BY_SIZE
 ) -> DataFrame:
     """Rows, accuracy, ROC-AUC, average precision and clipped log-loss per group, in one pass over scores."""
     raw = df.where(F.col(score).isNotNull()).select(*by, F.col(score).cast("double").alias("__s"))
@@ -109,7 +109,7 @@ def regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ())
     )
 
 
-def log_regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = (), splits: int = 64) -> DataFrame:
+def log_regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = (), splits: int = BY_SIZE) -> DataFrame:
     """The same on log(1 + x) after clipping at 0, with the exact median absolute error on the plain scale."""
     clipped = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).select(
         *by,

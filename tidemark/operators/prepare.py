@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import canonical_class, number, require_columns
-from tidemark.operators.scan import bounded, exact_medians, numbered
+from tidemark.operators.scan import BY_SIZE, bounded, exact_medians, numbered
 
 
 def expand_array(df: DataFrame, column: str, size: int | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def ordinal_codes(frames: Sequence[DataFrame], column: str) -> DataFrame:
     """(column, code): sorted distinct values of all frames numbered from 0, in slices of the value order."""
     values = reduce(lambda a, b: a.unionAll(b), [f.select(F.col(column).cast("string").alias(column)) for f in frames])
     distinct = values.where(F.col(column).isNotNull()).distinct()
-    coded = numbered(distinct, [], [F.col(column)], "code", splits=64)
+    coded = numbered(distinct, [], [F.col(column)], "code", splits=BY_SIZE)
     return coded.withColumn("code", (F.col("code") - 1).cast("bigint"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import number
 from tidemark.operators.metrics import ranking_aggregates, with_counts_above
-from tidemark.operators.scan import bounded, value_counts
+from tidemark.operators.scan import BY_SIZE, bounded, value_counts
 
 
 def ranked(df: DataFrame, order: Sequence[Column], k: int | None = None, groups: Sequence[str] = ()) -> DataFrame:
@@ -66,7 +66,7 @@ def top_columns(scored: DataFrame, score: str, k: int) -> list[str]:
     return [r["feature"] for r in scored.orderBy(F.desc(score), "feature").limit(k).collect()]
 
 
-def supervised_scores(df: DataFrame, features: Sequence[str], label: str, *, bins: int = 10, splits: int = 64) -> DataFrame:
+def supervised_scores(df: DataFrame, features: Sequence[str], label: str, *, bins: int = 10, splits: int = BY_SIZE) -> DataFrame:
     """ROC-AUC, oriented AUC, average precision, binned mutual information of every feature in one job.
 
     Missing values count as 0. Mutual information (nats) uses equal-count bins of the score order, ties

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import gaussian, hash_hex, hash_int, key_text
-from tidemark.operators.scan import numbered
+from tidemark.operators.scan import BY_SIZE, numbered
 
 SMALL_SAMPLE = 1_000  # a top-k this small merges cheaply even from very many tasks
 
@@ -31,7 +31,7 @@ def hash_quota(df: DataFrame, row_key: Sequence[str], seed: int, by: Sequence[st
     )
     marked = rows.join(marks, [*by, "__b"])
     whole = marked.where(F.col("__whole"))
-    edge = numbered(marked.where(~F.col("__whole")), list(by), [F.col("__h"), *row_key], "__rank", splits=1)
+    edge = numbered(marked.where(~F.col("__whole")), list(by), [F.col("__h"), *row_key], "__rank", splits=BY_SIZE)
     edge = edge.where(F.col("__rank") <= F.col("__room"))
     return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
@@ -63,7 +63,7 @@ def random_features(df: DataFrame, n: int, row_key: Sequence[str], seed: int, sp
     return df.select("*", *[gaussian(row_key, seed, split, j).alias(f"random_{j}") for j in range(n)])
 
 
-def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id", splits: int = 64) -> DataFrame:
+def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id", splits: int = BY_SIZE) -> DataFrame:
     """Row number over a total order, for tables without a key (sliced, so no single sorting task)."""
     return numbered(df, [], [F.col(c) for c in order], name, splits=splits)
 
@@ -89,7 +89,7 @@ def candidate_pairs(
     distinct = universe.select(F.col(universe_item).alias("candidate")).where(F.col("candidate").isNotNull()).distinct()
     placed = numbered(
         distinct, [], [F.md5(F.concat_ws("~", F.col("candidate").cast("string"), F.lit(str(seed)))), F.col("candidate")],
-        "__i", splits=64,
+        "__i", splits=BY_SIZE,
     ).withColumn("__i", F.col("__i") - 1)
     size = distinct.agg(F.count("*").alias("n")).scalar()
     wanted = F.greatest(F.lit(1), F.size("__pos") * negatives_per_positive)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-MOST_SPLITS = 16_384
+BY_SIZE = 0  # as a number of slices: as many as keep a slice at about ROWS_PER_TASK rows
 SLICE = "__slice"
 
 
@@ -30,8 +30,7 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 def measure_groups(
     *sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK
 ) -> tuple[int, dict[str, int]]:
-    """(splits, largest group per key domain): 1 split if every group fits one task, else the number of
-    slices that keeps a slice within it.
+    """(splits, largest group per key domain): 1 split if every group fits one task, else BY_SIZE.
 
     A side is (base table, key columns, key domain); sides of one domain add up per key. Pass base
     tables, not derived ones: each table is read once, column-pruned, and counts combine map-side; one row
@@ -42,12 +41,9 @@ def measure_groups(
         tables.setdefault(id(df), (df, []))[1].append(F.struct(F.lit(domain).alias("d"), F.xxhash64(*keys).alias("h")))
     tagged = [df.select(F.explode(F.array(*tags)).alias("s")).select("s.d", "s.h") for df, tags in tables.values()]
     counts = reduce(lambda a, b: a.unionAll(b), tagged).groupBy("d", "h").count()
-    found = counts.groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("total")).collect()
+    found = counts.groupBy("d").agg(F.max("count").alias("largest")).collect()
     largest = {domain: 0 for _, _, domain in sides} | {r["d"]: r["largest"] for r in found}
-    over = [r["total"] for r in found if r["largest"] > rows_per_task]
-    if not over:
-        return 1, largest
-    return int(min(MOST_SPLITS, max(2, -(-max(over) // rows_per_task)))), largest
+    return 1 if all(n <= rows_per_task for n in largest.values()) else BY_SIZE, largest
 
 
 def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK) -> int:
@@ -57,27 +53,24 @@ def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: i
 def with_slice(rows: DataFrame, order: str, spread_by: Sequence[str], splits: int, marks_from: DataFrame | None = None) -> DataFrame:
     """Add a slice number that is monotone in ``order`` and holds about 1/splits of all rows.
 
-    Boundaries are ``splits - 1`` order values of rows drawn by hash, so they work for any orderable
-    type. They only decide where a group is cut, never a result. ``marks_from`` is a cheaper table to
-    draw them from (columns ``spread_by`` and ``order``). Lookup is two-step, root(splits) each.
+    Boundaries are order values of rows drawn by hash, so they work for any orderable type: ``splits - 1``
+    of them, or by size every ROWS_PER_TASK-th, so their number follows the table, and each of several groups
+    gets its own share. They only decide where a group is cut, never a result. ``marks_from`` is a cheaper table
+    to draw them from (columns ``spread_by`` and ``order``). Lookup is two-step, a square root each.
     """
-    step = max(2, int(splits**0.5))
     drawn = (rows if marks_from is None else marks_from).select(
         F.col(order).alias("v"), F.xxhash64(*spread_by).alias("h")
     ).where(F.col("v").isNotNull())
-    if splits > 1024:  # only measured on tables of splits * ROWS_PER_TASK rows: thin out before the top-k
-        drawn = drawn.where(F.pmod("h", F.lit(ROWS_PER_TASK // 50)) == 0)
+    if splits == BY_SIZE:
+        drawn = drawn.where(F.pmod("h", F.lit(ROWS_PER_TASK)) == 0).select("v").distinct()
+    else:
+        drawn = drawn.orderBy("h", "v").limit(splits - 1)
     marks = (
-        drawn.orderBy("h", "v")
-        .limit(splits - 1)
-        .agg(F.sort_array(F.collect_list("v")).alias("fine"))
-        .select(
-            F.struct(
-                "fine",
-                F.filter("fine", lambda _, i: i % step == 0).alias("coarse"),
-            ).alias("m")
-        )
+        drawn.agg(F.sort_array(F.collect_list("v")).alias("fine"))
+        .withColumn("step", F.greatest(F.lit(2), F.floor(F.sqrt(F.size("fine"))).cast("int")))
+        .select(F.struct("fine", "step", F.filter("fine", lambda _, i: i % F.col("step") == 0).alias("coarse")).alias("m"))
     )
+    step = F.col("__slice_marks.step")
     block = F.size(F.filter(F.col("__slice_marks.coarse"), lambda p: p <= F.col(order)))
     inside = F.size(F.filter(F.slice(F.col("__slice_marks.fine"), (block - 1) * step + 1, step), lambda p: p <= F.col(order)))
     place = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
@@ -110,7 +103,7 @@ def prefix_scan(
 
     turn = F.desc if reverse else F.asc
 
-    if splits <= 1:
+    if splits == 1:
         w = W.partitionBy(*keys).orderBy(turn(order)).rowsBetween(W.unboundedPreceding, last)
         return rows.select(*plain, *[pick[c](c).over(w).alias(c) for c in states])
 
@@ -135,7 +128,7 @@ def prefix_scan(
 
 def with_neighbours(rows: DataFrame, keys: Sequence[str], order: str, splits: int) -> DataFrame:
     """Add ``__prev`` and ``__next``, the neighbouring order values within ``keys``."""
-    if splits <= 1:
+    if splits == 1:
         w = W.partitionBy(*keys).orderBy(order)
         return rows.select("*", F.lag(order).over(w).alias("__prev"), F.lead(order).over(w).alias("__next"))
     both = rows.distinct().select("*", F.col(order).alias("__prev"), F.col(order).alias("__next"))
@@ -175,7 +168,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return long.where(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(F.count("*").alias("n"))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), *, splits: int = 64) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), *, splits: int = BY_SIZE) -> DataFrame:
     """(by, feature, median), exact, from value counts and a sliced running count.
 
     The built-in exact percentile keeps all distinct values of a group in one buffer; this does not.

@@ -110,7 +110,7 @@ def as_of_state(
     if splits is None:
         splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
 
-    if splits <= 1:
+    if splits == 1:
         marked = events.withColumn("__side", F.lit(0)).unionByName(
             known.withColumn("__side", F.lit(1)), allowMissingColumns=True
         )

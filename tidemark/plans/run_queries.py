@@ -6,6 +6,9 @@ the scores), all labelled documents, scored with the library's metrics.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import dependency as dep
@@ -376,30 +379,57 @@ def efficiency_join(spark, sf):
     return rounded(runs.efficiency_table(m, timing, "export", "eval"))
 
 
+def _in_range(c):
+    return F.coalesce((F.col(c) >= 0) & (F.col(c) <= 1), F.lit(False))
+
+
+@query("decoder_scores", "SELECT doc_id, quality::DOUBLE AS y_true, true AS score_in_range FROM labels JOIN documents USING (doc_id)")
 def decoder_scores(spark, sf):
-    """Boosted trees on document features: trained on four fifths of the labelled documents."""
+    """Boosted trees on document features: every labelled document is scored by a model of the other half."""
     d = labelled(spark, sf)
-    return learn.score_matrix(d.where("doc_id % 5 != 0"), d.where("doc_id % 5 = 0"), label="quality", features=DOC_FEATURES, row_key=["doc_id"])
+    folds = [
+        learn.score_matrix(d.where(f"doc_id % 2 != {k}"), d.where(f"doc_id % 2 = {k}"), label="quality", features=DOC_FEATURES, row_key=["doc_id"])
+        for k in range(2)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), folds).select("doc_id", "y_true", _in_range("y_score").alias("score_in_range"))
+
 
+def _calibration_rows(df, columns, key, right):
+    s = dep.calibration_statistics(df, columns, row_key=[key], replicates=4)
+    known = F.concat_ws(">", "lhs", "rhs").isin(right)
+    return s.withColumn("schema_flag", F.lit(0)).withColumn("truth", known.cast("int"))
 
-def _calibration_rows(spark, sf):
-    s = dep.calibration_statistics(customer_geo(spark, sf), GEO_COLS, row_key=["c_custkey"], replicates=4)
-    truth = F.col("lhs").isin("n_name", "n_regionkey") & F.col("rhs").isin("r_name", "n_regionkey")
-    return s.withColumn("schema_flag", F.lit(0)).withColumn("truth", truth.cast("int"))
 
+SUPPLIER_COLS = ["s_nationkey", "s_nation", "s_region", "s_cents"]
 
+
+@query("dependency_calibrator", " UNION ALL ".join(
+    f"SELECT '{a}' AS lhs, '{b}' AS rhs, {int((a, b) in [('s_nationkey', 's_nation'), ('s_nation', 's_nationkey'), ('s_nationkey', 's_region'), ('s_nation', 's_region')])} AS truth, "
+    "true AS probability_in_range, true AS ordered FROM (SELECT 1 WHERE (SELECT count(*) FROM supplier) > 0)"
+    for a in SUPPLIER_COLS for b in SUPPLIER_COLS if a != b
+))
 def dependency_calibrator(spark, sf):
-    return learn.calibration_heuristic(learn.calibrate_dependencies(_calibration_rows(spark, sf), "truth"))
+    """Fitted on the dependencies of customers, applied to those of suppliers; true ones rank first on average."""
+    fit = _calibration_rows(customer_geo(spark, sf), GEO_COLS, "c_custkey", ["n_name>r_name", "n_name>n_regionkey", "n_regionkey>r_name"])
+    n, r = load(spark, sf, "nation"), load(spark, sf, "region")
+    s = load(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, n.n_regionkey == r.r_regionkey)
+    s = s.select("s_suppkey", "s_nationkey", F.col("n_name").alias("s_nation"), F.col("r_name").alias("s_region"), F.floor(F.col("s_acctbal") * 100 % 100).alias("s_cents"))
+    truth = ["s_nationkey>s_nation", "s_nation>s_nationkey", "s_nationkey>s_region", "s_nation>s_region"]
+    out = learn.calibration_heuristic(learn.calibrate_dependencies(fit, "truth", score=_calibration_rows(s, SUPPLIER_COLS, "s_suppkey", truth)))
+    mean = lambda t: F.avg(F.when(F.col("truth") == t, F.col("heuristic"))).over(W.partitionBy())  # noqa: E731  one row per column pair
+    return out.select("lhs", "rhs", "truth", _in_range("probability").alias("probability_in_range"), (mean(1) > mean(0)).alias("ordered"))
 
 
-def program_ranker(spark, sf):
-    """Feature metadata of the document features, known good ones learned from the profile alone."""
-    p = rank.rule_features(
-        rank.feature_profile(doc_features(spark, sf), DOC_FEATURES), {"is_count": F.col("feature").startswith("n_"), "is_share": F.col("feature").contains("share")}
-    ).withColumn("known", F.col("feature").isin("digit_share", "n_words").cast("int"))
-    return learn.learn_program_ranker(p, p, ["nonnull_rate", "distinct_ratio", "std", "mean_abs", "is_count", "is_share"], "known")
+ORDER_FEATURES = ["o_totalprice", "month", "weekday", "n_letters"]
 
 
-QUERIES["decoder_scores"] = decoder_scores
-QUERIES["dependency_calibrator"] = dependency_calibrator
-QUERIES["program_ranker"] = program_ranker
+@query("program_ranker", " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS score_in_range FROM (SELECT 1 WHERE (SELECT count(*) FROM orders) > 0)" for f in ORDER_FEATURES))
+def program_ranker(spark, sf):
+    """Learned from the profiles of document features, applied to those of order features."""
+    meta = ["nonnull_rate", "distinct_ratio", "std", "mean_abs", "is_count", "is_share"]
+    rules = {"is_count": F.col("feature").startswith("n_"), "is_share": F.col("feature").contains("share")}
+    known = rank.rule_features(rank.feature_profile(doc_features(spark, sf), DOC_FEATURES), rules)
+    known = known.withColumn("known", F.col("feature").isin("digit_share", "n_words").cast("int"))
+    o = load(spark, sf, "orders").select("o_totalprice", F.month("o_orderdate").alias("month"), F.dayofweek("o_orderdate").alias("weekday"), F.length("o_orderpriority").alias("n_letters"))
+    new = rank.rule_features(rank.feature_profile(o, ORDER_FEATURES), rules)
+    return learn.learn_program_ranker(known, new, meta, "known").select("feature", _in_range("ranker_score").alias("score_in_range"))
