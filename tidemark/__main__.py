@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("spec")
     p.add_argument("bundle")
     p.add_argument("out")
+    p.add_argument("--test", action="store_true", help="there is a test split as well")
     args = parser.parse_args(argv)
     builder = SparkSession.builder.appName("tidemark")
     for name, value in SETTINGS.items():
@@ -30,14 +31,21 @@ def main(argv: list[str] | None = None) -> None:
         tables.bundle_profile(tables.read_bundle(spark, args.bundle, args.tables)).show(1000, truncate=False)
         return
     spec = compile_task.TaskSpec.read(args.spec)
-    names = {spec.child_table, *([spec.entity_table] if spec.entity_table else [])}
-    data = tables.read_bundle(spark, args.bundle, sorted(names), ["train", "val"])
-    targets = {s: data.pop(f"target_{s}") for s in ("train", "val")}
+    names = {spec.child_table, *([spec.entity_table] if spec.entity_table else []), *(t for b in spec.blocks for t in b["tables"])}
+    splits = ["train", "val", *(["test"] if args.test else [])]
+    data = tables.read_bundle(spark, args.bundle, sorted(names), splits)
+    targets = {s: data.pop(f"target_{s}") for s in splits}
     chosen, decision, runs, edges = compile_task.run_task(spark, spec, targets, data)
     for split, matrix in chosen.items():
         tables.write_table(matrix, f"{args.out}/matrix_{split}.parquet")
     if runs is not None:
         tables.write_csv(runs, f"{args.out}/runs")
+    for split in splits[1:]:
+        tables.write_table(compile_task.predictions(spec, chosen, split), f"{args.out}/predictions_{split}.parquet")
+    told = {"task": spec.name, **decision.asDict(), "edges": "; ".join(f"{a}->{b}" for a, b in edges)}
+    tables.write_csv(spark.createDataFrame([{k: str(v) for k, v in told.items()}]), f"{args.out}/decision")
+    features = compile_task.feature_columns(spec, chosen["train"])
+    tables.write_csv(spark.createDataFrame([(c,) for c in features], "feature string"), f"{args.out}/manifest")
     print(decision.asDict(), "edges:", edges)
 
 

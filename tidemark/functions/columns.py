@@ -147,12 +147,27 @@ def binary_label(column: Column | str) -> Column:
     )
 
 
-def canonical_class(column: Column | str) -> Column:
-    """Class name under which ``6``, ``6.0`` and ``'6'`` agree; other text is kept as it is."""
+def all_numbers(*tables: tuple[DataFrame, str]) -> Column:
+    """Whether all values of the (table, column) pairs read as numbers, as a scalar subquery."""
+    one = [df.agg(F.coalesce(F.bool_and(F.col(c).isNull() | F.trim(F.col(c).cast("string")).try_cast("double").isNotNull()), F.lit(True))).scalar() for df, c in tables]
+    out = one[0]
+    for o in one[1:]:
+        out = out & o
+    return out
+
+
+def canonical_class(column: Column | str, numeric: Column | None = None) -> Column:
+    """Class name under which ``6``, ``6.0`` and ``'6'`` agree.
+
+    ``numeric`` says whether the whole column is numbers (see ``all_numbers``): if not, every value stays the
+    text it is; without it, each value is judged by itself.
+    """
     c = F.col(column) if isinstance(column, str) else column
     text = F.trim(c.cast("string"))
     x = text.try_cast("double")
     whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
+    if numeric is not None:
+        whole, x = whole & numeric, F.when(numeric, x)
     return F.when(whole, x.cast("bigint").cast("string")).when(x.isNotNull(), x.cast("string")).otherwise(text)
 
 

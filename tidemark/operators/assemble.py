@@ -15,14 +15,25 @@ from tidemark.operators.scan import first_row, numbered
 
 
 def assemble_blocks(base: DataFrame, blocks: Sequence[DataFrame], row_key: Sequence[str]) -> DataFrame:
-    """Left join of per-row feature blocks; feature names must not overlap."""
+    """Left join of per-row feature blocks; feature names must not overlap, and a repeated key in a block is an error."""
     taken = set(base.columns)
     for b in blocks:
         clash = (set(b.columns) - set(row_key)) & taken
         if clash:
             raise ValueError(f"overlapping feature columns {sorted(clash)}")
         taken |= set(b.columns)
-    return reduce(lambda a, b: a.join(b, list(row_key), "left"), blocks, base)
+    return reduce(lambda a, b: a.join(_one_row_per_key(b, row_key), list(row_key), "left"), blocks, base)
+
+
+def _one_row_per_key(block: DataFrame, row_key: Sequence[str]) -> DataFrame:
+    """The block itself; reading any feature of a repeated key fails. Shuffles on the key the join needs anyway."""
+    features = [c for c in block.columns if c not in row_key]
+    if not features:
+        return block.distinct()
+    told = F.concat(F.lit("repeated row key in a feature block: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in row_key]))
+    rows = block.groupBy(*row_key).agg(F.count("*").alias("__n"), F.first(F.struct(*features)).alias("__f"))
+    checked = F.when(F.col("__n") == 1, F.col("__f")).otherwise(F.raise_error(told).cast(rows.schema["__f"].dataType))
+    return rows.select(*row_key, checked.alias("__f")).select(*row_key, *[F.col(f"__f.{c}").alias(c) for c in features])
 
 
 def row_key_report(base: DataFrame, blocks: Mapping[str, DataFrame], row_key: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import canonical_class
+from tidemark.functions.columns import all_numbers, canonical_class
 from tidemark.operators.scan import BY_SIZE, exact_medians, prefix_scan
 
 EPS = 1e-15
@@ -59,8 +59,9 @@ def binary_metrics(
 
 def multiclass_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy and micro/macro/weighted F1 from confusion counts; zero where a class has no hit."""
+    numeric = all_numbers((df, y), (df, pred))
     cells = (
-        df.select(*by, canonical_class(y).alias("t"), canonical_class(pred).alias("p"))
+        df.select(*by, canonical_class(y, numeric).alias("t"), canonical_class(pred, numeric).alias("p"))
         .dropna(subset=["t", "p"])
         .groupBy(*by, "t", "p")
         .agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import canonical_class, number, require_columns
+from tidemark.functions.columns import all_numbers, canonical_class, number, require_columns
 from tidemark.operators.scan import BY_SIZE, bounded, exact_medians, numbered
 
 
@@ -24,14 +24,16 @@ def expand_array(df: DataFrame, column: str, size: int | None = None) -> DataFra
 
 def keep_seen_classes(train: DataFrame, val: DataFrame, label: str) -> DataFrame:
     """Validation rows whose class occurs in training; the class list combines map-side."""
-    seen = train.select(canonical_class(label).alias("__cls")).where(F.col("__cls").isNotNull()).distinct()
-    return val.withColumn("__cls", canonical_class(label)).join(seen, "__cls", "left_semi").drop("__cls")
+    numeric = all_numbers((train, label), (val, label))
+    seen = train.select(canonical_class(label, numeric).alias("__cls")).where(F.col("__cls").isNotNull()).distinct()
+    return val.withColumn("__cls", canonical_class(label, numeric)).join(seen, "__cls", "left_semi").drop("__cls")
 
 
 def unseen_class_report(train: DataFrame, val: DataFrame, label: str) -> DataFrame:
     """One row: validation rows, rows kept, rows dropped for an unseen class."""
-    seen = train.select(canonical_class(label).alias("__cls")).distinct().withColumn("__seen", F.lit(1))
-    per_class = val.select(canonical_class(label).alias("__cls")).groupBy("__cls").agg(F.count("*").alias("n"))
+    numeric = all_numbers((train, label), (val, label))
+    seen = train.select(canonical_class(label, numeric).alias("__cls")).distinct().withColumn("__seen", F.lit(1))
+    per_class = val.select(canonical_class(label, numeric).alias("__cls")).groupBy("__cls").agg(F.count("*").alias("n"))
     return per_class.join(seen, "__cls", "left").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("__seen").isNotNull(), F.col("n"))), F.lit(0)).alias("kept"),
@@ -39,6 +41,14 @@ def unseen_class_report(train: DataFrame, val: DataFrame, label: str) -> DataFra
     )
 
 
+def require_seen_classes(train: DataFrame, val: DataFrame, label: str) -> DataFrame:
+    """``keep_seen_classes``, but an error where no validation row has a class of the training rows."""
+    kept = keep_seen_classes(train, val, label)
+    if kept.isEmpty():
+        raise ValueError("no validation row has a class that occurs in training")
+    return kept
+
+
 def _per_column(df: DataFrame, columns: Sequence[str], parts: Mapping[str, object]) -> DataFrame:
     """(column, part, ...) from one wide aggregate: a single pass, no row expansion."""
     wide = df.agg(*[fn(c).alias(f"{p}_{i}") for i, c in enumerate(columns) for p, fn in parts.items()])

@@ -12,6 +12,8 @@ from tidemark.functions.columns import gaussian, hash_hex, hash_int, key_text
 from tidemark.operators.scan import BY_SIZE, numbered
 
 SMALL_SAMPLE = 1_000  # a top-k this small merges cheaply even from very many tasks
+# The first primes beyond 10**12; universes are smaller.
+STRIDES = [10**12 + k for k in (39, 61, 63, 91, 121, 163, 169, 177)]
 
 
 def hash_quota(df: DataFrame, row_key: Sequence[str], seed: int, by: Sequence[str], quotas: DataFrame) -> DataFrame:
@@ -80,9 +82,10 @@ def candidate_pairs(
 ) -> DataFrame:
     """(row_key, candidate, label): every positive, and ``max(1, n_pos * r)`` distinct negatives per row.
 
-    The universe is put on a circle in hash order. A row walks it from its own hashed start for
-    ``n_pos + n_neg`` steps, which always holds enough items outside its positives if the universe does,
-    so no redraw is needed.
+    The universe is put on a circle in hash order. A row walks it from its own hashed start in long strides,
+    one of eight, for ``n_pos + n_neg`` steps. A stride shares no factor with the circle's size, so the steps
+    are distinct and always hold enough items outside its positives if the universe does: no redraw is needed,
+    and rows that start close to each other soon part.
     """
     rows = positives.select(*row_key, F.array_compact(F.coalesce(F.col(items), F.array().cast("array<bigint>"))).alias("__pos"))
     pos = rows.select(*row_key, F.explode("__pos").alias("candidate"))
@@ -94,12 +97,15 @@ def candidate_pairs(
     size = distinct.agg(F.count("*").alias("n")).scalar()
     wanted = F.greatest(F.lit(1), F.size("__pos") * negatives_per_positive)
     steps: Column = F.least(F.size(F.array_distinct("__pos")) + F.col("__want"), F.col("__size"))
+    digest = F.md5(key_text(row_key, seed))
+    start = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    stride = F.element_at(F.array(*[F.lit(p) for p in STRIDES]), F.conv(F.substring(digest, 16, 1), 16, 10).cast("int") % len(STRIDES) + 1)
     walk = (
         rows.withColumn("__want", wanted.cast("bigint"))
         .withColumn("__size", size)
         .where(F.col("__size") > 0)
         .select(*row_key, "__want", "__size", F.explode(F.sequence(F.lit(0).cast("bigint"), steps - 1)).alias("__j"))
-        .withColumn("__i", (hash_int(key_text(row_key, seed)) + F.col("__j")) % F.col("__size"))
+        .withColumn("__i", (start % F.col("__size") + F.col("__j") * (stride % F.col("__size"))) % F.col("__size"))
     )
     drawn = walk.join(placed, "__i").join(pos, [*row_key, "candidate"], "left_anti")
     w = W.partitionBy(*row_key).orderBy("__j")

@@ -306,8 +306,9 @@ def occurrence_join(spark, sf):
 WITH pos AS (SELECT o_custkey k, list(DISTINCT l_partkey) ps FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
 u AS (SELECT p_partkey c, row_number() OVER (ORDER BY md5(p_partkey::VARCHAR || '~41'), p_partkey) - 1 i FROM part),
 n AS (SELECT count(*) n FROM part),
-st AS (SELECT k, ps, n, ('0x' || substr(md5(k::VARCHAR || '~41'), 1, 8))::BIGINT s, greatest(1, len(ps)) w FROM pos, n),
-dr AS (SELECT k, w, j, c FROM (SELECT *, unnest(range(0, least(len(ps) + w, n)::BIGINT)) j FROM st) d JOIN u ON u.i = (s + j) % n WHERE NOT list_contains(ps, c)),
+st AS (SELECT k, ps, n, ('0x' || substr(md5(k::VARCHAR || '~41'), 1, 15))::BIGINT s, greatest(1, len(ps)) w,
+  1000000000000 + [39, 61, 63, 91, 121, 163, 169, 177][('0x' || substr(md5(k::VARCHAR || '~41'), 16, 1))::BIGINT % 8 + 1] p FROM pos, n),
+dr AS (SELECT k, w, j, c FROM (SELECT *, unnest(range(0, least(len(ps) + w, n)::BIGINT)) j FROM st) d JOIN u ON u.i = (s % n + j * (p % n)) % n WHERE NOT list_contains(ps, c)),
 ng AS (SELECT k, c FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j) r FROM dr) WHERE r <= w)
 SELECT k AS o_custkey, c AS candidate, 0 AS label FROM ng UNION ALL SELECT k, unnest(ps), 1 FROM pos""")
 def candidate_pairs(spark, sf):
