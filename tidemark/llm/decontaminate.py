@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
+from tidemark.llm.batches import mapped
 
 TABLE_BITS = 16
 SCRATCH_BYTES = 4 << 20
@@ -98,11 +99,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, key: s
     of either table are ignored, whatever their names. With an empty benchmark nothing is hit.
     """
     spark = docs.sparkSession
-    rows = (
-        items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text"))
-        .mapInArrow(_item_windows(window), "n int, window binary, item string")
-        .distinct()
-    )
+    rows = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text"))
+    rows = mapped(rows, _item_windows(window), "n int, window binary, item string").distinct()
     size = rows.agg(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kept = keep or []
@@ -113,7 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, key: s
         for n, w, item in rows.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).toLocalIterator():
             held[n][bytes(w)] += [item] if item is not None else []
         shared = spark.sparkContext.broadcast([Tables(n, dict(w)) for n, w in held.items()])
-        out = out.mapInArrow(_search(shared), out.schema)
+        out = mapped(out, _search(shared), out.schema)
     sorted_items = F.array_sort("items")
     return out.select(
         F.col("key").alias(key), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept) if c != key], "n_words",

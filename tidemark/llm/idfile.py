@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import store, tokens
+from tidemark.llm.batches import mapped
 
 MAGIC = b"IDMIX1\n"
 BLOCK_IDS, LANES = 4096, 512
@@ -305,7 +306,7 @@ def write(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     schema = "file bigint, path string, n_ids bigint"
-    rows.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    mapped(rows, run, schema).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(schema).parquet(f"{folder}/manifest")
 
 
@@ -345,4 +346,4 @@ def read(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
     schema = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return placed.repartition(max(1, manifest.count())).mapInArrow(run, schema)  # a task per file
+    return mapped(placed.repartition(max(1, manifest.count())), run, schema)  # a task per file

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import mapped
+
 DICTIONARY_BYTES = 256 << 10
 SAMPLE_ROWS = 400  # labelled texts per language that a dictionary is drawn from
 SAMPLE_CHARS = 800
@@ -88,7 +90,7 @@ def identify(df: DataFrame, samples: dict[str, bytes], *, key: str = "doc_id", t
     kept = keep or []
     rows = df.select(F.col(key).alias("key"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("pad")).alias("row"), F.col(text).alias("text"))
     schema = rows.select("key", "row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin")).schema
-    out = rows.mapInArrow(_classify(samples), schema)
+    out = mapped(rows, _classify(samples), schema)
     return out.select(
         F.col("key").alias(key), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept) if c != key], "lang_pred", "score",
         ((F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= margin)).alias("accepted"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
+from tidemark.llm.batches import mapped
 
 BLOCK = 4096  # lengths per block of the suffix sums
 
@@ -26,7 +27,7 @@ def lengths(docs: DataFrame, *, text: str = "text", vocabulary: str = tokens.BYT
             n, count = np.unique(coder.lengths(batch["text"].to_pylist()) + end_ids, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(count.astype(np.int64))], names=["n_tokens", "n_docs"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return mapped(docs.select(F.col(text).alias("text")), run, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

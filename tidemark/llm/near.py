@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import graph, store
 from tidemark.llm import words as W
+from tidemark.llm.batches import mapped
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,7 +52,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def idf_table(texts: DataFrame) -> np.ndarray:
     """idf by hashed word, scaled to [0, 1], over all documents; words never seen have 1."""
-    counted = texts.select("text").mapInArrow(_frequencies, "slot int, df bigint").groupBy("slot").agg(F.sum("df").alias("df")).toPandas()
+    counted = mapped(texts.select("text"), _frequencies, "slot int, df bigint").groupBy("slot").agg(F.sum("df").alias("df")).toPandas()
     n = max(2, texts.count())
     out = np.ones(1 << VOCABULARY_BITS, np.float32)
     out[counted["slot"].to_numpy()] = np.log(n / counted["df"].to_numpy()) / np.log(n)
@@ -202,7 +203,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
     gamma = _gamma_quantiles()
     shared = spark.sparkContext.broadcast((idf_table(texts), gamma.astype(np.float32), np.log(gamma).astype(np.float32)))
     kind = texts.schema["key"].dataType.simpleString()
-    sketched = store.kept(texts.mapInArrow(_sketcher(shared), f"key {kind}, text_hash bigint, print binary, mass double, bands array<bigint>"), "sketches")
+    sketched = store.kept(mapped(texts, _sketcher(shared), f"key {kind}, text_hash bigint, print binary, mass double, bands array<bigint>"), "sketches")
     nodes = sketched.where("print is not null").groupBy("print").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "text_hash"))).alias("own"), F.max("mass").alias("mass"), F.max("bands").alias("bands"))
     nodes = store.kept(nodes.select("print", "own.key", "own.text_hash", "mass", "bands"), "nodes")
     members = nodes.where("key is not null").select("print", "mass", F.posexplode("bands").alias("band", "h"))
@@ -210,7 +211,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
     met = store.kept(members.join(sizes, ["band", "h"]), "met")
     popular = met.groupBy("print").agg(F.sum("n").alias("popular"))
     buckets = store.kept(met.join(popular, "print").select("band", "h", "print", "mass", "popular"), "buckets")
-    packed = texts.where("text is not null").mapInArrow(_packed, f"key {kind}, text_hash bigint, packed binary")
+    packed = mapped(texts.where("text is not null"), _packed, f"key {kind}, text_hash bigint, packed binary")
     wanted = nodes.join(popular, "print", "left_semi").select("print", "key", "text_hash")
     packed = store.kept(wanted.join(packed, ["key", "text_hash"]).groupBy("print").agg(F.max("packed").alias("packed")), "texts")
 
@@ -226,7 +227,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
             continue
         both = pairs.join(packed.select(F.col("print").alias("a"), F.col("packed").alias("text_a")), "a")
         both = both.join(packed.select(F.col("print").alias("b"), F.col("packed").alias("text_b")), "b")
-        found = store.kept(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shared, least), "a binary, b binary"), "found")
+        found = store.kept(mapped(both.select("a", "b", "text_a", "text_b"), _verifier(shared, least), "a binary, b binary"), "found")
         tested = pairs if tested is None else tested.union(pairs)
         if found.isEmpty():
             continue

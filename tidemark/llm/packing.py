@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
+from tidemark.llm.batches import mapped
 
 WINDOW = 2048
-SHARD_IDS = 2 << 20
+SHARD_IDS = 1 << 20
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
@@ -151,5 +152,5 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary
             yield packed()
 
     schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    out = mapped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema)
     return out.withColumnRenamed("key", key)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import store
 from tidemark.llm import words as W
+from tidemark.llm.batches import mapped
 
 DEPTH = 200
 GRAM = 24
@@ -230,23 +231,23 @@ def removed(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     long = rows.where(F.octet_length("text") >= DEPTH).select("t1", "t2", "text")
-    found = long.mapInArrow(_anchor_rows, "t1 bigint, t2 bigint, at bigint, n bigint, h bigint, span bigint")
+    found = mapped(long, _anchor_rows, "t1 bigint, t2 bigint, at bigint, n bigint, h bigint, span bigint")
     distinct = found.groupBy("h", "span").agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "at", "n")).alias("one"))
     hashes = distinct.groupBy("h").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     state = store.kept(distinct.join(hashes, "h").select("h", "span", "kinds", (F.col("times") > 1).alias("repeated"), "one.*"), "spans")
 
-    packed = long.mapInArrow(_packed, "t1 bigint, t2 bigint, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+    packed = mapped(long, _packed, "t1 bigint, t2 bigint, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
     wanted = state.where("kinds > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", (F.col("kinds") > MOST_SPANS).alias("many"), "at", "n", "repeated")).alias("spans"))
-    texts = packed.join(wanted, ["t1", "t2"]).mapInArrow(_span_texts, "h bigint, many boolean, t1 bigint, t2 bigint, at bigint, n bigint, repeated boolean, data binary")
+    texts = mapped(packed.join(wanted, ["t1", "t2"]), _span_texts, "h bigint, many boolean, t1 bigint, t2 bigint, at bigint, n bigint, repeated boolean, data binary")
     texts = store.kept(texts, "texts")
-    few = texts.where("not many").drop("many", "n").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_spans, "t1 bigint, t2 bigint, at bigint, n bigint")
-    counted = texts.where("many").mapInArrow(_window_hashes, "t1 bigint, t2 bigint, at bigint, w binary, weight bigint")
+    few = mapped(texts.where("not many").drop("many", "n").repartition("h").sortWithinPartitions("h"), _sorted_spans, "t1 bigint, t2 bigint, at bigint, n bigint")
+    counted = mapped(texts.where("many"), _window_hashes, "t1 bigint, t2 bigint, at bigint, w binary, weight bigint")
     again = counted.groupBy("w").agg(F.sum("weight").alias("total")).where("total > 1").select("w")
     crowded = counted.where("weight = 1").join(again, "w", "left_semi").select("t1", "t2", "at", F.lit(1).cast("bigint").alias("n"))
 
     whole = found.join(state.where("repeated").select("h", "span"), ["h", "span"], "left_semi").select("t1", "t2", "at", "n")
     windows = whole.union(few).union(crowded).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("windows"))
-    results = packed.join(windows, ["t1", "t2"]).mapInArrow(_without, "t1 bigint, t2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>")
+    results = mapped(packed.join(windows, ["t1", "t2"]), _without, "t1 bigint, t2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>")
     own = rows.select("key", "t1", "t2", F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("whole"))
     none = F.lit(0).cast("bigint")
     return own.join(results, ["t1", "t2"], "left").select(

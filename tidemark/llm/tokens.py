@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 PIECE_CHARS = 2 << 20
-MOST_HELD = 1 << 20  # pre-tokens
+MOST_HELD = 1 << 19  # pre-tokens
 _SIMPLE = 0x250
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0]
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)

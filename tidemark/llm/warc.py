@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import store
+from tidemark.llm.batches import mapped
 
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
@@ -91,7 +92,7 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
     shared = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("page").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = rows.join(shared, "digest", "left")  # a hot payload is split by AQE's skew join: the other side has one row
     revisit = F.col("refers").isNotNull() & ~F.col("page").eqNullSafe(F.col("refers"))
-    found.select("page", "url", "html", "refers", revisit.alias("revisit")).mapInArrow(_writer(folder), "path string, records bigint").write.parquet(f"{folder}/manifest")
+    mapped(found.select("page", "url", "html", "refers", revisit.alias("revisit")), _writer(folder), "path string, records bigint").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema("path string, records bigint").parquet(f"{folder}/manifest")
 
 
@@ -212,4 +213,4 @@ def read(manifest: DataFrame, *, path: str = "path", with_payload: bool = True)
                     yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in rows], schema=SCHEMA)
 
     spec = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, valid boolean, payload binary"
-    return manifest.select(F.col(path).alias("path")).repartition(max(1, manifest.count())).mapInArrow(run, spec)  # a task per file
+    return mapped(manifest.select(F.col(path).alias("path")).repartition(max(1, manifest.count())), run, spec)  # a task per file
