@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, days_between, days_interval, number, tick
 from tidemark.operators.history import first_seen, reach_counts
+from tidemark.operators import scan
 from tidemark.operators.scan import choose_splits, measure_groups
 from tidemark.operators.temporal import AT, as_of_state, centre_of, effective, spread
 
@@ -173,55 +174,42 @@ def _answer(target: DataFrame, row_key: Sequence[str], key: str, target_time: st
 
 
 def _through_links(
-    points: DataFrame,
-    links: DataFrame,
-    events: DataFrame,
-    adds: Sequence[str],
-    maxes: Sequence[str],
-    splits: int,
-    hot_points: int,
-    most_asked: int | None = None,
+    points: DataFrame, links: DataFrame, events: DataFrame, adds: Sequence[str], maxes: Sequence[str], splits: int
 ) -> DataFrame:
     """Combined state of all groups a point's key has joined by then.
 
     ``points(__key, __when)`` are distinct, ``links(__key, __group, __f)`` unique, and ``events(__group,
     __at, states)`` are one row per group and instant. A link is answered either by looking the group's
-    running state up at each point of the key, or, when the key has more than ``hot_points`` points and
-    more points than the group has events, by handing the group's events to the key from the link time
-    on. Either way the cost of a link is the smaller of the two counts, so neither a hot key nor a hot
-    group multiplies out.
+    running state up at each point of the key, or, when the key has more points than the group has events, by
+    handing the group's events to the key from the link time on. So the cost of every link is the smaller of
+    the two counts, and neither a hot key nor a hot group multiplies out. The lookups that meet in a group and the
+    events that meet at a key are counted from these sizes, and sliced where they exceed a task.
     """
     states = [*adds, *maxes]
     combine = {**{c: F.sum for c in adds}, **{c: F.max for c in maxes}}
     asked = points.groupBy("__key").agg(F.count("*").alias("__np"))
-    busiest = most_asked
-    if busiest is None or busiest > hot_points:
-        busiest = asked.agg(F.max("__np")).first()[0] or 0
-    looked = links
-    if busiest > hot_points:
-        sizes = events.groupBy("__group").agg(F.count("*").alias("__ne"))
-        routed = links.join(asked.where(F.col("__np") > hot_points), "__key", "left").join(sizes, "__group")
-        hand_over = F.coalesce(F.col("__np") > F.col("__ne"), F.lit(False))
-        looked = routed.where(~hand_over).select("__key", "__group", "__f")
-        handed = (
-            routed.where(hand_over).select("__key", "__group", "__f")
-            .join(events, "__group")
-            .groupBy("__key", F.greatest("__at", "__f").alias("__at"))
-            .agg(*[combine[c](c).alias(c) for c in states])
-        )
-    paired = points.join(looked, "__key").where(F.col("__f") <= F.col("__when")).select("__key", "__when", "__group")
+    sizes = events.groupBy("__group").agg(F.count("*").alias("__ne"))
+    routed = links.join(asked, "__key").join(sizes, "__group")
+    looked, handed = routed.where("__np <= __ne"), routed.where("__np > __ne")
+    if splits == 1:
+        met = looked.groupBy("__group").agg(F.sum("__np").alias("n")).agg(F.max("n").alias("n"))
+        met = met.unionAll(handed.groupBy("__key").agg(F.sum("__ne").alias("n")).agg(F.max("n").alias("n")))
+        splits = 1 if (met.agg(F.max("n")).first()[0] or 0) <= scan.ROWS_PER_TASK else scan.BY_SIZE
+    handed = (
+        handed.select("__key", "__group", "__f")
+        .join(events, "__group")
+        .groupBy("__key", F.greatest("__at", "__f").alias("__at"))
+        .agg(*[combine[c](c).alias(c) for c in states])
+    )
+    paired = points.join(looked.select("__key", "__group", "__f"), "__key").where(F.col("__f") <= F.col("__when")).select("__key", "__when", "__group")
+    how = {"adds": {c: F.col(c) for c in adds}, "maxes": {c: F.col(c) for c in maxes}, "child_at": F.col("__at"), "splits": splits}
     found = as_of_state(
-        paired, events, row_key=["__key", "__when", "__group"], keys=["__group"], at=F.col("__when"), child_keys=["__group"],
-        child_at=F.col("__at"), adds={c: F.col(c) for c in adds}, maxes={c: F.col(c) for c in maxes}, splits=splits,
+        paired, events, row_key=["__key", "__when", "__group"], keys=["__group"], at=F.col("__when"), child_keys=["__group"], **how
     ).select("__key", "__when", *states)
-    if busiest > hot_points:
-        found = found.unionByName(
-            as_of_state(
-                points, handed, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"],
-                child_at=F.col("__at"), adds={c: F.col(c) for c in adds}, maxes={c: F.col(c) for c in maxes}, splits=splits,
-            ).select("__key", "__when", *states)
-        )
-    return found.groupBy("__key", "__when").agg(*[combine[c](c).alias(c) for c in states])
+    given = as_of_state(
+        points, handed, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"], **how
+    ).select("__key", "__when", *states)
+    return found.unionByName(given).groupBy("__key", "__when").agg(*[combine[c](c).alias(c) for c in states])
 
 
 def pivot_history(
@@ -241,7 +229,6 @@ def pivot_history(
     prefix: str = "pivot",
     cutoff: str = "strict",
     hot_pairs: int = 250_000,
-    hot_points: int = 1_000,
     splits: int | None = None,
 ) -> DataFrame:
     """Target -> pivots of its visible base rows -> all visible rows of those pivots.
@@ -270,7 +257,7 @@ def pivot_history(
         F.count("__v").alias("n"), F.sum("__v").alias("s"), F.sum("__d").alias("d"),
         F.sum(F.col("__d") * F.col("__d")).alias("q"), F.max("__v").alias("mx"), F.max("__t").alias("last"),
     )
-    per_point = _through_links(points, links, events, ["n", "s", "d", "q"], ["mx", "last"], splits, hot_points, most_asked)
+    per_point = _through_links(points, links, events, ["n", "s", "d", "q"], ["mx", "last"], splits)
     pivots = as_of_state(
         points, links, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"],
         child_at=F.col("__f"), adds={"pivots": _one()}, splits=splits,
@@ -318,7 +305,6 @@ def incoming_link_counts(
     cutoff: str = "strict",
     lower: str = "inclusive",
     hot_pairs: int = 250_000,
-    hot_points: int = 1_000,
     splits: int | None = None,
 ) -> DataFrame:
     """References to the items a key owned by the cutoff: count, distinct sources, recent count.
@@ -352,7 +338,7 @@ def incoming_link_counts(
     events = refs.select("__group", steps.alias("e")).groupBy("__group", F.col("e.at").alias("__at")).agg(
         F.sum("e.n").alias("n"), F.sum("e.r").alias("recent")
     )
-    per_point = _through_links(points, links, events, ["n", "recent"], [], splits, hot_points, most_asked)
+    per_point = _through_links(points, links, events, ["n", "recent"], [], splits)
     sources = reach_counts(
         points, links, refs.where(F.col("__member").isNotNull()).select("__group", "__member", "__g"),
         row_key=["__key", "__when"], key="__key", at=F.col("__when"), name="sources", hot_pairs=hot_pairs, splits=splits, **bounds,

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, days_between, days_interval, number, require_columns, tick
-from tidemark.operators.scan import choose_splits, prefix_scan
+from tidemark.operators.scan import BY_SIZE, choose_splits, prefix_scan
 
 AT = "__at"
 PROBE = "__probe"
@@ -125,7 +125,7 @@ def as_of_state(
         merged = instants.groupBy(*hidden, AT).agg(*[pick[c](c).alias(c) for c in states])
         running = prefix_scan(
             merged, hidden, AT, adds=list(adds), maxes=list(maxes), mins=list(mins), splits=splits,
-            marks_from=events.select(*hidden, AT),
+            marks_from=None if splits == BY_SIZE else events.select(*hidden, AT),  # by size: probes count as well
         )
         answered = known.join(running, [*hidden, AT], "left")
 
