@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import tokens
 from tidemark.llm.batches import mapped
 
-BLOCK = 4096  # lengths per block of the suffix sums
+BLOCK = 256  # lengths per block of the suffix sums
 
 
 def lengths(docs: DataFrame, *, text: str = "text", vocabulary: str = tokens.BYTE_BPE, end_ids: int = 0) -> DataFrame:
