@@ -1,4 +1,4 @@
-"""Column expressions: casts, indicators, labels, hashing. Everything stays inside codegen."""
+"""Column expressions: casts, indicators, labels, hashing."""
 
 from __future__ import annotations
 
@@ -15,11 +15,6 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input")
         raise ValueError(f"{what}: missing columns {missing}")
 
 
-def lower_name(text: str) -> str:
-    """A generated column name: lower case, word characters only (Spark resolves case-insensitively)."""
-    return "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in text).lower()
-
-
 def as_time(df: DataFrame, column: str) -> Column:
     """Time column of ``df``; dates become zone-free timestamps so that intervals stay zone-free."""
     if isinstance(df.schema[column].dataType, T.DateType):
@@ -50,17 +45,6 @@ def tick() -> Column:
     return F.expr(ONE_MICRO)
 
 
-def visible(child_time: Column, cutoff: Column, mode: str = "inclusive") -> Column:
-    """Cut-off predicate. ``lenient`` also passes rows whose own time or cutoff is unknown."""
-    if mode == "inclusive":
-        return child_time <= cutoff
-    if mode == "strict":
-        return child_time < cutoff
-    if mode == "lenient":
-        return child_time.isNull() | cutoff.isNull() | (child_time <= cutoff)
-    raise ValueError(f"unknown cutoff mode {mode!r}")
-
-
 def number(column: Column | str) -> Column:
     """Double or NULL, never an error; NaN and infinities count as missing."""
     x = (F.col(column) if isinstance(column, str) else column).try_cast("double")
@@ -214,7 +198,3 @@ def gaussian(keys: Sequence[str], *salt: object) -> Column:
     u1 = uniform(key_text(keys, *salt, "u"))
     u2 = uniform(key_text(keys, *salt, "v"))
     return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * u2)
-
-
-def short(value: Column, digits: int = 6) -> Column:
-    return F.round(value.cast("double"), digits)

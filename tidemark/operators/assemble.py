@@ -161,15 +161,12 @@ def add_aliases(df: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     return df.select("*", *[F.col(s).alias(n) for n, s in aliases.items() if n not in df.columns])
 
 
-# Name patterns of dependency-derived, two-hop and temporal feature columns.
-DEPENDENCY_PATTERNS = [
-    r"^f_amb__", r"__majconf$", r"__entropy$", r"__conflict_count$", r"__support_count$", r"dmax2", r"twohop", r"2hop",
-    r"afd", r"fd_score", r"ranker", r"uniqueness", r"surrogate", r"residual", r"ambiguity",
-]
+# Name patterns of the columns that this library's operators make, by their default prefixes.
+DEPENDENCY_PATTERNS = [r"^f_amb__", r"^hop2_"]
 COLUMN_BLOCKS = {
     "ambiguity": [r"^f_amb__"],
-    "two_hop": [r"dmax2", r"twohop", r"2hop", r"^hop2_"],
-    "last_only": [r"last_value", r"latest"],
+    "two_hop": [r"^hop2_"],
+    "last_only": [r"latest"],
     "history_only": [r"all_past"],
     "recency_only": [r"recent_\d+d", r"since_last"],
     "trend_only": [r"trend_"],

@@ -61,11 +61,6 @@ def unsupervised_scores(profile: DataFrame, id_like: Sequence[str] = ()) -> Data
     )
 
 
-def top_columns(scored: DataFrame, score: str, k: int) -> list[str]:
-    """Names of the ``k`` best features (at most ``k`` rows reach the driver)."""
-    return [r["feature"] for r in scored.orderBy(F.desc(score), "feature").limit(k).collect()]
-
-
 def supervised_scores(df: DataFrame, features: Sequence[str], label: str, *, bins: int = 10, splits: int = BY_SIZE) -> DataFrame:
     """ROC-AUC, oriented AUC, average precision, binned mutual information of every feature in one job.
 

@@ -416,3 +416,24 @@ def residual_split(spark, sf):
     """Baseline side of one combined matrix."""
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return assemble.split_residual(o, ["o_totalprice"])[0]
+
+
+@query("indicator_fill", """
+SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN -999.0 ELSE o_totalprice END AS price, (o_totalprice > 200000)::INT AS price__is_missing FROM orders""")
+def indicator_fill(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", F.when(~(F.col("o_totalprice") > 200000), F.col("o_totalprice")).alias("price"))
+    return col.with_indicators(o, ["price"], fill=-999.0)
+
+
+@query("finite_fill", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 2 THEN o_totalprice ELSE 0.0 END AS price FROM orders")
+def finite_fill(spark, sf):
+    v = F.when(F.col("o_custkey") % 3 == 2, F.col("o_totalprice")).when(F.col("o_custkey") % 3 == 1, F.lit(float("inf")))
+    return col.fill_numbers(load(spark, sf, "orders").select("o_orderkey", v.alias("price")), ["price"])
+
+
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
+
+
+@query("random_columns", f"SELECT l_orderkey, l_linenumber, {', '.join(assemble.random_columns(LINE_NUMBERS, 3, 41))} FROM lineitem")
+def random_columns(spark, sf):
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *assemble.random_columns(LINE_NUMBERS, 3, 41))
