@@ -18,6 +18,7 @@ from tidemark.operators.scan import BY_SIZE, choose_splits, prefix_scan
 
 AT = "__at"
 PROBE = "__probe"
+ASIDE = "__aside"
 
 
 def effective(time: Column, cutoff: str) -> Column:
@@ -95,28 +96,29 @@ def as_of_state(
     unknown = F.col(AT).isNull()
     for h in hidden:
         unknown = unknown | F.col(h).isNull()
-    known = asked.where(~unknown)
+    if splits is None:
+        splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
+    # in one exchange, rows without a key or time ride along in groups of their own, spread by their row key
+    own = F.when(unknown, F.pmod(F.xxhash64(*rows), F.lit(1021)) + 1).otherwise(F.lit(0).cast("bigint"))
+    known = asked.withColumn(ASIDE, own) if splits == 1 else asked.where(~unknown).withColumn(ASIDE, F.lit(0))
     if probes:
         shots = F.array(
             F.struct(F.lit("").alias("n"), F.col(AT).alias("t")),
             *[F.struct(F.lit(n).alias("n"), F.col(f"__p_{n}").alias("t")) for n in probes],
         )
-        known = known.select(*rows, *hidden, F.explode(shots).alias("s")).select(
-            *rows, *hidden, F.col("s.n").alias(PROBE), F.col("s.t").alias(AT)
+        known = known.select(*rows, *hidden, ASIDE, F.explode(shots).alias("s")).select(
+            *rows, *hidden, ASIDE, F.col("s.n").alias(PROBE), F.col("s.t").alias(AT)
         )
     else:
-        known = known.select(*rows, *hidden, F.lit("").alias(PROBE), AT)
-
-    if splits is None:
-        splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
+        known = known.select(*rows, *hidden, ASIDE, F.lit("").alias(PROBE), AT)
 
     if splits == 1:
-        marked = events.withColumn("__side", F.lit(0)).unionByName(
+        marked = events.withColumns({ASIDE: F.lit(0).cast("bigint"), "__side": F.lit(0)}).unionByName(
             known.withColumn("__side", F.lit(1)), allowMissingColumns=True
         )
-        w = W.partitionBy(*hidden).orderBy(AT, "__side").rowsBetween(W.unboundedPreceding, 0)
+        w = W.partitionBy(*hidden, ASIDE).orderBy(AT, "__side").rowsBetween(W.unboundedPreceding, 0)
         answered = marked.select(
-            *rows, *hidden, PROBE, AT, "__side", *[pick[c](c).over(w).alias(c) for c in states]
+            *rows, *hidden, ASIDE, PROBE, AT, "__side", *[pick[c](c).over(w).alias(c) for c in states]
         ).where(F.col("__side") == 1)
     else:
         instants = known.select(*hidden, AT).distinct().unionByName(
@@ -133,15 +135,15 @@ def as_of_state(
         def of(probe: str, state: str) -> Column:
             return F.max(F.when(F.col(PROBE) == probe, F.col(state)))
 
-        answered = answered.groupBy(*hidden, *rows).agg(
+        answered = answered.groupBy(*hidden, ASIDE, *rows).agg(
             F.max(F.when(F.col(PROBE) == "", F.col(AT))).alias(AT),
             *[of("", c).alias(c) for c in states],
             *[of(n, c).alias(f"{n}__{c}") for n in probes for c in states],
         )
     names = [*states, *[f"{n}__{c}" for n in probes for c in states]]
-    out = answered.select(*rows, AT, *names).unionByName(
-        asked.where(unknown).select(*rows, AT), allowMissingColumns=True
-    )
+    out = answered.select(*rows, AT, *names)
+    if splits != 1:
+        out = out.unionByName(asked.where(unknown).select(*rows, AT), allowMissingColumns=True)
     return out.select(*[F.col(r).alias(c) for r, c in zip(rows, row_key, strict=True)], AT, *names)
 
 
