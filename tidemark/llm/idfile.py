@@ -30,13 +30,14 @@ from tidemark.llm import store, tokens
 from tidemark.llm.batches import mapped
 
 MAGIC = b"IDMIX1\n"
-BLOCK_IDS, LANES = 4096, 512
+BLOCK_IDS, LANES = 4096, 1024
 HEAD, DOC = struct.Struct("<IIII"), struct.Struct("<qIB")
 BEGINS, ENDS, NULL_KEY = 1, 2, 4
 _BITS = 15
 _ONE = 1 << _BITS
-_MASK = np.uint64(0xFFFFFFFF)
-_TOP, _BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
+_MASK = np.uint64((1 << 48) - 1)
+_TOP, _BOTTOM = np.uint64(1 << 32), np.uint64(1 << 20)
+_STEP, _SETTLED = np.uint64(16), np.uint64(32)
 _SLOTS1, _SLOTS2 = 12, 13  # bits
 
 
@@ -70,7 +71,7 @@ class _Model:
         return np.where((self.told[1] == ids) & (self.f2 > 0), 2, np.where((self.told[0] == ids) & (self.f1 > 0), 1, 0))
 
     def digits(self, lanes: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return np.cumsum(self.count[lanes, node], axis=1, dtype=np.int64)
+        return np.cumsum(self.count[lanes, node], axis=1, dtype=np.int32)
 
     def learn_digit(self, lanes: np.ndarray, node: np.ndarray, digit: np.ndarray, total: np.ndarray) -> None:
         self.count[lanes, node, digit] += 24
@@ -95,26 +96,28 @@ class _Model:
 
 
 class _Range:
-    """Range coder state of all lanes; 32-bit integers kept in 64-bit arrays."""
+    """Range coder state of all lanes: 48-bit integers in 64-bit arrays, settled 16 bits at a time."""
 
     def __init__(self, lanes: int) -> None:
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
+        self.range = np.full(lanes, _MASK, np.uint64)
 
-    def narrow(self, lanes, unit: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        self.low[lanes] += cum.astype(np.uint64) * unit
-        self.range[lanes] = freq.astype(np.uint64) * unit
-        idx = lanes
+    def narrow(self, lanes: np.ndarray | slice, unit: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
+        low = self.low[lanes] + cum.astype(np.uint64) * unit
+        width = freq.astype(np.uint64) * unit
+        self.low[lanes], self.range[lanes] = low, width
+        idx = None
         while True:
-            low, width = self.low[idx], self.range[idx]
             settled = (low ^ (low + width)) < _TOP
-            go = settled | (width < _BOTTOM)
-            if not go.any():
+            go = np.flatnonzero(settled | (width < _BOTTOM))
+            if not len(go):
                 return
-            idx, low, width = idx[go], low[go], np.where(settled, width, (np.uint64(0) - low) & np.uint64(0xFFFF))[go]
+            low, width, settled = low[go], width[go], settled[go]
+            idx = (go if isinstance(lanes, slice) else lanes[go]) if idx is None else idx[go]
+            width = np.where(settled, width, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)))
             self.shift(idx, low)
-            self.low[idx] = (low << np.uint64(8)) & _MASK
-            self.range[idx] = (width << np.uint64(8)) & _MASK
+            low, width = (low << _STEP) & _MASK, (width << _STEP) & _MASK
+            self.low[idx], self.range[idx] = low, width
 
     def shift(self, idx: np.ndarray, low: np.ndarray) -> None:
         raise NotImplementedError
@@ -123,35 +126,35 @@ class _Range:
 class _Writer(_Range):
     def __init__(self, lanes: int, cap: int) -> None:
         super().__init__(lanes)
-        self.out, self.size = np.zeros((lanes, cap), np.uint8), np.zeros(lanes, np.int64)
+        self.out, self.size = np.zeros((lanes, cap), "<u2"), np.zeros(lanes, np.int64)
 
     def shift(self, idx: np.ndarray, low: np.ndarray) -> None:
-        self.out[idx, self.size[idx]] = low >> np.uint64(24)
+        self.out[idx, self.size[idx]] = low >> _SETTLED
         self.size[idx] += 1
 
     def finish(self) -> list[bytes]:
-        for _ in range(4):
+        for _ in range(3):
             self.shift(np.arange(len(self.low)), self.low)
-            self.low = (self.low << np.uint64(8)) & _MASK
+            self.low = (self.low << _STEP) & _MASK
         return [row[:n].tobytes() for row, n in zip(self.out, self.size.tolist(), strict=True)]
 
 
 class _Reader(_Range):
     def __init__(self, payloads: list[bytes]) -> None:
         super().__init__(len(payloads))
-        self.bytes = np.zeros((len(payloads), max(map(len, payloads), default=0) + 8), np.uint8)
-        for row, p in zip(self.bytes, payloads, strict=True):
-            row[: len(p)] = np.frombuffer(p, np.uint8)
+        self.units = np.zeros((len(payloads), max(map(len, payloads), default=0) // 2 + 4), "<u2")
+        for row, p in zip(self.units, payloads, strict=True):
+            row[: len(p) // 2] = np.frombuffer(p, "<u2")
         self.code = np.zeros(len(payloads), np.uint64)
         self.size = np.zeros(len(payloads), np.int64)
-        for _ in range(4):
+        for _ in range(3):
             self.shift(np.arange(len(payloads)), self.low)
 
     def shift(self, idx: np.ndarray, low: np.ndarray) -> None:
-        self.code[idx] = ((self.code[idx] << np.uint64(8)) | self.bytes[idx, np.minimum(self.size[idx], self.bytes.shape[1] - 1)]) & _MASK
+        self.code[idx] = ((self.code[idx] << _STEP) | self.units[idx, np.minimum(self.size[idx], self.units.shape[1] - 1)]) & _MASK
         self.size[idx] += 1
 
-    def target(self, lanes, unit: np.ndarray, total) -> np.ndarray:
+    def target(self, lanes: np.ndarray | slice, unit: np.ndarray, total) -> np.ndarray:
         return np.minimum(((self.code[lanes] - self.low[lanes]) & _MASK) // unit, np.asarray(total - 1).astype(np.uint64)).astype(np.int64)
 
 
@@ -160,7 +163,7 @@ def _run(lengths: np.ndarray, coder: _Range, blocks: np.ndarray, writing: bool)
     model = _Model(len(lengths))
     for t in range(int(lengths[0]) if len(lengths) else 0):
         k = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-        lane = model.lane[:k]
+        lane = slice(0, k)
         model.predict(k)
         f2, f1 = model.f2, model.f1
         unit = coder.range[:k] >> np.uint64(_BITS)
@@ -208,7 +211,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         if len(blocks[k]) and int(blocks[k].max()) > 0xFFFF:
             raise ValueError("ids must be below 65,536")
         row[: len(blocks[k])] = blocks[k]
-    coder = _Writer(len(blocks), 12 * grid.shape[1] + 16)
+    coder = _Writer(len(blocks), 6 * grid.shape[1] + 16)
     _run(lengths, coder, grid, True)
     out = [b""] * len(blocks)
     for k, data in zip(order, coder.finish(), strict=True):
