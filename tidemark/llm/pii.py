@@ -221,7 +221,8 @@ def anonymised(docs: DataFrame, secret_key: str, *, text: str = "text") -> DataF
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]") | titled, found).otherwise(F.array().cast("array<string>")))
     with_some = rows.where(F.size("found") > 0).withColumn("sets", F.array_sort(F.array_distinct("found")))
-    with_some = with_some.withColumn("set_id", F.sha2(F.concat_ws("\x1f", "sets").cast("binary"), 256))
+    # read twice below, and few of the documents: written once rather than searched again
+    with_some = store.kept(with_some.withColumn("set_id", F.sha2(F.concat_ws("\x1f", "sets").cast("binary"), 256)), "mentions")
     parts = F.flatten(F.transform("sets", entities_of))
     known = F.transform(parts, lambda p: F.struct(p.kind.alias("kind"), canonical(p.kind, p.value).alias("value")))
     sets = store.kept(with_some.groupBy("set_id").agg(F.first("sets").alias("sets")).select("set_id", F.array_distinct(known).alias("known")), "sets")
