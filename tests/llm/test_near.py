@@ -72,3 +72,28 @@ def test_components(spark):
     nodes = spark.createDataFrame([(x,) for p in links for x in p] + [(9,)], "node long")
     got = dict(map(tuple, graph.components(nodes, df).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 9: 9} | {k: 100 for k in range(100, 141)}
+
+
+def families(count: int, of: int) -> list[tuple[int, str]]:
+    """Families that share a template, so that all meet in the same buckets though only members of one are alike."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3_000)]
+    template = [rng.choice(words) for _ in range(200)]
+    docs = []
+    for _ in range(count):
+        base = template + [rng.choice(words) for _ in range(45)]
+        for _ in range(of):
+            own = list(base)
+            for _ in range(2):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            docs.append(" ".join(own))
+    return list(enumerate(docs))
+
+
+def test_families_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(near, "TURNS", 1)  # hubs settle one family a bucket, the rest is left to the last turn
+    docs = families(60, 3)
+    want = brute(spark, docs, 0.8)
+    assert len({c for _, c in want}) == 60
+    got = near.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted(want)

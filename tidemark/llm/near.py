@@ -9,7 +9,11 @@ Improved consistent weighted sampling gives each document BANDS * ROWS samples;
 share a bucket. A bucket is never paired with itself: its most popular member (of whose buckets most documents
 are) is compared with every other member by weighted Jaccard similarity of the whole texts. Links make
 components; then the most popular member of the next component in the bucket is compared with the others, for
-TURNS turns. Texts with the same words are one node throughout.
+TURNS turns. That settles large families with few comparisons. What shares a bucket and is still in several
+components is then compared exactly, by a prefix filter: shingles have one order, rare ones first, and texts of
+similarity t share one of those that come before the last t of either's weight. Every pair that shares such a
+shingle, and whose weights from there on can still reach t, is verified, so no pair of a bucket is left open.
+Texts with the same words are one node throughout.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ BANDS, ROWS = 10, 4
 IDF_SHARE = 0.25
 TURNS = 4
 VOCABULARY_BITS = 18
+COUNTER_BITS = 20
 SCRATCH_BYTES = 1 << 20
 
 
@@ -190,6 +195,65 @@ def _pairs(placed: DataFrame, turn: int, least: float) -> DataFrame:
     return near.select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
 
 
+def _inflated(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    inflate = zstandard.ZstdDecompressor()
+    for packed in batch["packed"].to_pylist():
+        text = inflate.decompress(packed)
+        _, s, w = shingles(W.split(np.frombuffer(text, np.uint8), np.array([0, len(text)])), idf)
+        yield s, w
+
+
+def _slots(shingle: np.ndarray) -> np.ndarray:
+    return (shingle & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)
+
+
+def _counter(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for s, _ in _inflated(batch, shared.value[0]):
+                np.add.at(counts, _slots(s), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
+
+    return run
+
+
+def prefix(shingle: np.ndarray, weight: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, rare ones first, at which at least ``least`` of the weight is still to come, and that weight."""
+    order = np.lexsort((shingle, counts[_slots(shingle)]))
+    tail = np.cumsum(weight[order].astype(float)[::-1])[::-1]
+    n = np.count_nonzero(tail >= (least - 1e-6) * tail[0]) if len(tail) else 0
+    return shingle[order[:n]], tail[:n]
+
+
+def _prefixes(shared, counted, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [prefix(s, w, counted.value, least) for s, w in _inflated(batch, shared.value[0])]
+            row = pa.array(np.repeat(np.arange(len(cut)), [len(s) for s, _ in cut]))
+            s, tail = (np.concatenate([c[k] for c in cut] or [np.zeros(0)]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch["print"].take(row), batch["label"].take(row), batch["mass"].take(row), pa.array(s.astype(np.int64)), pa.array(tail)], names=["print", "label", "mass", "shingle", "tail"])
+
+    return run
+
+
+def _undecided_pairs(placed: DataFrame, packed: DataFrame, shared, least: float) -> DataFrame:
+    """(a, b), each once: members of different components that may reach ``least``, of all buckets that hold several."""
+    several = placed.groupBy("band", "h").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last")
+    members = placed.join(several, ["band", "h"], "left_semi").select("print", "label", "mass").distinct()
+    members = store.kept(members.join(packed, "print"), "undecided")
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    table = mapped(members.select("packed"), _counter(shared), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    counted = placed.sparkSession.sparkContext.broadcast(counts)
+    rows = store.kept(mapped(members, _prefixes(shared, counted, least), "print binary, label binary, mass double, shingle bigint, tail double"), "prefixes")
+    a, b = (rows.select("shingle", F.col("print").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "mass", "tail")]) for x in "ab")
+    # at the first shingle they share, both must have the weight in common that the similarity takes
+    enough = F.least("tail_a", "tail_b") >= (F.col("mass_a") + F.col("mass_b")) * (least / (1 + least) - 1e-6)
+    return a.join(b, "shingle").where(F.col("a") < F.col("b")).where(F.col("label_a") != F.col("label_b")).where(enough).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """key, class_id and kept of every row: class_id is the smallest key of the row's near-duplicate class.
 
@@ -217,9 +281,9 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
 
     labels = nodes.select(F.col("print").alias("node"), F.col("print").alias("label"))
     tested = None
-    for turn in range(TURNS):
+    for turn in range(TURNS + 1):  # hubs first; the last turn leaves no pair of a bucket open
         placed = buckets.join(labels, buckets["print"] == labels["node"]).select("band", "h", "print", "mass", "popular", "label")
-        pairs = _pairs(placed, turn, least)
+        pairs = _pairs(placed, turn, least) if turn < TURNS else _undecided_pairs(placed, packed, shared, least)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store.kept(pairs, "pairs")
