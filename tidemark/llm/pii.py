@@ -216,10 +216,10 @@ def anonymised(docs: DataFrame, secret_key: str, *, text: str = "text") -> DataF
     """
     rest = [c for c in docs.columns if c not in (text, "n_entities")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("__pad")).alias("row"), F.col(text).alias("text"))
-    # every entity but a name has a digit or an @, and a name has a title: elsewhere the pattern need not run
+    # every entity but a secret or a name has a digit or an @, a secret has one or its prefix, and a name has a title: elsewhere the pattern need not run
     titled = reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t.lower() + end)) for t in MALE + FEMALE + OPEN for end in (" ", ". ")])
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]") | titled, found).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]|(?i:akia|gh[pousr]_|sk-)") | titled, found).otherwise(F.array().cast("array<string>")))
     with_some = rows.where(F.size("found") > 0).withColumn("sets", F.array_sort(F.array_distinct("found")))
     # read twice below, and few of the documents: written once rather than searched again
     with_some = store.kept(with_some.withColumn("set_id", F.sha2(F.concat_ws("\x1f", "sets").cast("binary"), 256)), "mentions")
