@@ -25,11 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every class of near-duplicates."""
-    kept = near.classes(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    # rows that repeat a doc_id are copies as well: of those, one stays
-    return first.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__row")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    """Keeps of every class of near-duplicates the row of the smallest doc_id; null or repeated ids are no likeness."""
+    rows = store.kept(docs.withColumn("__id", F.monotonically_increasing_id()), "numbered")  # written, so that numbers stay
+    named = near.classes(rows, key="__id").select("__id", "class_id").join(rows.select("__id", "doc_id"), "__id")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__id")).alias("first"))
+    return rows.join(first.select(F.col("first.__id").alias("__id")), "__id", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

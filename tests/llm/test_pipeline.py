@@ -105,3 +105,13 @@ def test_odd_rows(spark, tmp_path):
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
     assert len(brute(spark, [(1, "a b c"), (2, "a b c")], 0.8)) == 2
+
+
+def test_rows_without_ids_of_their_own(spark):
+    texts = ["the first text speaks of rivers and of the boats on them", "a second one tells how bread is made in old ovens", "here a third is about stars that nobody has counted"]
+    rows = [(None, t) for t in texts] + [(7, "seven words that no other row holds"), (7, "but the same number on quite another page")] + [(9, texts[0]), (None, texts[1])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(9, texts[0]), (None, texts[1]), (None, texts[2]), *rows[3:5]]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
