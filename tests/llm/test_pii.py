@@ -78,3 +78,14 @@ def test_secrets_of_letters_only(spark):
     beside = one(spark, *[f"7 key {s} end" for s in secrets])
     assert [f"7 {t}" for t in alone] == beside
     assert not any(s in t for s, t in zip(secrets, alone, strict=True))
+
+
+def test_names_of_many_parts(spark):
+    texts = ["Dr Anna Maria Schmidt", "Dr Schmidt", "Mr J. Smith", "Mr Smith", "Prof J.R. Karl Smith spoke.", "Herr Otto von der Schmidt", "Frau von Schmidt", "Mr J. went", "Mr " + "Abc " * 3_000 + "Smith"]
+    three, schmidt, initial, smith, long, otto, frau, alone, many = one(spark, *texts)
+    new_schmidt, new_smith = schmidt.removeprefix("Dr "), smith.removeprefix("Mr ")
+    assert re.fullmatch(rf"Dr [A-Z]\w+ [A-Z]\w+ {new_schmidt}", three) and "Anna" not in three and "Maria" not in three
+    assert re.fullmatch(rf"Mr [A-Z][a-z]+ {new_smith}", initial)
+    assert re.fullmatch(rf"Prof [A-Z]+ [A-Z][a-z]+ {new_smith} spoke\.", long) and "Karl" not in long
+    assert re.fullmatch(rf"Herr [A-Z]\w+ \w+ \w+ {new_schmidt}", otto) and "Otto" not in otto and frau.endswith(f" {new_schmidt}")
+    assert re.fullmatch(r"Mr [A-Z][a-z]+\. went", alone) and many.endswith(f" {new_smith}") and "Abc" not in many

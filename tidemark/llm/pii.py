@@ -33,6 +33,9 @@ SYLLABLES = {"latin": ["ba", "de", "fi", "ga", "ho", "ka", "le", "mi", "no", "pa
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME_PART = r"\p{Lu}[\p{L}\p{M}’'\-]*"
+# what may stand before a further part of a name: initials and lower-case particles
+_BEFORE = r"(?:(?:\p{Lu}\.-?)++|von|vom|van|de|der|den|del|della|degli|di|da|das|do|dos|du|des|la|le|las|los|y|zu|zum|zur|ten|ter|bin|ibn|ben|al|el|af|av|фон|де|ван)"
+_NAME = rf"(?:(?:{_BEFORE} )*+{_NAME_PART}|{_NAME_PART})(?: (?:{_BEFORE} )*+{_NAME_PART})*+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++\.)+\p{L}{2,}",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+?\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\d{2,4}){3,4}(?!\d)|(?<![\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-]*\d)",
@@ -41,7 +44,7 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])(?i:[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ \-]){3}\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:(?i:(?=[a-f]*\d)[0-9a-f]{32,})|(?i:akia)[A-Za-z0-9]{16}|(?i:gh[pousr]_)[A-Za-z0-9]{30,}|(?i:sk-)[A-Za-z0-9\-]{20,})(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?iu:{'|'.join(MALE + FEMALE + OPEN)})\.? {_NAME_PART}(?: {_NAME_PART})?",
+    "name": rf"(?<!\p{{L}})(?iu:{'|'.join(MALE + FEMALE + OPEN)})\.? {_NAME}",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -54,13 +57,13 @@ def kind_of(value: Column) -> Column:
 
 
 def entities_of(value: Column) -> Column:
-    """(kind, value) parts that get surrogates of their own: a name's given name and surname, else the whole."""
+    """(kind, value) parts that get surrogates of their own: a name's surname, which is its last part, and each part before it as a given name; else the whole."""
     words = F.split(value, " ")
     title = F.lower(F.regexp_replace(words[0], r"\.$", ""))
     among = lambda names: title.isin([n.lower() for n in names])
     gender = F.when(among(MALE), "male").when(among(FEMALE), "female").otherwise("open")
     part = lambda kind, x: F.struct(kind.alias("kind"), x.alias("value"))
-    given = F.when(F.size(words) > 2, F.array(part(F.concat(F.lit("given_"), gender), words[1]))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    given = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: part(F.concat(F.lit("given_"), gender), F.regexp_replace(w, r"\.", "")))
     name = F.concat(given, F.array(part(F.lit("surname"), F.element_at(words, -1))))
     kind = kind_of(value)
     return F.when(kind == "name", name).otherwise(F.array(part(kind, value)))
@@ -201,7 +204,7 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
 
 def _cased(value: Column, new: Column) -> Column:
     """``new`` with the capitals of ``value``: all, the first, or character by character."""
-    upper = (F.upper(value) == value) & (F.lower(value) != value)
+    upper = (F.upper(value) == value) & (F.lower(value) != value) & (F.length(value) > 1)
     first = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))
     title = F.initcap(value) == value
     each = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.lower(F.substring(value, i + 1, F.lit(1))) != F.substring(value, i + 1, F.lit(1)), F.upper(c)).otherwise(c)), "")
