@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, idfile, language, lengths, near, packing, pii, repeats, store, topk, warc
+from tidemark.llm import align, decontaminate, idfile, language, leaks, lengths, near, packing, pii, repeats, repair, store, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,9 +97,35 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.anonymised(_table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.find(_table(spark, sf_dir, "documents"))
+    known = F.filter("spans", lambda s: s["kind"].isin(*leaks.KNOWN))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in leaks.KNOWN]
+    return found.select("doc_id", *counts, F.sha2(leaks.joined(known), 256).alias("base_sha256"), leaks.joined(F.col("spans")).alias("spans"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.aligned(_table(spark, sf_dir, "documents"), with_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    found = repair.repaired(repair.damaged(rows))
+    digest = found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    out = every.join(digest, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    zeros = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(
+        F.col("id").alias("conv_id"), *zeros, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op2_repeats": op2_repeats, "op3_topk": op3_topk, "op4_language": op4_language, "op5_warc": op5_warc,
     "op6_token_ids": op6_token_ids, "op7_near_duplicates": op7_near_duplicates, "op8_token_counts": op8_token_counts, "op9_packing": op9_packing,
-    "op10_surrogates": op10_surrogates,
+    "op10_surrogates": op10_surrogates, "op11_secrets": op11_secrets, "op12_alignment": op12_alignment, "op13_repair": op13_repair,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL}
