@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import public_tokenizers
@@ -38,10 +39,12 @@ from tidemark.llm.batches import mapped
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-HELD_BYTES = 96 << 20  # results of chunks held by a task
+HELD_BYTES = 64 << 20  # results of chunks held by a task
 PIECE_CHARS = 1 << 20  # characters of texts worked on together; a longer text is cut at chunks
-BLOCK_PAIRS = 1 << 20  # id pairs of documents in a block, the last document's included
+BLOCK_PAIRS = 1 << 19  # id pairs of documents in a block, the last document's included
 SLICE = 1 << 21  # products formed at once
+LEARNT = 1 << 15  # chunks encoded and multiplied together; their numbers take 15 bits of a key, ids 24 each
+JOINED_BYTES = 1 << 14  # chunks are encoded side by side in texts of this size
 MARK = "▁"
 _CHUNKS = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
 _CUT = re.compile(r"(?<=\S) ")
@@ -83,11 +86,8 @@ def row_products(left: Rows, right: Rows, most: int = SLICE) -> Iterator[tuple[n
         start = np.repeat(right.begin[left.columns[e]] - (before[:-1][e] - before[left.begin[lo]]), width)
         column = right.columns[start + np.arange(len(row))]
         if len(row):
-            order = np.lexsort((column, row))
-            row, column = row[order], column[order]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (column[1:] != column[:-1])])
-            at = np.flatnonzero(new)
-            yield row[at], column[at], np.diff(np.concatenate([at, [len(row)]]))
+            place, n = _counted(row << 32 | column)
+            yield place >> 32, place & 0xFFFFFFFF, n
         lo = hi
 
 
@@ -103,6 +103,7 @@ class Aligner:
 
     def __init__(self, byte_bpe: str, piece_bpe: str) -> None:
         path = lambda name: name if "/" in name else public_tokenizers.path(name)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         self.a = Tokenizer.from_file(path(byte_bpe))
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path(piece_bpe))
@@ -117,38 +118,73 @@ class Aligner:
             raise ValueError(f"{piece_bpe} has pieces with a space mark inside")
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in s], np.int64) for s in (self.bytes_a, self.bytes_b))
+        self.spelt_a, self.spelt_b = (np.frombuffer(b"".join(s), np.uint8) for s in (self.bytes_a, self.bytes_b))
+        self.bytes_a = self.bytes_b = None
         self.space = self.b.piece_to_id(MARK)
         self.forget()
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.valid: list[bool] = []
+        self.groups: list[bytes] = []
+        self.valid = [np.zeros(0, bool)]
         self.figures = [np.zeros((0, 5), np.int64)]
         self.pairs, self.times, self.n_pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.size = 0
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of texts that begin with a space, of which the second tokenizer adds the first itself."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        return a, [[self.space] if c == " " else ids for c, ids in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_b(self, texts: list[str]) -> list[list[int]]:
+        """Texts begin with a space, and the library adds the first itself, but not to an empty text."""
+        return [[self.space] if t == " " else ids for t, ids in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)]
+
+    def _encoded(self, run: list[str], odd: list[str], sizes: np.ndarray, ids_of, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many each has. Those of ``run`` may stand side by side, and ``sizes`` are their bytes."""
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // JOINED_BYTES)) + 1
+        together = ["".join(run[lo:hi]) for lo, hi in pairwise([0, *cuts.tolist(), len(run)]) if hi > lo]
+        found = ids_of(together)
+        ids = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        ends, wanted = np.cumsum(length[ids]), np.cumsum(sizes)
+        place = np.searchsorted(ends, wanted)
+        if len(run) and (place[-1] != len(ids) - 1 or (ends[place] != wanted).any()):
+            odd, n = run + odd, np.zeros(0, np.int64)  # some chunk isn't spelt by its tokens, so each is encoded alone
+            ids = ids[:0]
+        else:
+            n = np.diff(place, prepend=-1)
+        alone = ids_of(odd)
+        more = np.fromiter(map(len, alone), np.int64, len(odd))
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(alone), np.int64, int(more.sum()))]), np.concatenate([n, more])
 
-    def same_bytes(self, text: str, a: list[int], b: list[int]) -> bool:
-        raw = text.encode()
-        return b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+    @staticmethod
+    def _spells(raw: np.ndarray, of_chunk: np.ndarray, ids: np.ndarray, own: np.ndarray, length: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """Per chunk whether its tokens' bytes are its own; ``of_chunk`` are bytes of each, ``own`` the chunk of each token."""
+        n = length[ids]
+        same = np.bincount(own, n, len(of_chunk)).astype(np.int64) == of_chunk
+        ids, n, own = ids[same[own]], n[same[own]], own[same[own]]
+        told = spelt[np.repeat((np.cumsum(length) - length)[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        differs = np.flatnonzero(told != raw[np.repeat(same, of_chunk)])
+        same[np.repeat(np.arange(len(same)), np.where(same, of_chunk, 0))[differs]] = False
+        return same
 
     def learn(self, chunks: list[str]) -> None:
         """Encodes new chunks and multiplies their matrices, all stacked."""
-        for k in range(0, len(chunks), 50_000):
-            self._learn(chunks[k : k + 50_000])
+        for k in range(0, len(chunks), LEARNT):
+            self._learn(chunks[k : k + LEARNT])
 
     def _learn(self, chunks: list[str]) -> None:
-        a, b = self.encode(chunks)
-        valid = [self.same_bytes(c, x, y) for c, x, y in zip(chunks, a, b, strict=True)]
-        a, b = ([ids if ok else [] for ids, ok in zip(side, valid, strict=True)] for side in (a, b))
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        id_a, id_b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
-        own_a = np.repeat(np.arange(len(chunks)), n_a)
+        odd = [c for c in chunks if c[-1].isspace() or MARK in c]
+        run = [c for c in chunks if not (c[-1].isspace() or MARK in c)] if odd else chunks
+        chunks = run + odd
+        joined = list(map(str.encode, chunks))
+        of_chunk, raw = np.fromiter(map(len, joined), np.int64, len(chunks)), np.frombuffer(b"".join(joined), np.uint8)
+        sides, valid = [], np.ones(len(chunks), bool)
+        for ids_of, length, spelt in ((self._ids_a, self.length_a, self.spelt_a), (self._ids_b, self.length_b, self.spelt_b)):
+            ids, n = self._encoded(run, odd, of_chunk[: len(run)], ids_of, length)
+            own = np.repeat(np.arange(len(chunks)), n)
+            valid &= self._spells(raw, of_chunk, ids, own, length, spelt)
+            sides.append((ids, own))
+        (id_a, own_a), (id_b, own_b) = ((ids[valid[own]], own[valid[own]]) for ids, own in sides)
+        n_a, n_b = (np.bincount(own, minlength=len(chunks)) for own in (own_a, own_b))
         token_bytes_a = Rows.of_lengths(self.length_a[id_a])
         token_bytes_b = Rows.of_lengths(self.length_b[id_b])
         overlaps = np.zeros(len(chunks), np.int64)
@@ -162,71 +198,79 @@ class Aligner:
         keys, times = [], []
         for row, column, _ in row_products(Rows.of_owners(group_a), of_group_b):
             links += np.bincount(own_a[row], minlength=len(chunks))
-            key = np.stack([own_a[row], id_a[row] << 32 | id_b[column]])
-            found, n = _distinct(key)
+            found, n = _counted(own_a[row] << 48 | id_a[row] << 24 | id_b[column])
             keys.append(found)
             times.append(n)
-        key = np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.int64)
-        key, time = _distinct(key, np.concatenate(times) if times else np.zeros(0, np.int64))
+        key, time = _counted(np.concatenate(keys), np.concatenate(times)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         groups = np.bincount(own_a[np.searchsorted(end_a, common)], minlength=len(chunks))
         self.figures.append(np.stack([n_a, n_b, groups, links, overlaps], axis=1))
-        self.n_pairs.append(np.bincount(key[0], minlength=len(chunks)))
-        self.pairs.append(key[1])
+        self.n_pairs.append(np.bincount(key >> 48, minlength=len(chunks)))
+        self.pairs.append((key >> 24 & 0xFFFFFF) << 32 | key & 0xFFFFFF)
         self.times.append(time)
         texts = self._texts(len(chunks), id_a, id_b, group_a, group_b, own_a)
-        for k, c in enumerate(chunks):
-            self.slot[c] = len(self.groups)
-            self.groups.append(texts[k])
-            self.valid.append(valid[k])
+        self.slot.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True))
+        self.groups += texts
+        self.valid.append(valid)
         self.size += 250 * len(chunks) + 16 * len(time) + sum(map(len, texts)) + 2 * sum(map(len, chunks))
 
     @staticmethod
-    def _texts(chunks: int, id_a: np.ndarray, id_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, own_a: np.ndarray) -> list[str]:
-        """Groups of each chunk as a1,a2|b1;a3|b2,b3; empty without tokens."""
-        out = [""] * chunks
+    def _texts(chunks: int, id_a: np.ndarray, id_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, own_a: np.ndarray) -> list[bytes]:
+        """Groups of each chunk as a1,a2|b1;a3|b2,b3, the ids' digits written side by side; empty without tokens."""
         if not len(id_a):
-            return out
+            return [b""] * chunks
         n = int(group_a[-1]) + 1
-        sides = []
-        for ids, group in ((id_a, group_a), (id_b, group_b)):
-            words = list(map(str, ids.tolist()))
-            cuts = np.searchsorted(group, np.arange(n + 1)).tolist()
-            sides.append([words[lo] if hi - lo == 1 else ",".join(words[lo:hi]) for lo, hi in pairwise(cuts)])
-        both = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
-        owner = own_a[np.searchsorted(group_a, np.arange(n))]
-        cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), n]
-        for lo, hi in pairwise(cuts):
-            out[owner[lo]] = ";".join(both[lo:hi])
-        return out
+        upto_a, upto_b = (np.cumsum(np.bincount(g, minlength=n)) for g in (group_a, group_b))
+        at_a = np.arange(len(id_a)) + np.concatenate([[0], upto_b[:-1]])[group_a]
+        at_b = np.arange(len(id_b)) + upto_a[group_b]
+        ids, mark = np.empty(len(id_a) + len(id_b), np.int64), np.full(len(id_a) + len(id_b), ord(","), np.uint8)
+        ids[at_a], ids[at_b] = id_a, id_b
+        mark[at_a[upto_a - 1]], mark[at_b[upto_b - 1]] = ord("|"), ord(";")
+        width = 1
+        while 10**width <= ids.max():
+            width += 1
+        written = np.empty((len(ids), width + 1), np.uint8)
+        for k in range(width):
+            written[:, k] = ids // 10 ** (width - 1 - k) % 10 + ord("0")
+        written[:, width] = mark
+        shown = np.ones(written.shape, bool)
+        for k in range(width - 1):
+            shown[:, k] = ids >= 10 ** (width - 1 - k)
+        ends = np.cumsum(shown.sum(axis=1))
+        data = written[shown].tobytes()
+        last = ends[at_b[upto_b - 1]]  # of each group
+        stop = np.zeros(chunks, np.int64)
+        np.maximum.at(stop, own_a[upto_a - 1], last)
+        stop = np.maximum.accumulate(stop).tolist()
+        return [data[lo : max(lo, hi - 1)] for lo, hi in pairwise([0, *stop])]
 
     def slots(self, chunks: list[str]) -> np.ndarray:
         """The slot of each chunk, learnt if new."""
         if self.size > HELD_BYTES:
             self.forget()
-        found = list(map(self.slot.get, chunks))
-        new = {c for c, s in zip(chunks, found, strict=True) if s is None}
+        found = np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0)
+        new = dict.fromkeys(chunks[k] for k in missing.tolist())
         if new:
             self.learn(list(new))
-            found = list(map(self.slot.__getitem__, chunks))
-        for name in ("figures", "pairs", "times", "n_pairs"):
+            found[missing] = [self.slot[chunks[k]] for k in missing.tolist()]
+        for name in ("valid", "figures", "pairs", "times", "n_pairs"):
             parts = getattr(self, name)
             if len(parts) > 1:
                 setattr(self, name, [np.concatenate(parts)])
         if new:
             self.begin = np.concatenate([[0], np.cumsum(self.n_pairs[0])])
-        return np.array(found, np.int64)
+        return found
 
 
-def _distinct(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns of a two-row key in order, and the weight of each."""
-    if not key.shape[1]:
+def _counted(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs or the sum of its weights."""
+    if not len(key):
         return key, np.zeros(0, np.int64)
-    order = np.lexsort((key[1], key[0]))
-    key = key[:, order]
-    at = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-    if weight is None:
-        return key[:, at], np.diff(np.concatenate([at, [key.shape[1]]]))
-    return key[:, at], np.add.reduceat(weight[order], at)
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], None if weight is None else weight[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.diff(np.concatenate([at, [len(key)]])) if weight is None else np.add.reduceat(weight, at)
 
 
 class Document:
@@ -240,12 +284,12 @@ class Document:
         self.valid, self.begun = True, False
 
     def add(self, aligner: Aligner, slots: np.ndarray) -> None:
-        self.valid = self.valid and all([aligner.valid[s] for s in slots.tolist()])
+        self.valid = self.valid and bool(aligner.valid[0][slots].all())
         if not self.valid:
             return
         self.figures += aligner.figures[0][slots].sum(axis=0)
-        groups = (";" if self.begun else "") + ";".join([aligner.groups[s] for s in slots.tolist()])
-        self.hash.update(groups.encode())
+        groups = (b";" if self.begun else b"") + b";".join(map(aligner.groups.__getitem__, slots.tolist()))
+        self.hash.update(groups)
         if self.text is not None:
             self.text.append(groups)
         self.begun = True
@@ -302,7 +346,7 @@ def _encoded(docs: DataFrame, key: str, text: str, byte_bpe: str, piece_bpe: str
             packed = [_packed(p, t) for p, (_, _, _, t) in zip(np.split(place, ends), held, strict=True)]
             valid = [d.valid and d.begun for _, d, _, _ in held]
             figures = np.stack([d.figures if ok else np.zeros(5, np.int64) for (_, d, _, _), ok in zip(held, valid, strict=True)])
-            groups = ["".join(d.text) if ok else "" for (_, d, _, _), ok in zip(held, valid, strict=True)] if with_groups else [None] * len(held)
+            groups = [b"".join(d.text).decode() if ok else "" for (_, d, _, _), ok in zip(held, valid, strict=True)] if with_groups else [None] * len(held)
             columns = [
                 pa.array([block] * (len(held) + 1), pa.int64()),
                 pa.array([False] * len(held) + [True]),
