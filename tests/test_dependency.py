@@ -1,5 +1,7 @@
 import datetime as dt
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,37 +12,104 @@ from tidemark.operators import dependency as dep
 T = lambda s: dt.datetime.fromisoformat(s)
 
 
-def test_entity_filter(spark):
-    e = spark.createDataFrame([(1, "KR"), (2, "US"), (3, "JP"), (4, "GB")], "user_id int, country string")
-    t = spark.createDataFrame([(1, 0), (1, 1), (3, 0)], "user_id int, label int")
-    fit = dep.train_visible_rows(e, t, entity_key="user_id", target_key="user_id")
-    assert rows(fit.select("user_id")) == [(1,), (3,)]
-    m = dep.fit_manifest(e, t, fit, entity_key="user_id", target_key="user_id").first()
-    assert (m["source_rows"], m["train_entities"], m["fit_rows"]) == (4, 2, 2)
+def entity_rows(spark, found):
+    """(shop, since, owner) of every version of two shops; ``found`` is checked by owner."""
+    return spark.createDataFrame([(s, T(t), o) for s, t, o in found], "shop int, since timestamp_ntz, owner string")
 
 
-def test_per_entity_and_maximum_cutoff(spark):
-    e = spark.createDataFrame(
-        [(1, T("2024-01-01"), "a"), (1, T("2024-01-10"), "b"), (1, T("2024-02-01"), "future"), (2, T("2024-01-02"), "x"), (2, T("2024-03-01"), "future")],
-        "user_id int, event_time timestamp_ntz, state string",
-    )
-    how = dict(entity_key="user_id", target_key="user_id", entity_time="event_time", target_time="timestamp")
-    t = spark.createDataFrame([(1, T("2024-01-15")), (2, T("2024-02-01"))], "user_id int, timestamp timestamp_ntz")
-    assert rows(dep.train_visible_rows(e, t, **how).select("state")) == [("a",), ("b",), ("x",)]
-    t = spark.createDataFrame([(1, T("2024-01-05")), (1, T("2024-01-15"))], "user_id int, timestamp timestamp_ntz")
-    e = spark.createDataFrame([(1, T("2024-01-01"), "a"), (1, T("2024-01-10"), "b"), (1, T("2024-01-20"), "c")], e.schema)
-    assert rows(dep.train_visible_rows(e, t, **how).select("state")) == [("a",), ("b",)]
+def test_only_entities_of_the_split_are_fitted(spark):
+    e = spark.createDataFrame([(s, o) for s, o in zip(range(10, 70, 10), "ppqqrs", strict=True)], "shop int, owner string")
+    t = spark.createDataFrame([(60, 1), (20, 0), (20, 1), (None, 0), (99, 1), (60, 0)], "shop int, label int")
+    fit = dep.train_visible_rows(e, t, entity_key="shop", target_key="shop")
+    assert rows(fit.select("shop", "owner")) == [(20, "p"), (60, "s")]
+    m = dep.fit_manifest(e, t, fit, entity_key="shop", target_key="shop").first()
+    assert (m["source_rows"], m["train_entities"], m["fit_rows"]) == (6, 3, 2)
+
+
+def test_versions_end_at_the_last_cutoff_of_their_entity(spark):
+    how = dict(entity_key="shop", target_key="place", entity_time="since", target_time="asked")
+    e = entity_rows(spark, [(7, "2019-05-04", "first"), (7, "2019-08-20", "next"), (7, "2020-02-29", "late"), (8, "2018-12-31", "only"), (8, "2019-07-02", "late")])
+    asked = lambda found: spark.createDataFrame([(s, T(t)) for s, t in found], "place int, asked timestamp_ntz")
+    fit = dep.train_visible_rows(e, asked([(8, "2019-07-01"), (7, "2019-08-20")]), **how)
+    assert rows(fit.select("shop", "owner")) == [(7, "first"), (7, "next"), (8, "only")]
+    e = entity_rows(spark, [(3, "2021-11-05", "one"), (3, "2021-11-07", "two"), (3, "2021-11-30", "three"), (4, "2021-01-01", "unasked")])
+    fit = dep.train_visible_rows(e, asked([(3, "2021-11-29"), (3, "2021-11-06"), (3, "2021-11-08")]), **how)
+    assert rows(fit.select("owner")) == [("one",), ("two",)]
 
 
 def test_fit_errors(spark):
-    e = spark.createDataFrame([(1, "a")], "user_id int, state string")
-    t = spark.createDataFrame([(2, 0)], "user_id int, label int")
+    e = spark.createDataFrame([(5, "open")], "shop int, state string")
+    t = spark.createDataFrame([(6, 1)], "shop int, label int")
     with pytest.raises(ValueError, match="must either both be provided"):
-        dep.train_visible_rows(e, t, entity_key="user_id", target_key="user_id", entity_time="state")
+        dep.train_visible_rows(e, t, entity_key="shop", target_key="shop", target_time="label")
     with pytest.raises(ValueError, match="missing columns"):
-        dep.train_visible_rows(e, t, entity_key="nope", target_key="user_id")
+        dep.train_visible_rows(e, t, entity_key="shop", target_key="place")
     with pytest.raises(ValueError, match="fit table is empty"):
-        dep.require_rows(dep.train_visible_rows(e, t, entity_key="user_id", target_key="user_id"))
+        dep.require_rows(dep.train_visible_rows(e, t, entity_key="shop", target_key="shop"))
+
+
+def brute_pair(found, i, j):
+    """Statistics of one ordered pair of columns, counted by hand."""
+    valid = [(r[i], r[j]) for r in found if r[i] is not None and r[j] is not None]
+    n, left, right, both = len(valid), Counter(x for x, _ in valid), Counter(a for _, a in valid), Counter(valid)
+    if not n:
+        return None
+    two = lambda k: k * (k - 1) / 2
+    entropy = lambda counts: -sum(c / n * math.log(c / n) for c in counts)
+    h = entropy(right.values())
+    lhs_pairs, same = sum(map(two, left.values())), sum(map(two, both.values()))
+    return {
+        "n_valid": n, "coverage": n / len(found), "r_del": sum(max(c for (x, _), c in both.items() if x == v) for v in left) / n,
+        "r_ent": 1 - (entropy(both.values()) - entropy(left.values())) / h if h > 1e-12 else 1.0,
+        "r_pair": same / lhs_pairs if lhs_pairs else None,
+        "r_tuple": 1 - sum(left[v] for v in left if sum(x == v for x, _ in both) > 1) / n,
+        "lhs_uniqueness": len(left) / n, "lhs_support_repeated": sum(c for c in left.values() if c > 1) / n,
+        "n_lhs_values": len(left), "n_rhs_values": len(right), "rhs_entropy": h,
+    }
+
+
+@pytest.mark.parametrize(("cells", "wide", "most"), [(1 << 16, 1 << 14, 1_000), (0, 0, 1_000), (0, 15, 1_000), (0, 0, 40), (0, 15, 40), (0, 200, 25)])
+def test_every_route_counts_all_pairs(spark, monkeypatch, cells, wide, most):
+    """A unique column, a hot value, nulls, arrays, texts and times, by closed form, in the map tasks or dealt by value."""
+    monkeypatch.setattr(dep, "LIGHT_CELLS", cells)
+    monkeypatch.setattr(dep, "LIGHT_ROWS", 50 if not cells else 8)
+    monkeypatch.setattr(dep, "WIDE_VALUES", wide)
+    rng = random.Random(5)
+    found = []
+    for k in range(300):
+        hot = rng.random() < 0.4
+        found.append((
+            k, None if rng.random() < 0.1 else "hot" if hot else f"t{rng.randrange(60)}", None if k % 7 == 0 else -1 if hot else rng.randrange(90),
+            rng.choice([None, 0.5, -1.25, 1e300]), (k % 3, 1) if k % 11 else None, T("2020-01-01") + dt.timedelta(days=rng.randrange(120)), None if k % 2 else k, None,
+        ))
+    kinds = "u long, t string, i int, d double, l array<int>, w timestamp_ntz, half int, none string"
+    d = spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in r) for r in found], kinds)
+    got = {(r["lhs"], r["rhs"]): r.asDict() for r in dep.pair_statistics(d, d.columns, rows_per_task=most).collect()}
+    assert len(got) == 56
+    for i, x in enumerate(d.columns):
+        for j, a in enumerate(d.columns):
+            if i != j:
+                want = brute_pair(found, i, j)
+                mine = got[(x, a)]
+                assert mine["n_valid"] == (want["n_valid"] if want else 0) and mine["n_total"] == 300
+                assert not want or {c: mine[c] for c in want} == pytest.approx(want, abs=1e-9), (x, a)
+
+
+def test_weights_take_the_same_routes(spark, monkeypatch):
+    d = spark.range(200).select("id", (F.col("id") % 7).alias("x"), (F.col("id") * 13 % 90).alias("a"), F.col("id").cast("string").alias("u"))
+    how = dict(row_key=["id"], replicates=3)
+    plain = rows(dep.calibration_statistics(d, ["x", "a", "u"], **how))
+    for wide in (0, 50):
+        monkeypatch.setattr(dep, "LIGHT_CELLS", 0)
+        monkeypatch.setattr(dep, "LIGHT_ROWS", 1_000)
+        monkeypatch.setattr(dep, "WIDE_VALUES", wide)
+        for one, other in zip(rows(dep.calibration_statistics(d, ["x", "a", "u"], **how)), plain, strict=True):
+            assert one == pytest.approx(other)
+
+
+def test_empty_table_has_pairs_without_rows(spark):
+    d = spark.createDataFrame([], "x string, a int")
+    assert rows(dep.pair_statistics(d, ["x", "a"]).select("lhs", "rhs", "n_valid")) == [("a", "x", 0), ("x", "a", 0)]
 
 
 def test_pair_statistics_by_hand(spark):

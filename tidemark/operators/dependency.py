@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import as_time, hash_int, require_columns, sigmoid, symbol, xlogx
-from tidemark.operators.scan import bounded, first_row
+from tidemark.operators.scan import ROWS_PER_TASK, bounded, first_row
 from tidemark.operators.temporal import as_of_state, effective
 
 PAIR = ["lhs", "rhs"]
@@ -61,39 +63,52 @@ def require_rows(fit: DataFrame) -> DataFrame:
     return fit
 
 
-def _cells(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    """Counts per unordered column pair and value pair; ``extra`` adds aggregates over ``__id``.
+LIGHT_ROWS = 8  # rows there must be for each possible value pair, if the pair's counts are to combine in the map tasks
+LIGHT_CELLS = 1 << 16  # or as few value pairs as fit any task
+WIDE_VALUES = 1 << 14  # distinct values above which a column's rows are dealt by value
 
-    Each row expands to k(k-1)/2 small structs that combine map-side before the only large shuffle.
-    """
-    named = df.select(*[symbol(df, c).alias(f"c{i}") for i, c in enumerate(columns)], *(["__id"] if extra else []))
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("a"))
-            for i, j in combinations(range(len(columns)), 2)
-        ]
-    )
-    long = named.select(F.explode(pairs).alias("p"), *(["__id"] if extra else [])).select(
-        "p.i", "p.j", "p.x", "p.a", *(["__id"] if extra else [])
-    )
-    valid = long.where(F.col("x").isNotNull() & F.col("a").isNotNull())
-    return valid.groupBy("i", "j", "x", "a").agg(F.count("*").alias("n"), *extra)
 
+class _Profile(NamedTuple):
+    """One column by itself."""
+
+    n: int  # rows that are not null
+    distinct: int
+    pairs: float  # pairs of rows that agree
+    log: float  # sum of n ln n over values
+    repeated: int  # rows whose value occurs again
+    largest: int  # rows of the most frequent value
+
+
+def _codes(df: DataFrame, columns: Sequence[str], seed: int) -> list[Column]:
+    """A 64-bit code per value. Numbers, dates and times have one each; texts share one only by a clash, which the profile sees."""
+
+    def value(c: str) -> Column:
+        return F.col(c) if not _texts(df, c) else symbol(df, c)
+
+    return [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), value(c)) if _texts(df, c) else F.xxhash64(value(c))) for c in columns]
 
-def _both_ways(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Ordered pairs from unordered cells."""
-    names = F.array(*[F.lit(c) for c in columns])
-    rest = [c for c in cells.columns if c not in ("i", "j", "x", "a")]
-    sides = F.explode(
-        F.array(
-            F.struct(F.col("i").alias("l"), F.col("j").alias("r"), F.col("x").alias("x"), F.col("a").alias("a")),
-            F.struct(F.col("j").alias("l"), F.col("i").alias("r"), F.col("a").alias("x"), F.col("x").alias("a")),
-        )
-    )
-    return cells.select(sides.alias("s"), *rest).select(
-        F.element_at(names, F.col("s.l") + 1).alias("lhs"), F.element_at(names, F.col("s.r") + 1).alias("rhs"),
-        F.col("s.x").alias("x"), F.col("s.a").alias("a"), *rest,
-    )
+
+def _texts(df: DataFrame, column: str) -> bool:
+    return not isinstance(df.schema[column].dataType, (T.NumericType, T.DatetimeType, T.BooleanType, T.TimestampNTZType)) or isinstance(df.schema[column].dataType, T.DecimalType)
+
+
+def _profiled(df: DataFrame, columns: Sequence[str], seed: int = 0) -> tuple[int, int, list[_Profile]]:
+    """(seed of the codes, rows, profile of each column), from one pass over all columns; a row per column reaches the driver."""
+    codes = _codes(df, columns, seed)
+    texts = [(x, c) for x, c in zip(codes, columns, strict=True) if _texts(df, c)]
+    if texts:  # two texts with one code differ in a second hash
+        pairs = df.select(F.posexplode(F.array(*[F.struct(x.alias("x"), F.xxhash64(F.lit(~seed), symbol(df, c)).alias("h")) for x, c in texts])).alias("i", "s"))
+        twice = pairs.where("s.x is not null").groupBy("i", "s.x").agg(F.min("s.h").alias("lo"), F.max("s.h").alias("hi")).where("lo <> hi")
+        if not twice.isEmpty():
+            return _profiled(df, columns, seed + 1)
+    values = df.select(F.posexplode(F.array(*codes)).alias("i", "x")).groupBy("i", "x").agg(F.count("*").alias("n"))
+    known = F.col("x").isNotNull()
+    found = values.groupBy("i").agg(
+        F.sum(F.when(known, F.col("n")).otherwise(0)), F.count("x"), *[F.sum(F.when(known, e).otherwise(0)) for e in (pair_count(F.col("n")), xlogx(F.col("n")))],
+        F.sum(F.when(known & (F.col("n") > 1), F.col("n")).otherwise(0)), F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0)), F.sum("n"),
+    ).collect()
+    by_column = {r[0]: _Profile(*r[1:-1]) for r in found}
+    return seed, max((r[-1] for r in found), default=0), [by_column.get(i, _Profile(0, 0, 0.0, 0.0, 0, 0)) for i in range(len(columns))]
 
 
 def pair_count(n: Column) -> Column:
@@ -101,19 +116,17 @@ def pair_count(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
-def _pair_table(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]], weights: dict[str, Column]) -> DataFrame:
-    """Sums per ordered column pair, from one expansion of the rows.
-
-    Value pairs are counted once per unordered pair, rolled up per left value and then per pair.
-    ``weights`` are per-row replicate weights summed beside the plain count.
-    """
-    cells = _both_ways(_cells(df, columns, [F.sum(e).alias(w) for w, e in weights.items()]), columns)
-    per_value = cells.groupBy(*PAIR, "x").agg(
-        F.sum("n").alias("n_x"), F.max("n").alias("top"), F.count("*").alias("n_a"),
-        F.sum(xlogx(F.col("n"))).alias("xl"), F.sum(pair_count(F.col("n"))).alias("same"),
+def _per_value(cells: DataFrame, weights: Sequence[str]) -> DataFrame:
+    """Counts of each left value of each ordered pair, from cells (l, r, x, a, n)."""
+    return cells.groupBy("l", "r", "x").agg(
+        F.sum("n").alias("n_x"), F.max("n").alias("top"), F.count("*").alias("n_a"), F.sum(xlogx(F.col("n"))).alias("xl"), F.sum(pair_count(F.col("n"))).alias("same"),
         *[F.sum(w).alias(w) for w in weights], *[F.max(w).alias(f"top_{w}") for w in weights],
-    )
-    rolled = per_value.groupBy(*PAIR).agg(
+    )
+
+
+def _rolled(values: DataFrame, weights: Sequence[str]) -> DataFrame:
+    """Sums over the left values of each ordered pair."""
+    return values.groupBy("l", "r").agg(
         F.sum("n_x").alias("n"), F.sum("top").alias("kept"),
         F.sum(F.when(F.col("n_a") > 1, F.col("n_x")).otherwise(0)).alias("violating"),
         F.sum(pair_count(F.col("n_x"))).alias("lhs_pairs"), F.sum("same").alias("same_pairs"),
@@ -122,17 +135,115 @@ def _pair_table(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str
         *[F.sum(w).alias(f"n_{w}") for w in weights], *[F.sum(f"top_{w}").alias(f"kept_{w}") for w in weights],
         *[F.sum(F.when(F.col(w) >= 2, F.col(w)).otherwise(0)).alias(f"rep_{w}") for w in weights],
         *[F.sum(F.when(F.col(w) >= 1, 1).otherwise(0)).alias(f"uni_{w}") for w in weights],
-    )
+    )
+
+
+class _Routes(NamedTuple):
+    """How each pair of columns is counted; columns by number."""
+
+    known: list[tuple[int, int]]  # (key, other): the key has no null and no value twice, so profiles say all
+    light: list[tuple[int, int]]  # few possible value pairs: counts combine in the map tasks
+    dealt: list[tuple[int, int, bool]]  # (by, other, turn): rows are dealt by the values of ``by``; ``turn`` if that also serves other -> by
+
+    @classmethod
+    def of(cls, profiles: list[_Profile], rows: int, wanted: set[frozenset[int]], weighted: bool) -> _Routes:
+        known, light, heavy = [], [], []
+        for i, j in combinations(range(len(profiles)), 2):
+            if frozenset((i, j)) not in wanted or not profiles[i].n or not profiles[j].n:
+                continue
+            keys = [k for k in (i, j) if profiles[k].distinct == rows] if not weighted else []
+            if keys:
+                known.append((keys[0], i + j - keys[0]))
+            elif profiles[i].distinct * profiles[j].distinct * LIGHT_ROWS <= max(rows, LIGHT_CELLS):
+                light.append((i, j))
+            else:
+                heavy.append((i, j))
+        wide = {k for pair in heavy for k in pair if profiles[k].distinct > WIDE_VALUES}
+        wide |= {max(pair, key=lambda k: profiles[k].distinct) for pair in heavy if not wide & set(pair)}
+        return cls(known, light, [(a, b, b not in wide) for pair in heavy for a, b in (pair, pair[::-1]) if a in wide])
+
+
+def _pair_table(
+    df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]], weights: dict[str, Column], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Sums per ordered column pair. ``weights`` are per-row replicate weights summed beside the plain count.
+
+    One pass profiles the columns; exact distinct counts then settle or bound each pair before any of its value pairs is
+    counted. A left or right side that is a key (no null, no value twice) leaves nothing to count. Where the product of the
+    distinct counts is far below the rows, value pairs combine in the map tasks. Else rows are dealt once per wide column by
+    its value, as codes, and all its pairs are counted where they land: a value's rows lie together like in a position list,
+    so neither the counts of its value pairs nor their sums are shuffled again. A value with more than ``rows_per_task`` rows
+    isn't dealt; its pairs combine in the map tasks, as few such values can exist. Columns never travel as text.
+    """
+    seed, rows, profiles = _profiled(df, columns)
+    number_of = {c: i for i, c in enumerate(columns)}
+    routes = _Routes.of(profiles, rows, {frozenset((number_of[a], number_of[b])) for a, b in pairs}, bool(weights))
+    k = len(columns)
+    held = df.select(F.array(*_codes(df, columns, seed)).alias("c"), *[w.alias(name) for name, w in weights.items()])
+    by = sorted({a for a, _, _ in routes.dealt})
+    hot = [a for a in by if profiles[a].largest > rows_per_task]
+    for a in hot:
+        most = max(rows // rows_per_task, 1)
+        frequent = held.groupBy(F.col("c")[a].alias("v")).count().where((F.col("count") > rows_per_task) & F.col("v").isNotNull()).select("v", F.lit(True).alias(f"hot{a}"))
+        held = held.join(bounded(frequent, most), F.col("c")[a] == F.col("v"), "left").drop("v")
+    sums = [F.count("*").alias("n"), *[F.sum(w).alias(w) for w in weights]]
+
+    def cells_of(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.where("x is not null and a is not null").groupBy(*keys, "x", "a").agg(*sums)
+
+    def turned(cells: DataFrame) -> DataFrame:
+        return cells.select(F.col("r").alias("l"), F.col("l").alias("r"), F.col("a").alias("x"), F.col("x").alias("a"), "n", *weights)
+
+    def number(a: int, b: int, both: bool) -> int:
+        return (both * k + a) * k + b
+
+    parts, back = [], []  # counts of left values; cells to be counted by their right values, from wherever they come
+    mapped = [F.array(*[F.lit(number(a, b, True)) for a, b in routes.light])] if routes.light else []
+    for a in hot:
+        own = F.array(*[F.lit(number(a, b, turn)) for by_a, b, turn in routes.dealt if by_a == a])
+        mapped.append(F.when(F.col(f"hot{a}"), own).otherwise(F.array().cast("array<int>")))
+    if mapped:
+        named = held.select("c", F.explode(F.concat(*mapped)).alias("k"), *weights)
+        light = cells_of(named.select("k", F.get("c", F.expr(f"(k div {k}) % {k}").cast("int")).alias("x"), F.get("c", F.col("k") % k).alias("a"), *weights), "k")
+        light = light.select(F.expr(f"cast((k div {k}) % {k} as int)").alias("l"), (F.col("k") % k).alias("r"), (F.col("k") >= k * k).alias("both"), "x", "a", "n", *weights)
+        parts.append(_per_value(light, list(weights)))
+        back.append(turned(light.where("both") if hot else light))  # unfiltered, both uses share one shuffle
+    if by:
+        plan = {a: [(b, turn) for by_a, b, turn in routes.dealt if by_a == a] for a in by}
+        sides = F.explode(F.array(*[F.struct(F.lit(a).alias("l"), F.when(~F.coalesce(F.col(f"hot{a}"), F.lit(False)), F.col("c")[a]).otherwise(None).alias("x") if a in hot else F.col("c")[a].alias("x")) for a in by]))
+        dealt = held.select(sides.alias("s"), "c", *weights).where("s.x is not null").select("s.l", "s.x", "c", *weights).repartition("l", "x")
+
+        def counted(others: dict[int, list[int]]) -> DataFrame:
+            chosen = F.lit(None).cast("array<int>")
+            for a, bs in others.items():
+                chosen = F.when(F.col("l") == a, F.array(*[F.lit(b) for b in bs])).otherwise(chosen)
+            return cells_of(dealt.select("l", F.explode(chosen).alias("r"), "x", "c", *weights).select("l", "r", "x", F.get("c", "r").alias("a"), *weights), "l", "r")
+
+        parts.append(_per_value(counted({a: [b for b, _ in bs] for a, bs in plan.items()}), list(weights)))
+        turning = {a: [b for b, turn in bs if turn] for a, bs in plan.items()}
+        if any(turning.values()):
+            back.append(turned(counted({a: bs for a, bs in turning.items() if bs})))
+    if back:
+        parts.append(_per_value(reduce(DataFrame.unionByName, back), list(weights)))
+    known = [
+        row for key, b in routes.known for p in [profiles[b]]
+        for row in [(key, b, p.n, p.n, 0, 0.0, 0.0, 0.0, 0.0, p.n, 0), (b, key, p.n, p.distinct, p.repeated, p.pairs, 0.0, p.log, 0.0, p.distinct, p.repeated)]
+    ]
+    shape = "l int, r int, n bigint, kept bigint, violating bigint, lhs_pairs double, same_pairs double, x_log double, xa_log double, n_lhs bigint, repeated bigint"
+    rolled = _rolled(reduce(DataFrame.unionByName, parts), list(weights)) if parts else None
+    settled = df.sparkSession.createDataFrame(known, shape)
+    rolled = settled if rolled is None else rolled if weights else rolled.unionByName(settled)
+    names = F.array(*[F.lit(c) for c in columns])
+    rolled = rolled.select(F.element_at(names, F.col("l") + 1).alias("lhs"), F.element_at(names, F.col("r") + 1).alias("rhs"), *[c for c in rolled.columns if c not in ("l", "r")])
     # the two directions of a pair sit side by side: the other row's left side is this row's right side
     w = W.partitionBy(F.least("lhs", "rhs"), F.greatest("lhs", "rhs")).orderBy("lhs")
-    turned = rolled.select(
+    both = rolled.select(
         "*",
         F.coalesce(F.lag("x_log").over(w), F.lead("x_log").over(w)).alias("a_log"),
         F.coalesce(F.lag("n_lhs").over(w), F.lead("n_lhs").over(w)).alias("n_rhs"),
     )
     wanted = df.sparkSession.createDataFrame(list(pairs), "lhs string, rhs string")
-    total = df.agg(F.count("*").alias("n_total")).scalar()
-    return bounded(wanted, len(pairs)).join(turned, PAIR, "left").withColumn("n_total", total)
+    return bounded(wanted, len(pairs)).join(both, PAIR, "left").withColumn("n_total", F.lit(rows).cast("bigint"))
 
 
 def pair_statistics(
@@ -143,6 +254,7 @@ def pair_statistics(
     exclude: Sequence[str] = (),
     weights: dict[str, Column] | None = None,
     keep: Sequence[str] = (),
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Dependency statistics of every ordered pair of ``columns`` over rows where both are present.
 
@@ -152,7 +264,7 @@ def pair_statistics(
     columns = [c for c in columns if c not in set(exclude)]
     require_columns(df, columns)
     chosen = list(pairs) if pairs is not None else [(a, b) for a in columns for b in columns if a != b]
-    joined = _pair_table(df, columns, chosen, weights or {})
+    joined = _pair_table(df, columns, chosen, weights or {}, rows_per_task)
     n = F.col("n")
     h_a = F.greatest(F.ln(n) - F.col("a_log") / n, F.lit(0.0))
     h_a_x = F.greatest((F.col("x_log") - F.col("xa_log")) / n, F.lit(0.0))
