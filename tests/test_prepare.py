@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,40 @@ def test_edge_quality_of_one_list(spark):
     q = rank.edge_quality(e, "s", "truth", "kind", [2]).first()
     assert q["roc_auc"] == pytest.approx(0.75) and q["average_precision"] == pytest.approx((1 + 2 / 3) / 2)
     assert (q["tp_at_2"], q["precision_at_2"], q["recall_at_2"], q["surrogate_rate_at_2"], q["constant_rate_at_2"]) == (1, 0.5, 0.5, 0.5, 0.0)
+
+
+def brute_information(found, neighbours):
+    """Nearest-neighbour information of (class, value) rows, all distances compared."""
+    harmonic = lambda n: sum(1 / j for j in range(1, n)) - 0.5772156649015329
+    live = [(c, v) for c, v in found if sum(d == c for d, _ in found) > 1]
+    if not live:
+        return None
+    sums = [0.0, 0.0, 0.0]
+    for i, (c, v) in enumerate(live):
+        own = sorted(abs(v - u) for j, (d, u) in enumerate(live) if d == c and j != i)
+        k = min(neighbours, len(own))
+        r = own[k - 1]
+        m = sum(abs(v - u) < r * rank.INSIDE if r > 0 else u == v for _, u in live)
+        for at, n in enumerate((k, len(own) + 1, m)):
+            sums[at] += harmonic(n) / len(live)
+    return max(harmonic(len(live)) + sums[0] - sums[1] - sums[2], 0.0)
+
+
+@pytest.mark.parametrize(("neighbours", "block_rows", "splits"), [(3, 1_000_000, 1), (3, 4, 5), (1, 2, 3), (6, 7, 0)])
+def test_neighbour_information_equals_brute_force(spark, neighbours, block_rows, splits):
+    rng = random.Random(neighbours)
+    found = []
+    for _ in range(160):
+        c = rng.choice("aaabbc")
+        found.append((c, rng.gauss({"a": 0, "b": 2, "c": 5}[c], 1), float(rng.randrange(4)), float(rng.randrange(40)) / 8, 1.0))
+    found += [("alone", 9.0, 9.0, 9.0, 9.0), ("two", -30.0, 7.0, 0.0, 1.0), ("two", 80.5, 7.0, 0.0, 1.0)]
+    d = spark.createDataFrame(found, "y string, smooth double, tied double, mixed double, constant double").repartition(6)
+    got = {r.feature: r.mi for r in rank.neighbour_information(d, d.columns[1:], "y", neighbours=neighbours, block_rows=block_rows, splits=splits).collect()}
+    assert got == {name: pytest.approx(brute_information([(r[0], r[i]) for r in found], neighbours), abs=1e-9) for i, name in enumerate(d.columns) if i}
+    assert got["smooth"] > 0.3 > got["constant"]
+
+
+def test_neighbour_information_without_rows(spark):
+    d = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "y string, v double")
+    assert rank.neighbour_information(d, ["v"], "y").count() == 0
+    assert rank.neighbour_information(d.limit(0), ["v"], "y").count() == 0

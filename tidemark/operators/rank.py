@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import number
 from tidemark.operators.metrics import ranking_aggregates, with_counts_above
-from tidemark.operators.scan import BY_SIZE, bounded, value_counts
+from tidemark.operators.scan import BY_SIZE, bounded, numbered, prefix_scan, value_counts
 
 
 def ranked(df: DataFrame, order: Sequence[Column], k: int | None = None, groups: Sequence[str] = ()) -> DataFrame:
@@ -61,11 +61,77 @@ def unsupervised_scores(profile: DataFrame, id_like: Sequence[str] = ()) -> Data
     )
 
 
+NEIGHBOURS = 3
+BLOCK_ROWS = 1_000_000  # neighbouring values looked at by one window; its edges are lent to the blocks beside it
+INSIDE = 1 - 1e-9  # of a radius: a value at the radius itself, rounding included, is outside
+
+
+def digamma(n: Column) -> Column:
+    """Digamma of a positive whole number: six steps of its recurrence, then the asymptotic series, right to 1e-12."""
+    n = n.cast("double")
+    x = n + 6
+    inverse = 1 / (x * x)
+    tail = inverse * (F.lit(1 / 12) - inverse * (F.lit(1 / 120) - inverse * (F.lit(1 / 252) - inverse * (F.lit(1 / 240) - inverse / 132))))
+    return F.ln(x) - 0.5 / x - tail - sum((1 / (n + j) for j in range(6)), F.lit(0.0))
+
+
+def neighbour_information(
+    rows: DataFrame, features: Sequence[str], label: str, *, neighbours: int = NEIGHBOURS, splits: int = BY_SIZE, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(feature, mi): nearest-neighbour mutual information, in nats, of each number with a class label.
+
+    For a row with N_c rows in its class, k = min(neighbours, N_c - 1), r the distance to its k-th nearest row of that class
+    and m the rows of all classes nearer than r (with r = 0, those at its own value), itself included,
+    mi = psi(N) + mean psi(k) - mean psi(N_c) - mean psi(m), at least 0. Rows alone in their class take no part; a feature
+    without other rows has no mi. Missing features and labels must be filled or dropped before.
+
+    Equal values are one row with a count. The k values on either side are found by ordered windows over numbered blocks
+    that overlap by k; ranks within the radius are running counts read at its two ends, from slices of the value order.
+    """
+    long = rows.unpivot([label], list(features), "feature", "v")
+    counts = long.groupBy("feature", F.col(label).alias("c"), "v").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("feature", "c").agg(F.sum("n").alias("n_c"))
+    counts = counts.join(sizes.where("n_c > 1"), ["feature", "c"])
+    placed = numbered(counts, ["feature", "c"], ["v"], "i", splits=splits)
+    block, inside = F.expr(f"i div {block_rows}"), F.col("i") % block_rows
+    lent = F.array(block, F.when(inside < neighbours, block - 1), F.when(inside >= block_rows - neighbours, block + 1))
+    spread = placed.select("*", F.explode(F.array_compact(lent)).alias("b"))
+    w = W.partitionBy("feature", "c", "b").orderBy("v")
+    beside = [step(F.struct("v", "n"), j).over(w) for step in (F.lag, F.lead) for j in range(1, neighbours + 1)]
+    near = spread.select("*", F.array_compact(F.array(*beside)).alias("near")).where(F.col("b") == block)
+    k = F.least(F.lit(neighbours), F.col("n_c") - 1)
+    apart = F.array_sort(F.concat(
+        F.array(F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n"))), F.transform("near", lambda s: F.struct(F.abs(s["v"] - F.col("v")).alias("d"), s["n"].alias("n")))
+    ))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("r"))
+    radius = F.aggregate(apart, start, lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.coalesce(s["r"], F.when(s["n"] + x["n"] >= k, x["d"])).alias("r")))["r"]
+    known = near.select("feature", "c", "v", "n", "n_c", k.alias("k"), radius.alias("r"))
+    # running counts at the ends of the radius: at one value, upper ends come first, then values, then lower ends
+    reach = F.col("r") * INSIDE
+    tied = F.col("r") == 0
+    ends = known.select(
+        "feature", "c", "v", "n", "n_c", "k",
+        F.explode(F.array(
+            F.struct(F.when(tied, F.col("v")).otherwise(F.col("v") + reach).alias("at"), F.when(tied, 2).otherwise(0).alias("side"), F.lit(1).alias("sign")),
+            F.struct(F.when(tied, F.col("v")).otherwise(F.col("v") - reach).alias("at"), F.when(tied, 0).otherwise(2).alias("side"), F.lit(-1).alias("sign")),
+        )).alias("e"),
+    )
+    values = counts.groupBy("feature", "v").agg(F.sum("n").alias("x")).select("feature", F.struct(F.col("v").alias("at"), F.lit(1).alias("side")).alias("o"), "x")
+    asked = ends.select("feature", F.struct("e.at", "e.side").alias("o"), F.struct("c", "v", "n", "n_c", "k", "e.sign").alias("who"))
+    stream = values.withColumn("who", F.lit(None).cast(asked.schema["who"].dataType)).unionByName(asked.withColumn("x", F.lit(0).cast("bigint")))
+    upto = prefix_scan(stream, ["feature"], "o", adds=["x"], splits=splits, marks_from=values)
+    found = upto.where("who is not null").groupBy("feature", "who.c", "who.v", "who.n", "who.n_c", "who.k").agg(F.sum(F.col("who.sign") * F.col("x")).alias("m"))
+    total = F.sum("n")
+    mean = lambda e: F.sum(F.col("n") * e) / total
+    mi = digamma(total) + mean(digamma(F.col("k"))) - mean(digamma(F.col("n_c"))) - mean(digamma(F.col("m")))
+    return found.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
 def supervised_scores(df: DataFrame, features: Sequence[str], label: str, *, bins: int = 10, splits: int = BY_SIZE) -> DataFrame:
-    """ROC-AUC, oriented AUC, average precision, binned mutual information of every feature in one job.
+    """ROC-AUC, oriented AUC, average precision and mutual information of every feature.
 
-    Missing values count as 0. Mutual information (nats) uses equal-count bins of the score order, ties
-    kept together. Constant features score -1.
+    Missing values count as 0. Mutual information (nats) is that of nearest neighbours (``neighbour_information``) and, beside
+    it, that of equal-count bins of the score order, ties kept together. Constant features score -1.
     """
     y = F.col(label)
     rows = df.where(y.isNotNull()).select(y.alias("__y"), *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in features])
@@ -98,23 +164,25 @@ def supervised_scores(df: DataFrame, features: Sequence[str], label: str, *, bin
     )
     ranks = ranking_aggregates(F.col("ge_pos"), F.col("ge_neg"))
     main = above.groupBy("feature").agg(F.count("*").alias("nunique"), *[e.alias(k) for k, e in ranks.items()])
-    out = main.join(bounded(info, len(features)), "feature")
+    near = neighbour_information(rows.withColumn("__y", F.col("__y") == 1), features, "__y", splits=splits)
+    out = main.join(bounded(info, len(features)), "feature").join(bounded(near, len(features)), "feature", "left")
     live = F.col("nunique") > 1
     return out.select(
         "feature", "nunique",
         F.when(live, F.col("roc_auc")).alias("roc_auc"),
         F.when(live, F.greatest(F.col("roc_auc"), 1 - F.col("roc_auc"))).alias("roc_auc_oriented"),
         F.when(live, F.col("average_precision")).alias("average_precision"),
+        F.when(live, F.col("mi")).alias("mi"),
         F.when(live, F.greatest("mi_binned", F.lit(0.0))).alias("mi_binned"),
         F.when(live, F.coalesce(2 * F.abs(F.col("roc_auc") - 0.5), F.lit(-1.0))).otherwise(-1.0).alias("score_auc"),
         F.when(live, F.coalesce("average_precision", F.lit(-1.0))).otherwise(-1.0).alias("score_ap"),
-        F.when(live, F.coalesce("mi_binned", F.lit(-1.0))).otherwise(-1.0).alias("score_mi"),
+        F.when(live, F.coalesce("mi", F.lit(-1.0))).otherwise(-1.0).alias("score_mi"),
     )
 
 
 TIE_COLUMNS = {
-    "auc": ["score_auc", "roc_auc_oriented", "average_precision", "mi_binned", "nunique"],
-    "ap": ["score_ap", "roc_auc_oriented", "mi_binned", "nunique"],
+    "auc": ["score_auc", "roc_auc_oriented", "average_precision", "mi", "nunique"],
+    "ap": ["score_ap", "roc_auc_oriented", "mi", "nunique"],
     "mi": ["score_mi", "roc_auc_oriented", "average_precision", "nunique"],
 }
 

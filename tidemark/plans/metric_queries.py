@@ -319,13 +319,20 @@ bins AS (SELECT feature, doc_id, y, v, floor((rank() OVER (PARTITION BY feature
 j AS (SELECT feature, b, y, count(*)::DOUBLE n FROM bins GROUP BY ALL),
 mi AS (SELECT feature, sum(n / t * ln(n * t / (nb * ny))) mi FROM (
   SELECT *, sum(n) OVER (PARTITION BY feature) t, sum(n) OVER (PARTITION BY feature, b) nb, sum(n) OVER (PARTITION BY feature, y) ny FROM j) GROUP BY 1),
+near AS (SELECT a.feature, a.doc_id, a.v, least(3, count(*)) k, count(*) + 1 n_c, list_sort(list(abs(a.v - b.v)))[least(3, count(*))] r
+  FROM l a JOIN l b ON a.feature = b.feature AND a.y = b.y AND a.doc_id <> b.doc_id GROUP BY 1, 2, 3),
+inner_rows AS (SELECT n.feature, n.doc_id, any_value(n.k) k, any_value(n.n_c) n_c, count(*) m FROM near n JOIN near o
+  ON n.feature = o.feature AND CASE WHEN n.r > 0 THEN abs(n.v - o.v) < n.r * (1 - 1e-9) ELSE n.v = o.v END GROUP BY 1, 2),
+psi AS (SELECT x, -0.5772156649015329 + coalesce(list_sum(list_transform(range(1, x), lambda t: 1.0 / t)), 0) p FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM doc))) x)),
+knn AS (SELECT feature, greatest(0, any_value(t.p) + avg(a.p) - avg(b.p) - avg(c.p)) mi FROM inner_rows i JOIN psi a ON a.x = i.k JOIN psi b ON b.x = i.n_c JOIN psi c ON c.x = i.m
+  JOIN (SELECT feature, count(*) n FROM near GROUP BY 1) z USING (feature) JOIN psi t ON t.x = z.n GROUP BY 1),
 u AS (SELECT feature, count(DISTINCT v) nunique FROM l GROUP BY 1),
 s AS (SELECT feature, nunique, CASE WHEN nunique > 1 THEN auc END roc_auc, CASE WHEN nunique > 1 THEN greatest(auc, 1 - auc) END roc_auc_oriented,
-  CASE WHEN nunique > 1 THEN ap END average_precision, CASE WHEN nunique > 1 THEN mi END mi_binned,
+  CASE WHEN nunique > 1 THEN ap END average_precision, CASE WHEN nunique > 1 THEN knn.mi END mi, CASE WHEN nunique > 1 THEN mi.mi END mi_binned,
   CASE WHEN nunique > 1 THEN 2 * abs(auc - 0.5) ELSE -1 END score_auc, CASE WHEN nunique > 1 THEN ap ELSE -1 END score_ap,
-  CASE WHEN nunique > 1 THEN mi ELSE -1 END score_mi FROM u JOIN auc USING (feature) JOIN ap USING (feature) JOIN mi USING (feature))
+  CASE WHEN nunique > 1 THEN knn.mi ELSE -1 END score_mi FROM u JOIN auc USING (feature) JOIN ap USING (feature) JOIN mi USING (feature) JOIN knn USING (feature))
 SELECT feature, nunique, """ + ", ".join(
-        f"round({c}, 6) AS {c}" for c in ["roc_auc", "roc_auc_oriented", "average_precision", "mi_binned", "score_auc", "score_ap", "score_mi"]
+        f"round({c}, 6) AS {c}" for c in ["roc_auc", "roc_auc_oriented", "average_precision", "mi", "mi_binned", "score_auc", "score_ap", "score_mi"]
     ) + ", row_number() OVER (ORDER BY score_ap DESC, roc_auc_oriented DESC)::INT AS rank, row_number() OVER (ORDER BY score_ap DESC, roc_auc_oriented DESC) <= 3 AS selected FROM s"
 
 
