@@ -231,15 +231,15 @@ def removed(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     long = rows.where(F.octet_length("text") >= DEPTH).select("t1", "t2", "text")
-    found = store.kept(mapped(long, _anchor_rows, "t1 bigint, t2 bigint, at bigint, n bigint, h bigint, span bigint"), "anchors")
+    found = store.kept(mapped(long, _anchor_rows, "t1 bigint, t2 bigint, at bigint, n bigint, h bigint, span bigint"), "anchors", "zstd")
     distinct = found.groupBy("h", "span").agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "at", "n")).alias("one"))
     hashes = distinct.groupBy("h").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    state = store.kept(distinct.join(hashes, "h").select("h", "span", "kinds", (F.col("times") > 1).alias("repeated"), "one.*"), "spans")
+    state = store.kept(distinct.join(hashes, "h").select("h", "span", "kinds", (F.col("times") > 1).alias("repeated"), "one.*"), "spans", "zstd")
 
     packed = store.kept(mapped(long, _packed, "t1 bigint, t2 bigint, packed binary").groupBy("t1", "t2").agg(F.first("packed").alias("packed")), "packed")
     wanted = state.where("kinds > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", (F.col("kinds") > MOST_SPANS).alias("many"), "at", "n", "repeated")).alias("spans"))
     texts = mapped(packed.join(wanted, ["t1", "t2"]), _span_texts, "h bigint, many boolean, t1 bigint, t2 bigint, at bigint, n bigint, repeated boolean, data binary")
-    texts = store.kept(texts, "texts")
+    texts = store.kept(texts, "texts", "zstd")
     few = mapped(texts.where("not many").drop("many", "n").repartition("h").sortWithinPartitions("h"), _sorted_spans, "t1 bigint, t2 bigint, at bigint, n bigint")
     counted = mapped(texts.where("many"), _window_hashes, "t1 bigint, t2 bigint, at bigint, w binary, weight bigint")
     again = counted.groupBy("w").agg(F.sum("weight").alias("total")).where("total > 1").select("w")

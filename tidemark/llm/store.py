@@ -20,8 +20,8 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The frame written to the shared folder and read back: lineage is cut and losing an executor costs nothing."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
