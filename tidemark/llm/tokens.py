@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-PIECE_CHARS = 2 << 20
-MOST_HELD = 1 << 20  # pre-tokens
+PIECE_CHARS = 1 << 18
+MOST_HELD = 1 << 20  # pre-tokens, at 24 bytes and 4 for each id: some 36 MB, all in plain arrays
 _SIMPLE = 0x250
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0]
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
@@ -35,14 +35,18 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known, self.slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and the slot of each
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.filled = 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            slot, n = len(self.slots), len(e.ids)
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        slot = len(self.known)
+        place = np.searchsorted(self.known, hashes)
+        self.slot_of = np.insert(self.slot_of, place, np.arange(slot, slot + len(hashes), dtype=np.int32))
+        self.known = np.insert(self.known, place, hashes)
+        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            n = len(e.ids)
             while self.filled + n > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             if slot == len(self.begin):
@@ -50,7 +54,7 @@ class Encoder:
             self.flat[self.filled : self.filled + n] = e.ids
             self.begin[slot], self.count[slot] = self.filled, n
             self.filled += n
-            self.slots[h] = slot
+            slot += 1
 
     def _cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined texts, and start, end, hash and text number of each pre-token."""
@@ -92,16 +96,16 @@ class Encoder:
         """Slot and text number of each pre-token, in order."""
         joined, start, end, h, owner = self._cut(texts)
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > MOST_HELD:
+        if len(self.known) + len(distinct) > MOST_HELD:
             self.forget()
-        known = distinct.tolist()
-        found = [self.slots.get(x, -1) for x in known]
-        new = [k for k, x in enumerate(found) if x < 0]
-        if new:
-            self._learn([known[k] for k in new], [joined[start[first[k]] : end[first[k]]] for k in new])
-            for k in new:
-                found[k] = self.slots[known[k]]
-        return np.asarray(found, np.int64)[back] if len(known) else np.zeros(0, np.int64), owner
+        place = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True)) if len(self.known) < len(distinct) else np.flatnonzero(
+            self.known[np.minimum(place, len(self.known) - 1)] != distinct
+        )
+        if len(new):
+            self._learn(distinct[new], [joined[start[first[k]] : end[first[k]]] for k in new.tolist()])
+            place = np.searchsorted(self.known, distinct)
+        return self.slot_of[place].astype(np.int64)[back] if len(distinct) else np.zeros(0, np.int64), owner
 
     def _plain(self, text: str) -> bool:
         return "'" not in text and (text.isascii() or max(text) < chr(_SIMPLE)) and not any(s in text for s in self.special)
@@ -142,7 +146,7 @@ class Encoder:
                 out[single[0]] = np.asarray(self.library.encode(single[1], add_special_tokens=False).ids, np.uint32)
                 continue
             slots, owner = self._slots([t for _, t in group])
-            n = self.count[slots]
+            n = self.count[slots].astype(np.int64)
             ends = np.cumsum(n)
             flat = self.flat[np.repeat(self.begin[slots] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
             per = np.cumsum(np.bincount(owner, n, len(group)).astype(np.int64))
