@@ -188,6 +188,24 @@ def hash_int(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+# Cumulative Poisson(1) probabilities of 0..8.
+POISSON_STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+                 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974021]
+
+
+def poisson_weight(text: Column) -> Column:
+    """A Poisson(1) count of 0 to 9 drawn from ``text``: how often a bootstrap replicate holds a row."""
+    h = hash_int(text)  # 2**32 uniform levels: the hash itself is compared with scaled thresholds
+    return sum((F.when(h >= int(s * 4294967296), 1).otherwise(0) for s in POISSON_STEPS), F.lit(0))
+
+
+def poisson_weights(text: Column, replicates: int) -> Column:
+    """``poisson_weight`` of ``text`` and each replicate's number, as an array; its code doesn't grow with the replicates."""
+    steps = F.array(*[F.lit(int(s * 4294967296)) for s in POISSON_STEPS])
+    drawn = F.transform(F.array(*[F.lit(str(b)) for b in range(replicates)]), lambda b: hash_int(F.concat_ws("~", text, b)))
+    return F.transform(drawn, lambda h: F.size(F.filter(steps, lambda s: s <= h)))
+
+
 def uniform(text: Column) -> Column:
     """Uniform in (0, 1)."""
     return (hash_int(text) + F.lit(0.5)) / F.lit(4294967296.0)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import require_columns
 from tidemark.operators.scan import first_row, numbered
+from tidemark.session import ensure_checkpoint_dir
 
 
 def assemble_blocks(base: DataFrame, blocks: Sequence[DataFrame], row_key: Sequence[str]) -> DataFrame:
@@ -36,6 +39,38 @@ def _one_row_per_key(block: DataFrame, row_key: Sequence[str]) -> DataFrame:
     return rows.select(*row_key, checked.alias("__f")).select(*row_key, *[F.col(f"__f.{c}").alias(c) for c in features])
 
 
+def write_block(block: DataFrame, row_key: Sequence[str], name: str, *, buckets: int | None = None) -> DataFrame:
+    """The block as a table of the session's catalog, bucketed and sorted by row key in the shared folder.
+
+    A repeated key fails the write: rows of a bucket are sorted for it anyway, so equal keys are neighbours. Blocks written
+    with equal ``buckets`` (``spark.sql.shuffle.partitions`` if not given) join without moving again.
+    """
+    spark = block.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = F.concat(F.lit("repeated row key in a feature block: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in row_key]))
+    nth = F.row_number().over(W.partitionBy(*row_key).orderBy(*row_key))
+    once = F.when(F.col("__nth") == 1, True).otherwise(F.raise_error(told).cast("boolean"))
+    checked = block.repartition(buckets, *row_key).withColumn("__nth", nth).where(once).drop("__nth")
+    writer = checked.write.bucketBy(buckets, *row_key).sortBy(*row_key).option("path", f"{ensure_checkpoint_dir(spark)}/{table}")
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
+def assemble_written(base: DataFrame, blocks: Sequence[DataFrame], row_key: Sequence[str]) -> DataFrame:
+    """Left join of blocks from ``write_block`` to a base from it: one scan per table and merges, no exchange.
+
+    Feature names must not overlap; keys were checked when the blocks were written.
+    """
+    taken = set(base.columns)
+    for b in blocks:
+        clash = (set(b.columns) - set(row_key)) & taken
+        if clash:
+            raise ValueError(f"overlapping feature columns {sorted(clash)}")
+        taken |= set(b.columns)
+    return reduce(lambda a, b: a.join(b.hint("merge"), list(row_key), "left"), blocks, base)
+
+
 def row_key_report(base: DataFrame, blocks: Mapping[str, DataFrame], row_key: Sequence[str]) -> DataFrame:
     """Per block: rows, repeated keys, keys unknown to the base; all of the last two must be 0."""
     known = base.select(*row_key).distinct().withColumn("__known", F.lit(1))
@@ -204,6 +239,35 @@ def apply_decision(outcome: str, baseline: DataFrame, candidate: DataFrame) -> D
     return candidate if outcome == "SELECT" else baseline
 
 
+def column_fingerprints(matrix: DataFrame, row_key: Sequence[str]) -> DataFrame:
+    """Per column: rows, non-null values, and a fingerprint of its multiset of (row key, value), from one pass.
+
+    Order, partitioning and column order don't matter; a value that moves to another row does. Any type but map has one.
+    """
+    key = [F.col(k) for k in row_key]
+    hashed = matrix.select(*[F.xxhash64(F.lit(c), *key, F.col(f"`{c}`"), F.col(f"`{c}`").isNull()).alias(f"h{i}") for i, c in enumerate(matrix.columns)], *[
+        F.col(f"`{c}`").isNotNull().alias(f"k{i}") for i, c in enumerate(matrix.columns)
+    ])
+    span = range(len(matrix.columns))
+    sums = hashed.agg(F.count("*").alias("n"), *[e for i in span for e in (
+        F.count_if(f"k{i}").alias(f"n{i}"), F.bit_xor(f"h{i}").alias(f"x{i}"), F.sum(F.pmod(f"h{i}", F.lit(1_000_003))).alias(f"s{i}")
+    )])
+    rows = [F.struct(
+        F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"n{i}").alias("n_values"), F.col(f"x{i}").alias("hash_xor"), F.col(f"s{i}").alias("hash_sum"),
+    ) for i, c in enumerate(matrix.columns)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def fallback_proof(baseline: DataFrame, chosen: DataFrame, row_key: Sequence[str]) -> DataFrame:
+    """(column, in_baseline, in_chosen, same): after a fallback every column is in both and the same, value by value and row by row.
+
+    Each matrix is read once; no row of one meets a row of the other.
+    """
+    parts = [column_fingerprints(m, row_key).select("column", F.struct("n_rows", "n_values", "hash_xor", "hash_sum").alias(side)) for m, side in ((baseline, "b"), (chosen, "c"))]
+    both = parts[0].join(parts[1], "column", "full_outer")
+    return both.select("column", F.col("b").isNotNull().alias("in_baseline"), F.col("c").isNotNull().alias("in_chosen"), F.coalesce(F.col("b") == F.col("c"), F.lit(False)).alias("same"))
+
+
 def feature_manifest(matrix: DataFrame, programs: DataFrame) -> DataFrame:
     """Feature programs with a flag saying whether the matrix holds the column.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import as_time, hash_int, require_columns, sigmoid, symbol, xlogx
+from tidemark.functions.columns import as_time, poisson_weight, require_columns, sigmoid, symbol, xlogx
 from tidemark.operators.scan import ROWS_PER_TASK, bounded, first_row
 from tidemark.operators.temporal import as_of_state, effective
 
@@ -304,14 +304,8 @@ def calibration_statistics(
     the replicate number; all replicates are sums beside the plain count, so rows are not multiplied.
     Stability is the share of replicates with r_del >= .8, repeated support >= .1 and uniqueness <= .98.
     """
-    # Cumulative Poisson(1) probabilities of 0..8.
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-             0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974021]
-
     def weight(b: int) -> Column:
-        # 2**32 uniform levels: compare the hash itself with scaled thresholds
-        h = hash_int(F.concat_ws("~", "__id", F.lit(str(seed)), F.lit(str(b))))
-        return sum((F.when(h >= int(s * 4294967296), 1).otherwise(0) for s in steps), F.lit(0))
+        return poisson_weight(F.concat_ws("~", "__id", F.lit(str(seed)), F.lit(str(b))))
 
     base = df.withColumn("__id", F.concat_ws("~", *[F.col(k).cast("string") for k in row_key]))
     names = [f"w{b}" for b in range(replicates)]

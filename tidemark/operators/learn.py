@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import number
+from tidemark.functions.columns import number, poisson_weights
+from tidemark.operators.metrics import binary_metrics, ranking_aggregates, with_counts_above
 from tidemark.operators.prepare import impute, varying_columns
 
 
@@ -76,6 +80,112 @@ def calibrate_dependencies(
     return out.select(*score.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
 
+def calibrate_by_group(
+    stats: DataFrame, label: str, group: str, features: Sequence[str] = tuple(CALIBRATOR_FEATURES), penalties: Sequence[float] = (0.003, 0.03, 0.3)
+) -> DataFrame:
+    """``stats`` with ``probability`` from a model that saw no row of its group, and ``penalty``, the one chosen for all.
+
+    Each group (a database) is one fold of a cross-validation; the penalty with the best mean ROC-AUC over the folds is
+    kept, and each row is scored by the model its fold was held out from. Groups are few: their names reach the driver.
+    """
+    names = sorted(r[0] for r in stats.select(group).distinct().collect())
+    if len(names) < 2:
+        raise ValueError("a held-out group needs another group")
+    fold = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(group)).cast("int") - 1
+    named = [F.coalesce(number(c), F.lit(0.0)).alias(f"__f_{i}") for i, c in enumerate(features)]
+    ready = stats.select("*", F.col(label).cast("double").alias("__y"), fold.alias("__fold"), *named).persist()
+    # classes weigh the same among the rows fitted on, and only those; a stage of the pipeline sees no others
+    share = "SELECT *, (SELECT avg(__y) FROM __THIS__) AS __share FROM __THIS__"
+    balanced = SQLTransformer(statement=f"SELECT *, CASE WHEN __y = 1 THEN try_divide(0.5D, __share) ELSE try_divide(0.5D, 1 - __share) END AS __w FROM ({share})")
+    model = LogisticRegression(labelCol="__y", featuresCol="__x", weightCol="__w", maxIter=100, standardization=False)
+    pipe = Pipeline(stages=[
+        balanced, VectorAssembler(inputCols=[f"__f_{i}" for i in range(len(features))], outputCol="__raw"),
+        StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True), model,
+    ])
+    search = CrossValidator(
+        estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, list(penalties)).build(),
+        evaluator=BinaryClassificationEvaluator(labelCol="__y"), numFolds=len(names), foldCol="__fold", collectSubModels=True,
+    )
+    found = search.fit(ready)
+    best = max(range(len(penalties)), key=lambda k: found.avgMetrics[k])
+    ready.unpersist()
+    out = [found.subModels[k][best].transform(ready.where(F.col("__fold") == k)) for k in range(len(names))]
+    score = F.get(vector_to_array("probability"), F.lit(1)).alias("probability")
+    return reduce(DataFrame.unionByName, [d.select(*stats.columns, score, F.lit(float(penalties[best])).alias("penalty")) for d in out])
+
+
+def reliability(df: DataFrame, label: str, probability: str, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
+    """Per bin of equal width of the probability: rows, mean probability, share of true rows."""
+    placed = df.withColumn("bin", F.least(F.floor(F.col(probability) * bins), F.lit(bins - 1)).cast("int"))
+    return placed.groupBy(*by, "bin").agg(F.count("*").alias("n_rows"), F.avg(probability).alias("mean_probability"), F.avg(F.col(label).cast("double")).alias("share_true"))
+
+
+def budget_curve(
+    train: DataFrame, val: DataFrame, *, label: str, ranking: Sequence[str], budgets: Sequence[int], penalty: float = 1e-4
+) -> DataFrame:
+    """Metrics on ``val`` of logistic models of the first K features of a ranking, for every budget K.
+
+    A feature is its value, gaps filled with the train median, and its missing indicator; both count as one. The matrix
+    of all features is assembled and kept once, each budget slices its prefix, and one pass scores all of them.
+    """
+    budgets = sorted({k for k in budgets if 0 < k <= len(ranking)})
+    flags = {f"{c}__is_missing": F.col(c).isNull().cast("double") for c in ranking}
+    known = [d.where(F.col(label).isNotNull()).withColumns(flags) for d in (train, val)]
+    filled = impute(known[0], known, list(ranking), [])
+    columns = [x for c in ranking for x in (c, f"{c}__is_missing")]
+    whole = VectorAssembler(inputCols=columns, outputCol="__all", handleInvalid="keep")
+    a, b = (whole.transform(d.withColumn("__y", F.col(label).cast("double"))).select("__y", "__all") for d in filled)
+    a = a.persist()
+    scored = []
+    for k in budgets:
+        prefix = VectorSlicer(inputCol="__all", outputCol="__x", indices=list(range(2 * k)))
+        model = LogisticRegression(labelCol="__y", featuresCol="__x", maxIter=200, tol=1e-9, regParam=penalty).fit(prefix.transform(a))
+        p = F.get(vector_to_array("probability"), F.lit(1))
+        scored.append(model.transform(prefix.transform(b)).select("__y", p.alias("__p"), F.lit(k).alias("budget")))
+    a.unpersist()
+    found = binary_metrics(reduce(DataFrame.unionByName, scored), "__y", "__p", ["budget"])
+    return found.withColumn("n_columns", 2 * F.col("budget"))
+
+
+def leakage_audit(
+    train: DataFrame, val: DataFrame, *, label: str, row_key: Sequence[str], variants: Mapping[str, Sequence[str]], reference: str, replicates: int = 20, seed: int = 41
+) -> DataFrame:
+    """Per variant (a set of features) the metrics of its model on ``val`` and how far they stand above the reference's.
+
+    variant, n_features, n_rows, roc_auc, average_precision, delta_roc_auc, delta_average_precision, low and high (the
+    2.5 % and 97.5 % points of delta_roc_auc over bootstrap replicates of the validation rows). A variant that may see the
+    future shows as an interval above 0. All variants score the same rows, a row has one Poisson weight a replicate for
+    all of them, and replicates are sums over distinct scores beside the plain count.
+    """
+    if reference not in variants:
+        raise ValueError(f"no variant {reference!r}")
+    scored = [
+        score_matrix(train, val, label=label, features=list(cols), row_key=row_key, task="logistic").select(F.lit(v).alias("variant"), *row_key, "y_true", "y_score")
+        for v, cols in variants.items()
+    ]
+    rows = reduce(DataFrame.unionByName, scored).where(F.col("y_true").isNotNull())
+    name = F.concat_ws("~", *[F.col(k).cast("string") for k in row_key], F.lit(str(seed)))
+    weights = F.concat(F.array(F.lit(1)), poisson_weights(name, replicates))
+    drawn = rows.select("variant", "y_true", F.col("y_score").alias("__s"), F.posexplode(weights).alias("replicate", "w")).where("w > 0")
+    counts = drawn.groupBy("variant", "replicate", "__s").agg(
+        F.sum(F.when(F.col("y_true") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y_true") == 1, 0).otherwise(F.col("w"))).alias("neg")
+    )
+    above = with_counts_above(counts, ["variant", "replicate"], raw=rows.select("variant", F.col("y_score").alias("__s"), F.lit(0).alias("replicate")))
+    ranks = ranking_aggregates(F.col("ge_pos"), F.col("ge_neg"))
+    found = above.groupBy("variant", "replicate").agg(F.sum(F.col("pos") + F.col("neg")).alias("n_rows"), *[e.alias(k) for k, e in ranks.items()])
+    base = found.where(F.col("variant") == reference).select("replicate", F.col("roc_auc").alias("base_auc"), F.col("average_precision").alias("base_ap"))
+    deltas = found.join(base, "replicate").withColumns({"d_auc": F.col("roc_auc") - F.col("base_auc"), "d_ap": F.col("average_precision") - F.col("base_ap")})
+    plain, drawn_only = F.col("replicate") == 0, F.col("replicate") > 0
+    first = lambda c: F.max(F.when(plain, F.col(c)))
+    edges = F.percentile(F.when(drawn_only, F.col("d_auc")), F.array(F.lit(0.025), F.lit(0.975)))
+    sizes = F.create_map(*[x for v, cols in variants.items() for x in (F.lit(v), F.lit(len(cols)))])
+    out = deltas.groupBy("variant").agg(
+        first("n_rows").alias("n_rows"), first("roc_auc").alias("roc_auc"), first("average_precision").alias("average_precision"),
+        first("d_auc").alias("delta_roc_auc"), first("d_ap").alias("delta_average_precision"), edges.alias("__edges"),
+    )
+    return out.select("variant", sizes[F.col("variant")].alias("n_features"), *out.columns[1:-1], F.col("__edges")[0].alias("low"), F.col("__edges")[1].alias("high"))
+
+
 def calibration_heuristic(stats: DataFrame) -> DataFrame:
     """Fixed-weight score of the same statistics; a near-constant right side is penalised."""
     # fixed values: the weights

@@ -358,6 +358,14 @@ def assemble_blocks(spark, sf):
     return rounded(assemble.assemble_blocks(o.select("o_orderkey", "o_custkey"), [counts, last], ["o_orderkey"]), 4)
 
 
+@query("assemble_written", ORACLES["assemble_blocks"])
+def assemble_written(spark, sf):
+    """The same blocks, each written once by row key and joined without an exchange."""
+    o, counts, last = _blocks(spark, sf)
+    written = [assemble.write_block(b, ["o_orderkey"], name) for name, b in (("base", o.select("o_orderkey", "o_custkey")), ("counts", counts), ("last", last))]
+    return rounded(assemble.assemble_written(written[0], written[1:], ["o_orderkey"]), 4)
+
+
 @query("merge_disjoint", """
 WITH a AS (SELECT l_orderkey k, count(*) n_lines FROM lineitem GROUP BY 1), b AS (SELECT o_custkey k, count(*) n_orders FROM orders GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, n_lines, n_orders FROM a FULL OUTER JOIN b ON a.k = b.k""")
