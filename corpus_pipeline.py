@@ -25,11 +25,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every class of near-duplicates the row of the smallest doc_id; null or repeated ids are no likeness."""
-    rows = store.kept(docs.withColumn("__id", F.monotonically_increasing_id()), "numbered")  # written, so that numbers stay
-    named = near.classes(rows, key="__id").select("__id", "class_id").join(rows.select("__id", "doc_id"), "__id")
-    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__id")).alias("first"))
-    return rows.join(first.select(F.col("first.__id").alias("__id")), "__id", "left_semi").select(*docs.columns)
+    """Keeps of every class of near-duplicates the row of the smallest doc_id; null or repeated ids are no likeness.
+
+    Repeated rows are copies: one stays. Null and empty texts have no likeness and stay; an empty table gives an empty one.
+    """
+    own = "__id"
+    while own in docs.columns:
+        own += "_"
+    rows = store.kept(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")  # written, so that numbers stay
+    named = near.classes(rows, key=own).select(own, "class_id").join(rows.select(own, "doc_id"), own)
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col(own).alias("own"))).alias("first"))
+    return rows.join(first.select(F.col("first.own").alias(own)), own, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
