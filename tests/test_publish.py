@@ -195,3 +195,54 @@ def test_fallback_proof_sees_any_change(spark):
     assert not any(r.same for r in assemble.fallback_proof(d, fewer, ["k"]).collect())
     extra = {r["column"]: (r.in_baseline, r.in_chosen, r.same) for r in assemble.fallback_proof(d, d.drop("t").withColumn("n", F.lit(1)), ["k"]).collect()}
     assert extra["t"] == (True, False, False) and extra["n"] == (False, True, False)
+
+
+def candidates(spark, mirrored=()):
+    """Three databases whose true programs stand out by ``signal``; in a mirrored one they stand out downwards."""
+    rng = random.Random(12)
+    found = []
+    for base in ("one", "two", "three"):
+        for k in range(30):
+            known = int(k < 3)
+            signal = known * 4 + rng.random()
+            found.append((base, f"p{k}", known, -signal if base in mirrored else signal, None if k % 7 == 6 else rng.random() * 1000))
+    return spark.createDataFrame(found, "base string, name string, known int, signal double, noise double")
+
+
+HELD_OUT = {"group": "base", "item": "name", "label": "known", "features": ["signal", "noise"]}
+
+
+def test_held_out_ranker_finds_what_other_databases_teach(spark):
+    d = candidates(spark)
+    out = learn.rank_held_out(d, **HELD_OUT).collect()
+    assert len(out) == 90 and {(r.base, r["rank"]) for r in out} == {(b, k) for b in ("one", "two", "three") for k in range(1, 31)}
+    assert all(r["rank"] <= 3 for r in out if r.known == 1)
+
+
+def test_held_out_ranker_sees_no_label_of_its_group(spark):
+    d = candidates(spark)
+    turned = d.withColumn("known", F.when(F.col("base") == "two", 1 - F.col("known")).otherwise(F.col("known")))
+    scores = lambda x: {r.name: r.ranker_score for r in learn.rank_held_out(x, **HELD_OUT).where("base = 'two'").collect()}
+    assert scores(d) == scores(turned)
+    others = lambda x: {(r.base, r.name): r.ranker_score for r in learn.rank_held_out(x, **HELD_OUT).where("base != 'two'").collect()}
+    assert others(d) != others(turned)
+    # what is learned is the direction in the others, right or wrong for the one left out
+    wrong = learn.rank_held_out(candidates(spark, mirrored=("two",)), **HELD_OUT).where("base = 'two' AND known = 1").collect()
+    assert all(r["rank"] > 27 for r in wrong)
+
+
+def test_ranking_pairs_grow_with_candidates_and_weigh_one_a_group(spark):
+    d = candidates(spark).unionByName(spark.createDataFrame([("only", "a", 1, 1.0, 1.0), ("only", "b", 1, 2.0, 1.0), ("one", "n", None, 9.0, 9.0)], candidates(spark).schema))
+    pairs = learn.ranking_pairs(d, opponents=2, **HELD_OUT)
+    got = {r.base: (r.n, r.w, r.up) for r in pairs.groupBy("base").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum("y").alias("up")).collect()}
+    assert set(got) == {"one", "two", "three"}
+    for n, w, up in got.values():
+        assert n == 3 * 2 + 27 * 2 and up == 6 and w == pytest.approx(1)
+    assert pairs.where("y = 1 AND d_0 < 2").count() == 0 and pairs.where("y = 0 AND d_0 > -2").count() == 0
+
+
+def test_held_out_ranker_needs_another_group(spark):
+    with pytest.raises(ValueError):
+        learn.rank_held_out(candidates(spark).where("base = 'one'"), **HELD_OUT)
+    with pytest.raises(ValueError):
+        learn.rank_held_out(candidates(spark).withColumn("known", F.lit(1)), **HELD_OUT)

@@ -12,12 +12,14 @@ from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler,
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import number, poisson_weights
 from tidemark.operators.metrics import binary_metrics, ranking_aggregates, with_counts_above
 from tidemark.operators.prepare import impute, varying_columns
+from tidemark.operators.rank import ranked
 
 
 def score_matrix(
@@ -209,3 +211,66 @@ def learn_program_ranker(known: DataFrame, candidates: DataFrame, features: Sequ
     model = pipe.fit(known.select(F.col(label).cast("double").alias("__y"), *named))
     out = model.transform(candidates.select("*", *named))
     return out.select(*candidates.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("ranker_score"))
+
+
+OPPONENTS = 32  # candidates of the other label that a candidate is compared with
+
+
+def ranking_pairs(candidates: DataFrame, *, group: str, item: str, label: str, features: Sequence[str], opponents: int = OPPONENTS) -> DataFrame:
+    """(group, y, d_0, d_1, ..., weight): feature differences of candidates of one group with different labels.
+
+    Each candidate meets up to ``opponents`` of the other label, so the pairs of a group grow with its candidates and not
+    with their square; who meets whom is drawn by a hash of the name. y is 1 where the first of the two is a true one.
+    All pairs of a group together weigh 1. A null label takes no part, and neither does a group with one label only.
+    """
+    numbered = candidates.where(F.col(label).isNotNull()).select(
+        F.col(group).alias("g"), (F.col(label) == 1).alias("t"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
+        (F.row_number().over(W.partitionBy(group, F.col(label) == 1).orderBy(F.md5(F.col(item).cast("string")), item)) - 1).alias("i"),
+    )
+    other = numbered.select("g", (~F.col("t")).alias("t"), F.col("x").alias("z"), F.col("i").alias("j"))
+    sizes = other.groupBy("g", "t").agg(F.count("*").alias("m"))
+    met = numbered.join(sizes, ["g", "t"]).select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(opponents), F.col("m")).cast("int") - 1)).alias("step"))
+    met = met.withColumn("j", ((F.col("i") + F.col("step")) % F.col("m")).cast("int"))
+    pairs = met.join(other, ["g", "t", "j"])
+    per_group = pairs.groupBy("g").agg((1 / F.count("*")).alias("weight"))
+    return pairs.join(per_group, "g").select(
+        F.col("g").alias(group), F.col("t").cast("double").alias("y"), *[(F.col("x")[k] - F.col("z")[k]).alias(f"d_{k}") for k in range(len(features))], "weight"
+    )
+
+
+def rank_held_out(
+    candidates: DataFrame, *, group: str, item: str, label: str, features: Sequence[str], opponents: int = OPPONENTS, penalty: float = 1e-3
+) -> DataFrame:
+    """``candidates`` with ``ranker_score`` and ``rank`` within their group, from a model that saw no row of the group.
+
+    A group is a database with its task, a candidate one of its feature programs. The model is linear and learns from
+    pairs: the logistic loss of the score difference between a true and another candidate of one group
+    (``ranking_pairs``), without an intercept. Features are compared within a group, in standard deviations from its mean;
+    a missing one counts as the mean. Ties go by name; rows without a group are left out. Groups are few, and their names
+    reach the driver.
+    """
+    names = sorted(r[0] for r in candidates.select(group).dropna().distinct().collect())
+    if len(names) < 2:
+        raise ValueError("a held-out group needs another group")
+    here = W.partitionBy(group)
+
+    def scaled(c: str) -> Column:
+        v = number(c)
+        return F.coalesce(F.try_divide(v - F.avg(v).over(here), F.stddev_pop(v).over(here)), F.lit(0.0))
+
+    z = [f"__z_{k}" for k in range(len(features))]
+    rows = candidates.where(F.col(group).isNotNull()).withColumns({n: scaled(c) for n, c in zip(z, features, strict=True)})
+    pairs = ranking_pairs(rows, group=group, item=item, label=label, features=z, opponents=opponents)
+    vector = VectorAssembler(inputCols=[f"d_{k}" for k in range(len(features))], outputCol="x")
+    ready = vector.transform(pairs).select(group, "y", "x", "weight").persist()
+    score = F.lit(None).cast("double")
+    for name in names:
+        seen = ready.where(F.col(group) != name)
+        if seen.isEmpty():
+            raise ValueError(f"no group but {name!r} has candidates of both labels")
+        model = LogisticRegression(labelCol="y", featuresCol="x", weightCol="weight", fitIntercept=False, standardization=False, regParam=penalty, maxIter=100)
+        weights = model.fit(seen).coefficients.toArray().tolist()
+        dot = sum((F.col(n) * F.lit(w) for n, w in zip(z, weights, strict=True)), F.lit(0.0))
+        score = F.when(F.col(group) == name, dot).otherwise(score)
+    ready.unpersist()
+    return ranked(rows.select(*candidates.columns, score.alias("ranker_score")), [F.desc("ranker_score"), F.col(item)], groups=[group])

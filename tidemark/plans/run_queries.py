@@ -16,6 +16,7 @@ from tidemark.operators import gate, learn, metrics, rank, runs
 from tidemark.plans.data import customer_geo, load, round_to, rounded
 from tidemark.plans.dependency_queries import GEO_COLS
 from tidemark.plans.metric_queries import DOC_FEATURES, DOC_SQL, doc_features, labelled
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import run_files
 
 QUERIES = {}
@@ -433,3 +434,59 @@ def program_ranker(spark, sf):
     o = load(spark, sf, "orders").select("o_totalprice", F.month("o_orderdate").alias("month"), F.dayofweek("o_orderdate").alias("weekday"), F.length("o_orderpriority").alias("n_letters"))
     new = rank.rule_features(rank.feature_profile(o, ORDER_FEATURES), rules)
     return learn.learn_program_ranker(known, new, meta, "known").select("feature", _in_range("ranker_score").alias("score_in_range"))
+
+
+# Databases the ranker is tried on: child table, entity key, amount, time, category, and the two programs behind the label.
+RANKED_DATABASES = {
+    "buyers": ("orders", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", ("hist_count", "hist_mean")),
+    "orders": ("lineitem", "l_orderkey", "l_extendedprice", "l_shipdate", "l_returnflag", ("hist_mean", "hist_days_since_last")),
+    "parts": ("lineitem", "l_partkey", "l_quantity", "l_shipdate", "l_returnflag", ("hist_count", "f_amb__flag__majconf")),
+    "suppliers": ("lineitem", "l_suppkey", "l_extendedprice", "l_shipdate", "l_linestatus", ("hist_std", "hist_count")),
+    "users": ("events", "user_id", "value", "ts", "event_type", ("f_amb__flag__majconf", "hist_max")),
+}
+PROGRAMS = ["hist_count", "hist_mean", "hist_std", "hist_max", "hist_days_since_last", "f_amb__flag__majconf", "key_digit", "key_hash", "hist_std__is_missing"]
+
+
+def program_candidates(spark, sf):
+    """Candidate programs of five databases with their metadata; a label is made of two of them, above their mean together."""
+    out = []
+    for name, (table, key, amount, time, kind, truth) in RANKED_DATABASES.items():
+        child = load(spark, sf, table).select(F.col(key).alias("k"), F.col(amount).cast("double").alias("v"), F.col(time).alias("t"), F.col(kind).alias("c"))
+        last = child.agg(F.max("t")).scalar()
+        most = child.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg((F.max("n") / F.sum("n")).alias("f_amb__flag__majconf"))
+        entity = child.groupBy("k").agg(
+            F.count("*").cast("double").alias("hist_count"), F.avg("v").alias("hist_mean"), F.stddev_samp("v").alias("hist_std"),
+            F.max("v").alias("hist_max"), F.max("t").alias("latest"),
+        ).join(most, "k").withColumn("hist_days_since_last", F.datediff(last, "latest").cast("double"))
+        entity = entity.withColumns({
+            "key_digit": (F.col("k") % 10).cast("double"), "key_hash": F.pmod(F.crc32(F.col("k").cast("string").cast("binary")), F.lit(1000)).cast("double"),
+            "hist_std__is_missing": F.col("hist_std").isNull().cast("double"),
+        })
+        about = entity.agg(*[F.avg(c).alias(f"m_{c}") for c in truth], *[F.stddev_pop(c).alias(f"s_{c}") for c in truth])
+        entity = entity.crossJoin(F.broadcast(about))  # one row
+        level = sum((F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)) for c in truth), F.lit(0.0))
+        entity = entity.withColumn("y", (level > 0).cast("double"))
+        shape = rank.feature_profile(entity, PROGRAMS)
+        profile = rank.heuristic_scores(shape, "hist_").select("feature", "heuristic_score")
+        known_y = {c: F.when(F.col(c).isNotNull(), F.col("y")) for c in PROGRAMS}
+        spread = {c: F.stddev_pop(c) * F.stddev_pop(known_y[c]) for c in PROGRAMS}
+        tied = entity.agg(*[F.abs(F.try_divide(F.covar_pop(F.col(c), F.col("y")), spread[c])).alias(c) for c in PROGRAMS])
+        tied = tied.unpivot([], PROGRAMS, "feature", "association")
+        rules = {"is_aggregation": F.col("feature").startswith("hist_"), "is_ambiguity": F.col("feature").startswith("f_amb__"), "is_flag": F.col("feature").endswith("__is_missing")}
+        known = rank.rule_features(shape, rules).join(profile, "feature").join(tied, "feature")
+        out.append(known.select(F.lit(name).alias("dataset"), "*", F.col("feature").isin(*truth).cast("int").alias("known")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query("program_ranker_held_out")
+def program_ranker_held_out(spark, sf):
+    """Per database and K the share of the programs behind its label that a ranker of the other databases finds, beside the heuristic's share."""
+    ensure_checkpoint_dir(spark)
+    found = program_candidates(spark, sf).checkpoint()  # some rows a database, read for every pair, score and rank
+    meta = ["nonnull_rate", "distinct_ratio", "std", "mean_abs", "association", "is_aggregation", "is_ambiguity", "is_flag"]
+    learned = learn.rank_held_out(found, group="dataset", item="feature", label="known", features=meta)
+    plain = rank.ranked(found, [F.desc("heuristic_score"), F.col("feature")], groups=["dataset"])
+    truth = found.where("known = 1").select("dataset", "feature")
+    recall = lambda r: rank.program_recall(r, truth, [1, 2, 4], ["dataset"])
+    beside = recall(plain).select("dataset", "k", F.col("recall").alias("heuristic_recall"))
+    return recall(learned).join(beside, ["dataset", "k"])
