@@ -3,8 +3,10 @@
 One pattern finds e-mail addresses, phone, card, social-security and account numbers, IPv4 addresses, secrets
 and titled names. Each distinct entity gets a surrogate from a keyed hash: digits become digits, letters
 letters of the same script and case, separators stay, card and account numbers keep a right (or wrong) check
-digit, names keep their gender. The same entity has the same surrogate wherever it occurs, however it is
-capitalised; a surname has its own, so that a person named with and without a given name stays one person.
+digit, names keep their script and gender. The same entity has the same surrogate wherever it occurs, however it
+is capitalised; a surname has its own, so that a person named with and without a given name stays one person. A
+given name is one entity whatever title stands before it: its gender is that of its titles in all documents, open
+if none tells or they differ.
 
 Surrogates are checked for collisions: of entities that share one, and of those whose surrogate is itself an
 entity of the input, all but the first draw again until all are distinct. Only distinct entities are shuffled
@@ -27,9 +29,11 @@ MALE = ["Mr", "Herr", "Señor", "Monsieur", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"]
 OPEN = ["Dr", "Prof"]
 ENDINGS = {"latin": {"male": ["an", "ert", "iel", "or"], "female": ["a", "ina", "ela", "ia"], "open": ["is", "e", "y", "in"]},
-           "cyrillic": {"male": ["ан", "ор", "ил", "им"], "female": ["а", "ина", "ела", "ия"], "open": ["и", "е", "ай", "ой"]}}
+           "cyrillic": {"male": ["ан", "ор", "ил", "им"], "female": ["а", "ина", "ела", "ия"], "open": ["и", "е", "ай", "ой"]},
+           "greek": {"male": ["ος", "ης", "ας", "ιλ"], "female": ["α", "ινα", "ελα", "ια"], "open": ["ι", "ε", "υ", "ο"]}}
 SYLLABLES = {"latin": ["ba", "de", "fi", "ga", "ho", "ka", "le", "mi", "no", "pa", "ra", "se", "to", "vi", "wa", "zu"],
-             "cyrillic": ["ба", "де", "фи", "га", "хо", "ка", "ле", "ми", "но", "па", "ра", "се", "то", "ви", "ва", "зу"]}
+             "cyrillic": ["ба", "де", "фи", "га", "хо", "ка", "ле", "ми", "но", "па", "ра", "се", "то", "ви", "ва", "зу"],
+             "greek": ["βα", "δε", "φι", "γα", "χο", "κα", "λε", "μι", "νο", "πα", "ρα", "σε", "το", "βι", "θα", "ζυ"]}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME_PART = r"\p{Lu}[\p{L}\p{M}’'\-]*"
@@ -43,7 +47,7 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?<![\p{L}\p{N}])(?i:[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ \-]){3}\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?i:(?=[a-f]*\d)[0-9a-f]{32,})|(?i:akia)[A-Za-z0-9]{16}|(?i:gh[pousr]_)[A-Za-z0-9]{30,}|(?i:sk-)[A-Za-z0-9\-]{20,})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?i:(?=[a-f]*\d)[0-9a-f]{32,})|(?i:akia)[A-Za-z0-9]{16}|(?i:gh[pousr]_)[A-Za-z0-9]{30,}|(?i:sk-)[A-Za-z0-9\-]{20,}|(?i:aiza)[A-Za-z0-9_\-]{35}|(?i:xox[abeoprs]-)[A-Za-z0-9\-]{10,})(?![\p{L}\p{N}])",
     "name": rf"(?<!\p{{L}})(?iu:{'|'.join(MALE + FEMALE + OPEN)})\.? {_NAME}",
 }
 ANY = "|".join(PATTERNS.values())
@@ -69,6 +73,11 @@ def entities_of(value: Column) -> Column:
     return F.when(kind == "name", name).otherwise(F.array(part(kind, value)))
 
 
+def group_of(kind: Column) -> Column:
+    """What entities are told apart within: their kind, one for all given names."""
+    return F.when(kind.startswith("given_"), F.lit("given")).otherwise(kind)
+
+
 def canonical(kind: Column, value: Column) -> Column:
     """What makes two mentions the same entity: capitals do not, except in secrets that are not hexadecimal."""
     return F.when((kind == "secret") & ~value.rlike("^[0-9A-Fa-f]+$"), value).otherwise(F.lower(value))
@@ -158,7 +167,7 @@ def _surrogate(kind: Column, value: Column, draw: Column, stream: Column, host_s
     iban = F.concat(F.substring(value, 1, 2), F.lpad(check.cast("string"), 2, "0"), account)
 
     hexadecimal = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), (_byte(stream, i) % 10).cast("string")).otherwise(F.substring(F.lit("abcdef"), _byte(stream, i) % 6 + 1, F.lit(1)))), "")
-    prefix = F.regexp_extract(value, r"^(?i:akia|gh[pousr]_|sk-)", 0)
+    prefix = F.regexp_extract(value, r"^(?i:akia|gh[pousr]_|sk-|aiza|xox[abeoprs]-)", 0)
     secret = F.when(value.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(F.concat(prefix, _letters(F.substring(value, F.length(prefix) + 1, F.length(value)), stream)))
 
     def syllabic(script: str, ending: Column | None) -> Column:
@@ -173,7 +182,7 @@ def _surrogate(kind: Column, value: Column, draw: Column, stream: Column, host_s
             end = (F if end is None else end).when(kind == f"given_{gender}", F.element_at(F.array(*map(F.lit, ENDINGS[script][gender])), _byte(stream, F.lit(7)) % 4 + 1))
         return F.when(kind == "surname", syllabic(script, None)).otherwise(syllabic(script, end))
 
-    name = F.when(value.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
+    name = F.when(value.rlike(r"\p{IsCyrillic}"), named("cyrillic")).when(value.rlike(r"\p{IsGreek}"), named("greek")).otherwise(named("latin"))
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
         .when(kind == "secret", secret).when(kind == "ssn", _letters(value, stream, digits_only=True)).otherwise(name)
@@ -181,9 +190,12 @@ def _surrogate(kind: Column, value: Column, draw: Column, stream: Column, host_s
 
 
 def resolved(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) of distinct canonical entities; no two of a kind share a surrogate, and none is an entity."""
-    group = F.when(F.col("kind").startswith("given_"), F.lit("given")).otherwise(F.col("kind"))
-    everyone = store.kept(entities.select("kind", "value").distinct().withColumn("group", group), "entities")
+    """(group, value, surrogate) of distinct canonical entities; no two of a group share a surrogate, and none is an entity."""
+    said = {g: F.bool_or(F.col("kind") == f"given_{g}").alias(g) for g in ("male", "female")}
+    distinct = entities.groupBy(group_of(F.col("kind")).alias("group"), "value").agg(*said.values())
+    gender = F.when(F.col("male") & ~F.col("female"), "given_male").when(F.col("female") & ~F.col("male"), "given_female").otherwise("given_open")
+    kind = F.when(F.col("group") == "given", gender).otherwise(F.col("group"))
+    everyone = store.kept(distinct.select(kind.alias("kind"), "value", "group"), "entities")
     done, left, draw = None, everyone, 0
     while not left.isEmpty():
         if draw == MOST_DRAWS:
@@ -193,13 +205,13 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
         if done is not None:
             taken = taken.union(done.select("group", "surrogate", F.lit(True))).distinct()
         placed = drawn.join(taken, ["group", "surrogate"], "left")
-        turn = F.row_number().over(Window.partitionBy("group", "surrogate").orderBy("kind", "value"))
+        turn = F.row_number().over(Window.partitionBy("group", "surrogate").orderBy("value"))
         placed = store.kept(placed.withColumn("good", F.col("taken").isNull() & (turn == 1)), "drawn")
         good = placed.where("good").select("kind", "value", "group", "surrogate")
         done = good if done is None else done.union(good)
         left = placed.where("not good").select("kind", "value", "group")
         draw += 1
-    return (entities.select("kind", "value", F.lit("").alias("surrogate")).limit(0)) if done is None else done.select("kind", "value", "surrogate")
+    return everyone.select("group", "value", F.lit("").alias("surrogate")) if done is None else done.select("group", "value", "surrogate")
 
 
 def _cased(value: Column, new: Column) -> Column:
@@ -214,15 +226,16 @@ def _cased(value: Column, new: Column) -> Column:
 def anonymised(docs: DataFrame, secret_key: str, *, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, ``text`` with surrogates, and n_entities: the number of replaced mentions.
 
-    A null text stays null with 0 mentions; texts without a find stay as they are. Repeated rows are kept. The
-    column n_entities is replaced if ``docs`` has one.
+    A null text stays null with 0 mentions; texts without a find stay as they are, an empty table stays empty. Whole
+    texts are searched, of any length. Repeated rows are kept. The column n_entities is replaced if ``docs`` has one;
+    columns of any other name, the helpers' own included, come back as they were.
     """
     rest = [c for c in docs.columns if c not in (text, "n_entities")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("__pad")).alias("row"), F.col(text).alias("text"))
     # every entity but a secret or a name has a digit or an @, a secret has one or its prefix, and a name has a title: elsewhere the pattern need not run
     titled = reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t.lower() + end)) for t in MALE + FEMALE + OPEN for end in (" ", ". ")])
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]|(?i:akia|gh[pousr]_|sk-)") | titled, found).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]|(?i:akia|gh[pousr]_|sk-|aiza|xox)") | titled, found).otherwise(F.array().cast("array<string>")))
     with_some = rows.where(F.size("found") > 0).withColumn("sets", F.array_sort(F.array_distinct("found")))
     # read twice below, and few of the documents: written once rather than searched again
     with_some = store.kept(with_some.withColumn("set_id", F.sha2(F.concat_ws("\x1f", "sets").cast("binary"), 256)), "mentions")
@@ -230,12 +243,12 @@ def anonymised(docs: DataFrame, secret_key: str, *, text: str = "text") -> DataF
     known = F.transform(parts, lambda p: F.struct(p.kind.alias("kind"), canonical(p.kind, p.value).alias("value")))
     sets = store.kept(with_some.groupBy("set_id").agg(F.first("sets").alias("sets")).select("set_id", F.array_distinct(known).alias("known")), "sets")
     members = sets.select("set_id", F.explode("known").alias("e")).select("set_id", "e.kind", "e.value")
-    named = members.join(resolved(members, secret_key), ["kind", "value"])
-    # a set is one document's entities; its map is as large as the document names
-    maps = named.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), F.col("surrogate")))).alias("map"))
+    named = members.withColumn("group", group_of(F.col("kind"))).join(resolved(members, secret_key), ["group", "value"])
+    # a set is one document's entities; its map is as large as the document names. A name with two titles is there twice, alike
+    maps = named.groupBy("set_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "group", "value"), F.col("surrogate")))).alias("map"))
 
     def replaced(m: Column) -> Column:
-        get = lambda p: _cased(p.value, F.element_at(F.col("map"), F.concat_ws("\x1f", p.kind, canonical(p.kind, p.value))))
+        get = lambda p: _cased(p.value, F.element_at(F.col("map"), F.concat_ws("\x1f", group_of(p.kind), canonical(p.kind, p.value))))
         own = F.array_join(F.transform(entities_of(m), get), " ")
         return F.when(kind_of(m) == "name", F.concat(F.substring_index(m, " ", 1), F.lit(" "), own)).otherwise(own)
 
