@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from tests.oracle import compare
 from tidemark.plans import catalog
 
-NO_ORACLE: set[str] = set()
+# fitted models, which SQL cannot express: tests/test_publish.py holds them against own fits and fixed thresholds
+NO_ORACLE = {"budget_curve", "calibrator_by_database", "leakage_audit", "program_ranker_held_out"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

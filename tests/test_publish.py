@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.operators import assemble, learn, metrics
-from tidemark.plans import file_queries
+from tidemark.plans import file_queries, run_queries
 from tidemark.sources import publish
 
 
@@ -246,3 +246,10 @@ def test_held_out_ranker_needs_another_group(spark):
         learn.rank_held_out(candidates(spark).where("base = 'one'"), **HELD_OUT)
     with pytest.raises(ValueError):
         learn.rank_held_out(candidates(spark).withColumn("known", F.lit(1)), **HELD_OUT)
+
+
+def test_ranker_of_other_databases_beats_the_heuristic(spark):
+    got = run_queries.program_ranker_held_out(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == 15 and {r.k for r in got} == {1, 2, 4}
+    mean = lambda c, k: sum(r[c] for r in got if r.k == k) / 5
+    assert mean("recall", 2) >= 0.8 and all(mean("recall", k) > mean("heuristic_recall", k) for k in (1, 2, 4))
