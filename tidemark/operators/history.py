@@ -15,6 +15,7 @@ from tidemark.functions.columns import as_time, days_interval, tick, xlogx
 from tidemark.operators.scan import choose_splits, measure_groups, prefix_scan, with_neighbours
 from tidemark.operators.temporal import AT, as_of_state, effective, window_start
 
+ARRAY_ROWS = 262_144  # members held in one array
 
 
 def _one(sign: int = 1) -> Column:
@@ -193,23 +194,25 @@ def reach_counts(
     few_rows: int = 4,
     most_pairs: int | None = None,
     most_asked: int | None = None,
+    most_reached: int | None = None,
 ) -> DataFrame:
     """Distinct members reached through shared groups by each target row's instant.
 
     ``links(__key, __group, __f)`` says key joins group at f; ``members(__group, __member, __g)`` says
     member is in group from g. A member is reached once both have happened in one group.
 
-    Small groups yield (key, member) first times, combined map-side. A group with more than
-    ``hot_pairs`` combinations is never paired: a target row reads the size of the union of its own hot
-    groups (counted once per distinct set of hot groups, by instant), and members it also reaches
-    through small groups are subtracted from the moment both ways exist. Exact for any mix.
-    ``sizes(__group, __pairs)`` may be passed when links and members are already unique.
+    Keys asked more than ``few_rows`` times: small groups yield (key, member) first times, combined map-side, and
+    a key's rows share one ordered pass. A group with more than ``hot_pairs`` combinations is never paired: a target
+    row reads the size of the union of its own hot groups (counted once per distinct set of hot groups, by
+    instant), and members it also reaches through small groups are subtracted from the moment both ways exist.
 
-    ``most_pairs`` and ``most_asked`` are known upper bounds of combinations per group and rows per key;
-    without them both are measured.
+    Keys asked less often: a group's members travel to its rows as one array, cut at the row's instant, so no
+    (row, member) pair is shuffled or hashed. A set of hot groups is counted as a union only if more than
+    ``few_rows`` rows share it. Exact for any mix. ``sizes(__group, __pairs)`` may be passed when links and
+    members are already unique.
 
-    Keys asked at most ``few_rows`` times count their first times by a join and a hash aggregate, without
-    ordering them; keys asked more often share one ordered pass.
+    ``most_pairs``, ``most_asked`` and ``most_reached`` are known upper bounds of combinations per group, rows per key
+    and members per row, repeats included; without them they are measured.
     """
     if sizes is None:
         links = links.groupBy("__key", "__group").agg(F.min("__f").alias("__f"))
@@ -219,6 +222,14 @@ def reach_counts(
         ).select("__group", (F.col("__a") * F.col("__b")).alias("__pairs"))
     sizes = sizes.where(F.col("__pairs") > hot_pairs).select("__group")
     has_hot = (most_pairs is None or most_pairs > hot_pairs) and len(sizes.limit(1).collect()) > 0
+    asked = target.select(*row_key, F.col(key).alias("__rk"), at.alias("__ask"))
+    if most_asked is None:
+        most_asked = asked.groupBy("__rk").count().agg(F.max("count")).first()[0] or 0
+    if most_asked <= few_rows:
+        return _reached_by_few(
+            asked, links, members, row_key=list(row_key), name=name, hot=sizes if has_hot else None, few_rows=few_rows,
+            most_reached=most_reached, splits=splits,
+        )
     cold_links = links.join(sizes, "__group", "left_anti") if has_hot else links
     pairs = (
         cold_links.join(members, "__group")
@@ -238,23 +249,10 @@ def reach_counts(
         events = events.unionByName(
             both.select("__key", F.greatest("__h", "__via_hot").alias("__e"), _one(-1).alias("x"))
         )
-    asked = target.select(*row_key, F.col(key).alias("__rk"), at.alias("__ask"))
-    if most_asked is None:
-        most_asked = asked.groupBy("__rk").count().agg(F.max("count")).first()[0] or 0
-    if most_asked <= few_rows:
-        counted = (
-            asked.where(F.col("__rk").isNotNull())
-            .join(events.withColumnRenamed("__key", "__rk"), "__rk")
-            .where(F.col("__e") <= F.col("__ask"))
-            .groupBy(*row_key)
-            .agg(F.sum("x").alias("__x"))
-        )
-        cold = asked.join(counted, list(row_key), "left").select(*row_key, F.coalesce("__x", _one(0)).alias(name))
-    else:
-        cold = as_of_state(
-            asked, events, row_key=row_key, keys=["__rk"], at=F.col("__ask"), child_keys=["__key"],
-            child_at=F.col("__e"), adds={"x": F.col("x")}, splits=splits,
-        ).select(*row_key, F.coalesce(F.col("x"), _one(0)).alias(name))
+    cold = as_of_state(
+        asked, events, row_key=row_key, keys=["__rk"], at=F.col("__ask"), child_keys=["__key"],
+        child_at=F.col("__e"), adds={"x": F.col("x")}, splits=splits,
+    ).select(*row_key, F.coalesce(F.col("x"), _one(0)).alias(name))
     if not has_hot:
         return cold
 
@@ -265,19 +263,103 @@ def reach_counts(
             F.transform(F.filter("__own", lambda s: s["__f"] <= F.col("__ask")), lambda s: s["__group"])
         ).alias("__sig"),
     ).where(F.size("__sig") > 0)
+    hot, _ = _unions(signed, hot_members, list(row_key), splits)
+    return cold.join(hot, list(row_key), "left").select(
+        *row_key, (F.col(name) + F.coalesce(F.col("__hot"), _one(0))).alias(name)
+    )
+
+
+def _unions(signed: DataFrame, members: DataFrame, row_key: list[str], splits: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the union of each row's groups ``__sig`` by its instant, and the unions' members with first times."""
     reached = (
         signed.select("__sig").distinct()
         .select("__sig", F.explode("__sig").alias("__group"))
-        .join(hot_members, "__group")
+        .join(members, "__group")
         .groupBy("__sig", "__member")
         .agg(F.min("__g").alias("__g"))
     )
-    hot = as_of_state(
+    counted = as_of_state(
         signed, reached, row_key=row_key, keys=["__sig"], at=F.col("__ask"), child_keys=["__sig"],
         child_at=F.col("__g"), adds={"y": _one()}, splits=splits,
-    ).select(*row_key, F.coalesce(F.col("y"), _one(0)).alias("__hot"))
-    return cold.join(hot, list(row_key), "left").select(
-        *row_key, (F.col(name) + F.coalesce(F.col("__hot"), _one(0))).alias(name)
+    )
+    return counted.select(*row_key, F.coalesce(F.col("y"), _one(0)).alias("__hot")), reached
+
+
+def _reached_by_few(
+    asked: DataFrame, links: DataFrame, members: DataFrame, *, row_key: list[str], name: str, hot: DataFrame | None,
+    few_rows: int, most_reached: int | None, splits: int,
+) -> DataFrame:
+    """``reach_counts`` of keys that are asked a few times each: arrays of members per row and group."""
+    steps = (
+        asked.where(F.col("__rk").isNotNull())
+        .join(links.withColumnRenamed("__key", "__rk"), "__rk")
+        .where(F.col("__f") <= F.col("__ask"))
+        .select(*row_key, "__ask", "__group")
+    )
+    shared = None
+    if hot is not None:
+        own = steps.join(hot, "__group", "left_semi").groupBy(*row_key, "__ask").agg(
+            F.sort_array(F.collect_list("__group")).alias("__sig")
+        )
+        often = own.groupBy("__sig").count().where(F.col("count") > few_rows).select("__sig")
+        if len(often.limit(1).collect()) > 0:
+            shared = own.join(often, "__sig", "left_semi")
+            steps = (
+                steps.join(hot.withColumn("__hot", F.lit(True)), "__group", "left")
+                .join(shared.select(*row_key, F.lit(True).alias("__shared")), row_key, "left")
+                .where(F.col("__hot").isNull() | F.col("__shared").isNull())
+                .select(*row_key, "__ask", "__group")
+            )
+    counted = _count_arrays(steps, members, row_key, most_reached)
+    total = F.coalesce("__x", _one(0))
+    out = asked.join(counted, row_key, "left")
+    if shared is not None:
+        union, reached = _unions(shared, members.join(hot, "__group", "left_semi"), row_key, splits)
+        twice = (
+            steps.join(shared.select(*row_key, "__sig"), row_key)
+            .join(members.withColumnRenamed("__g", "__own_g"), "__group")
+            .where(F.col("__own_g") <= F.col("__ask"))
+            .select(*row_key, "__sig", "__ask", "__member").distinct()
+            .join(reached, ["__sig", "__member"])
+            .where(F.col("__g") <= F.col("__ask"))
+            .groupBy(*row_key).agg(F.count("*").alias("__twice"))
+        )
+        out = out.join(union, row_key, "left").join(twice, row_key, "left")
+        total = total + F.coalesce("__hot", _one(0)) - F.coalesce("__twice", _one(0))
+    return out.select(*row_key, total.alias(name))
+
+
+def _count_arrays(steps: DataFrame, members: DataFrame, row_key: list[str], most: int | None) -> DataFrame:
+    """(row_key, __x): distinct members visible by ``__ask`` over a row's groups.
+
+    No array holds more than about ARRAY_ROWS members: members of larger groups are dealt to several arrays by
+    hash, and so are the members of a row that reaches more.
+    """
+    piece, chunk = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    if most is None or most > ARRAY_ROWS:
+        counts = members.groupBy("__group").agg(F.count("*").alias("__b"))
+        members = members.join(counts, "__group").withColumn("__chunks", F.ceil(F.col("__b") / ARRAY_ROWS))
+        chunk = F.pmod(F.xxhash64("__member"), F.col("__chunks"))
+        totals = steps.join(counts, "__group").groupBy(*row_key).agg(F.ceil(F.sum("__b") / ARRAY_ROWS).alias("__pieces"))
+        steps = steps.join(totals, row_key)
+    lists = members.groupBy("__group", chunk.alias("__chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("__member", "__g"))).alias("__list")
+    ).drop("__chunk")
+    seen = F.transform(F.filter("__list", lambda m: m["__g"] <= F.col("__ask")), lambda m: m["__member"])
+    met = steps.join(lists, "__group")
+    if "__pieces" in steps.columns:
+        part = lambda i: F.filter("__seen", lambda m: F.pmod(F.xxhash64(m), F.col("__pieces")) == i)
+        parts = F.when(F.col("__pieces") == 1, F.array("__seen")).otherwise(
+            F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("__pieces") - 1), part)
+        )
+        met = met.withColumn("__seen", seen).select(*row_key, F.posexplode(parts).alias("__piece", "__seen"))
+    else:
+        met = met.select(*row_key, piece.alias("__piece"), seen.alias("__seen"))
+    return (
+        met.where(F.size("__seen") > 0)
+        .groupBy(*row_key, "__piece")
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("__seen")))).cast("bigint").alias("__x"))
+        .groupBy(*row_key).agg(F.sum("__x").alias("__x"))
     )
 
 
@@ -308,7 +390,7 @@ def co_occurrence(
     bounds = {}
     if splits is None:
         splits, top = measure_groups((target, [key], "k"), (target, [key], "t"), (links, [member], "k"), (links, [group], "g"))
-        bounds = {"most_pairs": top["g"] ** 2, "most_asked": top["t"]}
+        bounds = {"most_pairs": top["g"] ** 2, "most_asked": top["t"], "most_reached": top["k"] * top["g"]}
     partners = reach_counts(
         target, single.select("__key", "__group", F.col("__own_f").alias("__f")),
         single.select("__group", F.col("__key").alias("__member"), F.col("__own_f").alias("__g")),

@@ -237,13 +237,12 @@ def pivot_history(
     scanned once. Distinct values go through first-reach times. No limit on pivots per row. Outputs
     pivot_nunique, count, mean, sample std (0 below two values), max, nunique, days since last.
     """
-    most_asked, bounds = None, {}
+    bounds = {}
     if splits is None:
         splits, top = measure_groups(
             (target, [key], "k"), (target, [key], "t"), (base, [base_key], "k"), (base, [pivot], "b"), (second, [second_key], "s")
         )
-        most_asked = top["t"]
-        bounds = {"most_pairs": top["b"] * top["s"], "most_asked": most_asked}
+        bounds = {"most_pairs": top["b"] * top["s"], "most_asked": top["t"], "most_reached": top["k"] * top["s"]}
     points = _points(target, key, target_time)
     links = first_seen(
         base.withColumnRenamed(base_key, "__key"), ["__key"], F.col(pivot), effective(as_time(base, base_time), cutoff)
@@ -311,13 +310,12 @@ def incoming_link_counts(
 
     A reference enters the recent count when it becomes visible and leaves once the window has passed it.
     """
-    most_asked, bounds = None, {}
+    bounds = {}
     if splits is None:
         splits, top = measure_groups(
             (target, [key], "k"), (target, [key], "t"), (own, [own_key], "k"), (own, [own_item], "b"), (incoming, [incoming_item], "s")
         )
-        most_asked = top["t"]
-        bounds = {"most_pairs": top["b"] * top["s"], "most_asked": most_asked}
+        bounds = {"most_pairs": top["b"] * top["s"], "most_asked": top["t"], "most_reached": top["k"] * top["s"]}
     points = _points(target, key, target_time)
     links = first_seen(
         own.withColumnRenamed(own_key, "__key"), ["__key"], F.col(own_item), effective(as_time(own, own_time), cutoff)

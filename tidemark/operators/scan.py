@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
+SHUFFLE_ROWS = 250_000
 BY_SIZE = 0  # as a number of slices: as many as keep a slice at about ROWS_PER_TASK rows
 SLICE = "__slice"
 
@@ -27,6 +28,17 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df)
 
 
+def deal_shuffles(spark: SparkSession, rows: int) -> None:
+    """Let shuffles of about ``rows`` rows start with partitions of SHUFFLE_ROWS, so that a task's memory stays level.
+
+    Only raises the session's number; adaptive execution merges what is small.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    now = int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows > now * SHUFFLE_ROWS:
+        spark.conf.set(name, str(-(-rows // SHUFFLE_ROWS)))
+
+
 def measure_groups(
     *sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK
 ) -> tuple[int, dict[str, int]]:
@@ -41,7 +53,8 @@ def measure_groups(
         tables.setdefault(id(df), (df, []))[1].append(F.struct(F.lit(domain).alias("d"), F.xxhash64(*keys).alias("h")))
     tagged = [df.select(F.explode(F.array(*tags)).alias("s")).select("s.d", "s.h") for df, tags in tables.values()]
     counts = reduce(lambda a, b: a.unionAll(b), tagged).groupBy("d", "h").count()
-    found = counts.groupBy("d").agg(F.max("count").alias("largest")).collect()
+    found = counts.groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).collect()
+    deal_shuffles(sides[0][0].sparkSession, sum(r["rows"] for r in found))
     largest = {domain: 0 for _, _, domain in sides} | {r["d"]: r["largest"] for r in found}
     return 1 if all(n <= rows_per_task for n in largest.values()) else BY_SIZE, largest
 
