@@ -17,9 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import number, poisson_weights
-from tidemark.operators.metrics import binary_metrics, ranking_aggregates, with_counts_above
+from tidemark.operators.metrics import binary_metrics, ranking_aggregates
 from tidemark.operators.prepare import impute, varying_columns
 from tidemark.operators.rank import ranked
+from tidemark.operators.scan import BY_SIZE, prefix_scan
 
 
 def score_matrix(
@@ -168,11 +169,21 @@ def leakage_audit(
     rows = reduce(DataFrame.unionByName, scored).where(F.col("y_true").isNotNull())
     name = F.concat_ws("~", *[F.col(k).cast("string") for k in row_key], F.lit(str(seed)))
     weights = F.concat(F.array(F.lit(1)), poisson_weights(name, replicates))
-    drawn = rows.select("variant", "y_true", F.col("y_score").alias("__s"), F.posexplode(weights).alias("replicate", "w")).where("w > 0")
-    counts = drawn.groupBy("variant", "replicate", "__s").agg(
-        F.sum(F.when(F.col("y_true") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y_true") == 1, 0).otherwise(F.col("w"))).alias("neg")
+    # a row's weights are drawn once for all variants, and a score has its replicates side by side while scores are ordered
+    drawn = rows.groupBy(*row_key, "y_true").agg(F.collect_list(F.struct("variant", "y_score")).alias("__scores")).select(
+        "y_true", "__scores", weights.alias("__w")
+    ).select("y_true", "__w", F.explode("__scores").alias("s")).select(F.col("s.variant").alias("variant"), F.col("s.y_score").alias("__s"), "y_true", "__w")
+    every = range(replicates + 1)
+    sides = {"pos": F.col("y_true") == 1, "neg": ~F.coalesce(F.col("y_true") == 1, F.lit(False))}
+    counts = drawn.groupBy("variant", "__s").agg(
+        *[F.sum(F.when(here, F.get("__w", F.lit(b))).otherwise(0)).alias(f"{side}_{b}") for b in every for side, here in sides.items()]
     )
-    above = with_counts_above(counts, ["variant", "replicate"], raw=rows.select("variant", F.col("y_score").alias("__s"), F.lit(0).alias("replicate")))
+    running = [f"ge_{side}_{b}" for b in every for side in sides]
+    ready = counts.select("*", (-F.col("__s")).alias("__o"), *[F.col(c.removeprefix("ge_")).alias(c) for c in running])
+    above = prefix_scan(ready, ["variant"], "__o", adds=running, splits=BY_SIZE, marks_from=rows.select("variant", (-F.col("y_score")).alias("__o")))
+    parts = ["pos", "neg", "ge_pos", "ge_neg"]
+    above = above.select("variant", F.posexplode(F.array(*[F.struct(*[F.col(f"{c}_{b}").alias(c) for c in parts]) for b in every])).alias("replicate", "r"))
+    above = above.select("variant", "replicate", "r.*").where(F.col("pos") + F.col("neg") > 0)
     ranks = ranking_aggregates(F.col("ge_pos"), F.col("ge_neg"))
     found = above.groupBy("variant", "replicate").agg(F.sum(F.col("pos") + F.col("neg")).alias("n_rows"), *[e.alias(k) for k, e in ranks.items()])
     base = found.where(F.col("variant") == reference).select("replicate", F.col("roc_auc").alias("base_auc"), F.col("average_precision").alias("base_ap"))
