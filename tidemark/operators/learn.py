@@ -281,7 +281,8 @@ def rank_held_out(
             raise ValueError(f"no group but {name!r} has candidates of both labels")
         model = LogisticRegression(labelCol="y", featuresCol="x", weightCol="weight", fitIntercept=False, standardization=False, regParam=penalty, maxIter=100)
         weights = model.fit(seen).coefficients.toArray().tolist()
-        dot = sum((F.col(n) * F.lit(w) for n, w in zip(z, weights, strict=True)), F.lit(0.0))
+        # rounded, so that the order in which tasks add up does not show
+        dot = F.round(sum((F.col(n) * F.lit(w) for n, w in zip(z, weights, strict=True)), F.lit(0.0)), 10)
         score = F.when(F.col(group) == name, dot).otherwise(score)
     ready.unpersist()
     return ranked(rows.select(*candidates.columns, score.alias("ranker_score")), [F.desc("ranker_score"), F.col(item)], groups=[group])
