@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import learn
+from tidemark.operators import dependency, learn
 
 
 def test_audit_shuffles_no_row_per_replicate(spark, capsys):
@@ -18,3 +18,10 @@ def test_audit_shuffles_no_row_per_replicate(spark, capsys):
     assert found["b"].delta_roc_auc > 0 and found["b"].low <= found["b"].delta_roc_auc <= found["b"].high
     out.explain()
     assert not re.search(r"hashpartitioning\(variant#\d+, replicate#\d+, __s#", capsys.readouterr().out)
+
+
+def test_pair_statistics_size_their_shuffles(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(dependency, "deal_shuffles", lambda _, rows: asked.append(rows))
+    dependency.pair_statistics(spark.range(50).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b")), ["id", "a", "b"])
+    assert asked == [150]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import as_time, poisson_weight, require_columns, sigmoid, symbol, xlogx
-from tidemark.operators.scan import ROWS_PER_TASK, bounded, first_row
+from tidemark.operators.scan import ROWS_PER_TASK, bounded, deal_shuffles, first_row
 from tidemark.operators.temporal import as_of_state, effective
 
 PAIR = ["lhs", "rhs"]
@@ -176,6 +176,7 @@ def _pair_table(
     isn't dealt; its pairs combine in the map tasks, as few such values can exist. Columns never travel as text.
     """
     seed, rows, profiles = _profiled(df, columns)
+    deal_shuffles(df.sparkSession, rows * len(columns))
     number_of = {c: i for i, c in enumerate(columns)}
     routes = _Routes.of(profiles, rows, {frozenset((number_of[a], number_of[b])) for a, b in pairs}, bool(weights))
     k = len(columns)
