@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import dependency, learn
+from tidemark.operators import dependency, learn, scan
+from tidemark.plans import temporal_queries
 
 
 def test_audit_shuffles_no_row_per_replicate(spark, capsys):
@@ -25,3 +26,31 @@ def test_pair_statistics_size_their_shuffles(spark, monkeypatch):
     monkeypatch.setattr(dependency, "deal_shuffles", lambda _, rows: asked.append(rows))
     dependency.pair_statistics(spark.range(50).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b")), ["id", "a", "b"])
     assert asked == [150]
+
+
+def test_dealt_shuffles_are_not_merged_to_millions_of_rows(spark):
+    merged = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(merged)
+    try:
+        spark.conf.set(merged, "64MB")
+        scan.deal_shuffles(spark, scan.SHUFFLE_ROWS)
+        assert spark.conf.get(merged) == "64MB"
+        scan.deal_shuffles(spark, 20 * scan.SHUFFLE_ROWS)
+        assert scan._bytes(spark.conf.get(merged)) == 8 << 20
+        spark.conf.set(merged, "4m")
+        scan.deal_shuffles(spark, 20 * scan.SHUFFLE_ROWS)
+        assert spark.conf.get(merged) == "4m"
+    finally:
+        spark.conf.set(merged, before)
+
+
+def test_brands_are_dealt_before_anything_is_joined(spark, monkeypatch):
+    asked, joined = [], []
+    monkeypatch.setattr(temporal_queries, "deal_shuffles", lambda _, rows: asked.append(rows))
+    monkeypatch.setattr(scan, "deal_shuffles", lambda *_: None)
+    real = scan.measure_groups
+    monkeypatch.setattr(scan, "measure_groups", lambda *sides, **k: joined.append(sides) or real(*sides, **k))
+    temporal_queries.category_state_brands(spark, "/root/testdata/sf0.001")
+    count = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count()
+    assert asked == [2 * (count("orders") + count("lineitem"))]
+    assert not joined  # no measure of the joined lines by the operator

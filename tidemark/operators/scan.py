@@ -8,6 +8,7 @@ maxima or minima, so both levels combine exactly.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
 SHUFFLE_ROWS = 250_000
+SHUFFLE_BYTES = 8 << 20  # what adaptive execution may merge into one partition; a compressed row can be 10 bytes, in memory 400
 BY_SIZE = 0  # as a number of slices: as many as keep a slice at about ROWS_PER_TASK rows
 SLICE = "__slice"
 
@@ -28,25 +30,34 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df)
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it: 64MB, 8m, 67108864b."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def deal_shuffles(spark: SparkSession, rows: int) -> None:
     """Let shuffles of about ``rows`` rows start with partitions of SHUFFLE_ROWS, so that a task's memory stays level.
 
-    Only raises the session's number; adaptive execution merges what is small.
+    Only raises the session's number, and lowers to SHUFFLE_BYTES what adaptive execution merges into one partition:
+    its own 64 MB are compressed bytes, which can hold millions of rows.
     """
-    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    name, merged = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     now = int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     if rows > now * SHUFFLE_ROWS:
         spark.conf.set(name, str(-(-rows // SHUFFLE_ROWS)))
+    if rows > SHUFFLE_ROWS and _bytes(spark.conf.get(merged)) > SHUFFLE_BYTES:
+        spark.conf.set(merged, f"{SHUFFLE_BYTES}b")
 
 
 def measure_groups(
-    *sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK
+    *sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK, copies: int = 1
 ) -> tuple[int, dict[str, int]]:
     """(splits, largest group per key domain): 1 split if every group fits one task, else BY_SIZE.
 
     A side is (base table, key columns, key domain); sides of one domain add up per key. Pass base
     tables, not derived ones: each table is read once, column-pruned, and counts combine map-side; one row
-    per domain reaches the driver.
+    per domain reaches the driver. ``copies`` says how often a row is shuffled at most, as when it is probed often.
     """
     tables: dict[int, tuple[DataFrame, list[Column]]] = {}
     for df, keys, domain in sides:
@@ -54,13 +65,13 @@ def measure_groups(
     tagged = [df.select(F.explode(F.array(*tags)).alias("s")).select("s.d", "s.h") for df, tags in tables.values()]
     counts = reduce(lambda a, b: a.unionAll(b), tagged).groupBy("d", "h").count()
     found = counts.groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).collect()
-    deal_shuffles(sides[0][0].sparkSession, sum(r["rows"] for r in found))
+    deal_shuffles(sides[0][0].sparkSession, copies * sum(r["rows"] for r in found))
     largest = {domain: 0 for _, _, domain in sides} | {r["d"]: r["largest"] for r in found}
     return 1 if all(n <= rows_per_task for n in largest.values()) else BY_SIZE, largest
 
 
-def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK) -> int:
-    return measure_groups(*sides, rows_per_task=rows_per_task)[0]
+def choose_splits(*sides: tuple[DataFrame, Sequence[str], str], rows_per_task: int = ROWS_PER_TASK, copies: int = 1) -> int:
+    return measure_groups(*sides, rows_per_task=rows_per_task, copies=copies)[0]
 
 
 def with_slice(rows: DataFrame, order: str, spread_by: Sequence[str], splits: int, marks_from: DataFrame | None = None) -> DataFrame:

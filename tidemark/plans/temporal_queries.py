@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import history, paths, temporal
+from tidemark.operators.scan import BY_SIZE, ROWS_PER_TASK, deal_shuffles, measure_groups
 from tidemark.plans.data import load, order_lines, orders_history, round_to, rounded
 
 QUERIES = {}
@@ -200,6 +201,15 @@ def category_state_events(spark, sf):
     )
 
 
+def _splits_of_lines(spark, sf):
+    """One split if no customer can have more lines than a task holds; both tables are counted, never joined for it."""
+    orders, lines = load(spark, sf, "orders"), load(spark, sf, "lineitem")
+    deal_shuffles(spark, 2 * (orders.count() + lines.count()))  # before the first shuffle, which would grow with the tables
+    some = lines.select(F.pmod(F.xxhash64("l_orderkey"), F.lit(65_536)).alias("orders"))  # few groups to count; each bounds its orders
+    _, most = measure_groups((orders, ["o_custkey"], "customer"), (some, ["orders"], "order"))
+    return 1 if most["customer"] * (1 + most["order"]) <= ROWS_PER_TASK else BY_SIZE
+
+
 @query(
     "category_state_brands",
     """
@@ -225,6 +235,7 @@ def category_state_brands(spark, sf):
         history.category_state(
             o, child, row_key=["o_orderkey"], keys=["o_custkey"], target_time="o_orderdate", child_keys=["o_custkey"],
             child_time="o_orderdate", category="p_brand", item="o_orderkey", tiebreak=["o_orderkey"], prefix="brand",
+            splits=_splits_of_lines(spark, sf),
         )
     )
 
