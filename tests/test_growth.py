@@ -44,6 +44,14 @@ def test_dealt_shuffles_are_not_merged_to_millions_of_rows(spark):
         spark.conf.set(merged, before)
 
 
+def test_look_backs_deal_every_probe(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(scan, "deal_shuffles", lambda _, rows: asked.append(rows))
+    temporal_queries.lookback_events(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert asked == [6 * n]  # events and targets, each target asked at three instants at most
+
+
 def test_brands_are_dealt_before_anything_is_joined(spark, monkeypatch):
     asked, joined = [], []
     monkeypatch.setattr(temporal_queries, "deal_shuffles", lambda _, rows: asked.append(rows))

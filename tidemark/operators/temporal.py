@@ -97,7 +97,7 @@ def as_of_state(
     for h in hidden:
         unknown = unknown | F.col(h).isNull()
     if splits is None:
-        splits = choose_splits((child, child_keys, "k"), (target, keys, "k"))
+        splits = choose_splits((child, child_keys, "k"), (target, keys, "k"), copies=1 + len(probes))
     # in one exchange, rows without a key or time ride along in groups of their own, spread by their row key
     own = F.when(unknown, F.pmod(F.xxhash64(*rows), F.lit(1021)) + 1).otherwise(F.lit(0).cast("bigint"))
     known = asked.withColumn(ASIDE, own) if splits == 1 else asked.where(~unknown).withColumn(ASIDE, F.lit(0))
