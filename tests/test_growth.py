@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tidemark.operators import dependency, learn, scan
-from tidemark.plans import temporal_queries
+from tidemark.plans import metric_queries, run_queries, temporal_queries
 
 
 def test_audit_shuffles_no_row_per_replicate(spark, capsys):
@@ -62,3 +62,13 @@ def test_brands_are_dealt_before_anything_is_joined(spark, monkeypatch):
     count = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count()
     assert asked == [2 * (count("orders") + count("lineitem"))]
     assert not joined  # no measure of the joined lines by the operator
+
+
+def test_models_do_not_read_the_texts_again(spark, monkeypatch):
+    """Neither a fit nor the scores come from documents once the matrix is written."""
+    real = metric_queries.labelled
+    monkeypatch.setattr(metric_queries, "labelled", lambda *a: real(*a).limit(200))
+    given = []
+    monkeypatch.setattr(run_queries.learn, "score_matrix", lambda a, b, **_: given.extend([a, b]) or b.selectExpr("doc_id", "0.0D AS y_true", "0.5D AS y_score"))
+    run_queries.decoder_scores(spark, "/root/testdata/sf0.001")
+    assert len(given) == 4 and not any("documents.parquet" in f for d in given for f in d.inputFiles())

@@ -10,7 +10,7 @@ from tidemark.operators import dependency as dep
 from tidemark.operators import assemble, learn, metrics, rank, temporal
 from tidemark.plans.data import customer_geo, load, orders_history, rounded
 from tidemark.plans.dependency_queries import GEO_COLS
-from tidemark.plans.metric_queries import DOC_FEATURES, labelled
+from tidemark.plans.metric_queries import DOC_FEATURES, labelled_once
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import publish, run_files
 
@@ -131,7 +131,7 @@ BUDGETS = [1, 2, 4, 8]
 @query("budget_curve")
 def budget_curve(spark, sf):
     """Document features ranked on one half of the labels; models of growing prefixes scored on the other half."""
-    d = labelled(spark, sf)
+    d = labelled_once(spark, sf)
     train, val = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
     order = rank.rank_supervised(rank.supervised_scores(train, DOC_FEATURES, "quality"), "auc", len(DOC_FEATURES))
     names = [r["feature"] for r in order.orderBy("rank").select("feature").collect()]  # one row per feature

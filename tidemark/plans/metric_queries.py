@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import dependency as dep
 from tidemark.operators import metrics, rank, temporal
 from tidemark.plans.data import customer_geo, load, orders_history, round_to, rounded
 from tidemark.plans.dependency_queries import GEO_COLS, GEO_STATS
+from tidemark.session import ensure_checkpoint_dir
 
 QUERIES = {}
 ORACLES = {}
@@ -46,6 +49,13 @@ def labelled(spark, sf):
     return doc_features(spark, sf).join(load(spark, sf, "labels"), "doc_id")
 
 
+def labelled_once(spark, sf):
+    """The same rows, written to the shared folder: several models read numbers, the texts are read once."""
+    folder, d = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labelled-{uuid.uuid4().hex}", labelled(spark, sf)
+    d.write.parquet(folder)
+    return spark.read.schema(d.schema).parquet(folder)
+
+
 SCORED_SQL = f"""{DOC_SQL},
 sc AS (SELECT doc_id, quality y, 1 / (1 + exp(-(digit_share * 20 - 1))) s, toxic g FROM doc JOIN labels USING (doc_id))"""
 

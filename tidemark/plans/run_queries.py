@@ -15,7 +15,7 @@ from tidemark.operators import dependency as dep
 from tidemark.operators import gate, learn, metrics, rank, runs
 from tidemark.plans.data import customer_geo, load, round_to, rounded
 from tidemark.plans.dependency_queries import GEO_COLS
-from tidemark.plans.metric_queries import DOC_FEATURES, DOC_SQL, doc_features, labelled
+from tidemark.plans.metric_queries import DOC_FEATURES, DOC_SQL, doc_features, labelled, labelled_once
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import run_files
 
@@ -387,7 +387,7 @@ def _in_range(c):
 @query("decoder_scores", "SELECT doc_id, quality::DOUBLE AS y_true, true AS score_in_range FROM labels JOIN documents USING (doc_id)")
 def decoder_scores(spark, sf):
     """Boosted trees on document features: every labelled document is scored by a model of the other half."""
-    d = labelled(spark, sf)
+    d = labelled_once(spark, sf)
     folds = [
         learn.score_matrix(d.where(f"doc_id % 2 != {k}"), d.where(f"doc_id % 2 = {k}"), label="quality", features=DOC_FEATURES, row_key=["doc_id"])
         for k in range(2)
