@@ -29,201 +29,327 @@ from pyspark.sql import functions as F
 from tidemark.llm import store, tokens
 from tidemark.llm.batches import mapped
 
-MAGIC = b"IDMIX1\n"
-BLOCK_IDS, LANES = 4096, 1024
+MAGIC = b"IDMIX2\n"
+BLOCK_IDS, LANES = 4096, 2048
 HEAD, DOC = struct.Struct("<IIII"), struct.Struct("<qIB")
 BEGINS, ENDS, NULL_KEY = 1, 2, 4
-_BITS = 15
+_BITS, _LEAST = 12, 64  # shares of the mix, and the least of order 0
 _ONE = 1 << _BITS
-_MASK = np.uint64((1 << 48) - 1)
-_TOP, _BOTTOM = np.uint64(1 << 32), np.uint64(1 << 20)
-_STEP, _SETTLED = np.uint64(16), np.uint64(32)
 _SLOTS1, _SLOTS2 = 12, 13  # bits
+_STATES = 128
+_LOW, _BUCKETS = 10, 64  # ids are new to a block by buckets of 1,024
+_LEARNED = (0, 32, 64, 128, 256, 512, 1024, 1536, 2048, 3072)  # where shares and order 0 are learned anew
+_TOGETHER, _STRIP = 32, 64  # lanes modelled and steps laid out at a time, so that arrays stay in the cache
+_SHIFT, _SIXTEEN, _DIGIT, _KEPT = np.uint64(_BITS), np.uint64(16), np.uint64(32), np.uint64(30)
+_WHOLE, _BOTTOM, _KEPT_MASK = np.uint64((1 << 62) - 1), np.uint64(1 << 30), np.uint64((1 << 30) - 1)
+_ZERO, _LOW16, _LOW_MASK, _NEW = np.uint64(0), np.uint64(0xFFFF), np.uint64((1 << _LOW) - 1), np.uint64(1 << 16)
 
 
-class _Model:
-    def __init__(self, lanes: int) -> None:
-        self.guess = [np.zeros((lanes, 1 << b), np.uint16) for b in (_SLOTS1, _SLOTS2)]
-        self.sure = [np.zeros((lanes, 1 << b), np.uint8) for b in (_SLOTS1, _SLOTS2)]
-        self.trust = [np.full((lanes, 8), _ONE // 4, np.int32) for _ in range(2)]  # by confidence
-        for t in self.trust:
-            t[:, 0] = 0
-        self.count = np.ones((lanes, 1 + 16 + 256 + 4096, 16), np.uint16)
-        self.before = np.zeros((2, lanes), np.int64)  # the previous id and the one before it
-        self.lane = np.arange(lanes)
-
-    def predict(self, k: int) -> None:
-        """For the first k lanes: where the contexts are, and the frequencies of 'order 2', 'order 1' and 'neither'."""
-        one, two = self.before[0, :k], self.before[1, :k]
-        self.at = [((one * 40503) >> 4) & ((1 << _SLOTS1) - 1), ((one * 40503 + two * 48271) >> 3) & ((1 << _SLOTS2) - 1)]
-        lane = self.lane[:k]
-        self.told = [g[lane, a] for g, a in zip(self.guess, self.at, strict=True)]
-        self.conf = [s[lane, a] for s, a in zip(self.sure, self.at, strict=True)]
-        p1, p2 = (t[lane, c] for t, c in zip(self.trust, self.conf, strict=True))
-        f1 = ((_ONE - p2) * p1) >> _BITS
-        same = (self.told[0] == self.told[1]) & (self.conf[0] > 0) & (self.conf[1] > 0)
-        self.f2 = np.where(same, p2 + f1, p2)
-        self.f1 = np.where(same, 0, f1)
-        over = np.maximum(self.f1 + self.f2 - (_ONE - 256), 0)  # 'neither' always has room
-        self.f2 = self.f2 - np.minimum(over, self.f2)
-
-    def choice(self, ids: np.ndarray) -> np.ndarray:
-        return np.where((self.told[1] == ids) & (self.f2 > 0), 2, np.where((self.told[0] == ids) & (self.f1 > 0), 1, 0))
-
-    def digits(self, lanes: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return np.cumsum(self.count[lanes, node], axis=1, dtype=np.int32)
-
-    def learn_digit(self, lanes: np.ndarray, node: np.ndarray, digit: np.ndarray, total: np.ndarray) -> None:
-        self.count[lanes, node, digit] += 24
-        full = total > 6_000
-        if full.any():
-            a, b = lanes[full], node[full]
-            self.count[a, b] = (self.count[a, b] + 1) >> 1
-
-    def learn(self, k: int, ids: np.ndarray) -> None:
-        lane = self.lane[:k]
-        for order in range(2):
-            told, conf, at = self.told[order], self.conf[order], self.at[order]
-            right = told == ids
-            t = self.trust[order]
-            now = t[lane, conf]
-            t[lane, conf] = np.where(conf == 0, 0, now + ((np.where(right, _ONE - 600, 200) - now) >> 5))
-            swap = ~right & (conf <= 1)
-            self.guess[order][lane, at] = np.where(swap, ids, told)
-            self.sure[order][lane, at] = np.where(right, np.minimum(conf + 1, 7), np.where(swap, 1, conf >> 1))
-        self.before[1, :k] = self.before[0, :k]
-        self.before[0, :k] = ids
-
-
-class _Range:
-    """Range coder state of all lanes: 48-bit integers in 64-bit arrays, settled 16 bits at a time."""
+class _Trust:
+    """How often each guess was right, by lane and state: the two confidences, and whether both orders guess the same id."""
 
     def __init__(self, lanes: int) -> None:
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _MASK, np.uint64)
-
-    def narrow(self, lanes: np.ndarray | slice, unit: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        low = self.low[lanes] + cum.astype(np.uint64) * unit
-        width = freq.astype(np.uint64) * unit
-        self.low[lanes], self.range[lanes] = low, width
-        idx = None
-        while True:
-            settled = (low ^ (low + width)) < _TOP
-            go = np.flatnonzero(settled | (width < _BOTTOM))
-            if not len(go):
-                return
-            low, width, settled = low[go], width[go], settled[go]
-            idx = (go if isinstance(lanes, slice) else lanes[go]) if idx is None else idx[go]
-            width = np.where(settled, width, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)))
-            self.shift(idx, low)
-            low, width = (low << _STEP) & _MASK, (width << _STEP) & _MASK
-            self.low[idx], self.range[idx] = low, width
-
-    def shift(self, idx: np.ndarray, low: np.ndarray) -> None:
-        raise NotImplementedError
-
-
-class _Writer(_Range):
-    def __init__(self, lanes: int, cap: int) -> None:
-        super().__init__(lanes)
-        self.out, self.size = np.zeros((lanes, cap), "<u2"), np.zeros(lanes, np.int64)
-
-    def shift(self, idx: np.ndarray, low: np.ndarray) -> None:
-        self.out[idx, self.size[idx]] = low >> _SETTLED
-        self.size[idx] += 1
-
-    def finish(self) -> list[bytes]:
-        for _ in range(3):
-            self.shift(np.arange(len(self.low)), self.low)
-            self.low = (self.low << _STEP) & _MASK
-        return [row[:n].tobytes() for row, n in zip(self.out, self.size.tolist(), strict=True)]
-
-
-class _Reader(_Range):
-    def __init__(self, payloads: list[bytes]) -> None:
-        super().__init__(len(payloads))
-        self.units = np.zeros((len(payloads), max(map(len, payloads), default=0) // 2 + 4), "<u2")
-        for row, p in zip(self.units, payloads, strict=True):
-            row[: len(p) // 2] = np.frombuffer(p, "<u2")
-        self.code = np.zeros(len(payloads), np.uint64)
-        self.size = np.zeros(len(payloads), np.int64)
-        for _ in range(3):
-            self.shift(np.arange(len(payloads)), self.low)
-
-    def shift(self, idx: np.ndarray, low: np.ndarray) -> None:
-        self.code[idx] = ((self.code[idx] << _STEP) | self.units[idx, np.minimum(self.size[idx], self.units.shape[1] - 1)]) & _MASK
-        self.size[idx] += 1
-
-    def target(self, lanes: np.ndarray | slice, unit: np.ndarray, total) -> np.ndarray:
-        return np.minimum(((self.code[lanes] - self.low[lanes]) & _MASK) // unit, np.asarray(total - 1).astype(np.uint64)).astype(np.int64)
-
-
-def _run(lengths: np.ndarray, coder: _Range, blocks: np.ndarray, writing: bool) -> None:
-    """Codes all blocks in lockstep; ``lengths`` fall, ``blocks`` is read or filled."""
-    model = _Model(len(lengths))
-    for t in range(int(lengths[0]) if len(lengths) else 0):
+        self.seen = np.zeros(lanes * _STATES * 4, np.int32)
+
+    def learn(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, lane: np.ndarray, lanes: int) -> None:
+        """From what the contexts told before each of ``ids``; ``lane`` is broadcast to them."""
+        told1, told2 = one >> 3, two >> 6
+        right2 = (told2 == ids) & ((two & 56) > 0)
+        right1 = (told1 == ids) & ((one & 7) > 0) & ~right2
+        at = (_state(one, two, told1 == told2).astype(np.int64) + lane * _STATES) * 4 + right2 * 2 + right1
+        self.seen[: lanes * _STATES * 4] += np.bincount(at.ravel(), minlength=lanes * _STATES * 4).astype(np.int32)
+
+    def shares(self, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of _ONE in every state: the share of order 2, and of orders 2 and 1 together; the rest is order 0's."""
+        seen = self.seen[: lanes * _STATES * 4].reshape(lanes, _STATES, 4).astype(np.uint32)
+        n = 2 * seen.sum(axis=2, dtype=np.uint32) + np.uint32(4)
+        state = np.arange(_STATES)
+        has1, has2, same = (state & 7) > 0, (state & 56) > 0, state >= 64
+        f2 = np.where(has2, ((2 * seen[:, :, 2] + np.where(same & has1, 2, 1).astype(np.uint32)) << np.uint32(_BITS)) // n, np.uint32(0))
+        f1 = np.where(has1 & ~(same & has2), ((2 * seen[:, :, 1] + np.uint32(1)) << np.uint32(_BITS)) // n, np.uint32(0))
+        both = np.minimum(f2 + f1, np.uint32(_ONE - _LEAST))
+        return np.minimum(f2, both).ravel(), both.ravel()
+
+
+def _state(one: np.ndarray, two: np.ndarray, same: np.ndarray) -> np.ndarray:
+    return (one & np.uint32(7)) | (two & np.uint32(56)) | (same.astype(np.uint32) << np.uint32(6))
+
+
+def _slots(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where order 1 and order 2 look, after the ids ``two``, ``one``."""
+    mixed = one * np.uint32(40503)
+    return (mixed & np.uint32(0xFFFF)) >> np.uint32(16 - _SLOTS1), ((mixed + two * np.uint32(48271)) & np.uint32(0xFFFF)) >> np.uint32(16 - _SLOTS2)
+
+
+def _told(slot: np.ndarray, ids: np.ndarray, shift: int) -> np.ndarray:
+    """What a context table holds before each id: the id that last followed in its slot, then the confidence from bit ``shift`` - 3."""
+    lanes, n = ids.shape
+    key = np.sort((slot << np.uint32(12)) | np.arange(n, dtype=np.uint32), axis=1)
+    at = (key & np.uint32(4095)).astype(np.int64) + (np.arange(lanes) * n)[:, None]
+    follows = ids.ravel()[at]
+    known = np.zeros((lanes, n), bool)
+    known[:, 1:] = (key[:, 1:] ^ key[:, :-1]) < 4096
+    hit = np.zeros((lanes, n), bool)
+    hit[:, 1:] = known[:, 1:] & (follows[:, 1:] == follows[:, :-1])
+    place = np.arange(n, dtype=np.int32)
+    missed = np.maximum.accumulate(np.where(hit, np.int32(0), place), axis=1)
+    entry = np.zeros((lanes, n), np.uint32)
+    sure = np.minimum(1 + place[:-1] - missed[:, :-1], 7).astype(np.uint32)
+    entry[:, 1:] = ((follows[:, :-1] << np.uint32(shift)) | (sure << np.uint32(shift - 3))) * known[:, 1:]
+    out = np.empty(lanes * n, np.uint32)
+    out[at.ravel()] = entry.ravel()
+    return out.reshape(lanes, n)
+
+
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each id's rank among the distinct ids of its lane, whether it is the first of its kind, and the id of each rank."""
+    lanes, n = ids.shape
+    key = np.sort((ids << np.uint32(12)) | np.arange(n, dtype=np.uint32), axis=1)
+    value = key >> np.uint32(12)
+    new = np.zeros((lanes, n), np.int32)
+    new[:, 1:] = value[:, 1:] != value[:, :-1]
+    rank = np.cumsum(new, axis=1, dtype=np.int32)
+    at = ((key & np.uint32(4095)) + (np.arange(lanes) * n)[:, None]).ravel()
+    out, first = np.empty(lanes * n, np.int32), np.empty(lanes * n, bool)
+    new[:, 0] = 1
+    out[at], first[at] = rank.ravel(), new.ravel()
+    symbol = np.zeros((lanes, int(rank[:, -1].max(initial=0)) + 1), np.uint32)
+    symbol.ravel()[(rank + (np.arange(lanes) * symbol.shape[1])[:, None])[new > 0]] = value[new > 0]
+    return out.reshape(lanes, n), first.reshape(lanes, n), symbol
+
+
+def _intervals(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Per id six numbers: begin and width among the mixed shares, then begin, width and total in order 0, and what is left of a new id.
+
+    ``ids`` are whole lanes (unsigned 32-bit, short ones filled up), ``lengths`` fall.
+    """
+    lanes, n = ids.shape
+    before = np.zeros((2, lanes, n), np.uint32)
+    before[0, :, 1:], before[1, :, 2:] = ids[:, :-1], ids[:, :-2]
+    slot1, slot2 = _slots(*before)
+    one, two = _told(slot1, ids, 3), _told(slot2, ids, 6)
+    rank, fresh, symbol = _ranked(ids)
+    kinds = symbol.shape[1]
+    lane = np.arange(lanes)[:, None]
+    rank = rank + lane * kinds
+    bucket = (ids >> np.uint32(_LOW)) + lane * _BUCKETS
+    spot = (symbol >> np.uint32(_LOW)) + lane * _BUCKETS
+    trust, count, weights = _Trust(lanes), np.zeros((lanes, kinds), np.int32), np.ones((lanes, _BUCKETS), np.int32)
+    out = np.zeros((6, lanes, n), np.uint16)
+    for begin, end in _phases(n):
+        k = int(np.searchsorted(-lengths, -begin, side="left"))
+        here = slice(begin, min(end, n))
+        now, one_, two_ = ids[:k, here], one[:k, here], two[:k, here]
+        shares = (f := trust.shares(k))[0] | (f[1] << np.uint32(16))
+        told1, told2 = one_ >> np.uint32(3), two_ >> np.uint32(6)
+        share = shares.take(_state(one_, two_, told1 == told2) + lane[:k] * _STATES)
+        f2, both = (share & np.uint32(0xFFFF)).astype(np.uint16), (share >> np.uint32(16)).astype(np.uint16)
+        pick2 = (told2 == now) & (f2 > 0)
+        pick = pick2 | ((told1 == now) & (both > f2))
+        # the first unit, the number of units from bit 13, and bit 26 for a seen id
+        own = np.cumsum(weights[:k], axis=1, dtype=np.int32) - weights[:k] + np.int32(begin) + (weights[:k] << np.int32(13))
+        held = np.cumsum(count[:k], axis=1, dtype=np.int32) - count[:k] + (count[:k] << np.int32(13)) + np.int32(1 << 26)
+        held = np.where(count[:k] > 0, held, own.take(spot[:k]))
+        units = held.take(rank[:k, here])
+        units[pick] = (1 << 13) | (1 << 26)
+        total = weights[:k].sum(axis=1, keepdims=True).astype(np.uint16) + np.uint16(begin)
+        first = np.where(pick, f2, both)
+        first[pick2] = 0
+        out[0, :k, here] = first
+        out[1, :k, here] = np.where(pick, np.where(pick2, f2, both - f2), np.uint16(_ONE) - both)
+        out[2, :k, here] = units & np.int32(0x1FFF)
+        out[3, :k, here] = (units >> np.int32(13)) & np.int32(0x1FFF)
+        out[4, :k, here] = np.where(pick, np.uint16(1), total)
+        out[5, :k, here] = np.where(units < 1 << 26, (now & np.uint32((1 << _LOW) - 1)) | np.uint32(1 << 15), np.uint32(0))
+        if end < n:
+            trust.learn(one_, two_, now, lane[:k], k)
+            count[:k] += np.bincount(rank[:k, here].ravel(), minlength=k * kinds).reshape(k, kinds)
+            weights[:k] += np.bincount(bucket[:k, here][fresh[:k, here]], minlength=k * _BUCKETS).reshape(k, _BUCKETS)
+    return out
+
+
+def _phases(n: int) -> list[tuple[int, int]]:
+    return [(a, b) for a, b in zip(_LEARNED, (*_LEARNED[1:], BLOCK_IDS), strict=True) if a < n]
+
+
+def _write(parts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Narrows all lanes in lockstep by the intervals of ``_intervals``."""
+    _, lanes, n = parts.shape
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _WHOLE, np.uint64)
+    out, size = np.zeros(lanes * (n + 4), np.uint64), np.arange(lanes, dtype=np.int64) * (n + 4)
+    unit, step = np.empty(lanes, np.uint64), np.empty(lanes, np.uint64)
+    for t in range(n):
+        if t % _STRIP == 0:
+            strip = np.ascontiguousarray(parts[:, :, t : t + _STRIP].transpose(2, 0, 1)).astype(np.uint64)
+            drop = (strip[:, 5] >> np.uint64(15)) * np.uint64(_LOW)
+            strip[:, 5] &= np.uint64((1 << _LOW) - 1)
         k = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-        lane = slice(0, k)
-        model.predict(k)
-        f2, f1 = model.f2, model.f1
-        unit = coder.range[:k] >> np.uint64(_BITS)
-        if writing:
-            ids = blocks[:k, t].astype(np.int64)
-            pick = model.choice(ids)
-        else:
-            at = coder.target(lane, unit, _ONE)
-            pick = np.where(at < f2, 2, np.where(at < f2 + f1, 1, 0))
-            ids = np.where(pick == 2, model.told[1], model.told[0]).astype(np.int64)
-        cum = np.where(pick == 2, 0, np.where(pick == 1, f2, f2 + f1))
-        freq = np.where(pick == 2, f2, np.where(pick == 1, f1, _ONE - f2 - f1))
-        coder.narrow(lane, unit, cum, freq)
-        rest = np.flatnonzero(pick == 0)
-        if len(rest):
-            value = ids[rest]
-            node, made = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
-            for shift, first in ((12, 0), (8, 1), (4, 17), (0, 273)):
-                node = first + made
-                sums = model.digits(rest, node)
-                total = sums[:, 15]
-                unit = coder.range[rest] // total.astype(np.uint64)
-                if writing:
-                    digit = (value >> shift) & 15
-                else:
-                    digit = (sums <= coder.target(rest, unit, total)[:, None]).sum(axis=1)
-                row = np.arange(len(rest))
-                cum = np.where(digit > 0, sums[row, np.maximum(digit - 1, 0)], 0)
-                coder.narrow(rest, unit, cum, sums[row, digit] - cum)
-                model.learn_digit(rest, node, digit, total)
-                made = made * 16 + digit
-            if not writing:
-                ids[rest] = made
-        if not writing:
-            blocks[:k, t] = ids
-        model.learn(k, ids)
+        begin, share, first, count, total, rest = strip[t % _STRIP, :, :k]
+        lo, wide, u, x = low[:k], width[:k], unit[:k], step[:k]
+        np.right_shift(wide, _SHIFT, out=u)
+        np.multiply(u, begin, out=x)
+        np.add(lo, x, out=lo)
+        np.multiply(u, share, out=u)
+        np.floor_divide(u, total, out=u)
+        np.multiply(u, first, out=x)
+        np.add(lo, x, out=lo)
+        np.multiply(u, count, out=u)
+        np.right_shift(u, drop[t % _STRIP, :k], out=wide)
+        np.multiply(wide, rest, out=x)
+        np.add(lo, x, out=lo)
+        go = np.flatnonzero(wide < _BOTTOM)
+        if len(go):
+            digit = lo[go]
+            at = size[go]
+            out[at] = digit >> _KEPT
+            size[go] = at + 1
+            lo[go] = (digit & _KEPT_MASK) << _DIGIT
+            wide[go] <<= _DIGIT
+    out[size] = low >> _KEPT
+    out[size + 1] = (low & _KEPT_MASK) << np.uint64(2)
+    grid = out.reshape(lanes, n + 4)
+    size = size + 2 - np.arange(lanes) * (n + 4)
+    grid = grid[:, : int(size.max(initial=0))]
+    for c in range(grid.shape[1] - 1, 0, -1):  # a digit holds its carry in bit 32
+        grid[:, c - 1] += grid[:, c] >> _DIGIT
+    return [row[:m].tobytes() for row, m in zip(grid.astype("<u4"), size.tolist(), strict=True)]
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order 0 learned from whole rows of ids: what each unit of the total stands for (all lanes on end), and the totals.
+
+    A seen id has as many units as it was seen. New ids have one for each distinct id of their bucket and one more.
+    An entry is the first unit, the number of units from bit 16, the id from bit 32, and bit 48 for a bucket.
+    """
+    lanes, n = ids.shape
+    flat = np.sort(ids, axis=1, kind="stable").ravel()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[:: max(n, 1)] = True
+    at = np.flatnonzero(new)
+    count, lane, symbol = np.diff(at, append=len(flat)), at // max(n, 1), flat[at].astype(np.int64)
+    distinct = np.bincount(lane, minlength=lanes)
+    weights = 1 + np.bincount(lane * _BUCKETS + (symbol >> _LOW), minlength=lanes * _BUCKETS).reshape(lanes, _BUCKETS)
+    entry, times = np.empty(len(at) + lanes * _BUCKETS, np.int64), np.empty(len(at) + lanes * _BUCKETS, np.int64)
+    spot = np.arange(len(at)) + lane * _BUCKETS
+    entry[spot], times[spot] = (at - lane * n) | (count << 16) | (symbol << 32), count
+    number = np.arange(_BUCKETS)
+    spot = (np.cumsum(distinct) + np.arange(lanes) * _BUCKETS)[:, None] + number
+    entry[spot], times[spot] = (n + np.cumsum(weights, axis=1) - weights) | (weights << 16) | (number << (32 + _LOW)) | (1 << 48), weights
+    return np.repeat(entry, times).view(np.uint64), n + distinct + _BUCKETS
+
+
+def _read(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The ids of all lanes, a row per lane; ``lengths`` fall."""
+    lanes, n = len(lengths), int(lengths[0]) if len(lengths) else 0
+    digits = np.zeros((lanes, max(map(len, payloads), default=0) // 4 + 4), np.uint64)
+    for row, p in zip(digits, payloads, strict=True):
+        row[: len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
+    code = (digits[:, 0] << _KEPT) | (digits[:, 1] >> np.uint64(2))
+    later = (((digits[:, 1:-1] << _KEPT) | (digits[:, 2:] >> np.uint64(2))) & np.uint64(0xFFFFFFFF)).ravel()
+    following = np.arange(lanes, dtype=np.int64) * (digits.shape[1] - 2)
+    width = np.full(lanes, _WHOLE, np.uint64)
+    table1, table2 = np.zeros(lanes << _SLOTS1, np.uint32), np.zeros(lanes << _SLOTS2, np.uint32)
+    own1, own2 = (np.arange(lanes, dtype=np.int64) << b for b in (_SLOTS1, _SLOTS2))
+    own3 = np.arange(lanes, dtype=np.int64) * _STATES
+    before, at1, at2 = np.zeros(lanes, np.uint32), own1.copy(), own2.copy()
+    grid = np.zeros((n, lanes), np.uint16)
+    trust = _Trust(lanes)
+    for begin, end in _phases(n):
+        end = min(end, n)
+        k = int(np.searchsorted(-lengths, -begin, side="left"))
+        f2, both = trust.shares(k)
+        shares = f2 | (both.astype(np.uint64) << _SIXTEEN)
+        parts = [_places(np.ascontiguousarray(grid[:begin, a : min(a + _TOGETHER, k)].T)) for a in range(0, k, _TOGETHER)]
+        places, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own4 = np.cumsum(total) - total
+        total = total.astype(np.uint64)
+        most = total - np.uint64(1)
+        ones, twos, found = np.zeros((end - begin, k), np.uint32), np.zeros((end - begin, k), np.uint32), np.zeros((end - begin, k), np.uint32)
+        for t in range(begin, end):
+            if t and lengths[k - 1] <= t:
+                k = int(np.searchsorted(-lengths, -t, side="left"))
+            one, two = ones[t - begin, :k], twos[t - begin, :k]
+            np.take(table1, at1[:k], out=one, mode="clip")
+            np.take(table2, at2[:k], out=two, mode="clip")
+            told1, told2 = one >> np.uint32(3), two >> np.uint32(6)
+            share = shares.take(_state(one, two, told1 == told2) + own3[:k], mode="clip")
+            c, wide = code[:k], width[:k]
+            unit = wide >> _SHIFT
+            a, b = unit * (share & _LOW16), unit * (share >> _SIXTEEN)
+            hit2, hit = c < a, c < b
+            u = ((unit << _SHIFT) - b) // total[:k]
+            s = np.minimum((c - b) // u, most[:k]).view(np.int64)
+            s += own4[:k]
+            e = places.take(s, mode="clip")
+            lo, w = (e & _LOW16) * u, ((e >> _SIXTEEN) & _LOW16) * u
+            lo += b
+            e >>= _DIGIT
+            ids = e.astype(np.uint32)
+            new = np.flatnonzero((e >= _NEW) > hit)
+            if len(new):
+                part = w[new] >> np.uint64(_LOW)
+                rest = np.minimum((c[new] - lo[new]) // part, _LOW_MASK)
+                lo[new] += rest * part
+                w[new] = part
+                ids[new] = (ids[new] & np.uint32(0xFFFF)) | rest.astype(np.uint32)
+            b -= a
+            np.copyto(lo, a, where=hit)
+            np.copyto(w, b, where=hit)
+            np.copyto(ids, told1, where=hit)
+            np.copyto(lo, _ZERO, where=hit2)
+            np.copyto(w, a, where=hit2)
+            np.copyto(ids, told2, where=hit2)
+            c -= lo
+            wide[:] = w
+            go = np.flatnonzero(w < _BOTTOM)
+            if len(go):
+                at = following[go]
+                c[go] = (c[go] << _DIGIT) | later.take(at, mode="clip")
+                following[go] = at + 1
+                wide[go] <<= _DIGIT
+            found[t - begin, :k] = ids
+            sure = np.minimum((one & np.uint32(7)) + np.uint32(1), np.uint32(7))
+            sure *= told1 == ids
+            table1[at1[:k]] = (ids << np.uint32(3)) | np.maximum(sure, np.uint32(1))
+            sure = np.minimum((two & np.uint32(56)) + np.uint32(8), np.uint32(56))
+            sure *= told2 == ids
+            table2[at2[:k]] = (ids << np.uint32(6)) | np.maximum(sure, np.uint32(8))
+            slot1, slot2 = _slots(ids, before[:k])
+            np.add(own1[:k], slot1, out=at1[:k])
+            np.add(own2[:k], slot2, out=at2[:k])
+            before[:k] = ids
+        grid[begin:end, : found.shape[1]] = found
+        k = found.shape[1]
+        if end < n:
+            trust.learn(ones, twos, found, np.arange(k), k)
+    return np.ascontiguousarray(grid.T)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (below 65,536) as bytes of its own."""
+    """Each block of at most BLOCK_IDS ids (below 65,536) as bytes of its own."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     lengths = np.array([len(blocks[k]) for k in order], np.int64)
-    grid = np.zeros((len(blocks), int(lengths.max(initial=0))), np.uint16)
-    for row, k in zip(grid, order, strict=True):
-        if len(blocks[k]) and int(blocks[k].max()) > 0xFFFF:
-            raise ValueError("ids must be below 65,536")
-        row[: len(blocks[k])] = blocks[k]
-    coder = _Writer(len(blocks), 6 * grid.shape[1] + 16)
-    _run(lengths, coder, grid, True)
+    n = int(lengths.max(initial=0))
+    if n > BLOCK_IDS or any(len(b) and int(b.max()) > 0xFFFF for b in blocks):
+        raise ValueError(f"a block is at most {BLOCK_IDS:,} ids, and ids must be below 65,536")
+    parts = np.zeros((6, len(blocks), n), np.uint16)
+    for k in range(0, len(blocks) if n else 0, _TOGETHER):
+        ids = np.zeros((len(order[k : k + _TOGETHER]), n), np.uint32)
+        for row, b in zip(ids, order[k : k + _TOGETHER], strict=True):
+            row[: len(blocks[b])] = blocks[b]
+        parts[:, k : k + _TOGETHER] = _intervals(ids, lengths[k : k + _TOGETHER])
     out = [b""] * len(blocks)
-    for k, data in zip(order, coder.finish(), strict=True):
+    for k, data in zip(order, _write(parts, lengths), strict=True):
         out[k] = data
     return out
 
 
 def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    if max(sizes, default=0) > BLOCK_IDS:
+        raise ValueError("a block is too long")
     order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
-    lengths = np.array([sizes[k] for k in order], np.int64)
-    grid = np.zeros((len(sizes), int(lengths.max(initial=0))), np.uint16)
-    _run(lengths, _Reader([payloads[k] for k in order]), grid, False)
+    grid = _read([payloads[k] for k in order], np.array([sizes[k] for k in order], np.int64))
     out = [np.zeros(0, np.uint32)] * len(sizes)
     for row, k in zip(grid, order, strict=True):
         out[k] = row[: sizes[k]].astype(np.uint32)

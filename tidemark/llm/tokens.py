@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 PIECE_CHARS = 1 << 18
-MOST_HELD = 1 << 20  # pre-tokens, at 24 bytes and 4 for each id: some 36 MB, all in plain arrays
+MOST_HELD = 1 << 20  # pre-tokens, at 36 bytes and 4 for each id: some 48 MB, all in plain arrays
 _SIMPLE = 0x250
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0]
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
@@ -32,29 +32,85 @@ class Encoder:
         self.library, self.words = Tokenizer.from_file(path), style == "words"
         self.library.encode_special_tokens = False
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if not self.words:  # a character of a byte-level token is a byte
+            self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
+            for token, k in self.library.get_vocab().items():
+                self.n_bytes[k] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and the slot of each
+        self.known, self.slot_of = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)  # open addressing: hashes, and their slots
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.filled = 0
+        self.held = self.filled = 0
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((hashes * np.uint64(_BASE)) >> np.uint64(65 - len(self.known).bit_length())).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 if it is not held."""
+        at = self._home(hashes)
+        out = self.slot_of[at].astype(np.int64)
+        todo = np.flatnonzero((self.known[at] != hashes) & (out >= 0))
+        at, mask = at[todo], len(self.known) - 1
+        while len(todo):
+            at = (at + 1) & mask
+            out[todo] = self.slot_of[at]
+            on = (self.known[at] != hashes[todo]) & (out[todo] >= 0)
+            todo, at = todo[on], at[on]
+        return out
+
+    def _place(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        at, mask = self._home(hashes), len(self.known) - 1
+        while len(at):
+            free = self.slot_of[at] < 0
+            self.slot_of[at[free]], self.known[at[free]] = slots[free], hashes[free]
+            lost = self.slot_of[at] != slots
+            at, hashes, slots = (at[lost] + 1) & mask, hashes[lost], slots[lost]
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens on end, and how many each has.
+
+        Byte-level pre-tokens go to the library as one text, a newline before those that bring no space along. Its ids
+        are cut by their bytes; should they not meet the borders, each pre-token is encoded by itself.
+        """
+        if not self.words and not any(t[0].isspace() and (t[0] != " " or t[1:2].strip() == "") for t in texts):
+            joined = "".join([t if t[0] == " " else "\n" + t for t in texts])
+            if not any(s in joined for s in self.special):
+                flat = np.asarray(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+                apart = np.array([t[0] != " " for t in texts])
+                ends = np.cumsum(np.array([len(t.encode()) for t in texts]) + apart)
+                reach = np.cumsum(self.n_bytes[flat])
+                last = np.searchsorted(reach, ends)
+                first = np.concatenate([[0], last[:-1] + 1])
+                if len(flat) == last[-1] + 1 and np.array_equal(reach[last], ends) and np.all(self.n_bytes[flat[first[apart]]] == 1):
+                    keep = np.ones(len(flat), bool)
+                    keep[first[apart]] = False
+                    return flat[keep], last + 1 - first - apart
+        each = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.int64), np.array([len(ids) for ids in each], np.int64)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        slot = len(self.known)
-        place = np.searchsorted(self.known, hashes)
-        self.slot_of = np.insert(self.slot_of, place, np.arange(slot, slot + len(hashes), dtype=np.int32))
-        self.known = np.insert(self.known, place, hashes)
-        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            n = len(e.ids)
-            while self.filled + n > len(self.flat):
+        blank = np.array([t.isspace() for t in texts])  # encoded by themselves
+        for chosen in (np.flatnonzero(blank), np.flatnonzero(~blank)):
+            if not len(chosen):
+                continue
+            ids, count = self._encoded([texts[k] for k in chosen.tolist()])
+            held, filled = self.held + len(chosen), self.filled + len(ids)
+            while filled > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if slot == len(self.begin):
+            while held > len(self.begin):
                 self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-            self.flat[self.filled : self.filled + n] = e.ids
-            self.begin[slot], self.count[slot] = self.filled, n
-            self.filled += n
-            slot += 1
+            while 2 * held > len(self.known):
+                old = np.flatnonzero(self.slot_of >= 0)
+                hashes_, slots_ = self.known[old], self.slot_of[old]
+                self.known, self.slot_of = np.zeros(2 * len(self.known), np.uint64), np.full(2 * len(self.known), -1, np.int32)
+                self._place(hashes_, slots_)
+            self.flat[self.filled : filled] = ids
+            self.begin[self.held : held], self.count[self.held : held] = self.filled + np.cumsum(count) - count, count
+            self._place(hashes[chosen], np.arange(self.held, held, dtype=np.int32))
+            self.held, self.filled = held, filled
 
     def _cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined texts, and start, end, hash and text number of each pre-token."""
@@ -95,17 +151,18 @@ class Encoder:
     def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slot and text number of each pre-token, in order."""
         joined, start, end, h, owner = self._cut(texts)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MOST_HELD:
-            self.forget()
-        place = np.searchsorted(self.known, distinct)
-        new = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True)) if len(self.known) < len(distinct) else np.flatnonzero(
-            self.known[np.minimum(place, len(self.known) - 1)] != distinct
-        )
+        slots = self._find(h)
+        new = np.flatnonzero(slots < 0)
         if len(new):
-            self._learn(distinct[new], [joined[start[first[k]] : end[first[k]]] for k in new.tolist()])
-            place = np.searchsorted(self.known, distinct)
-        return self.slot_of[place].astype(np.int64)[back] if len(distinct) else np.zeros(0, np.int64), owner
+            distinct, first = np.unique(h[new], return_index=True)
+            if self.held and self.held + len(distinct) > MOST_HELD:
+                self.forget()
+                new = np.arange(len(h))
+                distinct, first = np.unique(h, return_index=True)
+            at = new[first]
+            self._learn(distinct, [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            slots[new] = self._find(h[new])
+        return slots, owner
 
     def _plain(self, text: str) -> bool:
         return "'" not in text and (text.isascii() or max(text) < chr(_SIMPLE)) and not any(s in text for s in self.special)
