@@ -42,6 +42,7 @@ _LEARNED = (0, 32, 64, 128, 256, 512, 1024, 1536, 2048, 3072)  # where shares an
 _TOGETHER, _STRIP = 32, 64  # lanes modelled and steps laid out at a time, so that arrays stay in the cache
 _SHIFT, _SIXTEEN, _DIGIT, _KEPT = np.uint64(_BITS), np.uint64(16), np.uint64(32), np.uint64(30)
 _WHOLE, _BOTTOM, _KEPT_MASK = np.uint64((1 << 62) - 1), np.uint64(1 << 30), np.uint64((1 << 30) - 1)
+_SURE, _SURER = np.array([[7], [56]], np.uint32), np.array([[1], [8]], np.uint32)  # confidence bits of orders 1 and 2
 _ZERO, _LOW16, _LOW_MASK, _NEW = np.uint64(0), np.uint64(0xFFFF), np.uint64((1 << _LOW) - 1), np.uint64(1 << 16)
 
 
@@ -53,7 +54,7 @@ class _Trust:
 
     def learn(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, lane: np.ndarray, lanes: int) -> None:
         """From what the contexts told before each of ``ids``; ``lane`` is broadcast to them."""
-        told1, told2 = one >> 3, two >> 6
+        told1, told2 = one >> np.uint32(6), two >> np.uint32(6)
         right2 = (told2 == ids) & ((two & 56) > 0)
         right1 = (told1 == ids) & ((one & 7) > 0) & ~right2
         at = (_state(one, two, told1 == told2).astype(np.int64) + lane * _STATES) * 4 + right2 * 2 + right1
@@ -82,7 +83,7 @@ def _slots(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _told(slot: np.ndarray, ids: np.ndarray, shift: int) -> np.ndarray:
-    """What a context table holds before each id: the id that last followed in its slot, then the confidence from bit ``shift`` - 3."""
+    """What a context table holds before each id: the confidence from bit ``shift`` on, and from bit 6 the id that last followed in its slot."""
     lanes, n = ids.shape
     key = np.sort((slot << np.uint32(12)) | np.arange(n, dtype=np.uint32), axis=1)
     at = (key & np.uint32(4095)).astype(np.int64) + (np.arange(lanes) * n)[:, None]
@@ -95,7 +96,7 @@ def _told(slot: np.ndarray, ids: np.ndarray, shift: int) -> np.ndarray:
     missed = np.maximum.accumulate(np.where(hit, np.int32(0), place), axis=1)
     entry = np.zeros((lanes, n), np.uint32)
     sure = np.minimum(1 + place[:-1] - missed[:, :-1], 7).astype(np.uint32)
-    entry[:, 1:] = ((follows[:, :-1] << np.uint32(shift)) | (sure << np.uint32(shift - 3))) * known[:, 1:]
+    entry[:, 1:] = ((follows[:, :-1] << np.uint32(6)) | (sure << np.uint32(shift))) * known[:, 1:]
     out = np.empty(lanes * n, np.uint32)
     out[at.ravel()] = entry.ravel()
     return out.reshape(lanes, n)
@@ -127,7 +128,7 @@ def _intervals(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     before = np.zeros((2, lanes, n), np.uint32)
     before[0, :, 1:], before[1, :, 2:] = ids[:, :-1], ids[:, :-2]
     slot1, slot2 = _slots(*before)
-    one, two = _told(slot1, ids, 3), _told(slot2, ids, 6)
+    one, two = _told(slot1, ids, 0), _told(slot2, ids, 3)
     rank, fresh, symbol = _ranked(ids)
     kinds = symbol.shape[1]
     lane = np.arange(lanes)[:, None]
@@ -141,7 +142,7 @@ def _intervals(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         here = slice(begin, min(end, n))
         now, one_, two_ = ids[:k, here], one[:k, here], two[:k, here]
         shares = (f := trust.shares(k))[0] | (f[1] << np.uint32(16))
-        told1, told2 = one_ >> np.uint32(3), two_ >> np.uint32(6)
+        told1, told2 = one_ >> np.uint32(6), two_ >> np.uint32(6)
         share = shares.take(_state(one_, two_, told1 == told2) + lane[:k] * _STATES)
         f2, both = (share & np.uint32(0xFFFF)).astype(np.uint16), (share >> np.uint32(16)).astype(np.uint16)
         pick2 = (told2 == now) & (f2 > 0)
@@ -249,31 +250,32 @@ def _read(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     later = (((digits[:, 1:-1] << _KEPT) | (digits[:, 2:] >> np.uint64(2))) & np.uint64(0xFFFFFFFF)).ravel()
     following = np.arange(lanes, dtype=np.int64) * (digits.shape[1] - 2)
     width = np.full(lanes, _WHOLE, np.uint64)
-    table1, table2 = np.zeros(lanes << _SLOTS1, np.uint32), np.zeros(lanes << _SLOTS2, np.uint32)
-    own1, own2 = (np.arange(lanes, dtype=np.int64) << b for b in (_SLOTS1, _SLOTS2))
-    own3 = np.arange(lanes, dtype=np.int64) * _STATES
-    before, at1, at2 = np.zeros(lanes, np.uint32), own1.copy(), own2.copy()
+    table = np.zeros(lanes * ((1 << _SLOTS1) + (1 << _SLOTS2)), np.uint32)  # lanes side by side in each slot: frequent slots stay in the cache
+    lane = np.arange(lanes, dtype=np.int64)
+    own = np.stack([lane, lane + (lanes << _SLOTS1)])
+    before, at = np.zeros(lanes, np.uint32), own.copy()
+    slot = np.zeros((2, lanes), np.uint32)
     grid = np.zeros((n, lanes), np.uint16)
     trust = _Trust(lanes)
     for begin, end in _phases(n):
         end = min(end, n)
         k = int(np.searchsorted(-lengths, -begin, side="left"))
         f2, both = trust.shares(k)
-        shares = f2 | (both.astype(np.uint64) << _SIXTEEN)
+        shares = np.ascontiguousarray((f2 | (both.astype(np.uint64) << _SIXTEEN)).reshape(k, _STATES).T).ravel()
+        apart = k
         parts = [_places(np.ascontiguousarray(grid[:begin, a : min(a + _TOGETHER, k)].T)) for a in range(0, k, _TOGETHER)]
         places, total = (np.concatenate(x) for x in zip(*parts, strict=True))
         own4 = np.cumsum(total) - total
         total = total.astype(np.uint64)
         most = total - np.uint64(1)
-        ones, twos, found = np.zeros((end - begin, k), np.uint32), np.zeros((end - begin, k), np.uint32), np.zeros((end - begin, k), np.uint32)
+        told, found = np.zeros((end - begin, 2, k), np.uint32), np.zeros((end - begin, k), np.uint32)
         for t in range(begin, end):
             if t and lengths[k - 1] <= t:
                 k = int(np.searchsorted(-lengths, -t, side="left"))
-            one, two = ones[t - begin, :k], twos[t - begin, :k]
-            np.take(table1, at1[:k], out=one, mode="clip")
-            np.take(table2, at2[:k], out=two, mode="clip")
-            told1, told2 = one >> np.uint32(3), two >> np.uint32(6)
-            share = shares.take(_state(one, two, told1 == told2) + own3[:k], mode="clip")
+            entry = told[t - begin, :, :k] = table.take(at[:, :k], mode="clip")
+            guess = entry >> np.uint32(6)
+            told1, told2 = guess
+            share = shares.take(_state(*entry, told1 == told2) * np.int64(apart) + lane[:k], mode="clip")
             c, wide = code[:k], width[:k]
             unit = wide >> _SHIFT
             a, b = unit * (share & _LOW16), unit * (share >> _SIXTEEN)
@@ -304,25 +306,26 @@ def _read(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
             wide[:] = w
             go = np.flatnonzero(w < _BOTTOM)
             if len(go):
-                at = following[go]
-                c[go] = (c[go] << _DIGIT) | later.take(at, mode="clip")
-                following[go] = at + 1
+                next_ = following[go]
+                c[go] = (c[go] << _DIGIT) | later.take(next_, mode="clip")
+                following[go] = next_ + 1
                 wide[go] <<= _DIGIT
             found[t - begin, :k] = ids
-            sure = np.minimum((one & np.uint32(7)) + np.uint32(1), np.uint32(7))
-            sure *= told1 == ids
-            table1[at1[:k]] = (ids << np.uint32(3)) | np.maximum(sure, np.uint32(1))
-            sure = np.minimum((two & np.uint32(56)) + np.uint32(8), np.uint32(56))
-            sure *= told2 == ids
-            table2[at2[:k]] = (ids << np.uint32(6)) | np.maximum(sure, np.uint32(8))
-            slot1, slot2 = _slots(ids, before[:k])
-            np.add(own1[:k], slot1, out=at1[:k])
-            np.add(own2[:k], slot2, out=at2[:k])
+            entry &= _SURE
+            entry += _SURER
+            np.minimum(entry, _SURE, out=entry)
+            entry *= guess == ids
+            np.maximum(entry, _SURER, out=entry)
+            entry |= ids << np.uint32(6)
+            table[at[:, :k]] = entry
+            slot[0, :k], slot[1, :k] = _slots(ids, before[:k])
+            np.multiply(slot[:, :k], np.int64(lanes), out=at[:, :k])
+            at[:, :k] += own[:, :k]
             before[:k] = ids
         grid[begin:end, : found.shape[1]] = found
         k = found.shape[1]
         if end < n:
-            trust.learn(ones, twos, found, np.arange(k), k)
+            trust.learn(told[:, 0], told[:, 1], found, lane[:k], k)
     return np.ascontiguousarray(grid.T)
 
 

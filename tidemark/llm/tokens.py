@@ -42,8 +42,38 @@ class Encoder:
         self.known, self.slot_of = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)  # open addressing: hashes, and their slots
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.again = np.zeros(1 << 14, bool)  # met since they were learned or last kept
         self.held = self.filled = 0
 
+    def _spare(self) -> None:
+        """Forgets the pre-tokens not met again lately, or all if those are few."""
+        keep = np.flatnonzero(self.again[: self.held])
+        slot_of = np.full(self.held, -1, np.int64)
+        slot_of[keep] = np.arange(len(keep))
+        flat, begin, count, at = self.flat, self.begin[keep], self.count[keep], np.flatnonzero(self.slot_of >= 0)
+        hashes, slots = self.known[at], slot_of[self.slot_of[at]]
+        self.forget()
+        if len(keep) > MOST_HELD // 4 * 3:
+            return
+        ends = np.cumsum(count.astype(np.int64))
+        self._reserve(len(keep), int(ends[-1]) if len(keep) else 0)
+        self.flat[: self.filled] = flat[np.repeat(begin - (ends - count), count) + np.arange(self.filled)]
+        self.begin[: self.held], self.count[: self.held] = ends - count, count
+        self._place(hashes[slots >= 0], slots[slots >= 0].astype(np.int32))
+
+    def _reserve(self, held: int, filled: int) -> None:
+        """Room for so many pre-tokens and ids, which count as held from now on."""
+        while filled > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while held > len(self.begin):
+            self.begin, self.count, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.again))
+        while 2 * held > len(self.known):
+            old = np.flatnonzero(self.slot_of >= 0)
+            hashes, slots = self.known[old], self.slot_of[old]
+            self.known, self.slot_of = np.zeros(2 * len(self.known), np.uint64), np.full(2 * len(self.known), -1, np.int32)
+            self._place(hashes, slots)
+        self.held, self.filled = held, filled
+
     def _home(self, hashes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((hashes * np.uint64(_BASE)) >> np.uint64(65 - len(self.known).bit_length())).astype(np.int64)
@@ -97,20 +127,11 @@ class Encoder:
             if not len(chosen):
                 continue
             ids, count = self._encoded([texts[k] for k in chosen.tolist()])
-            held, filled = self.held + len(chosen), self.filled + len(ids)
-            while filled > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while held > len(self.begin):
-                self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-            while 2 * held > len(self.known):
-                old = np.flatnonzero(self.slot_of >= 0)
-                hashes_, slots_ = self.known[old], self.slot_of[old]
-                self.known, self.slot_of = np.zeros(2 * len(self.known), np.uint64), np.full(2 * len(self.known), -1, np.int32)
-                self._place(hashes_, slots_)
-            self.flat[self.filled : filled] = ids
-            self.begin[self.held : held], self.count[self.held : held] = self.filled + np.cumsum(count) - count, count
-            self._place(hashes[chosen], np.arange(self.held, held, dtype=np.int32))
-            self.held, self.filled = held, filled
+            held, filled = self.held, self.filled
+            self._reserve(held + len(chosen), filled + len(ids))
+            self.flat[filled : self.filled] = ids
+            self.begin[held : self.held], self.count[held : self.held] = filled + np.cumsum(count) - count, count
+            self._place(hashes[chosen], np.arange(held, self.held, dtype=np.int32))
 
     def _cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined texts, and start, end, hash and text number of each pre-token."""
@@ -153,19 +174,23 @@ class Encoder:
         joined, start, end, h, owner = self._cut(texts)
         slots = self._find(h)
         new = np.flatnonzero(slots < 0)
+        self.again[slots if not len(new) else slots[slots >= 0]] = True
         if len(new):
             distinct, first = np.unique(h[new], return_index=True)
             if self.held and self.held + len(distinct) > MOST_HELD:
-                self.forget()
-                new = np.arange(len(h))
-                distinct, first = np.unique(h, return_index=True)
+                self._spare()
+                slots = self._find(h)
+                new = np.flatnonzero(slots < 0)
+                distinct, first = np.unique(h[new], return_index=True)
             at = new[first]
             self._learn(distinct, [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             slots[new] = self._find(h[new])
         return slots, owner
 
     def _plain(self, text: str) -> bool:
-        return "'" not in text and (text.isascii() or max(text) < chr(_SIMPLE)) and not any(s in text for s in self.special)
+        if "'" in text or any(s in text for s in self.special):
+            return False
+        return text.isascii() or bool(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).max() < _SIMPLE)
 
     def _parts(self, texts: list[str | None]):
         """Groups of (row, text) to cut here, and of those for the library."""
