@@ -1,5 +1,6 @@
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -58,3 +59,35 @@ def test_odd_rows(spark):
         assert r.start == at and r.n_tokens == len(r.ids) and r.ids[-1] == 2
         at += r.n_tokens
     assert idfile.read(idfile.write(df.limit(0), store.new_folder(spark, "t"))).count() == 0
+
+
+def test_lanes_of_any_length_round_trip():
+    rng = np.random.default_rng(5)
+    lengths = sorted({max(0, a + d) for a in (*idfile._LEARNED, idfile.BLOCK_IDS) for d in (-1, 0, 1)} - {idfile.BLOCK_IDS + 1})
+    blocks = []
+    for k, n in enumerate(lengths * 3):  # many, few or repeated ids
+        ids = rng.zipf(1.2, n) % 50_257 if k % 3 == 0 else rng.integers(0, 40, n) if k % 3 == 1 else np.tile(rng.integers(0, 65_536, 50), n // 50 + 1)[:n]
+        blocks.append(ids.astype(np.uint32))
+    data = idfile.encode(blocks)
+    for a, b in zip(idfile.decode(data, [len(b) for b in blocks]), blocks, strict=True):
+        assert np.array_equal(a, b)
+    assert idfile.encode(blocks[5:9]) == data[5:9]  # whatever is coded beside it
+    assert idfile.decode([], []) == [] and idfile.encode([]) == []
+    with pytest.raises(ValueError):
+        idfile.encode([np.zeros(idfile.BLOCK_IDS + 1, np.uint32)])
+
+
+def test_coding_both_ways_costs_less_than_the_library(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    library = tokens.encoder(tokens.BYTE_BPE).library
+    start = time.process_time()
+    ids = np.concatenate([np.array(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)])
+    library_s = (time.process_time() - start) / len(ids)
+    blocks = [ids[k : k + idfile.BLOCK_IDS] for k in range(0, len(ids) - idfile.BLOCK_IDS, idfile.BLOCK_IDS)]
+    blocks = (blocks * (1_600 // len(blocks) + 1))[:1_600]
+    start = time.process_time()
+    data = idfile.encode(blocks)
+    back = idfile.decode(data, [len(b) for b in blocks])
+    assert (time.process_time() - start) / sum(map(len, blocks)) < library_s
+    assert all(np.array_equal(a, b) for a, b in zip(back, blocks, strict=True))
+    assert sum(map(len, data)) < 1.1 * sum(map(len, blocks))

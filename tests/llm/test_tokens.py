@@ -23,6 +23,19 @@ def test_ids_are_the_librarys(name, monkeypatch):
     assert coder.lengths(texts).tolist() == [len(x) for x in want]
 
 
+def test_frequent_pre_tokens_stay_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_HELD", 200)
+    monkeypatch.setattr(tokens, "PIECE_CHARS", 300)
+    coder = tokens.Encoder(tokens.public_tokenizers.path(tokens.BYTE_BPE), "bytes")
+    asked, encoded = [], coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda texts: asked.extend(texts) or encoded(texts))
+    texts = [f"often met words, \n\nx{chr(97 + k % 26)}{chr(97 + k // 26)} q{k}.{k}!" for k in range(400)]
+    want = [e.ids for e in coder.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in coder.ids(texts)] == want
+    assert coder.held <= 200 and len(set(asked)) > 600
+    assert asked.count("often") == asked.count(" met") == asked.count(" words") == 1
+
+
 def _docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 

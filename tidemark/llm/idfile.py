@@ -1,10 +1,12 @@
 """Token-id files: adaptive context mixing drives a range coder over independent, checksummed blocks.
 
 Per id three predictions are mixed: the id that last followed the previous two ids (order 2), the one that last
-followed the previous id (order 1), and an adaptive order-0 distribution over all ids, kept as counts along the
-four hexadecimal digits of an id. How far orders 2 and 1 are trusted is learned from their past success at the
-same confidence. A block starts from an empty model, so it can be decoded alone; blocks are coded in lockstep,
-one numpy lane each, and a lane never looks at another.
+followed the previous id (order 1), and an order-0 distribution of the block's ids so far, with buckets for new ids.
+How far orders 2 and 1 are trusted is learned from their past success at the same confidences. Their tables change
+with every id; trust and order 0 are learned anew at fixed places of a block (_LEARNED). A block starts from an
+empty model, so it can be decoded alone. When writing, all intervals are worked out for whole blocks at once, and
+only the range coder runs in lockstep, one numpy lane a block; reading does both in lockstep. A lane never looks at
+another.
 
 File: the magic, then blocks of
     u32 ids, u32 documents, u32 payload bytes, u32 crc32 of everything else in the block
