@@ -72,3 +72,15 @@ def test_models_do_not_read_the_texts_again(spark, monkeypatch):
     monkeypatch.setattr(run_queries.learn, "score_matrix", lambda a, b, **_: given.extend([a, b]) or b.selectExpr("doc_id", "0.0D AS y_true", "0.5D AS y_score"))
     run_queries.decoder_scores(spark, "/root/testdata/sf0.001")
     assert len(given) == 4 and not any("documents.parquet" in f for d in given for f in d.inputFiles())
+
+
+def test_dealt_rows_hold_numbers_of_narrow_columns(spark, monkeypatch, capsys):
+    """Lines dealt by a wide column carry no code of every column, and both uses of their counts read one shuffle."""
+    monkeypatch.setattr(dependency, "WIDE_VALUES", 60)
+    monkeypatch.setattr(dependency, "LIGHT_CELLS", 100)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    dependency.pair_statistics(lines, ["l_partkey", "l_orderkey", "l_quantity", "l_tax", "l_returnflag", "l_linenumber"]).explain()
+    plan = capsys.readouterr().out
+    sent = [m.splitlines()[1] for m in re.findall(r"hashpartitioning\(l#\d+, x#\d+L?,.*\n.*", plan) if "REPARTITION" in m]
+    assert len(sent) == 2 and not any(re.search(r", c#\d+[,\]]", line) for line in sent)
+    assert [re.findall(r" AS (\w+)#", line) for line in sent] == [["l", "x", "__w0", "__p0"]] * 2  # the other wide column, all narrow ones

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import as_time, poisson_weight, require_columns, sigmoid, symbol, xlogx
 from tidemark.operators.scan import ROWS_PER_TASK, bounded, deal_shuffles, first_row
 from tidemark.operators.temporal import as_of_state, effective
+from tidemark.session import ensure_checkpoint_dir
 
 PAIR = ["lhs", "rhs"]
 
@@ -85,7 +87,12 @@ def _codes(df: DataFrame, columns: Sequence[str], seed: int) -> list[Column]:
     def value(c: str) -> Column:
         return F.col(c) if not _texts(df, c) else symbol(df, c)
 
-    return [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), value(c)) if _texts(df, c) else F.xxhash64(value(c))) for c in columns]
+    def code(c: str) -> Column:
+        if isinstance(df.schema[c].dataType, (T.IntegralType, T.BooleanType)):
+            return F.col(c).cast("bigint")  # itself: its leading zeros cost a shuffle nothing
+        return F.xxhash64(F.lit(seed), value(c)) if _texts(df, c) else F.xxhash64(value(c))
+
+    return [F.when(F.col(c).isNotNull(), code(c)) for c in columns]
 
 
 def _texts(df: DataFrame, column: str) -> bool:
@@ -144,6 +151,7 @@ class _Routes(NamedTuple):
     known: list[tuple[int, int]]  # (key, other): the key has no null and no value twice, so profiles say all
     light: list[tuple[int, int]]  # few possible value pairs: counts combine in the map tasks
     dealt: list[tuple[int, int, bool]]  # (by, other, turn): rows are dealt by the values of ``by``; ``turn`` if that also serves other -> by
+    narrow: list[int]  # columns that travel with dealt rows as a short number
 
     @classmethod
     def of(cls, profiles: list[_Profile], rows: int, wanted: set[frozenset[int]], weighted: bool) -> _Routes:
@@ -160,7 +168,38 @@ class _Routes(NamedTuple):
                 heavy.append((i, j))
         wide = {k for pair in heavy for k in pair if profiles[k].distinct > WIDE_VALUES}
         wide |= {max(pair, key=lambda k: profiles[k].distinct) for pair in heavy if not wide & set(pair)}
-        return cls(known, light, [(a, b, b not in wide) for pair in heavy for a, b in (pair, pair[::-1]) if a in wide])
+        # a task's own counts of many value pairs cost more than one more number in a row that is dealt anyway
+        riding = [
+            p for p in light
+            if wide & set(p) and profiles[p[0]].distinct * profiles[p[1]].distinct > LIGHT_CELLS and all(profiles[k].distinct <= WIDE_VALUES for k in set(p) - wide)
+        ]
+        light, heavy = [p for p in light if p not in riding], heavy + riding
+        dealt = [(a, b, b not in wide) for pair in heavy for a, b in (pair, pair[::-1]) if a in wide]
+        return cls(known, light, dealt, sorted({b for _, b, turn in dealt if turn}))
+
+
+def _numbered(df: DataFrame, codes: list[Column], narrow: list[int]) -> DataFrame:
+    """(i, x, d): the values of each narrow column numbered from 1, WIDE_VALUES a column at most; written once, read per column."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), codes[i].alias("x")) for i in narrow])).alias("s")).select("s.i", "s.x")
+    numbers = values.where("x is not null").distinct().select("i", "x", F.row_number().over(W.partitionBy("i").orderBy("x")).cast("bigint").alias("d"))
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/numbers-{uuid.uuid4().hex}"
+    numbers.write.parquet(folder)
+    return df.sparkSession.read.schema("i int, x bigint, d bigint").parquet(folder)
+
+
+def _packed(columns: dict[int, Column], distinct: dict[int, int]) -> tuple[list[Column], dict[int, tuple[int, int, int]]]:
+    """Numbers from 0 to ``distinct`` side by side in as few longs as hold them, and (long, shift, mask) of each."""
+    longs: list[Column] = []
+    places, used = {}, 63
+    for i, c in columns.items():
+        bits = distinct[i].bit_length()
+        if used + bits > 62:
+            longs.append(F.lit(0).cast("bigint"))
+            used = 0
+        longs[-1] = longs[-1].bitwiseOR(F.shiftleft(c, used))
+        places[i] = (len(longs) - 1, used, (1 << bits) - 1)
+        used += bits
+    return longs, places
 
 
 def _pair_table(
@@ -173,15 +212,22 @@ def _pair_table(
     distinct counts is far below the rows, value pairs combine in the map tasks. Else rows are dealt once per wide column by
     its value, as codes, and all its pairs are counted where they land: a value's rows lie together like in a position list,
     so neither the counts of its value pairs nor their sums are shuffled again. A value with more than ``rows_per_task`` rows
-    isn't dealt; its pairs combine in the map tasks, as few such values can exist. Columns never travel as text.
+    isn't dealt; its pairs combine in the map tasks, as few such values can exist. Columns never travel as text: a dealt row
+    holds a code for each other wide column, and the narrow ones as numbers of their values side by side in one long.
     """
     seed, rows, profiles = _profiled(df, columns)
     deal_shuffles(df.sparkSession, rows * len(columns))
     number_of = {c: i for i, c in enumerate(columns)}
     routes = _Routes.of(profiles, rows, {frozenset((number_of[a], number_of[b])) for a, b in pairs}, bool(weights))
     k = len(columns)
-    held = df.select(F.array(*_codes(df, columns, seed)).alias("c"), *[w.alias(name) for name, w in weights.items()])
+    codes = _codes(df, columns, seed)
     by = sorted({a for a, _, _ in routes.dealt})
+    held = df.select(*[c.alias(f"c{i}") for i, c in enumerate(codes)], *[w.alias(name) for name, w in weights.items()])
+    numbers = _numbered(df, codes, routes.narrow) if routes.narrow else None
+    for i in routes.narrow:
+        own = numbers.where(F.col("i") == i).select(F.col("x").alias(f"c{i}"), F.col("d").alias(f"d{i}"))
+        held = held.join(bounded(own, max(profiles[i].distinct, 1)), f"c{i}", "left")
+    held = held.select(F.array(*[F.col(f"d{i}" if i in routes.narrow else f"c{i}") for i in range(k)]).alias("c"), *weights)
     hot = [a for a in by if profiles[a].largest > rows_per_task]
     for a in hot:
         most = max(rows // rows_per_task, 1)
@@ -211,19 +257,33 @@ def _pair_table(
         back.append(turned(light.where("both") if hot else light))  # unfiltered, both uses share one shuffle
     if by:
         plan = {a: [(b, turn) for by_a, b, turn in routes.dealt if by_a == a] for a in by}
-        sides = F.explode(F.array(*[F.struct(F.lit(a).alias("l"), F.when(~F.coalesce(F.col(f"hot{a}"), F.lit(False)), F.col("c")[a]).otherwise(None).alias("x") if a in hot else F.col("c")[a].alias("x")) for a in by]))
-        dealt = held.select(sides.alias("s"), "c", *weights).where("s.x is not null").select("s.l", "s.x", "c", *weights).repartition("l", "x")
-
-        def counted(others: dict[int, list[int]]) -> DataFrame:
-            chosen = F.lit(None).cast("array<int>")
-            for a, bs in others.items():
-                chosen = F.when(F.col("l") == a, F.array(*[F.lit(b) for b in bs])).otherwise(chosen)
-            return cells_of(dealt.select("l", F.explode(chosen).alias("r"), "x", "c", *weights).select("l", "r", "x", F.get("c", "r").alias("a"), *weights), "l", "r")
-
-        parts.append(_per_value(counted({a: [b for b, _ in bs] for a, bs in plan.items()}), list(weights)))
-        turning = {a: [b for b, turn in bs if turn] for a, bs in plan.items()}
-        if any(turning.values()):
-            back.append(turned(counted({a: bs for a, bs in turning.items() if bs})))
+        longs, places = _packed({i: F.coalesce(F.col("c")[i], F.lit(0)) for i in routes.narrow}, {i: profiles[i].distinct for i in routes.narrow})
+        small = [f"__p{i}" for i in range(len(longs))]
+        beside = {a: [b for b, turn in plan[a] if not turn] for a in by}  # wide columns whose codes go with a's rows
+        large = [f"__w{i}" for i in range(max(map(len, beside.values())))]
+
+        def side(a: int) -> Column:
+            x = F.when(~F.coalesce(F.col(f"hot{a}"), F.lit(False)), F.col("c")[a]) if a in hot else F.col("c")[a]
+            others = [F.col("c")[b] for b in beside[a]] + [F.lit(None).cast("bigint")] * (len(large) - len(beside[a]))
+            return F.struct(F.lit(a).alias("l"), x.alias("x"), *[o.alias(w) for o, w in zip(others, large, strict=True)])
+
+        sides = held.select(F.explode(F.array(*[side(a) for a in by])).alias("s"), *[e.alias(p) for e, p in zip(longs, small, strict=True)], *weights)
+        dealt = sides.where("s.x is not null").select("s.l", "s.x", *[f"s.{w}" for w in large], *small, *weights).repartition("l", "x")
+
+        def carried(a: int, b: int) -> Column:
+            if b not in places:
+                return F.col(large[beside[a].index(b)])
+            i, shift, mask = places[b]
+            return F.nullif(F.shiftright(small[i], shift).bitwiseAND(F.lit(mask).cast("bigint")), F.lit(0).cast("bigint"))
+
+        # one array for all pairs of a row: both uses of the counts read one shuffle only while they need the same columns
+        chosen = F.lit(None).cast("array<struct<r:int,a:bigint>>")
+        for a in by:
+            chosen = F.when(F.col("l") == a, F.array(*[F.struct(F.lit(b + k * turn).alias("r"), carried(a, b).alias("a")) for b, turn in plan[a]])).otherwise(chosen)
+        cells = cells_of(dealt.select("l", F.explode(chosen).alias("s"), "x", *weights).select("l", "s.r", "x", "s.a", *weights), "l", "r")
+        parts.append(_per_value(cells.withColumn("r", F.col("r") % k), list(weights)))
+        if routes.narrow:
+            back.append(turned(cells.where(F.col("r") >= k).withColumn("r", F.col("r") % k)))
     if back:
         parts.append(_per_value(reduce(DataFrame.unionByName, back), list(weights)))
     known = [
