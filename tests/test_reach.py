@@ -1,12 +1,14 @@
 """Distinct members reached through groups: arrays in place of pairs, shared sets of large groups, shuffle sizes."""
 
+import datetime as dt
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import history, scan
+from tidemark.operators import history, paths, scan
+from tidemark.plans import temporal_queries
 from tests.conftest import rows
 
 
@@ -61,3 +63,53 @@ def test_shuffle_partitions_follow_the_rows(spark):
         assert int(spark.conf.get(name)) == now + 1
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def dated(spark, seed, null):
+    """Targets whose keys are asked up to three times, and rows of (key, group, time, other key, value), each sometimes unknown."""
+    rng = random.Random(seed)
+    some = lambda v: None if rng.random() < null else v
+    day = lambda: some(dt.datetime(2020, 1, 1) + dt.timedelta(days=rng.randrange(30)))
+    target = [(r, some(r % 25), day()) for r in range(70)]
+    links = [(some(rng.randrange(28)), some(rng.randrange(15)), day(), some(rng.randrange(20)), some(float(rng.randrange(9)))) for _ in range(120)]
+    return spark.createDataFrame(target, "row int, k int, t timestamp_ntz"), spark.createDataFrame(links, "k int, g int, t timestamp_ntz, o int, v double")
+
+
+@pytest.mark.parametrize(("cutoff", "lower", "window", "null"), [("strict", "inclusive", 9, 0.1), ("inclusive", "exclusive", 9, 0.1), ("strict", "exclusive", 0, 0.0), ("inclusive", "inclusive", 0, 0.1)])
+def test_links_through_arrays_equal_running_states(spark, monkeypatch, cutoff, lower, window, null):
+    target, base = dated(spark, 3, null)
+    args = dict(
+        row_key=["row"], key="k", target_time="t", own_key="k", own_item="g", own_time="t", incoming_item="g", incoming_source="o",
+        incoming_time="t", window_days=window, cutoff=cutoff, lower=lower,
+    )
+    states = rows(paths.incoming_link_counts(target, base, base, **args, splits=1))
+    monkeypatch.setattr(paths, "reach_counts", None)
+    assert rows(paths.incoming_link_counts(target, base, base, **args)) == states
+    assert sum(r[1] for r in states) > 100
+
+
+@pytest.mark.parametrize("cutoff", ["strict", "inclusive"])
+def test_pivots_through_arrays_equal_running_states(spark, monkeypatch, cutoff):
+    target, base = dated(spark, 4, 0.1)
+    args = dict(
+        row_key=["row"], key="k", target_time="t", base_key="k", base_time="t", pivot="g", second_key="g", second_time="t", value="v", cutoff=cutoff,
+    )
+    states = rows(paths.pivot_history(target, base, base, **args, splits=1))
+    monkeypatch.setattr(paths, "reach_counts", None)
+    for one, other in zip(rows(paths.pivot_history(target, base, base, **args)), states, strict=True):
+        assert one == pytest.approx(other)
+    assert sum(r[2] for r in states) > 100
+
+
+def test_large_groups_and_keys_asked_often_keep_running_states():
+    assert paths._small({"t": 4, "k": 64, "s": 4096})
+    assert not any(paths._small({"t": 4, "k": 64, "s": 4096} | {c: n}) for c, n in (("t", 5), ("k", 65), ("s", 4097)))
+
+
+@pytest.mark.parametrize("query", ["incoming_links_customer"])
+def test_joined_lines_are_written_once(spark, capsys, query):
+    """After the join of lines and orders, one shuffle by key, one by group, one by target; the tables are not read again."""
+    out = temporal_queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert not any("lineitem.parquet" in f or "orders.parquet" in f for f in out.inputFiles())
+    out.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 9  # 5 of them of targets only

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -16,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import as_time, poisson_weight, require_columns, sigmoid, symbol, xlogx
 from tidemark.operators.scan import ROWS_PER_TASK, bounded, deal_shuffles, first_row
 from tidemark.operators.temporal import as_of_state, effective
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.tables import written_once
 
 PAIR = ["lhs", "rhs"]
 
@@ -181,10 +180,8 @@ class _Routes(NamedTuple):
 def _numbered(df: DataFrame, codes: list[Column], narrow: list[int]) -> DataFrame:
     """(i, x, d): the values of each narrow column numbered from 1, WIDE_VALUES a column at most; written once, read per column."""
     values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), codes[i].alias("x")) for i in narrow])).alias("s")).select("s.i", "s.x")
-    numbers = values.where("x is not null").distinct().select("i", "x", F.row_number().over(W.partitionBy("i").orderBy("x")).cast("bigint").alias("d"))
-    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/numbers-{uuid.uuid4().hex}"
-    numbers.write.parquet(folder)
-    return df.sparkSession.read.schema("i int, x bigint, d bigint").parquet(folder)
+    place = F.row_number().over(W.partitionBy("i").orderBy("x")).cast("bigint")
+    return written_once(values.where("x is not null").distinct().select("i", "x", place.alias("d")), "numbers")
 
 
 def _packed(columns: dict[int, Column], distinct: dict[int, int]) -> tuple[list[Column], dict[int, tuple[int, int, int]]]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import as_time, days_between, days_interval, number, tick
-from tidemark.operators.history import first_seen, reach_counts
+from tidemark.operators.history import ARRAY_ROWS, first_seen, reach_counts
 from tidemark.operators import scan
 from tidemark.operators.scan import choose_splits, measure_groups
 from tidemark.operators.temporal import AT, as_of_state, centre_of, effective, spread
@@ -17,6 +17,8 @@ from tidemark.operators.temporal import AT, as_of_state, centre_of, effective, s
 # Instants before and after any data, for rows whose own time is unknown.
 LONG_AGO = "0001-01-02 00:00:00"
 FAR_AHEAD = "9999-12-30 00:00:00"
+GROUP_ROWS = 4_096  # rows of a group that every key of the group may look through
+FEW_ASKED = 4  # rows of a key up to which each looks through its groups by itself
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -212,6 +214,40 @@ def _through_links(
     return found.unionByName(given).groupBy("__key", "__when").agg(*[combine[c](c).alias(c) for c in states])
 
 
+def _small(top: Mapping[str, int]) -> bool:
+    """Whether ``_through_arrays`` is bounded: keys asked a few times (t), small groups (s), no row that reaches many members."""
+    return top["t"] <= FEW_ASKED and top["s"] <= GROUP_ROWS and top["k"] * top["s"] <= ARRAY_ROWS
+
+
+def _through_arrays(
+    points: DataFrame, links: DataFrame, rows: DataFrame, adds: Mapping[str, Callable[[Column], Column]],
+    maxes: Mapping[str, Callable[[Column], Column]], cutoff: str, beside: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """(__key, __when, groups, members, states) of points whose groups are small: one shuffle by key, group and point each.
+
+    ``links(__key, __group, __f)`` may repeat. All of a group's ``rows(__group, __t, __member, ...)`` are one array; a point
+    reads it once per group it has joined, and its states and the members it sees leave together, so that neither links nor
+    rows are shuffled again for each of them. ``adds`` and ``maxes`` are functions of the array of rows a point sees, which may
+    use the columns ``beside``.
+    """
+    at = F.col("__when")
+    known = links.where(F.col("__group").isNotNull())
+    steps = points.join(known, "__key").where(F.col("__f") <= at).select("__key", "__when", "__group").distinct()
+    fields = [c for c in rows.columns if c != "__group"]
+    lists = rows.repartition("__group").groupBy("__group").agg(F.collect_list(F.struct(*fields)).alias("__list"))
+    past = (lambda m: m["__t"] < at) if cutoff == "strict" else (lambda m: m["__t"] <= at)
+    met = steps.join(lists, "__group", "left").withColumns({"__seen": F.filter("__list", past), **(beside or {})})
+    states = {**adds, **maxes}
+    met = met.select(
+        "__key", "__when", *[F.when(F.col("__list").isNotNull(), f(F.col("__seen"))).alias(c) for c, f in states.items()],
+        F.array_distinct(F.array_compact(F.transform("__seen", lambda m: m["__member"]))).alias("__members"),
+    )
+    return met.groupBy("__key", "__when").agg(
+        F.count("*").alias("groups"), *[F.sum(c).alias(c) for c in adds], *[F.max(c).alias(c) for c in maxes],
+        F.size(F.array_distinct(F.flatten(F.collect_list("__members")))).cast("bigint").alias("members"),
+    )
+
+
 def pivot_history(
     target: DataFrame,
     base: DataFrame,
@@ -234,41 +270,48 @@ def pivot_history(
     """Target -> pivots of its visible base rows -> all visible rows of those pivots.
 
     Every (key, cutoff, pivot) reads the pivot's running state instead of its rows, so a popular pivot is
-    scanned once. Distinct values go through first-reach times. No limit on pivots per row. Outputs
+    scanned once. Distinct values go through first-reach times. Where keys are asked a few times and pivots are small, every
+    (key, cutoff, pivot) reads the pivot's rows as one array instead. No limit on pivots per row. Outputs
     pivot_nunique, count, mean, sample std (0 below two values), max, nunique, days since last.
     """
-    bounds = {}
+    bounds, small = {}, False
     if splits is None:
+        asked = target.where(F.col(key).isNotNull())
         splits, top = measure_groups(
-            (target, [key], "k"), (target, [key], "t"), (base, [base_key], "k"), (base, [pivot], "b"), (second, [second_key], "s")
+            (asked, [key], "k"), (asked, [key], "t"), (base, [base_key], "k"), (base, [pivot], "b"), (second, [second_key], "s")
         )
+        small = _small(top)
         bounds = {"most_pairs": top["b"] * top["s"], "most_asked": top["t"], "most_reached": top["k"] * top["s"]}
     points = _points(target, key, target_time)
-    links = first_seen(
-        base.withColumnRenamed(base_key, "__key"), ["__key"], F.col(pivot), effective(as_time(base, base_time), cutoff)
-    ).select("__key", F.col("__item").alias("__group"), F.col("__t").alias("__f"))
+    joined = effective(as_time(base, base_time), cutoff)
     v = number(value)
     rows = second.where(F.col(second_time).isNotNull()).select(
         F.col(second_key).alias("__group"), as_time(second, second_time).alias("__t"), v.alias("__v")
     ).where(F.col("__group").isNotNull())
-    rows = rows.withColumn("__d", F.col("__v") - centre_of(second, v))
-    events = rows.groupBy("__group", effective(F.col("__t"), cutoff).alias("__at")).agg(
-        F.count("__v").alias("n"), F.sum("__v").alias("s"), F.sum("__d").alias("d"),
-        F.sum(F.col("__d") * F.col("__d")).alias("q"), F.max("__v").alias("mx"), F.max("__t").alias("last"),
-    )
-    per_point = _through_links(points, links, events, ["n", "s", "d", "q"], ["mx", "last"], splits)
-    pivots = as_of_state(
-        points, links, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"],
-        child_at=F.col("__f"), adds={"pivots": _one()}, splits=splits,
-    ).select("__key", "__when", "pivots")
-    valued = rows.where(F.col("__v").isNotNull()).select(
-        "__group", F.col("__v").alias("__member"), effective(F.col("__t"), cutoff).alias("__g")
-    )
-    distinct = reach_counts(
-        points, links, valued, row_key=["__key", "__when"], key="__key",
-        at=F.col("__when"), name="values", hot_pairs=hot_pairs, splits=splits, **bounds,
-    )
-    answers = pivots.join(per_point, ["__key", "__when"], "left").join(distinct, ["__key", "__when"])
+    if small:
+        answers = _pivots_by_arrays(points, base.select(F.col(base_key).alias("__key"), F.col(pivot).alias("__group"), joined.alias("__f")), rows, centre_of(second, v), cutoff)
+    else:
+        links = first_seen(base.withColumnRenamed(base_key, "__key"), ["__key"], F.col(pivot), joined).select(
+            "__key", F.col("__item").alias("__group"), F.col("__t").alias("__f")
+        )
+        rows = rows.withColumn("__d", F.col("__v") - centre_of(second, v))
+        events = rows.groupBy("__group", effective(F.col("__t"), cutoff).alias("__at")).agg(
+            F.count("__v").alias("n"), F.sum("__v").alias("s"), F.sum("__d").alias("d"),
+            F.sum(F.col("__d") * F.col("__d")).alias("q"), F.max("__v").alias("mx"), F.max("__t").alias("last"),
+        )
+        per_point = _through_links(points, links, events, ["n", "s", "d", "q"], ["mx", "last"], splits)
+        pivots = as_of_state(
+            points, links, row_key=["__key", "__when"], keys=["__key"], at=F.col("__when"), child_keys=["__key"],
+            child_at=F.col("__f"), adds={"pivots": _one()}, splits=splits,
+        ).select("__key", "__when", "pivots")
+        valued = rows.where(F.col("__v").isNotNull()).select(
+            "__group", F.col("__v").alias("__member"), effective(F.col("__t"), cutoff).alias("__g")
+        )
+        distinct = reach_counts(
+            points, links, valued, row_key=["__key", "__when"], key="__key",
+            at=F.col("__when"), name="values", hot_pairs=hot_pairs, splits=splits, **bounds,
+        )
+        answers = pivots.join(per_point, ["__key", "__when"], "left").join(distinct, ["__key", "__when"])
     out = _answer(target, row_key, key, target_time, answers)
     n = F.coalesce(F.col("n"), F.lit(0).cast("bigint"))
     zero = F.lit(0).cast("bigint")
@@ -285,6 +328,28 @@ def pivot_history(
     )
 
 
+def _pivots_by_arrays(points: DataFrame, links: DataFrame, rows: DataFrame, centre: Column, cutoff: str) -> DataFrame:
+    """The answers of ``pivot_history`` from one array of (time, value) per pivot."""
+    moved = lambda m: m["__member"] - F.col("__centre")
+
+    def total(term: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda seen: F.aggregate(seen, F.lit(0.0), lambda a, m: a + F.coalesce(term(m), F.lit(0.0)))
+
+    found = _through_arrays(
+        points, links, rows.select("__group", "__t", (F.col("__v") + 0.0).alias("__member")),  # one zero
+        {
+            "n": lambda seen: F.size(F.filter(seen, lambda m: m["__member"].isNotNull())).cast("bigint"),
+            "s": total(lambda m: m["__member"]), "d": total(moved), "q": total(lambda m: moved(m) * moved(m)),
+        },
+        {
+            "mx": lambda seen: F.array_max(F.transform(seen, lambda m: m["__member"])),
+            "last": lambda seen: F.array_max(F.transform(seen, lambda m: m["__t"])),
+        },
+        cutoff, {"__centre": centre},
+    )
+    return found.withColumnsRenamed({"groups": "pivots", "members": "values"})
+
+
 def incoming_link_counts(
     target: DataFrame,
     own: DataFrame,
@@ -310,38 +375,54 @@ def incoming_link_counts(
 
     A reference enters the recent count when it becomes visible and leaves once the window has passed it.
     """
-    bounds = {}
+    bounds, small = {}, False
     if splits is None:
+        asked = target.where(F.col(key).isNotNull())
         splits, top = measure_groups(
-            (target, [key], "k"), (target, [key], "t"), (own, [own_key], "k"), (own, [own_item], "b"), (incoming, [incoming_item], "s")
+            (asked, [key], "k"), (asked, [key], "t"), (own, [own_key], "k"), (own, [own_item], "b"), (incoming, [incoming_item], "s")
         )
+        small = _small(top)
         bounds = {"most_pairs": top["b"] * top["s"], "most_asked": top["t"], "most_reached": top["k"] * top["s"]}
     points = _points(target, key, target_time)
-    links = first_seen(
-        own.withColumnRenamed(own_key, "__key"), ["__key"], F.col(own_item), effective(as_time(own, own_time), cutoff)
-    ).select("__key", F.col("__item").alias("__group"), F.col("__t").alias("__f"))
+    joined = effective(as_time(own, own_time), cutoff)
     time = as_time(incoming, incoming_time)
     refs = incoming.select(
         F.col(incoming_item).alias("__group"), F.col(incoming_source).alias("__member"), time.alias("__t"),
-        effective(time, cutoff).alias("__g"),
-    ).where(F.col("__group").isNotNull() & F.col("__g").isNotNull())
-    leave = F.col("__t") + days_interval(window_days)
-    leave = leave + tick() if lower == "inclusive" else leave
-    steps = F.explode(
-        F.array(
-            F.struct(F.col("__g").alias("at"), _one().alias("n"), _one().alias("r")),
-            F.struct(leave.alias("at"), F.lit(0).cast("bigint").alias("n"), (-_one()).alias("r")),
+    ).where(F.col("__group").isNotNull() & F.col("__t").isNotNull())
+    if small:
+        left = F.col("__when") - days_interval(window_days)
+        left = left - tick() if lower == "inclusive" else left
+        answers = _through_arrays(
+            points, own.select(F.col(own_key).alias("__key"), F.col(own_item).alias("__group"), joined.alias("__f")), refs,
+            {
+                "n": lambda seen: F.size(seen).cast("bigint"),
+                "recent": lambda seen: (F.size(seen) - F.size(F.filter("__list", lambda m: m["__t"] <= left))).cast("bigint"),
+            },
+            {}, cutoff,
+        ).withColumnRenamed("members", "sources")
+    else:
+        links = first_seen(own.withColumnRenamed(own_key, "__key"), ["__key"], F.col(own_item), joined).select(
+            "__key", F.col("__item").alias("__group"), F.col("__t").alias("__f")
         )
-    )
-    events = refs.select("__group", steps.alias("e")).groupBy("__group", F.col("e.at").alias("__at")).agg(
-        F.sum("e.n").alias("n"), F.sum("e.r").alias("recent")
-    )
-    per_point = _through_links(points, links, events, ["n", "recent"], [], splits)
-    sources = reach_counts(
-        points, links, refs.where(F.col("__member").isNotNull()).select("__group", "__member", "__g"),
-        row_key=["__key", "__when"], key="__key", at=F.col("__when"), name="sources", hot_pairs=hot_pairs, splits=splits, **bounds,
-    )
-    out = _answer(target, row_key, key, target_time, sources.join(per_point, ["__key", "__when"], "left"))
+        refs = refs.withColumn("__g", effective(F.col("__t"), cutoff))
+        leave = F.col("__t") + days_interval(window_days)
+        leave = leave + tick() if lower == "inclusive" else leave
+        steps = F.explode(
+            F.array(
+                F.struct(F.col("__g").alias("at"), _one().alias("n"), _one().alias("r")),
+                F.struct(leave.alias("at"), F.lit(0).cast("bigint").alias("n"), (-_one()).alias("r")),
+            )
+        )
+        events = refs.select("__group", steps.alias("e")).groupBy("__group", F.col("e.at").alias("__at")).agg(
+            F.sum("e.n").alias("n"), F.sum("e.r").alias("recent")
+        )
+        per_point = _through_links(points, links, events, ["n", "recent"], [], splits)
+        sources = reach_counts(
+            points, links, refs.where(F.col("__member").isNotNull()).select("__group", "__member", "__g"),
+            row_key=["__key", "__when"], key="__key", at=F.col("__when"), name="sources", hot_pairs=hot_pairs, splits=splits, **bounds,
+        )
+        answers = sources.join(per_point, ["__key", "__when"], "left")
+    out = _answer(target, row_key, key, target_time, answers)
     zero = F.lit(0).cast("bigint")
     return out.select(
         *row_key,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import history, paths, temporal
 from tidemark.operators.scan import BY_SIZE, ROWS_PER_TASK, deal_shuffles, measure_groups
 from tidemark.plans.data import load, order_lines, orders_history, round_to, rounded
+from tidemark.sources.tables import written_once
 
 QUERIES = {}
 ORACLES = {}
@@ -380,7 +381,7 @@ FROM customer LEFT JOIN a USING (c_custkey)""",
 def incoming_links_customer(spark, sf):
     cut = F.expr("timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 5 * 200 as int))")
     target = load(spark, sf, "customer").select("c_custkey", cut.alias("cut"))
-    lines = order_lines(spark, sf).select("o_custkey", "o_orderdate", "l_partkey", "l_shipdate")
+    lines = written_once(order_lines(spark, sf).select("o_custkey", "o_orderdate", "l_partkey", "l_shipdate"), "lines")
     return paths.incoming_link_counts(
         target, lines, lines, row_key=["c_custkey"], key="c_custkey", target_time="cut", own_key="o_custkey",
         own_item="l_partkey", own_time="o_orderdate", incoming_item="l_partkey", incoming_source="o_custkey",
