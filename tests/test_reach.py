@@ -106,7 +106,7 @@ def test_large_groups_and_keys_asked_often_keep_running_states():
     assert not any(paths._small({"t": 4, "k": 64, "s": 4096} | {c: n}) for c, n in (("t", 5), ("k", 65), ("s", 4097)))
 
 
-@pytest.mark.parametrize("query", ["incoming_links_customer"])
+@pytest.mark.parametrize("query", ["incoming_links_customer", "pivot_history_part_customer"])
 def test_joined_lines_are_written_once(spark, capsys, query):
     """After the join of lines and orders, one shuffle by key, one by group, one by target; the tables are not read again."""
     out = temporal_queries.QUERIES[query](spark, "/root/testdata/sf0.001")

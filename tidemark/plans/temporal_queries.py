@@ -356,7 +356,7 @@ FROM part LEFT JOIN a USING (p_partkey)""",
 def pivot_history_part_customer(spark, sf):
     cut = F.expr("timestamp_ntz'1998-06-01 00:00:00' + make_dt_interval(cast(p_partkey % 7 * 100 as int))")
     target = load(spark, sf, "part").select("p_partkey", cut.alias("cut"))
-    lines = order_lines(spark, sf).select("o_custkey", "o_orderdate", "l_partkey", "l_quantity")
+    lines = written_once(order_lines(spark, sf).select("o_custkey", "o_orderdate", "l_partkey", "l_quantity"), "lines")
     return rounded(
         paths.pivot_history(
             target, lines, lines, row_key=["p_partkey"], key="p_partkey", target_time="cut", base_key="l_partkey",
