@@ -40,6 +40,21 @@ def _docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+def test_new_pre_tokens_are_not_cut_again_by_the_library():
+    """They go to the model one by one, whatever their characters; the library's own cutting sees none of them."""
+    coder = tokens.Encoder(tokens.public_tokenizers.path(tokens.BYTE_BPE), "bytes")
+    plain = [chr(k) for k in range(33, tokens._SIMPLE) if k != 39 and not chr(k).isspace()]
+    texts = [f"{a} {b}{a}{a} {a}" for a, b in zip(plain, plain[1:] + plain[:1], strict=True)] + [" ".join(plain), "".join(plain), "\x00\x01 \x7f"]
+    want = [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Refused:
+        def __getattr__(self, name):
+            raise AssertionError(f"{name} was asked")
+
+    coder.library = Refused()
+    assert [ids.tolist() for ids in coder.ids(texts)] == want
+
+
 def test_length_histogram_against_brute_force(spark):
     texts = [r.text for r in _docs(spark).select("text").collect()]
     n = sorted(len(e.ids) for e in tokens.encoder(tokens.BYTE_BPE).library.encode_batch_fast(texts, add_special_tokens=False))

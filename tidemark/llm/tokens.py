@@ -8,10 +8,12 @@ not met before; every other text goes to the library whole. Ids are the library'
 from __future__ import annotations
 
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +23,8 @@ _SIMPLE = 0x250
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0]
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _CLASS = np.array([_SPACE if c in _SPACES else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(_SIMPLE)], np.uint8)
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level tokens show as themselves; others follow U+0100
+_ALPHABET = np.array([b if b in _SHOWN else 256 + b - sum(x < b for x in _SHOWN) for b in range(256)], np.uint32)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -32,10 +36,9 @@ class Encoder:
         self.library, self.words = Tokenizer.from_file(path), style == "words"
         self.library.encode_special_tokens = False
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        if not self.words:  # a character of a byte-level token is a byte
-            self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
-            for token, k in self.library.get_vocab().items():
-                self.n_bytes[k] = len(token)
+        # a pre-token's bytes as the model knows them, if nothing but byte-level cutting comes before it
+        plain = self.library.normalizer is None and isinstance(self.library.pre_tokenizer, ByteLevel) and not self.library.pre_tokenizer.add_prefix_space
+        self.model = self.library.model if plain and not self.words else None
         self.forget()
 
     def forget(self) -> None:
@@ -102,22 +105,14 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pre-tokens on end, and how many each has.
 
-        Byte-level pre-tokens go to the library as one text, a newline before those that bring no space along. Its ids
-        are cut by their bytes; should they not meet the borders, each pre-token is encoded by itself.
+        Byte-level pre-tokens go to the library's model as they are: each is one pre-token, so nothing is left to cut.
         """
-        if not self.words and not any(t[0].isspace() and (t[0] != " " or t[1:2].strip() == "") for t in texts):
-            joined = "".join([t if t[0] == " " else "\n" + t for t in texts])
-            if not any(s in joined for s in self.special):
-                flat = np.asarray(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
-                apart = np.array([t[0] != " " for t in texts])
-                ends = np.cumsum(np.array([len(t.encode()) for t in texts]) + apart)
-                reach = np.cumsum(self.n_bytes[flat])
-                last = np.searchsorted(reach, ends)
-                first = np.concatenate([[0], last[:-1] + 1])
-                if len(flat) == last[-1] + 1 and np.array_equal(reach[last], ends) and np.all(self.n_bytes[flat[first[apart]]] == 1):
-                    keep = np.ones(len(flat), bool)
-                    keep[first[apart]] = False
-                    return flat[keep], last + 1 - first - apart
+        if self.model is not None and not any(t[0].isspace() and (t[0] != " " or t[1:2].strip() == "") for t in texts):
+            raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
+            words = _ALPHABET[raw].tobytes().decode("utf-32-le").split(chr(_ALPHABET[10]))
+            if len(words) == len(texts):
+                each = [[t.id for t in self.model.tokenize(w)] for w in words]
+                return np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
         each = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for ids in each for i in ids], np.int64), np.array([len(ids) for ids in each], np.int64)
 
