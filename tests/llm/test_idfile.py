@@ -91,3 +91,21 @@ def test_coding_both_ways_costs_less_than_the_library(spark):
     assert (time.process_time() - start) / sum(map(len, blocks)) < library_s
     assert all(np.array_equal(a, b) for a, b in zip(back, blocks, strict=True))
     assert sum(map(len, data)) < 1.1 * sum(map(len, blocks))
+
+
+@pytest.mark.parametrize("lanes", [3, 100])
+def test_files_of_a_task_are_read_in_lockstep(monkeypatch, lanes):
+    rng = np.random.default_rng(8)
+    files = [[(10 * f + d, rng.integers(0, 900, size).astype(np.uint32)) for d, size in enumerate((5000, 1, 9000))] for f in range(3)] + [[]]
+    streams = [io.BytesIO(idfile.MAGIC + b"".join(idfile.packed_blocks(docs))) for docs in files]
+    monkeypatch.setattr(idfile, "READ_LANES", lanes)
+    calls, real = [], idfile.decode
+    monkeypatch.setattr(idfile, "decode", lambda payloads, sizes: calls.append(len(sizes)) or real(payloads, sizes))
+    found = {}
+    for number, table, ids in idfile._together(streams):
+        at = 0
+        for key, n, _ in table:
+            found.setdefault((number, key), []).extend(ids[at : at + n].tolist())
+            at += n
+    assert found == {(f, key): ids.tolist() for f, docs in enumerate(files) for key, ids in docs}
+    assert calls == ([3] * 4 if lanes == 3 else [12])

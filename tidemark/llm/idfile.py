@@ -20,7 +20,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from tidemark.llm import store, tokens
 from tidemark.llm.batches import mapped
 
 MAGIC = b"IDMIX2\n"
-BLOCK_IDS, LANES = 4096, 2048
+BLOCK_IDS, LANES, READ_LANES = 4096, 2048, 2560
 HEAD, DOC = struct.Struct("<IIII"), struct.Struct("<qIB")
 BEGINS, ENDS, NULL_KEY = 1, 2, 4
 _BITS, _LEAST = 12, 64  # shares of the mix, and the least of order 0
@@ -42,6 +43,7 @@ _STATES = 128
 _LOW, _BUCKETS = 10, 64  # ids are new to a block by buckets of 1,024
 _LEARNED = (0, 32, 64, 128, 256, 512, 1024, 1536, 2048, 3072)  # where shares and order 0 are learned anew
 _TOGETHER, _STRIP = 32, 64  # lanes modelled and steps laid out at a time, so that arrays stay in the cache
+_COUNTED = 256  # steps counted at a time
 _SHIFT, _SIXTEEN, _DIGIT, _KEPT = np.uint64(_BITS), np.uint64(16), np.uint64(32), np.uint64(30)
 _WHOLE, _BOTTOM, _KEPT_MASK = np.uint64((1 << 62) - 1), np.uint64(1 << 30), np.uint64((1 << 30) - 1)
 _SURE, _SURER = np.array([[7], [56]], np.uint32), np.array([[1], [8]], np.uint32)  # confidence bits of orders 1 and 2
@@ -56,6 +58,10 @@ class _Trust:
 
     def learn(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, lane: np.ndarray, lanes: int) -> None:
         """From what the contexts told before each of ``ids``; ``lane`` is broadcast to them."""
+        for first in range(0, len(ids), _COUNTED):  # what it works with stays small beside the tables
+            self._count(*(x[first : first + _COUNTED] for x in (one, two, ids)), lane, lanes)
+
+    def _count(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, lane: np.ndarray, lanes: int) -> None:
         told1, told2 = one >> np.uint32(6), two >> np.uint32(6)
         right2 = (told2 == ids) & ((two & 56) > 0)
         right1 = (told1 == ids) & ((one & 7) > 0) & ~right2
@@ -265,8 +271,10 @@ def _read(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
         f2, both = trust.shares(k)
         shares = np.ascontiguousarray((f2 | (both.astype(np.uint64) << _SIXTEEN)).reshape(k, _STATES).T).ravel()
         apart = k
+        places = None  # the last ones go before others are made
         parts = [_places(np.ascontiguousarray(grid[:begin, a : min(a + _TOGETHER, k)].T)) for a in range(0, k, _TOGETHER)]
         places, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         own4 = np.cumsum(total) - total
         total = total.astype(np.uint64)
         most = total - np.uint64(1)
@@ -385,28 +393,32 @@ def packed_blocks(documents: list[tuple[int | None, np.ndarray]], begun: bool =
         yield head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
-def unpacked(stream) -> Iterator[tuple[list[tuple[int | None, int, int]], np.ndarray]]:
-    """The document table and ids of each block, checked against its checksum."""
+def _blocks(stream) -> Iterator[tuple[list[tuple[int | None, int, int]], bytes, int]]:
+    """The document table, payload and number of ids of each block, checked against its checksum."""
     if stream.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token-id file")
-    more = True
-    while more:
-        tables, payloads, sizes = [], [], []
-        while len(sizes) < LANES:
-            head = stream.read(HEAD.size)
-            if not head:
-                more = False
-                break
-            if len(head) < HEAD.size:
-                raise ValueError("the file ends inside a block")
-            n, docs, size, check = HEAD.unpack(head)
-            body = stream.read(docs * DOC.size + size)
-            if len(body) != docs * DOC.size + size or zlib.crc32(body, zlib.crc32(head[:12])) != check:
-                raise ValueError("a block is damaged")
-            tables.append([(None if f & NULL_KEY else key, m, f) for key, m, f in DOC.iter_unpack(body[: docs * DOC.size])])
-            payloads.append(body[docs * DOC.size :])
-            sizes.append(n)
-        yield from zip(tables, decode(payloads, sizes), strict=True)
+    while head := stream.read(HEAD.size):
+        if len(head) < HEAD.size:
+            raise ValueError("the file ends inside a block")
+        n, docs, size, check = HEAD.unpack(head)
+        body = stream.read(docs * DOC.size + size)
+        if len(body) != docs * DOC.size + size or zlib.crc32(body, zlib.crc32(head[:12])) != check:
+            raise ValueError("a block is damaged")
+        yield [(None if f & NULL_KEY else key, m, f) for key, m, f in DOC.iter_unpack(body[: docs * DOC.size])], body[docs * DOC.size :], n
+
+
+def _together(streams: Iterable) -> Iterator[tuple[int, list[tuple[int | None, int, int]], np.ndarray]]:
+    """The number of the stream, document table and ids of each block; blocks of several streams are read in lockstep."""
+    blocks = ((k, *block) for k, stream in enumerate(streams) for block in _blocks(stream))
+    while some := list(islice(blocks, READ_LANES)):
+        for (k, table, _, _), ids in zip(some, decode([b[2] for b in some], [b[3] for b in some]), strict=True):
+            yield k, table, ids
+
+
+def unpacked(stream) -> Iterator[tuple[list[tuple[int | None, int, int]], np.ndarray]]:
+    """The document table and ids of each block, checked against its checksum."""
+    for _, table, ids in _together([stream]):
+        yield table, ids
 
 
 def write(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text", vocabulary: str = tokens.BYTE_BPE, end_id: int = 2) -> DataFrame:
@@ -448,29 +460,35 @@ def read(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
     """key, start (ids of all documents before it), n_tokens, ids_crc32 (and ids) of every document in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri, start in zip(batch["path"].to_pylist(), batch["first"].to_pylist(), strict=True):
+        files = [f for batch in batches for f in zip(batch["path"].to_pylist(), batch["first"].to_pylist(), strict=True)]
+
+        def streams():
+            for uri, _ in files:
                 where, name = store.opened(uri)
-                rows, kept, size, check = [], [], 0, 0
                 with where.open_input_stream(name, compression=None) as stream:
-                    for table, ids in unpacked(stream):
-                        at = 0
-                        for k, n, flags in table:
-                            part = ids[at : at + n].astype("<u4")
-                            at += n
-                            if flags & BEGINS:
-                                kept, size, check = [], 0, 0
-                            size, check = size + n, zlib.crc32(part.tobytes(), check)
-                            if with_ids:
-                                kept.append(part)
-                            if flags & ENDS:
-                                rows.append((k, start, size, check, np.concatenate(kept).astype(np.int64) if with_ids else None))
-                                start += size
-                        if len(rows) >= 5_000:
-                            yield made(rows)
-                            rows = []
-                if rows:
-                    yield made(rows)
+                    yield stream
+
+        rows, kept, size, check, file, start = [], [], 0, 0, -1, 0
+        for number, table, ids in _together(streams()):
+            if number != file:
+                file, start = number, files[number][1]
+            at = 0
+            for k, n, flags in table:
+                part = ids[at : at + n].astype("<u4")
+                at += n
+                if flags & BEGINS:
+                    kept, size, check = [], 0, 0
+                size, check = size + n, zlib.crc32(part.tobytes(), check)
+                if with_ids:
+                    kept.append(part)
+                if flags & ENDS:
+                    rows.append((k, start, size, check, np.concatenate(kept).astype(np.int64) if with_ids else None))
+                    start += size
+            if len(rows) >= 5_000:
+                yield made(rows)
+                rows = []
+        if rows:
+            yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
@@ -480,4 +498,7 @@ def read(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
     schema = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return mapped(placed.repartition(max(1, manifest.count())), run, schema)  # a task per file
+    # lockstep pays by lanes: a task reads as many files as fill READ_LANES, if enough tasks are left for all cores
+    files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    spread = min(files, 2 * manifest.sparkSession.sparkContext.defaultParallelism)
+    return mapped(placed.repartition(max(1, spread, ids // (BLOCK_IDS * READ_LANES) + 1)), run, schema)
